@@ -188,3 +188,52 @@ def repeated(keys: np.ndarray) -> np.ndarray:
     mask = np.empty(len(keys), bool)
     mask[order] = np.repeat(size > 1, size)
     return mask
+
+
+class SpanCache:
+    """Encodes distinct spans of bytes once and remembers them between batches.
+
+    ``encode`` maps a list of bytes to a list of integer sequences. Spans are
+    known by hash; past ``limit`` spans only those of the latest batch stay.
+    """
+
+    def __init__(self, encode, limit: int = 400_000):
+        self.encode, self.limit = encode, limit
+        self.keys = np.zeros(0, U64)
+        self.begin = self.length = np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint32)
+
+    def lookup(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and length in ``pool`` of each span's sequence. Spans are bytes starts to starts + lengths of data."""
+        unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.keys):
+            slot = np.minimum(np.searchsorted(self.keys, unique), len(self.keys) - 1)
+            new = np.flatnonzero(self.keys[slot] != unique)
+        else:
+            new = np.arange(len(unique))
+        if len(new):
+            raw = data.tobytes()
+            at = first[new]
+            found = self.encode([raw[s : s + n] for s, n in zip(starts[at].tolist(), lengths[at].tolist())])
+            counts = np.fromiter(map(len, found), np.int64, len(found))
+            flat = np.concatenate([np.asarray(x, np.uint32) for x in found]) if len(found) else np.zeros(0, np.uint32)
+            if len(self.keys) + len(new) > self.limit and len(self.keys):
+                old = np.setdiff1d(np.arange(len(unique)), new)
+                keep = slot[old]
+                flat_old = gather(self.pool, self.begin[keep], self.length[keep])
+                self.keys, self.length = self.keys[keep], self.length[keep]
+                self.begin, self.pool = np.cumsum(self.length) - self.length, flat_old
+            keys = np.concatenate([self.keys, unique[new]])
+            order = np.argsort(keys, kind="stable")
+            self.keys = keys[order]
+            self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(counts) - counts])[order]
+            self.length = np.concatenate([self.length, counts])[order]
+            self.pool = np.concatenate([self.pool, flat])
+        slot = np.searchsorted(self.keys, unique)[inverse]
+        return self.begin[slot], self.length[slot]
+
+
+def gather(pool: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The concatenation of pool[b : b + n] for all pairs."""
+    total = int(length.sum())
+    return pool[np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(total)]

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .packing import op7_packing
+from .quality_classifier import op2_quality_classifier
 from .quality_rules import op4_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_classifier": op2_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
     "op7_packing": op7_packing,
 }

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .lm_scoring import op8_lm_scoring
 from .packing import op7_packing
 from .quality_classifier import op2_quality_classifier
 from .quality_rules import op4_quality_rules
@@ -14,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
     "op7_packing": op7_packing,
+    "op8_lm_scoring": op8_lm_scoring,
 }
 
 #: DuckDB SQL for those that SQL can express.

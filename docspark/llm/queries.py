@@ -7,15 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .lm_scoring import op8_lm_scoring
+from .minhash_dedup import op9_minhash_dedup
 from .packing import op7_packing
 from .quality_classifier import op2_quality_classifier
 from .quality_rules import op4_quality_rules
+from .sentencepiece_codec import op5_sentencepiece
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
     "op4_quality_rules": op4_quality_rules,
+    "op5_sentencepiece": op5_sentencepiece,
     "op7_packing": op7_packing,
     "op8_lm_scoring": op8_lm_scoring,
+    "op9_minhash_dedup": op9_minhash_dedup,
 }
 
 #: DuckDB SQL for those that SQL can express.

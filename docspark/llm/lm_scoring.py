@@ -71,7 +71,7 @@ def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def numbers_of(vocab: Parts, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct hashes' places in the vocabulary (-1: unknown) and for each token which of them it is."""
-    unique, inverse = np.unique(hashes, return_inverse=True)
+    unique, inverse = np.unique(mix64(hashes), return_inverse=True)
     return vocab.find(unique), inverse, unique
 
 
@@ -88,14 +88,17 @@ def _bits(rows: int) -> int:
 
 
 def _counted(keys_of, bits: int, batches):
-    """(part, key, n) of the keys of text batches, summed over FLUSH keys at a time."""
+    """(part, keys, counts) of the keys of text batches, summed over FLUSH keys at a time; a row for each part and flush."""
     held, size = [], 0
 
     def flush():
         keys, n = np.unique(np.concatenate(held), return_counts=True)
-        for i in range(0, len(keys), 200_000):
-            k = keys[i : i + 200_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part_of(k, bits).astype(np.int32)), pa.array(k.view(np.int64)), pa.array(n[i : i + 200_000].astype(np.int32))], names=["part", "key", "n"])
+        part = part_of(mix64(keys), bits)
+        order = np.argsort(part, kind="stable")
+        keys, n = keys[order], n[order].astype(np.uint32)
+        start, size = runs(part[order])
+        rows = [(int(part[order[s]]), planes(keys[s : s + z]), planes(n[s : s + z])) for s, z in zip(start.tolist(), size.tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["part", "keys", "counts"])
 
     for batch in chunks(batches):
         keys = keys_of(batch.column("text"))
@@ -108,15 +111,30 @@ def _counted(keys_of, bits: int, batches):
         yield from flush()
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Numbers as planes of bytes: the high bytes of sorted numbers change slowly, so that shuffle compression takes them away."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def from_planes(data: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def _summed(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
-    keys = table.column("key").to_numpy().view(U64)
-    n = table.column("n").to_numpy().astype(np.int64)
+    """A part's distinct mixed keys in order, and their counts."""
+    keys = mix64(np.concatenate([from_planes(x, U64) for x in table.column("keys").to_pylist()]))
+    n = np.concatenate([from_planes(x, np.uint32) for x in table.column("counts").to_pylist()]).astype(np.int64)
     order = np.argsort(keys, kind="stable")
-    start, _ = runs(keys[order])
-    return table.column("part")[0].as_py(), keys[order][start], np.add.reduceat(n[order], start)
+    keys = keys[order]
+    start, _ = runs(keys)
+    return table.column("part")[0].as_py(), keys[start], np.add.reduceat(n[order], start)
+
+
+def _small(n: np.ndarray) -> np.ndarray:
+    return n.astype(np.min_scalar_type(int(n.max())))
 
 
-_COUNTED = "part int, key bigint, n int"
+_COUNTED = "part int, keys binary, counts binary"
 
 
 def _count_words(texts: DataFrame, folder: str, bits: int) -> tuple[np.ndarray, int]:
@@ -161,7 +179,7 @@ def fit(texts: DataFrame) -> Model:
     def pair_keys(column: pa.Array) -> np.ndarray:
         hashes, first = tokens_of(column)
         places, inverse, _ = numbers_of(model.parts()[0], hashes)
-        return mix64(_pairs_of(places[inverse], first, begin)[1])
+        return _pairs_of(places[inverse], first, begin)[1]
 
     def pairs(batches):
         yield from _counted(pair_keys, pair_bits, batches)
@@ -169,7 +187,7 @@ def fit(texts: DataFrame) -> Model:
     def write(table: pa.Table) -> pa.Table:
         part, keys, n = _summed(table)
         save(f"{folder}/pairs/keys-{part}.npy", keys)
-        save(f"{folder}/pairs/counts-{part}.npy", n.astype(np.uint32) if n.max() < 1 << 32 else n)
+        save(f"{folder}/pairs/counts-{part}.npy", _small(n))
         raw = unmix64(keys)
         context, word = (raw >> U64(32)).astype(np.int64), (raw & U64(0xFFFFFFFF)).astype(np.int64)
         ids, inverse = np.unique(context, return_inverse=True)

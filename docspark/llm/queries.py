@@ -12,9 +12,11 @@ from .packing import op7_packing
 from .quality_classifier import op2_quality_classifier
 from .quality_rules import op4_quality_rules
 from .sentencepiece_codec import op5_sentencepiece
+from .substring_dedup import op3_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_sentencepiece": op5_sentencepiece,
     "op7_packing": op7_packing,

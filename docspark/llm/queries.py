@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embedding_dedup import op6_embedding_dedup
 from .lm_scoring import op8_lm_scoring
 from .minhash_dedup import op9_minhash_dedup
 from .packing import op7_packing
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_packing": op7_packing,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_minhash_dedup": op9_minhash_dedup,

@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docspark.llm import frames
+from docspark.llm.line_dedup import line_dedup_stage
+from docspark.llm.minhash_dedup import near_dedup_stage
+from docspark.llm.packing import packing_stage
 from docspark.llm.quality_rules import quality_stage
+from docspark.llm.substring_dedup import substring_dedup_stage
 
 STAGES = [
     ("quality_rules", quality_stage),
+    ("line_dedup", line_dedup_stage),
+    ("minhash_dedup", near_dedup_stage),
+    ("substring_dedup", substring_dedup_stage),
+    ("packing", packing_stage),
 ]
 
 

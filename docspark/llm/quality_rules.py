@@ -227,5 +227,6 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the rules keep, with their own columns."""
+    frames.ship(spark)
     name = frames.free_name(docs, "quality")
     return judge(docs).filter(F.col(name).kept).drop(name)

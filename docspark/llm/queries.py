@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .embedding_dedup import op6_embedding_dedup
+from .line_dedup import op10_line_dedup
 from .lm_scoring import op8_lm_scoring
 from .minhash_dedup import op9_minhash_dedup
 from .packing import op7_packing
@@ -14,8 +15,10 @@ from .quality_classifier import op2_quality_classifier
 from .quality_rules import op4_quality_rules
 from .sentencepiece_codec import op5_sentencepiece
 from .substring_dedup import op3_substring_dedup
+from .token_counts import op1_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_quality_rules": op4_quality_rules,
@@ -24,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_packing": op7_packing,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_minhash_dedup": op9_minhash_dedup,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 #: DuckDB SQL for those that SQL can express.

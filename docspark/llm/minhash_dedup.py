@@ -8,12 +8,12 @@ Rounds end when no bin is empty, as later values are greater.
 
 Documents with equal sets are one class (128-bit fingerprint and size) and go on
 as their smallest id. Bands of coordinates put classes into buckets. In each
-bucket every class is compared with the smallest, on full sets. Classes that
-this links are in one component. For a class x that isn't linked to its bucket's
-smallest, every other class y of the bucket is compared as well, unless the
-distances to the smallest differ by more than the limit: Jaccard distance is a
-metric, so such a pair can't link. So no link within a bucket is lost and hot
-buckets of copies cost one comparison a class. With the default bands a pair at
+bucket every class is compared with the smallest, on full sets, and links join
+classes into components. Then all classes that meet one smallest class somewhere and
+are still in different components are compared with each other, in blocks of
+bounded size, and only links between components come out. So no component is
+missed, and a hot bucket of copies costs one comparison a
+class. With the default bands a pair at
 similarity 0.8 shares no bucket with probability (1 - 0.8**5)**32 = 3e-6.
 
 Defined cases. Null, empty or blank text: an empty set, linked with nothing,
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import frames, graph
-from .textops import U64, Words, _multipliers, long_lists, mix64, roll, sliced
+from .textops import U64, Words, _multipliers, gather, long_lists, mix64, roll, sliced
 
 
 @dataclass(frozen=True)
@@ -134,6 +134,39 @@ def compare(pairs: DataFrame, texts: DataFrame, how: Sketching) -> DataFrame:
     return joined.select("a", "b", overlap(how.words)("text_a", "text_b").alias("o")).select("a", "b", "o.shared", "o.whole")
 
 
+#: Classes that are compared with each other in one task.
+BLOCK = 500
+
+
+def _link_blocks(how: Sketching):
+    """Classes of one block, or of two, with components: component pairs that full sets link. No pairs of classes are written."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        left, right = table.column("left")[0].as_py(), table.column("right")[0].as_py()
+        block, root = table.column("block").to_numpy(), table.column("root").to_numpy()
+        flat, size = _sets(table.column("text").combine_chunks(), how.words)
+        index = np.unique(flat, return_inverse=True)[1]
+        start = np.cumsum(size) - size
+        mark = np.zeros(int(index.max()) + 1 if len(index) else 0, np.int32)
+        found: set[tuple[int, int]] = set()
+        for x in np.flatnonzero(block == left).tolist():
+            other = (root > root[x]) if left == right else (root != root[x])
+            y = np.flatnonzero((np.minimum(size, size[x]) * 100 >= np.maximum(size, size[x]) * how.percent) & (block == right) & other)
+            if not len(y):
+                continue
+            own = index[start[x] : start[x] + size[x]]
+            mark[own] = 1
+            shared = np.add.reduceat(mark[gather(index, start[y], size[y])], np.cumsum(size[y]) - size[y])
+            mark[own] = 0
+            hit = shared * 100 >= (size[x] + size[y] - shared) * how.percent
+            found.update((min(int(root[x]), r), max(int(root[x]), r)) for r in root[y[hit]].tolist())
+        a, b = ([p[k] for p in sorted(found)] for k in (0, 1))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, how: Sketching = Sketching()) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row."""
     spark = docs.sparkSession
@@ -157,19 +190,16 @@ def near_duplicates(docs: DataFrame, how: Sketching = Sketching()) -> DataFrame:
     first = frames.cut(compare(pairs, texts, how))
     labels = graph.components(first.filter(linked).select("a", "b"))
     labels = frames.cut(labels)
-    # second round: classes apart from their bucket's smallest, against the bucket's other classes
-    far = 1 - F.col("shared") / F.col("whole")
-    apart = rows.join(first.select("a", "b", far.alias("d"), linked.alias("linked")), ["a", "b"])
-    lonely = apart.filter(~F.col("linked")).select("band", F.col("b").alias("x"), F.col("d").alias("dx"))
-    other = apart.join(lonely.select("band").distinct(), "band", "left_semi").select("band", F.col("b").alias("y"), F.col("d").alias("dy"))
-    close = F.abs(F.col("dx") - F.col("dy")) <= 1 - how.percent / 100 + 1e-9
-    more = lonely.join(other, "band").filter((F.col("x") != F.col("y")) & close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    root = lambda c: labels.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
-    more = more.join(root("a"), "a", "left").join(root("b"), "b", "left")
-    more = more.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
-    second = frames.cut(compare(more, texts, how).filter(linked).select("a", "b"))
+    # second round: classes around one smallest class that are still in different components
+    root = labels.select(F.col("node").alias("b"), "root")
+    around = pairs.join(root, "b", "left").select("a", "b", F.coalesce("root", "b").alias("root"))
+    mixed = around.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("lo < hi").select("a", "blocks")
+    around = around.join(mixed, "a").withColumn("block", F.pmod(F.xxhash64("b"), "blocks").cast("int"))
+    around = around.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("left", F.least("block", "with")).withColumn("right", F.greatest("block", "with"))
+    around = around.drop("blocks", "with").join(texts.withColumnRenamed("id", "b"), "b")
+    second = frames.cut(around.groupBy("a", "left", "right").applyInArrow(_link_blocks(how), "a bigint, b bigint").distinct())
     if second.limit(1).count():
-        labels = graph.components(first.filter(linked).select("a", "b").union(second))
+        labels = graph.components(labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second))
     found = members.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
     component = F.coalesce("root", "class_id", "doc_id")
     return found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

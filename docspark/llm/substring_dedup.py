@@ -170,27 +170,31 @@ def _without(text: pa.Array, keep: np.ndarray) -> bytes:
 def parse(docs: DataFrame, how: Parsing = Parsing(), with_text: bool = False) -> DataFrame:
     """docs with the struct column ``parsed``: n_words, n_removed, factors, and the hash of the kept words or, with_text, the text that is left."""
     name = frames.free_name(docs, "parsed")
-    texts = docs.filter("doc_id is not null and text is not null").select("doc_id", F.col("text").cast("binary").alias("text"))
+    t, f, c = (frames.free_name(docs, x) for x in ("bytes_", "found_", "copy_of_"))
+    keyed = docs.filter("doc_id is not null").withColumn(t, F.col("text").cast("binary"))
+    texts = keyed.select("doc_id", F.col(t).alias("text"))
     # exact copies of whole texts, of which only the first is indexed
     prints = texts.select("doc_id", F.sha2("text", 256).alias("print"))
     first = prints.groupBy("print").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n")).filter("n > 1").drop("n")
     copies = frames.cut(prints.join(first, "print").filter("doc_id > copy_of").groupBy("doc_id").agg(F.min("copy_of").alias("copy_of")))
-    own = texts.join(copies.select("doc_id"), "doc_id", "left_anti")
-    anchors = own.mapInArrow(_anchor_rows(how), "anchor bigint, doc_id bigint")
+    anchors = texts.mapInArrow(_anchor_rows(how), "anchor bigint, doc_id bigint")
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("anchor", (F.col("n") >= how.hot).alias("hot"))
-    wanted = frames.cut(anchors.join(shared, "anchor").groupBy("doc_id", "hot").agg(F.collect_set("anchor").alias("anchors")))
+    wanted = anchors.join(shared, "anchor").groupBy("doc_id", "hot").agg(F.collect_set("anchor").alias("anchors"))
+    wanted = frames.cut(wanted.join(copies.select("doc_id"), "doc_id", "left_anti"))
+    # from here on one job: all its joins with the texts read one shuffle of them
     columns = "win bigint, doc_id bigint"
-    windows = lambda hot: own.join(wanted.filter(F.col("hot") == hot).drop("hot"), "doc_id").mapInArrow(_window_rows(how), columns)
+    windows = lambda hot: texts.join(wanted.filter(F.col("hot") == hot).drop("hot"), "doc_id").mapInArrow(_window_rows(how), columns)
     earlier = F.min("doc_id").over(Window.partitionBy("win"))
     cold = windows(False).withColumn("source", earlier).filter("source < doc_id")
     many = windows(True)
     index = many.groupBy("win").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("hi")).filter("source < hi").drop("hi")
     hot = many.join(index, "win").filter("source < doc_id").select("win", "doc_id", "source")
     found = cold.select("win", "doc_id", "source").union(hot)
-    by_doc = frames.cut(found.groupBy("doc_id").agg(F.collect_list(F.struct("win", "source")).alias("found")))
-    f, c = frames.free_name(docs, "found_"), frames.free_name(docs, "copy_of_")
-    joined = docs.join(by_doc.select("doc_id", F.col("found").alias(f)), "doc_id", "left").join(copies.select("doc_id", F.col("copy_of").alias(c)), "doc_id", "left")
-    return joined.select(*(frames.quoted(docs, x) for x in docs.columns), _parse(how, with_text)(docs.text.cast("binary"), F.col(f), F.col(c)).alias(name))
+    by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("win", "source")).alias(f))
+    joined = keyed.join(by_doc, "doc_id", "left").join(copies.select("doc_id", F.col("copy_of").alias(c)), "doc_id", "left")
+    nameless = docs.filter("doc_id is null").withColumn(t, F.col("text").cast("binary")).withColumn(f, F.lit(None).cast("array<struct<win: bigint, source: bigint>>")).withColumn(c, F.lit(None).cast("bigint"))
+    every = joined.select(*docs.columns, t, f, c).union(nameless.select(*docs.columns, t, f, c))
+    return every.select(*docs.columns, _parse(how, with_text)(F.col(t), F.col(f), F.col(c)).alias(name))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

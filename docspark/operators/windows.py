@@ -1 +1,109 @@
-"""To come."""
+"""Window functions: ranks, latest rows, rolling rates, latches."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..registry import query
+from ..sources.tables import Tables
+
+
+@query("W01_rank_in_list", "SELECT id, ROW_NUMBER() OVER (PARTITION BY source_format ORDER BY file_size_bytes DESC, id)-1 AS rank FROM v_corpus")
+def rank_in_list(t: Tables) -> DataFrame:
+    return t.corpus.select("id", (F.row_number().over(Window.partitionBy("source_format").orderBy(F.desc("file_size_bytes"), "id")) - 1).cast("long").alias("rank"))
+
+
+@query("W02_best_chunk_per_doc", "WITH s AS (SELECT doc_id, vec_id, ROUND(embedding[1],6) AS score FROM v_vectors) SELECT doc_id, ARG_MAX(vec_id,(score,-vec_id)) AS vec_id, MAX(score) AS score, MIN(vec_id) AS first_seen FROM s GROUP BY 1")
+def best_chunk(t: Tables) -> DataFrame:
+    s = t.vectors.select("doc_id", "vec_id", F.round(F.col("embedding")[0], 6).alias("score"))
+    return s.groupBy("doc_id").agg(F.max_by("vec_id", F.struct("score", -F.col("vec_id"))).alias("vec_id"), F.max("score").alias("score"), F.min("vec_id").alias("first_seen"))
+
+
+@query("W03_latest_per_key", "SELECT user_id, id FROM v_analysis_queue QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY enqueued_at DESC, id DESC) = 1")
+def latest_per_key(t: Tables) -> DataFrame:
+    newest = Window.partitionBy("user_id").orderBy(F.desc("enqueued_at"), F.desc("id"))
+    return t.analysis_queue.withColumn("rn", F.row_number().over(newest)).filter("rn = 1").select("user_id", "id")
+
+
+@query("W04_occurrence_number", "SELECT id, ROW_NUMBER() OVER (PARTITION BY content_hash ORDER BY source_path)-1 AS n FROM v_source_files")
+def occurrence_number(t: Tables) -> DataFrame:
+    return t.source_files.select("id", (F.row_number().over(Window.partitionBy("content_hash").orderBy("source_path")) - 1).cast("long").alias("n"))
+
+
+@query("W05_chunk_index", "SELECT id, CAST(UNNEST(RANGE(LEN(STRING_SPLIT(content,CHR(10))))) AS INT) AS chunk_index, UNNEST(STRING_SPLIT(content,CHR(10))) AS chunk FROM v_corpus")
+def chunk_index(t: Tables) -> DataFrame:
+    return t.corpus.select("id", F.posexplode(F.split("content", "\n")).alias("chunk_index", "chunk"))
+
+
+@query("W06_heading_path", """WITH s AS (SELECT history_id, segment_index, MOD(segment_index,3)+1 AS level, 'H'||segment_index AS title FROM v_transcript_segments)
+SELECT history_id, segment_index, CASE level WHEN 1 THEN title WHEN 2 THEN COALESCE(LAST_VALUE(CASE WHEN level = 1 THEN title END IGNORE NULLS) OVER w||' > ','')||title
+ELSE COALESCE(LAST_VALUE(CASE WHEN level = 1 THEN title END IGNORE NULLS) OVER w||' > ','')||COALESCE(LAST_VALUE(CASE WHEN level = 2 THEN title END IGNORE NULLS) OVER w||' > ','')||title END AS path
+FROM s WINDOW w AS (PARTITION BY history_id ORDER BY segment_index ROWS UNBOUNDED PRECEDING)""")
+def heading_path(t: Tables) -> DataFrame:
+    """The last title of each lower level, joined; levels follow each other from 1 to 3."""
+    s = t.transcript_segments.select("history_id", "segment_index", (F.col("segment_index") % 3 + 1).alias("level"), F.concat(F.lit("H"), F.col("segment_index").cast("string")).alias("title"))
+    before = Window.partitionBy("history_id").orderBy("segment_index").rowsBetween(Window.unboundedPreceding, 0)
+    above = lambda n: F.when(F.col("level") > n, F.last(F.when(F.col("level") == n, F.col("title")), ignorenulls=True).over(before))
+    return s.select("history_id", "segment_index", F.concat_ws(" > ", above(1), above(2), "title").alias("path"))
+
+
+@query("W07_rolling_rate", """SELECT id, CASE WHEN COUNT(*) OVER w >= 3 AND MAX(timestamp) OVER w > MIN(timestamp) OVER w THEN ROUND((COUNT(*) OVER w-1)/(EPOCH_US(MAX(timestamp) OVER w)-EPOCH_US(MIN(timestamp) OVER w))*1e6,9) END AS per_second FROM v_activity_events
+WINDOW w AS (PARTITION BY event_type ORDER BY timestamp, id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)""")
+def rolling_rate(t: Tables, last: int = 100, least: int = 3) -> DataFrame:
+    w = Window.partitionBy("event_type").orderBy("timestamp", "id").rowsBetween(1 - last, 0)
+    at = F.unix_micros(F.col("timestamp").cast("timestamp"))
+    span, n = F.max(at).over(w) - F.min(at).over(w), F.count("*").over(w)
+    return t.activity_events.select("id", F.when((n >= least) & (span > 0), F.round((n - 1) / span * 1e6, 9)).alias("per_second"))
+
+
+@query("W08_ewma", """WITH RECURSIVE s AS (SELECT event_type, id, duration_seconds AS x, ROW_NUMBER() OVER (PARTITION BY event_type ORDER BY timestamp, id) AS rn FROM v_activity_events QUALIFY rn <= 60), e AS (SELECT event_type, rn, x AS ewma FROM s WHERE rn = 1 UNION ALL SELECT s.event_type, s.rn, 0.3*s.x+0.7*e.ewma FROM e JOIN s ON s.event_type = e.event_type AND s.rn = e.rn+1)
+SELECT event_type, ROUND(ARG_MAX(ewma,rn),6) AS ewma FROM e GROUP BY 1""")
+def ewma(t: Tables, alpha: float = 0.3, first: int = 60) -> DataFrame:
+    """Exponential moving average of each operation's first observations, seeded with the first."""
+    w = Window.partitionBy("event_type").orderBy("timestamp", "id")
+    kept = t.activity_events.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= first)
+    xs = F.transform(F.array_sort(F.collect_list(F.struct("rn", "duration_seconds"))), lambda s: s.duration_seconds)
+    fold = F.aggregate(F.slice("xs", 2, first), F.col("xs")[0], lambda a, x: a * (1 - alpha) + x * alpha)
+    return kept.groupBy("event_type").agg(xs.alias("xs")).select("event_type", F.round(fold, 6).alias("ewma"))
+
+
+@query("W09_error_latch", """WITH s AS (SELECT id, user_id, timestamp, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS bad FROM v_activity_events), r AS (SELECT *, COUNT(*) OVER w AS n, AVG(bad) OVER w AS rate FROM s WINDOW w AS (PARTITION BY user_id%10 ORDER BY timestamp,id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW))
+SELECT id, MAX(CASE WHEN n >= 20 AND rate >= 0.25 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id%10 ORDER BY timestamp,id ROWS UNBOUNDED PRECEDING) AS latched FROM r""")
+def error_latch(t: Tables, last: int = 100, least: int = 20, rate: float = 0.25) -> DataFrame:
+    """1 from the first row on at which the rolling error rate reached its limit."""
+    key = (F.col("user_id") % 10).alias("shard")
+    s = t.activity_events.select("id", key, "timestamp", (F.col("event_type") == "error").cast("int").alias("bad"))
+    w = Window.partitionBy("shard").orderBy("timestamp", "id")
+    rolling = w.rowsBetween(1 - last, 0)
+    s = s.withColumn("hit", F.when((F.count("*").over(rolling) >= least) & (F.avg("bad").over(rolling) >= rate), 1).otherwise(0))
+    return s.select("id", F.max("hit").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("latched"))
+
+
+@query("W09b_consecutive_errors", """WITH s AS (SELECT id, user_id%10 AS shard, timestamp, event_type = 'error' AS bad FROM v_activity_events), i AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY shard ORDER BY timestamp,id)-ROW_NUMBER() OVER (PARTITION BY shard,bad ORDER BY timestamp,id) AS island FROM s)
+SELECT shard, MAX(n) AS longest FROM (SELECT shard, island, COUNT(*) AS n FROM i WHERE bad GROUP BY 1,2) GROUP BY 1""")
+def consecutive_errors(t: Tables) -> DataFrame:
+    """Longest run of errors, by gaps and islands."""
+    s = t.activity_events.select("id", (F.col("user_id") % 10).alias("shard"), "timestamp", (F.col("event_type") == "error").alias("bad"))
+    nth = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("timestamp", "id"))
+    islands = s.withColumn("island", nth("shard") - nth("shard", "bad")).filter("bad")
+    return islands.groupBy("shard", "island").agg(F.count("*").alias("n")).groupBy("shard").agg(F.max("n").alias("longest"))
+
+
+@query("W10_rolling_median", """SELECT id, ROUND(MEDIAN(duration_seconds) OVER (PARTITION BY user_id ORDER BY timestamp,id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW),6) AS med FROM v_activity_events""")
+def rolling_median(t: Tables, last: int = 100) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("timestamp", "id").rowsBetween(1 - last, 0)
+    return t.activity_events.select("id", F.round(F.percentile("duration_seconds", F.lit(0.5)).over(w), 6).alias("med"))
+
+
+@query("W12_changes_only", "SELECT id, event_type FROM v_activity_events QUALIFY LAG(event_type) OVER (PARTITION BY user_id ORDER BY timestamp,id) IS DISTINCT FROM event_type")
+def changes_only(t: Tables) -> DataFrame:
+    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("timestamp", "id"))
+    return t.activity_events.withColumn("before", before).filter(~F.col("before").eqNullSafe(F.col("event_type"))).select("id", "event_type")
+
+
+@query("W13_version_history", "SELECT id, source_file_id, ROW_NUMBER() OVER w AS version, file_size_bytes-LAG(file_size_bytes) OVER w AS grown FROM v_bulk_files WHERE status = 'converted' WINDOW w AS (PARTITION BY source_file_id ORDER BY converted_at, id)")
+def version_history(t: Tables) -> DataFrame:
+    w = Window.partitionBy("source_file_id").orderBy("converted_at", "id")
+    return t.bulk_files.filter("status = 'converted'").select("id", "source_file_id", F.row_number().over(w).cast("long").alias("version"), (F.col("file_size_bytes") - F.lag("file_size_bytes").over(w)).alias("grown"))

@@ -1 +1,133 @@
-"""To come."""
+"""Keyword, vector and hybrid search over the corpus."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..registry import query
+from ..sources.tables import Tables
+
+
+def cosine(a: Column, b: Column) -> Column:
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def postings(docs: DataFrame, id_: str, content: str) -> DataFrame:
+    """(token, id, tf): the inverted index of a text column, lower-cased runs of letters and digits."""
+    tokens = F.explode(F.split(F.lower(content), "[^a-z0-9]+")).alias("token")
+    return docs.select(id_, tokens).filter("token <> ''").groupBy("token", id_).agg(F.count("*").alias("tf"))
+
+
+_TOKENS = "tok AS (SELECT id, UNNEST(REGEXP_SPLIT_TO_ARRAY(LOWER(content),'[^a-z0-9]+')) AS token FROM v_corpus), post AS (SELECT token, id, COUNT(*) AS tf FROM tok WHERE token <> '' GROUP BY 1,2)"
+_HITS = f"{_TOKENS}, hits AS (SELECT id, COUNT(*) AS words, SUM(tf) AS tf FROM post WHERE token IN ('the','thing') GROUP BY 1)"
+TERMS = ("the", "thing")
+
+
+def hits(t: Tables, terms=TERMS) -> DataFrame:
+    """(id, words, tf): how many of the terms a document has and how often. Only the terms' tokens are aggregated."""
+    tokens = F.explode(F.split(F.lower("content"), "[^a-z0-9]+")).alias("token")
+    found = t.corpus.select("id", tokens).filter(F.col("token").isin(*terms))
+    return found.groupBy("id").agg(F.countDistinct("token").alias("words"), F.count("*").alias("tf"))
+
+
+@query("Q01_keyword_search", f"WITH {_HITS} SELECT h.id, words, tf, title FROM hits h JOIN v_corpus c ON c.id = h.id WHERE NOT is_flagged ORDER BY words DESC, tf DESC, h.id LIMIT 20")
+def keyword_search(t: Tables) -> DataFrame:
+    shown = t.corpus.filter("not is_flagged").select("id", "title")
+    return hits(t).join(shown, "id").orderBy(F.desc("words"), F.desc("tf"), "id").limit(20).select("id", "words", "tf", "title")
+
+
+@query("Q02_ranking_rules", f"WITH {_HITS} SELECT h.id, ROW_NUMBER() OVER (ORDER BY words DESC, CASE WHEN CONTAINS(LOWER(title),'the') THEN 0 ELSE 1 END, tf DESC, h.id)-1 AS rank FROM hits h JOIN v_corpus c ON c.id = h.id ORDER BY rank LIMIT 50")
+def ranking_rules(t: Tables) -> DataFrame:
+    """Lexicographic: terms matched, title before body, occurrences, id."""
+    order = [F.desc("words"), F.when(F.lower("title").contains("the"), 0).otherwise(1), F.desc("tf"), F.col("id")]
+    top = hits(t).join(t.corpus.select("id", "title"), "id").orderBy(*order).limit(50)
+    return top.select("id", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long").alias("rank"))
+
+
+@query("Q03_unified_search", "SELECT 'documents' AS source_index, COUNT(*) AS total FROM v_corpus WHERE CONTAINS(LOWER(content),'thing') UNION ALL SELECT 'transcripts', COUNT(*) FROM v_transcript_segments WHERE CONTAINS(LOWER(text),'thing') UNION ALL SELECT 'pages', COUNT(*) FROM pages WHERE CONTAINS(LOWER(html),'thing')")
+def unified_search(t: Tables, term: str = "thing") -> DataFrame:
+    one = lambda df, c, name: df.filter(F.lower(c).contains(term)).agg(F.count("*").alias("total")).select(F.lit(name).alias("source_index"), "total")
+    return one(t.corpus, "content", "documents").unionByName(one(t.transcript_segments, "text", "transcripts")).unionByName(one(t.raw("pages"), "html", "pages"))
+
+
+@query("Q04_vector_search", "WITH q AS (SELECT embedding AS e FROM v_vectors WHERE vec_id = 1), s AS (SELECT vec_id, doc_id, LIST_COSINE_SIMILARITY(embedding,(SELECT e FROM q)) AS s FROM v_vectors WHERE source_format = 'pdf') SELECT vec_id, doc_id, ROUND(s,6) AS score FROM s ORDER BY s DESC, vec_id LIMIT 15")
+def vector_search(t: Tables) -> DataFrame:
+    one = t.vectors.filter("vec_id = 1").select(F.col("embedding").alias("q"))
+    scored = t.vectors.filter("source_format = 'pdf'").join(F.broadcast(one)).withColumn("s", cosine(F.col("embedding"), F.col("q")))
+    return scored.orderBy(F.desc("s"), "vec_id").limit(15).select("vec_id", "doc_id", F.round("s", 6).alias("score"))
+
+
+@query("Q05_hybrid_fusion", f"""WITH {_HITS}, kw AS (SELECT id, ROW_NUMBER() OVER (ORDER BY words DESC, tf DESC, id)-1 AS kr FROM hits QUALIFY kr < 30), q AS (SELECT embedding AS e FROM v_vectors WHERE vec_id = 1),
+vs AS (SELECT doc_id, MAX(LIST_COSINE_SIMILARITY(embedding,(SELECT e FROM q))) AS s FROM v_vectors GROUP BY 1), vr AS (SELECT doc_id AS id, ROW_NUMBER() OVER (ORDER BY ROUND(s,9) DESC, doc_id)-1 AS vr FROM vs QUALIFY vr < 30)
+SELECT COALESCE(kw.id,vr.id) AS id, ROUND(COALESCE(1.0::DOUBLE/(61+kr),0)+COALESCE(1.0::DOUBLE/(61+vr),0),9) AS score, kr IS NULL AS vector_only FROM kw FULL JOIN vr ON kw.id = vr.id""")
+def hybrid_fusion(t: Tables, k: int = 60, n: int = 30) -> DataFrame:
+    """Reciprocal rank fusion of the keyword and the vector list; each document by its best chunk."""
+
+    def ranked(df: DataFrame, order: list, name: str) -> DataFrame:
+        top = df.orderBy(*order).limit(n)
+        return top.select("id", (F.row_number().over(Window.orderBy(*order)) - 1).alias(name))
+
+    kw = ranked(hits(t), [F.desc("words"), F.desc("tf"), F.col("id")], "kr")
+    one = t.vectors.filter("vec_id = 1").select(F.col("embedding").alias("q"))
+    best = t.vectors.join(F.broadcast(one)).groupBy(F.col("doc_id").alias("id")).agg(F.round(F.max(cosine(F.col("embedding"), F.col("q"))), 9).alias("s"))
+    vec = ranked(best, [F.desc("s"), F.col("id")], "vr")
+    part = lambda c: F.coalesce(1.0 / (k + 1 + F.col(c)), F.lit(0.0))
+    return kw.join(vec, "id", "full_outer").select("id", F.round(part("kr") + part("vr"), 9).alias("score"), F.col("kr").isNull().alias("vector_only"))
+
+
+@query("Q06_hybrid_gate", "SELECT item_id, CASE WHEN STARTS_WITH(text,'\"') THEN 'keyword' WHEN LEN(STRING_SPLIT(text,' ')) = 1 THEN 'keyword' ELSE 'hybrid' END AS mode, REGEXP_MATCHES(text,'(?i)\\b(latest|recent|newest|today|yesterday|last)\\b') AS temporal FROM benchmark")
+def hybrid_gate(t: Tables) -> DataFrame:
+    q = F.col("text")
+    mode = F.when(q.startswith('"') | (F.size(F.split(q, " ")) == 1), "keyword").otherwise("hybrid")
+    return t.raw("benchmark").select("item_id", mode.alias("mode"), q.rlike(r"(?i)\b(latest|recent|newest|today|yesterday|last)\b").alias("temporal"))
+
+
+@query("Q07_autocomplete", "SELECT title FROM (SELECT title, ROW_NUMBER() OVER (PARTITION BY LOWER(title) ORDER BY id) AS rn FROM v_corpus WHERE STARTS_WITH(LOWER(title),'th')) WHERE rn = 1 ORDER BY title LIMIT 10")
+def autocomplete(t: Tables, prefix: str = "th") -> DataFrame:
+    own = t.corpus.filter(F.lower("title").startswith(prefix)).withColumn("rn", F.row_number().over(Window.partitionBy(F.lower("title")).orderBy("id")))
+    return own.filter("rn = 1").select("title").orderBy("title").limit(10)
+
+
+@query("Q08_related_documents", "WITH q AS (SELECT embedding AS e FROM v_vectors WHERE vec_id = 3), s AS (SELECT doc_id, MAX(LIST_COSINE_SIMILARITY(embedding,(SELECT e FROM q))) AS s FROM v_vectors WHERE doc_id <> 1 GROUP BY 1) SELECT doc_id, ROUND(s,6) AS score FROM s ORDER BY ROUND(s,9) DESC, doc_id LIMIT 10")
+def related_documents(t: Tables) -> DataFrame:
+    one = t.vectors.filter("vec_id = 3").select(F.col("embedding").alias("q"))
+    best = t.vectors.filter("doc_id <> 1").join(F.broadcast(one)).groupBy("doc_id").agg(F.max(cosine(F.col("embedding"), F.col("q"))).alias("s"))
+    return best.orderBy(F.desc(F.round("s", 9)), "doc_id").limit(10).select("doc_id", F.round("s", 6).alias("score"))
+
+
+@query("Q09_budgeted_context", "WITH h AS (SELECT id, file_size_bytes//4 AS tokens FROM v_corpus WHERE CONTAINS(LOWER(content),'thing')), c AS (SELECT id, tokens, SUM(LEAST(tokens,500)) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING) AS running FROM (SELECT * FROM h ORDER BY id LIMIT 100)) SELECT id, CAST(running AS BIGINT) AS running FROM c WHERE running <= 8000")
+def budgeted_context(t: Tables, per_doc: int = 500, budget: int = 8000) -> DataFrame:
+    """Hits in order while their clipped token estimates fit a budget; a top-100 list is ranked, not the corpus."""
+    top = t.corpus.filter(F.lower("content").contains("thing")).orderBy("id").limit(100)
+    running = F.sum(F.least(F.expr("file_size_bytes div 4"), F.lit(per_doc))).over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
+    return top.select("id", running.cast("long").alias("running")).filter(F.col("running") <= budget)
+
+
+@query("Q10_help_snippet", "SELECT id, LIST_FILTER(STRING_SPLIT(content,CHR(10)), LAMBDA x: CONTAINS(LOWER(x),'thing') AND NOT STARTS_WITH(x,'#'))[1] AS snippet FROM v_corpus WHERE CONTAINS(LOWER(content),'thing')")
+def help_snippet(t: Tables, term: str = "thing") -> DataFrame:
+    lines = F.filter(F.split("content", "\n"), lambda x: F.lower(x).contains(term) & ~x.startswith("#"))
+    return t.corpus.filter(F.lower("content").contains(term)).select("id", F.get(lines, 0).alias("snippet"))
+
+
+@query("Q11_log_search", "SELECT id, event_type FROM v_activity_events WHERE event_type IN ('error','signup') AND REGEXP_MATCHES(metadata,'[0-4]') ORDER BY id DESC LIMIT 40")
+def log_search(t: Tables) -> DataFrame:
+    return t.activity_events.filter(F.col("event_type").isin("error", "signup") & F.col("metadata").rlike("[0-4]")).orderBy(F.desc("id")).limit(40).select("id", "event_type")
+
+
+@query("Q12_tool_listing", "SELECT id, title, lang FROM v_corpus WHERE source_format = 'src1' ORDER BY id LIMIT 25")
+def tool_listing(t: Tables) -> DataFrame:
+    return t.corpus.filter("source_format = 'src1'").orderBy("id").limit(25).select("id", "title", "lang")
+
+
+@query("Q13_browse", "SELECT id, title FROM v_corpus ORDER BY id LIMIT 50 OFFSET 50")
+def browse(t: Tables) -> DataFrame:
+    return t.corpus.orderBy("id").offset(50).limit(50).select("id", "title")
+
+
+@query("K19_postings", f"WITH {_TOKENS} SELECT token, COUNT(*) AS docs, SUM(tf) AS tf FROM post GROUP BY 1")
+def postings_table(t: Tables) -> DataFrame:
+    """The inverted index, summed by token."""
+    return postings(t.corpus, "id", "content").groupBy("token").agg(F.count("*").alias("docs"), F.sum("tf").alias("tf"))

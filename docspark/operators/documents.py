@@ -1 +1,338 @@
-"""To come."""
+"""Documents as elements: parsing plain text, HTML, Markdown, captions; chunks, diffs, renderers."""
+
+from __future__ import annotations
+
+import difflib
+import re
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import text as X
+from ..registry import query
+from ..sources.tables import Tables
+
+
+@query("S18_text_elements", """WITH p AS (SELECT id, CAST(UNNEST(RANGE(LEN(STRING_SPLIT(content,CHR(10))))) AS INT) AS pos, UNNEST(STRING_SPLIT(content,CHR(10))) AS body FROM v_corpus)
+SELECT id, pos, CASE WHEN LENGTH(body) <= 80 AND UPPER(body) = body AND REGEXP_MATCHES(body,'[A-Z]') THEN 'heading' ELSE 'paragraph' END AS kind, body FROM p WHERE TRIM(body) <> ''""")
+def text_elements(t: Tables) -> DataFrame:
+    """Lines of plain text as paragraphs, short capital ones as headings."""
+    rows = t.corpus.select("id", F.posexplode(F.split("content", "\n")).alias("pos", "body")).filter(F.trim("body") != "")
+    head = (F.length("body") <= 80) & (F.upper("body") == F.col("body")) & F.col("body").rlike("[A-Z]")
+    return rows.select("id", "pos", F.when(head, "heading").otherwise("paragraph").alias("kind"), "body")
+
+
+_BLOCKS = {"h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading", "p": "paragraph", "li": "list_item", "pre": "code_block", "blockquote": "blockquote", "td": "cell", "th": "cell", "title": "title"}
+
+
+class _Elements(HTMLParser):
+    """Text of block elements in order; text outside any block is a paragraph."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.rows, self.kind, self.level, self.held, self.skip = [], "paragraph", 0, [], 0
+
+    def flush(self):
+        body = re.sub(r"\s+", " ", "".join(self.held)).strip()
+        if body:
+            self.rows.append((self.kind, self.level, body))
+        self.held, self.kind, self.level = [], "paragraph", 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style"):
+            self.skip += 1
+        elif tag in _BLOCKS:
+            self.flush()
+            self.kind, self.level = _BLOCKS[tag], int(tag[1]) if tag[0] == "h" and tag[1:].isdigit() else 0
+        elif tag in ("hr", "img", "br"):
+            if tag != "br":
+                self.flush()
+                self.rows.append(("image" if tag == "img" else "hr", 0, dict(attrs).get("alt") or ""))
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style"):
+            self.skip = max(0, self.skip - 1)
+        elif tag in _BLOCKS or tag in ("div", "section", "table", "ul", "ol"):
+            self.flush()
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.held.append(data)
+
+
+def html_elements(html: str) -> list[tuple[str, int, str]]:
+    parser = _Elements()
+    parser.feed(html or "")
+    parser.close()
+    parser.flush()
+    return parser.rows
+
+
+def _exploded(df: DataFrame, id_: str, column: str, parse) -> DataFrame:
+    """(id, pos, kind, level, body) of all elements, parsed in Arrow batches."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(i, pos, *e) for i, body in zip(pdf[id_], pdf[column]) for pos, e in enumerate(parse(body))]
+            yield pd.DataFrame(rows, columns=[id_, "pos", "kind", "level", "body"])
+
+    return df.select(id_, column).mapInPandas(run, f"{id_} bigint, pos int, kind string, level int, body string")
+
+
+@query("S16_html_elements")
+def pages_as_elements(t: Tables) -> DataFrame:
+    return _exploded(t.raw("pages"), "page_id", "html", html_elements)
+
+
+def markdown_elements(markdown: str) -> list[tuple[str, int, str]]:
+    """Blocks of Markdown: headings, fences, quotes, list items, table rows, rules, paragraphs."""
+    rows: list[tuple[str, int, str]] = []
+    held: list[str] = []
+    fence = None
+
+    def flush():
+        if held:
+            rows.append(("paragraph", 0, " ".join(held)))
+            held.clear()
+
+    code: list[str] = []
+    for line in (markdown or "").split("\n"):
+        bare = line.strip()
+        if fence:
+            if bare.startswith(fence):
+                rows.append(("code_block", 0, "\n".join(code)))
+                fence = None
+            else:
+                code.append(line)
+        elif bare[:3] in ("```", "~~~"):
+            flush()
+            fence, code = bare[:3], []
+        elif not bare:
+            flush()
+        elif m := re.match(r"(#{1,6})\s+(.*)", bare):
+            flush()
+            rows.append(("heading", len(m[1]), m[2].rstrip("# ")))
+        elif re.fullmatch(r"([-*_])(\s*\1){2,}", bare):
+            flush()
+            rows.append(("hr", 0, ""))
+        elif m := re.match(r"(?:[-*+]|\d+[.)])\s+(.*)", bare):
+            flush()
+            rows.append(("list_item", (len(line) - len(line.lstrip())) // 2, m[1]))
+        elif bare[0] == ">":
+            flush()
+            rows.append(("blockquote", 0, bare.lstrip("> ")))
+        elif bare[0] == "|":
+            flush()
+            if not re.fullmatch(r"[|:\- ]+", bare):
+                rows.append(("table_row", 0, bare.strip("|")))
+        else:
+            held.append(bare)
+    flush()
+    if fence:
+        rows.append(("code_block", 0, "\n".join(code)))
+    return rows
+
+
+def _markdown(t: Tables) -> DataFrame:
+    return t.corpus.select("id", F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"), F.col("content"), F.lit("\n\n- one\n- two\n\n> said\n")).alias("markdown"))
+
+
+@query("S17_markdown_elements")
+def corpus_as_elements(t: Tables) -> DataFrame:
+    return _exploded(_markdown(t), "id", "markdown", markdown_elements)
+
+
+def captions_of(segments: DataFrame) -> DataFrame:
+    """(history_id, srt): the caption file of each transcript."""
+    line = F.concat_ws("\n", (F.col("segment_index") + 1).cast("string"), F.concat(X.caption_time(F.col("start_seconds"), ","), F.lit(" --> "), X.caption_time(F.col("end_seconds"), ",")), "text")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("segment_index", line.alias("line")))), lambda s: s.line)
+    return segments.groupBy("history_id").agg(F.array_join(parts, "\n\n").alias("srt"))
+
+
+def parsed_captions(files: DataFrame) -> DataFrame:
+    """Segments of caption files (SRT or VTT): one for each block with a time line."""
+    block = files.select("history_id", F.posexplode(F.split("srt", r"\n\n(?=\d+\n)")).alias("pos", "block"))
+    time = r"((?:\d+:)?\d+:\d+[.,]\d+)\s*-->\s*((?:\d+:)?\d+:\d+[.,]\d+)[^\n]*\n([\s\S]*)"
+    part = lambda n: F.regexp_extract("block", time, n)
+    return block.filter(F.col("block").rlike("-->")).select("history_id", F.col("pos").cast("long").alias("segment_index"), X.seconds_of(part(1)).alias("start_seconds"), X.seconds_of(part(2)).alias("end_seconds"), part(3).alias("text"))
+
+
+@query("S20_caption_round_trip", "SELECT history_id, ROW_NUMBER() OVER (PARTITION BY history_id ORDER BY segment_index)-1 AS segment_index, start_seconds, end_seconds, text FROM v_transcript_segments WHERE NOT CONTAINS(text,CHR(10)||CHR(10))")
+def caption_round_trip(t: Tables) -> DataFrame:
+    clean = t.transcript_segments.filter(~F.col("text").contains("\n\n"))
+    return parsed_captions(captions_of(clean))
+
+
+@query("K14_transcript_markdown", "SELECT history_id, STRING_AGG('**'||speaker||':** '||text, CHR(10)||CHR(10) ORDER BY segment_index) AS markdown FROM v_transcript_segments GROUP BY 1")
+def transcript_markdown(t: Tables) -> DataFrame:
+    line = F.concat(F.lit("**"), F.col("speaker"), F.lit(":** "), F.col("text"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("segment_index", line.alias("line")))), lambda s: s.line)
+    return t.transcript_segments.groupBy("history_id").agg(F.array_join(parts, "\n\n").alias("markdown"))
+
+
+def rendered(kind: Column, level: Column, body: Column) -> Column:
+    """An element as Markdown."""
+    return F.when(kind == "heading", F.concat(F.repeat(F.lit("#"), F.greatest(level, F.lit(1))), F.lit(" "), body)).when(kind == "list_item", F.concat(F.lit("- "), body)).when(kind == "blockquote", F.concat(F.lit("> "), body)).when(kind == "code_block", F.concat(F.lit("```\n"), body, F.lit("\n```"))).when(kind == "hr", F.lit("---")).otherwise(body)
+
+
+@query("K08_render_markdown")
+def render_markdown(t: Tables) -> DataFrame:
+    elements = _exploded(t.raw("pages"), "page_id", "html", html_elements)
+    line = rendered(F.col("kind"), F.col("level"), F.col("body"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda s: s.line)
+    return elements.groupBy("page_id").agg(F.array_join(parts, "\n\n").alias("markdown"))
+
+
+@query("K09_frontmatter_writer", "SELECT id, '---'||CHR(10)||'source: '||source_format||CHR(10)||'lang: '||lang||CHR(10)||'---'||CHR(10)||title AS markdown FROM v_corpus")
+def frontmatter_writer(t: Tables) -> DataFrame:
+    field = lambda name, c: F.concat(F.lit(f"{name}: "), F.col(c))
+    return t.corpus.select("id", F.concat_ws("\n", F.lit("---"), field("source", "source_format"), field("lang", "lang"), F.lit("---"), "title").alias("markdown"))
+
+
+@query("K11_text_writer", "SELECT id, UPPER(title)||CHR(10)||REPEAT('-',40)||CHR(10)||content AS plain FROM v_corpus WHERE lang = 'en'")
+def text_writer(t: Tables) -> DataFrame:
+    return t.corpus.filter("lang = 'en'").select("id", F.concat_ws("\n", F.upper("title"), F.repeat(F.lit("-"), 40), "content").alias("plain"))
+
+
+@query("K12_html_writer", "SELECT id, '<h1>'||REPLACE(REPLACE(REPLACE(title,'&','&amp;'),'<','&lt;'),'>','&gt;')||'</h1>' AS html FROM v_corpus")
+def html_writer(t: Tables) -> DataFrame:
+    escaped = F.col("title")
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        escaped = F.replace(escaped, F.lit(a), F.lit(b))
+    return t.corpus.select("id", F.concat(F.lit("<h1>"), escaped, F.lit("</h1>")).alias("html"))
+
+
+# Sizes of chunks in characters, and the separators to cut at, best first.
+LARGE, SMALL, OVERLAP = 1600, 200, 200
+SEPARATORS = ("\n\n", "\n", ". ", "! ", "? ", " ")
+
+
+def pieces(body: str) -> list[str]:
+    """Windows of at most LARGE characters that overlap by OVERLAP and end at the best separator."""
+    out, at = [], 0
+    while len(body) - at > LARGE:
+        window = body[at : at + LARGE]
+        ends = (window.rfind(s, OVERLAP) + len(s) for s in SEPARATORS if window.rfind(s, OVERLAP) >= 0)
+        end = at + next(ends, LARGE)
+        out.append(body[at:end].strip())
+        at = max(at + 1, end - OVERLAP)
+    out.append(body[at:].strip())
+    return [x for x in out if x]
+
+
+def sections(markdown: str) -> list[tuple[str, str]]:
+    """(heading path, text) of the parts below first- to third-level headings; neighbours that are both small are joined in pairs until none are."""
+    body = re.sub(r"\A---\s*\n.*?\n(?:---|\.\.\.)[ \t]*\n?", "", markdown or "", flags=re.S)
+    parts: list[tuple[str, str]] = []
+    path: dict[int, str] = {}
+    split = re.split(r"(?m)^(#{1,3})\s+(.+)$", body)
+    if split[0].strip():
+        parts.append(("", split[0].strip()))
+    for marks, title, rest in zip(split[1::3], split[2::3], split[3::3]):
+        path = {k: v for k, v in path.items() if k < len(marks)} | {len(marks): title.strip()}
+        if rest.strip():
+            parts.append((" > ".join(path[k] for k in sorted(path)), rest.strip()))
+    small = lambda p: len(p[1]) < SMALL
+    while any(small(a) and small(b) for a, b in zip(parts, parts[1:])):
+        joined, i = [], 0
+        while i < len(parts):
+            if i + 1 < len(parts) and small(parts[i]) and small(parts[i + 1]):
+                joined.append((parts[i][0], f"{parts[i][1]}\n\n{parts[i + 1][1]}"))
+                i += 2
+            else:
+                joined.append(parts[i])
+                i += 1
+        parts = joined
+    return parts
+
+
+def chunks(markdown: str, title: str) -> list[tuple[str, str]]:
+    """(heading path, text) of each chunk; the text opens with its document and section."""
+    out = []
+    for path, body in sections(markdown):
+        head = f"[Document: {title}]" + (f"\n[Section: {path}]" if path else "")
+        out += [(path, f"{head}\n\n{p}") for p in pieces(body)]
+    return out
+
+
+@query("D01_chunks")
+def chunk_corpus(t: Tables) -> DataFrame:
+    docs = t.corpus.select("id", "title", F.concat(F.lit("# "), F.col("source_format"), F.lit("\n"), F.col("content")).alias("markdown"))
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(i, n, path, body) for i, title, md in zip(pdf.id, pdf.title, pdf.markdown) for n, (path, body) in enumerate(chunks(md, title))]
+            yield pd.DataFrame(rows, columns=["id", "chunk_index", "heading_path", "text"])
+
+    return docs.mapInPandas(run, "id bigint, chunk_index int, heading_path string, text string")
+
+
+def changes(old: str, new: str) -> tuple[int, int, str]:
+    """Lines added, lines removed, and a unified diff of at most 1 MiB."""
+    lines = list(difflib.unified_diff((old or "").splitlines(), (new or "").splitlines(), lineterm="", n=3))
+    added = sum(x[0] == "+" for x in lines[2:])
+    removed = sum(x[0] == "-" for x in lines[2:])
+    return added, removed, "\n".join(lines)[: 1 << 20]
+
+
+@query("D02_diffs")
+def diffs(t: Tables) -> DataFrame:
+    """Each document against its text without lines that name a number."""
+    pairs = t.corpus.select("id", F.col("content").alias("old"), F.array_join(F.filter(F.split("content", "\n"), lambda x: ~x.rlike("[0-9]")), "\n").alias("new"))
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame([(i, *changes(a, b)) for i, a, b in zip(pdf.id, pdf.old, pdf.new)], columns=["id", "added", "removed", "patch"])
+
+    return pairs.mapInPandas(run, "id bigint, added int, removed int, patch string")
+
+
+@query("D04_search_documents", "SELECT c.id, SUBSTR(SHA256(CAST(c.id AS VARCHAR)),1,16) AS doc_key, title, SUBSTR(content,1,500) AS preview, is_flagged, COALESCE(n,0) AS segments FROM v_corpus c LEFT JOIN (SELECT history_id, COUNT(*) AS n FROM v_transcript_segments GROUP BY 1) s ON s.history_id = c.id")
+def search_documents(t: Tables) -> DataFrame:
+    extra = t.transcript_segments.groupBy(F.col("history_id").alias("id")).agg(F.count("*").alias("n"))
+    return t.corpus.join(extra, "id", "left").select("id", X.short_hash(F.col("id").cast("string")).alias("doc_key"), "title", F.substring("content", 1, 500).alias("preview"), "is_flagged", F.coalesce("n", F.lit(0)).alias("segments"))
+
+
+@query("D05_transcript_documents", "SELECT history_id, STRING_AGG(text,CHR(10) ORDER BY segment_index) AS content, MAX(end_seconds) AS duration, COUNT(DISTINCT speaker) AS speakers FROM v_transcript_segments GROUP BY 1")
+def transcript_documents(t: Tables) -> DataFrame:
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("segment_index", "text"))), lambda s: s.text)
+    return t.transcript_segments.groupBy("history_id").agg(F.array_join(parts, "\n").alias("content"), F.max("end_seconds").alias("duration"), F.countDistinct("speaker").alias("speakers"))
+
+
+@query("D07_element_counts")
+def element_counts(t: Tables) -> DataFrame:
+    return _exploded(t.raw("pages"), "page_id", "html", html_elements).groupBy("page_id", "kind").agg(F.count("*").alias("n"))
+
+
+@query("D08_database_summary", "SELECT 'orders' AS table_name, COUNT(*) AS n_rows, 6 AS n_columns FROM orders UNION ALL SELECT 'lineitem', COUNT(*), 11 FROM lineitem UNION ALL SELECT 'events', COUNT(*), 6 FROM events")
+def database_summary(t: Tables) -> DataFrame:
+    out = None
+    for name in ("orders", "lineitem", "events"):
+        df = t.raw(name)
+        one = df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows", F.lit(len(df.columns)).alias("n_columns"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("D09_path_safety", """WITH p AS (SELECT id, '/o/'||dir_id||file_ext AS out, source_path FROM v_source_files), c AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY LOWER(out) ORDER BY source_path) AS rn FROM p)
+SELECT id, CASE WHEN LENGTH(out) > 240 THEN NULL WHEN rn = 1 THEN out ELSE REGEXP_REPLACE(out,'(\\.[^.]+)$','_'||rn||'\\1') END AS resolved, CASE WHEN LENGTH(out) > 240 THEN 'skip' WHEN rn = 1 THEN 'ok' ELSE 'rename' END AS action FROM c""")
+def path_safety(t: Tables, longest: int = 240) -> DataFrame:
+    """Output paths with clashes in any case of letters numbered, too long ones skipped."""
+    p = t.source_files.select("id", "source_path", F.concat(F.lit("/o/"), F.col("dir_id").cast("string"), F.col("file_ext")).alias("out"))
+    p = p.withColumn("rn", F.row_number().over(Window.partitionBy(F.lower("out")).orderBy("source_path")))
+    long = F.length("out") > longest
+    renamed = F.concat(F.regexp_replace("out", r"\.[^.]+$", ""), F.lit("_"), F.col("rn").cast("string"), F.regexp_extract("out", r"\.[^.]+$", 0))
+    return p.select("id", F.when(long, None).when(F.col("rn") == 1, F.col("out")).otherwise(renamed).alias("resolved"), F.when(long, "skip").when(F.col("rn") == 1, "ok").otherwise("rename").alias("action"))
+
+
+@query("D10_budgeted_read", "SELECT id, SUBSTR(content,1,1000) AS body, LENGTH(content) > 1000 AS cut FROM v_corpus")
+def budgeted_read(t: Tables, most: int = 1000) -> DataFrame:
+    return t.corpus.select("id", F.substring("content", 1, most).alias("body"), (F.length("content") > most).alias("cut"))
+
+
+@query("D11_summary_card", "SELECT id, title, lang, source_format, LENGTH(content) AS chars, LENGTH(content)-LENGTH(REPLACE(content,CHR(10),''))+1 AS lines FROM v_corpus")
+def summary_card(t: Tables) -> DataFrame:
+    return t.corpus.select("id", "title", "lang", "source_format", F.length("content").alias("chars"), F.size(F.split("content", "\n")).alias("lines"))

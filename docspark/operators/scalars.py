@@ -1 +1,229 @@
-"""To come."""
+"""Scalar functions as column expressions (docspark.functions.text), applied to the corpus."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..registry import query
+from ..sources.tables import Tables
+
+
+@query("F01_normalize_filename")
+def normalize_filename(t: Tables) -> DataFrame:
+    name = F.concat(F.lit("My_"), F.initcap("source_format"), F.lit("Report-"), F.col("id").cast("string"), F.lit(".final.pdf"))
+    return t.corpus.select("id", X.normalized_filename(name).alias("normalized"))
+
+
+@query("F02_doc_id", "SELECT id, SUBSTR(SHA256(source_path),1,16) AS doc_key FROM v_source_files")
+def doc_id(t: Tables) -> DataFrame:
+    return t.source_files.select("id", X.short_hash(F.col("source_path")).alias("doc_key"))
+
+
+@query("F03_content_hash", "SELECT id, SUBSTR(SHA256(LOWER(TRIM(REGEXP_REPLACE(content,'[ \\t\\n\\r\\f\\v]+',' ','g')))),1,16) AS content_hash FROM v_corpus WHERE lang = 'en'")
+def content_hash(t: Tables) -> DataFrame:
+    return t.corpus.filter("lang = 'en'").select("id", X.content_hash(F.col("content")).alias("content_hash"))
+
+
+@query("F04_file_hash", "SELECT id, SHA256(content) AS file_hash FROM v_corpus")
+def file_hash(t: Tables) -> DataFrame:
+    return t.corpus.select("id", F.sha2("content", 256).alias("file_hash"))
+
+
+@query("F05_point_id", "SELECT vec_id, SUBSTR(SHA256(doc_id||':'||MOD(vec_id,3)),1,16) AS point_id FROM v_vectors")
+def point_id(t: Tables) -> DataFrame:
+    """The first 64 bits of a chunk's hash, as 16 hex digits: an unsigned number doesn't fit a long."""
+    return t.vectors.select("vec_id", X.short_hash(F.concat_ws(":", F.col("doc_id").cast("string"), (F.col("vec_id") % 3).cast("string"))).alias("point_id"))
+
+
+@query("F06_headings", "SELECT id, ARRAY_TO_STRING(REGEXP_EXTRACT_ALL('# '||title||CHR(10)||content||CHR(10)||'## End','(?m)^#{1,3}[ ]+(.+)$',1),'|') AS headings FROM v_corpus")
+def headings(t: Tables) -> DataFrame:
+    markdown = F.concat(F.lit("# "), F.col("title"), F.lit("\n"), F.col("content"), F.lit("\n## End"))
+    return t.corpus.select("id", F.array_join(X.headings(markdown), "|").alias("headings"))
+
+
+@query("F07_strip_for_index", "SELECT id, REGEXP_REPLACE(REGEXP_REPLACE('---'||CHR(10)||'a: 1'||CHR(10)||'---'||CHR(10)||'![x](y) `code` '||title,'^---\\n(?s:.*?)\\n---\\n',''),'!\\[[^\\]]*\\]\\([^)]*\\)|`[^`]*`','','g') AS stripped FROM v_corpus")
+def strip_for_index(t: Tables) -> DataFrame:
+    return t.corpus.select("id", X.stripped(F.concat(F.lit("---\na: 1\n---\n![x](y) `code` "), F.col("title"))).alias("stripped"))
+
+
+@query("F08_frontmatter", "SELECT id, title AS body, 'src' AS kind FROM v_corpus")
+def frontmatter(t: Tables) -> DataFrame:
+    text = F.concat(F.lit("---\nkind: src\n---\n"), F.col("title"))
+    return t.corpus.select("id", X.without_frontmatter(text).alias("body"), X.frontmatter_value(text, "kind").alias("kind"))
+
+
+@query("F09_title_fallback", "SELECT id, COALESCE(NULLIF(TRIM(SUBSTR(title,1,10)),''),source_format) AS title FROM v_corpus")
+def title_fallback(t: Tables) -> DataFrame:
+    return t.corpus.select("id", F.coalesce(F.nullif(F.trim(F.substring("title", 1, 10)), F.lit("")), F.col("source_format")).alias("title"))
+
+
+@query("F10_visual_lines", "SELECT id, ARRAY_TO_STRING(LIST_FILTER(STRING_SPLIT('*Visual: '||title||CHR(10)||content,CHR(10)), LAMBDA x: STARTS_WITH(x,'*Visual:')),'|') AS frames FROM v_corpus")
+def visual_lines(t: Tables) -> DataFrame:
+    lines = F.split(F.concat(F.lit("*Visual: "), F.col("title"), F.lit("\n"), F.col("content")), "\n")
+    return t.corpus.select("id", F.array_join(F.filter(lines, lambda x: x.startswith("*Visual:")), "|").alias("frames"))
+
+
+@query("F11_highlight", "SELECT id, REGEXP_REPLACE(SUBSTR(content,1,300),'(?i)(the)','<em>\\1</em>','g') AS highlighted, SUBSTR(content,1,500) AS preview FROM v_corpus")
+def highlight(t: Tables) -> DataFrame:
+    return t.corpus.select("id", X.highlighted(F.substring("content", 1, 300), "the").alias("highlighted"), F.substring("content", 1, 500).alias("preview"))
+
+
+@query("F12_query_preprocess", "SELECT item_id, TRIM(REGEXP_REPLACE(REGEXP_REPLACE('what are the '||SUBSTR(text,1,30),'(?i)^(?:(?:what|where|when|who|how|why)(?:[ ]+(?:is|are|was|were|do|does|can|should|to))?(?:[ ]+i)?(?:[ ]+the)?|(?:find|show|give|get|tell)[ ]+me(?:[ ]+about)?(?:[ ]+the)?|search[ ]+for(?:[ ]+the)?|look[ ]+up(?:[ ]+the)?|i[ ]+(?:need|want)(?:[ ]+to)?(?:[ ]+know)?(?:[ ]+about)?(?:[ ]+the)?|can[ ]+you[ ]+(?:find|show|tell)(?:[ ]+me)?(?:[ ]+about)?(?:[ ]+the)?)\\b[ ]*',''),'[ \\n\\t]+',' ','g')) AS normalized FROM benchmark")
+def query_preprocess(t: Tables) -> DataFrame:
+    return t.raw("benchmark").select("item_id", X.preprocessed_query(F.concat(F.lit("what are the "), F.substring("text", 1, 30))).alias("normalized"))
+
+
+@query("F13_keyword_confidence", "SELECT item_id, CASE WHEN LEN(STRING_SPLIT(text,' ')) = 1 THEN 'keyword' ELSE 'unsure' END AS confidence FROM benchmark")
+def keyword_confidence(t: Tables) -> DataFrame:
+    return t.raw("benchmark").select("item_id", F.when(F.size(F.split("text", " ")) == 1, "keyword").otherwise("unsure").alias("confidence"))
+
+
+@query("F14_truncate_at_break", """SELECT id, CASE WHEN LENGTH(content) <= 400 THEN content WHEN LENGTH(head) = POSITION(CHR(10) IN REVERSE(head))-1 OR POSITION(CHR(10) IN REVERSE(head)) = 0 OR 400-POSITION(CHR(10) IN REVERSE(head)) <= 200 THEN head ELSE SUBSTR(head,1,400-POSITION(CHR(10) IN REVERSE(head))) END AS clipped FROM (SELECT *, SUBSTR(content,1,400) AS head FROM v_corpus)""")
+def truncate_at_break(t: Tables) -> DataFrame:
+    return t.corpus.select("id", X.truncated(F.col("content"), 400).alias("clipped"))
+
+
+@query("F15_token_estimate", "SELECT id, CAST(LENGTH(content)//4 AS BIGINT) AS tokens FROM v_corpus")
+def token_estimate(t: Tables) -> DataFrame:
+    return t.corpus.select("id", F.expr("length(content) div 4").alias("tokens"))
+
+
+@query("F16_text_quality", "SELECT id, ROUND(LENGTH(REGEXP_REPLACE(content,'[^\\x{0250}-\\x{FFFF}]','','g'))/GREATEST(LENGTH(REGEXP_REPLACE(content,'[^\\pL]','','g')),1)::DOUBLE,6) AS odd_share FROM v_corpus")
+def text_quality(t: Tables) -> DataFrame:
+    odd, letters = F.length(F.regexp_replace("content", r"[^\x{0250}-\x{FFFF}]", "")), F.length(F.regexp_replace("content", r"[^\p{L}]", ""))
+    return t.corpus.select("id", F.round(odd / F.greatest(letters, F.lit(1)), 6).alias("odd_share"))
+
+
+@query("F17_glyph_garbage", "SELECT id, LENGTH(REPLACE(SUBSTR(content,1,50),SUBSTR(content,1,1),'')) = 0 AS garbage FROM v_corpus")
+def glyph_garbage(t: Tables) -> DataFrame:
+    head = F.substring("content", 1, 50)
+    return t.corpus.select("id", (F.length(F.replace(head, F.substring("content", 1, 1), F.lit(""))) == 0).alias("garbage"))
+
+
+@query("F19_redact_secrets", "SELECT id, CASE WHEN REGEXP_MATCHES(event_type,'(?i)(error|signup)') THEN '[REDACTED, '||LENGTH(metadata)||' chars]' ELSE metadata END AS shown FROM v_activity_events")
+def redact(t: Tables) -> DataFrame:
+    return t.activity_events.select("id", X.redacted(F.col("event_type"), F.col("metadata"), "(?i)(error|signup)").alias("shown"))
+
+
+@query("F20_human_size", "SELECT id, CASE WHEN file_size_bytes < 1024 THEN file_size_bytes||' B' WHEN file_size_bytes < 1048576 THEN PRINTF('%.1f KB',ROUND(file_size_bytes/1024.0::DOUBLE,1)) ELSE PRINTF('%.1f MB',ROUND(file_size_bytes/1048576.0::DOUBLE,1)) END AS size FROM v_source_files")
+def human_size(t: Tables) -> DataFrame:
+    return t.source_files.select("id", X.human_size(F.col("file_size_bytes")).alias("size"))
+
+
+@query("F21_timestamps", "SELECT history_id, segment_index, PRINTF('%02d:%02d:%02d',CAST(s//3600 AS INT),CAST(s%3600//60 AS INT),CAST(s%60 AS INT)) AS clock, PRINTF('%02d:%02d:%02d,%03d',CAST(s//3600 AS INT),CAST(s%3600//60 AS INT),CAST(s%60 AS INT),250) AS srt FROM (SELECT *, CAST(start_seconds AS BIGINT) AS s FROM v_transcript_segments)")
+def timestamps(t: Tables) -> DataFrame:
+    s = F.col("start_seconds")
+    return t.transcript_segments.select("history_id", "segment_index", X.clock(s).alias("clock"), X.caption_time(s + 0.25, ",").alias("srt"))
+
+
+@query("F22_eta_text", "SELECT id, CASE WHEN duration_ms < 1000 THEN 'finishing...' WHEN duration_ms < 60000 THEN '~'||duration_ms//1000||'s remaining' ELSE PRINTF('~%dm %02ds remaining',duration_ms//60000,duration_ms%60000//1000) END AS eta FROM v_conversion_history")
+def eta_text(t: Tables) -> DataFrame:
+    return t.conversion_history.select("id", X.eta_text(F.expr("duration_ms div 1000")).alias("eta"))
+
+
+@query("F23_caption_seconds", "SELECT history_id, segment_index, start_seconds+0.25 AS seconds FROM v_transcript_segments")
+def caption_seconds(t: Tables) -> DataFrame:
+    return t.transcript_segments.select("history_id", "segment_index", X.seconds_of(X.caption_time(F.col("start_seconds") + 0.25, ".")).alias("seconds"))
+
+
+@query("F24_strip_tags", "SELECT page_id, REGEXP_REPLACE(html,'<[^>]+>','','g') AS plain FROM pages")
+def strip_tags(t: Tables) -> DataFrame:
+    return t.raw("pages").select("page_id", F.regexp_replace("html", "<[^>]+>", "").alias("plain"))
+
+
+@query("F25_strip_markdown", "SELECT id, TRIM(REGEXP_REPLACE('## **'||title||'**','^#+ *|[*_`]+','','g')) AS plain FROM v_corpus")
+def strip_markdown(t: Tables) -> DataFrame:
+    return t.corpus.select("id", F.trim(F.regexp_replace(F.concat(F.lit("## **"), F.col("title"), F.lit("**")), "^#+ *|[*_`]+", "")).alias("plain"))
+
+
+@query("F26_escape_pipes", "SELECT id, REPLACE(REPLACE(title,'|','\\|'),CHR(10),' ') AS cell FROM v_corpus")
+def escape_pipes(t: Tables) -> DataFrame:
+    return t.corpus.select("id", X.cell(F.col("title")).alias("cell"))
+
+
+@query("F28_output_path", "SELECT id, '/out'||REGEXP_REPLACE(source_path,'\\.[^./]+$','.md') AS output_path, LENGTH(source_path) <= 240 AS fits FROM v_source_files")
+def output_path(t: Tables) -> DataFrame:
+    return t.source_files.select("id", F.concat(F.lit("/out"), F.regexp_replace("source_path", r"\.[^./]+$", ".md")).alias("output_path"), (F.length("source_path") <= 240).alias("fits"))
+
+
+@query("F29_slug", "SELECT id, TRIM(REGEXP_REPLACE(LOWER(REPLACE(title,' ','-')),'[^a-z0-9-]','','g'),'-') AS slug FROM v_corpus WHERE lang = 'en'")
+def slug(t: Tables) -> DataFrame:
+    return t.corpus.filter("lang = 'en'").select("id", X.slug(F.col("title")).alias("slug"))
+
+
+@query("F31_billing_cycle", "SELECT id, CAST(CASE WHEN DAY(timestamp) >= 15 THEN DATE_TRUNC('month',timestamp)+INTERVAL 14 DAYS ELSE DATE_TRUNC('month',timestamp)-INTERVAL 1 MONTH+INTERVAL 14 DAYS END AS DATE) AS cycle_start FROM v_activity_events")
+def billing_cycle(t: Tables, day: int = 15) -> DataFrame:
+    return t.activity_events.select("id", X.cycle_start(F.col("timestamp"), day).alias("cycle_start"))
+
+
+@query("F32_business_hours", "SELECT id, ISODOW(timestamp) <= 5 AND HOUR(timestamp) BETWEEN 6 AND 17 AS busy FROM v_activity_events")
+def business_hours(t: Tables) -> DataFrame:
+    at = F.col("timestamp")
+    return t.activity_events.select("id", ((F.weekday(at) < 5) & F.hour(at).between(6, 17)).alias("busy"))
+
+
+@query("F33_worker_decision", "SELECT seq, CASE WHEN cpu > 80 THEN 1 ELSE GREATEST(1,LEAST(8,CAST(FLOOR((100-cpu)/12.5) AS INT))) END AS workers FROM v_system_metrics")
+def worker_decision(t: Tables) -> DataFrame:
+    return t.system_metrics.select("seq", F.when(F.col("cpu") > 80, 1).otherwise(F.greatest(F.lit(1), F.least(F.lit(8), F.floor((100 - F.col("cpu")) / 12.5).cast("int")))).alias("workers"))
+
+
+@query("F34_blended_rate", "SELECT provider_id, model, ROUND((input_rate+output_rate)/2,6) AS blended FROM v_rates")
+def blended_rate(t: Tables) -> DataFrame:
+    return t.rates.select("provider_id", "model", F.round((F.col("input_rate") + F.col("output_rate")) / 2, 6).alias("blended"))
+
+
+@query("F35_time_parts", "SELECT id, CAST(HOUR(timestamp) AS INT) AS hour, STRFTIME(timestamp,'%Y-%m-%d %H:00') AS bucket, timestamp >= (SELECT MAX(timestamp) FROM v_activity_events)-INTERVAL 24 HOURS AS recent FROM v_activity_events")
+def time_parts(t: Tables) -> DataFrame:
+    now = t.activity_events.agg(F.max("timestamp").alias("now"))
+    at = F.col("timestamp")
+    return t.activity_events.join(F.broadcast(now)).select("id", F.hour(at).alias("hour"), F.date_format(at, "yyyy-MM-dd HH:00").alias("bucket"), (at >= F.col("now") - F.expr("INTERVAL 24 HOURS")).alias("recent"))
+
+
+@query("F36_staleness", "SELECT id, DATE_DIFF('day',CAST(source_mtime AS DATE),(SELECT CAST(MAX(source_mtime) AS DATE) FROM v_source_files)) > 90 AS stale FROM v_source_files")
+def staleness(t: Tables, days: int = 90) -> DataFrame:
+    now = t.source_files.agg(F.max("source_mtime").alias("now"))
+    return t.source_files.join(F.broadcast(now)).select("id", (F.datediff("now", "source_mtime") > days).alias("stale"))
+
+
+@query("F37_cosine", "SELECT a.doc_id, ROUND(LIST_COSINE_SIMILARITY(a.embedding,b.embedding),6) AS cos FROM v_vectors a JOIN v_vectors b ON a.doc_id = b.doc_id AND MOD(a.vec_id,3) = 0 AND MOD(b.vec_id,3) = 1")
+def cosine_of_neighbours(t: Tables) -> DataFrame:
+    from .search import cosine
+
+    a = t.vectors.filter("vec_id % 3 = 0").select("doc_id", F.col("embedding").alias("a"))
+    b = t.vectors.filter("vec_id % 3 = 1").select("doc_id", F.col("embedding").alias("b"))
+    return a.join(b, "doc_id").select("doc_id", F.round(cosine(F.col("a"), F.col("b")), 6).alias("cos"))
+
+
+@query("F38_eta_confidence", "SELECT event_type, CASE WHEN COUNT(*) >= 50 THEN 'high' WHEN COUNT(*) >= 10 THEN 'medium' ELSE 'low' END AS confidence FROM v_activity_events GROUP BY 1")
+def eta_confidence(t: Tables) -> DataFrame:
+    n = F.count("*")
+    return t.activity_events.groupBy("event_type").agg(F.when(n >= 50, "high").when(n >= 10, "medium").otherwise("low").alias("confidence"))
+
+
+@query("F39_media_type", "SELECT id, CASE WHEN file_ext = '.png' THEN 'image' WHEN file_ext IN ('.mp4','.mov') THEN 'video' ELSE 'other' END AS media_type FROM v_source_files")
+def media_type(t: Tables) -> DataFrame:
+    e = F.lower("file_ext")
+    return t.source_files.select("id", F.when(e.isin(".png", ".jpg"), "image").when(e.isin(".mp4", ".mov"), "video").otherwise("other").alias("media_type"))
+
+
+@query("F40_mask", "SELECT id, CASE WHEN LENGTH(content_hash) <= 3 THEN REPEAT('*',LENGTH(content_hash)) ELSE REPEAT('*',LENGTH(content_hash)-2)||RIGHT(content_hash,2) END AS masked FROM v_source_files")
+def masked(t: Tables) -> DataFrame:
+    return t.source_files.select("id", X.masked(F.col("content_hash"), 2, 3).alias("masked"))
+
+
+@query("F41_log_levels", "SELECT id, CASE event_type WHEN 'error' THEN 40 WHEN 'signup' THEN 30 ELSE 20 END AS level FROM v_activity_events")
+def log_levels(t: Tables) -> DataFrame:
+    k = F.col("event_type")
+    return t.activity_events.select("id", F.when(k == "error", 40).when(k == "signup", 30).otherwise(20).alias("level"))
+
+
+@query("F42_magic_bytes", "SELECT id, CASE WHEN STARTS_WITH(content,'%PDF') THEN 'application/pdf' WHEN STARTS_WITH(content,'T') THEN 'text/t' ELSE 'text/plain' END AS mime FROM v_corpus")
+def magic_bytes(t: Tables) -> DataFrame:
+    return t.corpus.select("id", X.mime_of(F.col("content").cast("binary"), {b"%PDF": "application/pdf", b"T": "text/t"}, "text/plain").alias("mime"))
+
+
+@query("F43_archive_safety", "SELECT job_id, COUNT(*) > 700 AS too_many, SUM(file_size_bytes) > 20000000 AS too_large FROM v_bulk_files GROUP BY 1")
+def archive_safety(t: Tables, entries: int = 700, size: int = 20_000_000) -> DataFrame:
+    return t.bulk_files.groupBy("job_id").agg((F.count("*") > entries).alias("too_many"), (F.sum("file_size_bytes") > size).alias("too_large"))

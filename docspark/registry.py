@@ -50,11 +50,3 @@ def query(name: str, sql: str | None = None):
 
     return register
 
-
-def _load() -> None:
-    from .operators import aggregates, documents, extras, joins, lifecycle, predicates, scalars, search, sets, sorting, windows  # noqa: F401
-    from .sources import files  # noqa: F401
-    from .streaming import monitors  # noqa: F401
-
-
-_load()

@@ -195,7 +195,8 @@ def jensen_shannon(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance of two arrays of shares; 1 where one is missing."""
     term = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
     halves = F.zip_with(p, q, lambda x, y: term(x, (x + y) / 2) + term(y, (x + y) / 2))
-    return F.coalesce(F.sqrt(F.greatest(F.aggregate(halves, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0))), F.lit(1.0))
+    distance = F.sqrt(F.greatest(F.aggregate(halves, F.lit(0.0), lambda a, x: a + x) / 2, F.lit(0.0)))
+    return F.when(p.isNull() | q.isNull(), 1.0).otherwise(distance)
 
 
 def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:

@@ -1,0 +1 @@
+"""Looking at physical plans."""

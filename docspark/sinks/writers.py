@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def export_csv(df: DataFrame, folder: str) -> None:
     """A delimited export with a header; quotes doubled as spreadsheet programs expect."""
-    df.write.mode("overwrite").option("header", True).option("quoteAll", False).option("escape", '"').csv(folder)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
 
 
 def export_json(df: DataFrame, folder: str) -> None:

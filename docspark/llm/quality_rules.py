@@ -155,20 +155,21 @@ def document_features(text: pa.Array) -> pa.Array:
 
 def _partial_sums(batches):
     """Sums of the histograms' shares by language, a few rows for each batch."""
-    import pandas as pd
-
     for batch in batches:
-        lang, sums = batch.column(0).to_pandas(), []
+        lang = batch.column(0).dictionary_encode()
+        langs = [*lang.dictionary.to_pylist(), None]
+        code = lang.indices.fill_null(len(langs) - 1).to_numpy(zero_copy_only=False)
+        sums, seen = np.zeros((len(langs), len(CLASSES) + N_COMMON)), np.zeros(len(langs), bool)
         for part, start in _with_start(batch.column(1)):
             by_class, common = histograms(Words(part))
             both = np.hstack([x / np.maximum(x.sum(1, keepdims=True), 1) for x in (by_class, common)])
-            full = both[:, : len(CLASSES)].sum(1) > 0
-            frame = pd.DataFrame(both[full]).assign(lang=lang.iloc[start : start + len(part)].to_numpy()[full])
-            sums.append(frame.groupby("lang", dropna=False).sum())
-        if sums:
-            total = pd.concat(sums).groupby(level=0, dropna=False).sum()
-            langs = [None if x is None or x != x else x for x in total.index]
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(list(total.to_numpy()), pa.list_(pa.float64()))], names=["lang", "sums"])
+            full = by_class.sum(1) > 0
+            own = code[start : start + len(part)][full]
+            np.add.at(sums, own, both[full])
+            seen[own] = True
+        some = np.flatnonzero(seen)
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array([langs[k] for k in some], pa.string()), pa.array(list(sums[some]), pa.list_(pa.float64()))], names=["lang", "sums"])
 
 
 def _with_start(column: pa.Array):

@@ -239,11 +239,11 @@ LEFT JOIN v_rates w ON w.provider_id = q.provider_id AND w.model = '*')"""
 
 
 @query("A20_batch_cost", f"""WITH {_PRICED}, filled AS (SELECT batch_id, input_rate, output_rate, COALESCE(tokens_used, AVG(tokens_used) OVER (PARTITION BY batch_id)) AS tokens, tokens_used IS NULL AS guessed FROM priced WHERE batch_id IS NOT NULL)
-SELECT batch_id, COUNT(*) AS files, COUNT(*) FILTER (guessed) AS guessed, ROUND(SUM(tokens),3) AS tokens, ROUND(SUM(tokens/1e6*(input_rate+output_rate)/2),6) AS cost FROM filled GROUP BY 1""")
+SELECT batch_id, COUNT(*) AS files, COUNT(*) FILTER (guessed) AS guessed, ROUND(SUM(tokens),3) AS tokens, ROUND(SUM(tokens/1e6*(input_rate+output_rate)/2),4) AS cost FROM filled GROUP BY 1""")
 def batch_cost(t: Tables) -> DataFrame:
     priced = with_rates(t.analysis_queue.filter("batch_id is not null"), t.rates)
     filled = priced.withColumn("tokens", F.coalesce(F.col("tokens_used").cast("double"), F.avg("tokens_used").over(Window.partitionBy("batch_id"))))
-    return filled.groupBy("batch_id").agg(F.count("*").alias("files"), F.count_if(F.col("tokens_used").isNull()).alias("guessed"), F.round(F.sum("tokens"), 3).alias("tokens"), F.round(F.sum(blended_cost(F.col("tokens"))), 6).alias("cost"))
+    return filled.groupBy("batch_id").agg(F.count("*").alias("files"), F.count_if(F.col("tokens_used").isNull()).alias("guessed"), F.round(F.sum("tokens"), 3).alias("tokens"), F.round(F.sum(blended_cost(F.col("tokens"))), 4).alias("cost"))
 
 
 @query("A21_billing_cycle_cost", f"""WITH {_PRICED} SELECT provider_id, model, COUNT(*) AS calls, SUM(tokens_used) AS tokens, ROUND(SUM(tokens_used/1e6*(input_rate+output_rate)/2),6) AS cost, ROUND(SUM(tokens_used/1e6*(input_rate+output_rate)/2)/20*31,6) AS projected

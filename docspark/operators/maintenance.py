@@ -127,10 +127,10 @@ def fusion_order(t: Tables) -> DataFrame:
     return r.orderBy(*order).limit(40).select("id", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
 
 
-@query("F18_heading_line", "SELECT id, LENGTH(title) <= 80 AND NOT REGEXP_MATCHES(title,'[.!?]$') AND REGEXP_MATCHES(title,'^[A-Z]') AS heading FROM v_corpus WHERE lang = 'en'")
+@query("F18_heading_line", "SELECT id, LENGTH(title) <= 80 AND NOT REGEXP_MATCHES(title,'[.!?]\\z') AND REGEXP_MATCHES(title,'^[A-Z]') AS heading FROM v_corpus WHERE lang = 'en'")
 def heading_line(t: Tables) -> DataFrame:
     x = F.col("title")
-    return t.corpus.filter("lang = 'en'").select("id", ((F.length(x) <= 80) & ~x.rlike(r"[.!?]$") & x.rlike("^[A-Z]")).alias("heading"))
+    return t.corpus.filter("lang = 'en'").select("id", ((F.length(x) <= 80) & ~x.rlike(r"[.!?]\z") & x.rlike("^[A-Z]")).alias("heading"))
 
 
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -206,6 +206,5 @@ def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     frames.ship(spark)
     name = frames.free_name(docs, "parsed")
     rest = parse(docs, with_text=True)
-    text = F.when(F.col(f"{name}.n_removed") > 0, F.col(f"{name}.text").cast("string")).otherwise(F.col("text"))
-    changed = rest.withColumn("text", text).drop(name)
+    changed = rest.withColumn("text", F.col(f"{name}.text").cast("string")).drop(name)
     return changed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else changed.select(*docs.columns)

@@ -175,7 +175,8 @@ def near_duplicates(docs: DataFrame, how: Sketching = Sketching()) -> DataFrame:
     sketched.write.parquet(f"{folder}/sketches")
     sketched = spark.read.parquet(f"{folder}/sketches")
     prints = ["print_a", "print_b", "n_shingles"]
-    classes = sketched.filter("n_shingles > 0 and doc_id is not null").groupBy(*prints).agg(F.min("doc_id").alias("class_id"))
+    # cut, so that the joins back are plain ones, whose hot classes adaptive execution can split
+    classes = frames.cut(sketched.filter("n_shingles > 0 and doc_id is not null").groupBy(*prints).agg(F.min("doc_id").alias("class_id")))
     members = frames.cut(sketched.select("doc_id", *prints).join(classes, prints, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id")))
     chosen = sketched.join(classes.withColumnRenamed("class_id", "doc_id"), ["doc_id", *prints], "left_semi")
     rows = chosen.select(F.col("doc_id").alias("b"), F.explode("bands").alias("band"))

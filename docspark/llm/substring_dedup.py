@@ -175,7 +175,7 @@ def parse(docs: DataFrame, how: Parsing = Parsing(), with_text: bool = False) ->
     texts = keyed.select("doc_id", F.col(t).alias("text"))
     # exact copies of whole texts, of which only the first is indexed
     prints = texts.select("doc_id", F.sha2("text", 256).alias("print"))
-    first = prints.groupBy("print").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    first = frames.cut(prints.groupBy("print").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     copies = frames.cut(prints.join(first, "print").filter("doc_id > copy_of").groupBy("doc_id").agg(F.min("copy_of").alias("copy_of")))
     anchors = texts.mapInArrow(_anchor_rows(how), "anchor bigint, doc_id bigint")
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("anchor", (F.col("n") >= how.hot).alias("hot"))

@@ -30,5 +30,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-#: DuckDB SQL for those that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"LIST_FILTER(REGEXP_SPLIT_TO_ARRAY({text}, '[\x20\x09-\x0D]+'), LAMBDA x: x <> '')"
+
+_SUBSTRING = f"""WITH d AS (SELECT doc_id, {_WORDS.format(text="COALESCE(text, '')")} AS w FROM documents),
+win AS (SELECT doc_id, UNNEST(RANGE(1, LEN(w) - 11)) AS i, UNNEST(LIST_TRANSFORM(RANGE(1, LEN(w) - 11), LAMBDA j: ARRAY_TO_STRING(w[j:j + 12], ' '))) AS g FROM d WHERE LEN(w) >= 13),
+first AS (SELECT g, MIN(doc_id) AS lo FROM win GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS pos FROM win JOIN first USING (g), (SELECT UNNEST(RANGE(13)) AS k) WHERE lo < doc_id),
+words AS (SELECT doc_id, UNNEST(RANGE(1, LEN(w) + 1)) AS pos, UNNEST(w) AS word FROM d),
+kept AS (SELECT words.doc_id, STRING_AGG(word, ' ' ORDER BY words.pos) AS rest, COUNT(*) AS n FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.pos = words.pos WHERE gone.pos IS NULL GROUP BY 1)
+SELECT d.doc_id, LEN(w) AS n_words, LEN(w) - COALESCE(n, 0) AS n_removed, SHA256(COALESCE(rest, '')) AS kept_sha256 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id"""
+
+#: Smallest id that each node reaches over the undirected edges link(a, b).
+_REACH = "reach(a, b) AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b)"
+
+_MINHASH = f"""WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(text="TRANSLATE(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN LEN(w) = 1 THEN w[1] ELSE UNNEST(LIST_TRANSFORM(RANGE(1, GREATEST(LEN(w), 2)), LAMBDA j: w[j] || ' ' || w[j + 1])) END AS g FROM d WHERE LEN(w) > 0),
+n AS (SELECT doc_id, COUNT(*) AS n FROM s GROUP BY 1), met AS (SELECT x.doc_id AS a, y.doc_id AS b, COUNT(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM met JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)), {_REACH}
+SELECT d.doc_id, COALESCE(n.n, 0) AS n_shingles, LEAST(d.doc_id, COALESCE(r.lo, d.doc_id)) AS component_id, d.doc_id <= COALESCE(r.lo, d.doc_id) AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT a, MIN(b) AS lo FROM reach GROUP BY 1) r ON r.a = d.doc_id"""
+
+_EMBEDDINGS = f"""WITH RECURSIVE e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+link AS (SELECT x.vec_id AS a, y.vec_id AS b FROM e x JOIN e y ON x.label = y.label AND x.vec_id <> y.vec_id WHERE LIST_COSINE_SIMILARITY(x.v, y.v) >= 0.93), {_REACH}
+SELECT e.vec_id, COALESCE(l.n, 0) AS n_links, LEAST(e.vec_id, COALESCE(r.lo, e.vec_id)) AS component_id, e.vec_id <= COALESCE(r.lo, e.vec_id) AS kept
+FROM e LEFT JOIN (SELECT a, COUNT(*) AS n FROM link GROUP BY 1) l ON l.a = e.vec_id LEFT JOIN (SELECT a, MIN(b) AS lo FROM reach GROUP BY 1) r ON r.a = e.vec_id"""
+
+#: DuckDB SQL for those that SQL can express; it compares all pairs, so it is for small tables.
+ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": _SUBSTRING,
+    "op6_embedding_dedup": _EMBEDDINGS,
+    "op9_minhash_dedup": _MINHASH,
+}

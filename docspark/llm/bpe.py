@@ -59,7 +59,7 @@ def _encoder(path: str):
 
 def _cache(path: str) -> SpanCache:
     if path not in _CACHES:
-        _CACHES[path] = SpanCache(_encoder(path))
+        _CACHES[path] = SpanCache(_encoder(path), 200_000)
     return _CACHES[path]
 
 

@@ -13,10 +13,15 @@ from pyspark.sql import functions as F
 
 
 _shipped: set[str] = set()
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows of an Arrow batch: whole texts make it large, in the JVM and in each Python worker.
+ARROW_ROWS = 2000
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once an application."""
+    """Send this package to the Python workers, once an application; hold Arrow batches of texts to ARROW_ROWS."""
+    if int(spark.conf.get(_ROWS)) > ARROW_ROWS:
+        spark.conf.set(_ROWS, ARROW_ROWS)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return

@@ -171,6 +171,7 @@ def sliced(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[pa.Array]:
     start, size = runs(block)
     for s, n in zip(start.tolist(), size.tolist()):
         yield column.slice(s, n)
+    pa.default_memory_pool().release_unused()  # workers stay for later stages; what they no longer use goes back
 
 
 def long_lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType | None = None) -> pa.Array:

@@ -1,17 +1,23 @@
-"""LM scoring (8): interpolated modified Kneser-Ney bigrams counted in Spark.
+"""LM scoring (8): interpolated modified Kneser-Ney bigrams and trigrams counted in Spark.
 
-Three Spark jobs build the model in the shared folder:
+Four Spark jobs build the model in the shared folder:
 1. word counts: the vocabulary as sorted arrays of word hashes and counts;
 2. bigram counts, keyed by a bijective mix of both word numbers, as sorted
    arrays; the same pass returns what each part adds to the statistics of
    contexts (followers seen once, twice, more) and to the continuation counts;
-3. for each word its continuation probability and its weight as a context.
+3. for each word its continuation probability and its weight as a context;
+4. trigram counts, keyed by (place of the bigram before, word) and dealt by that
+   bigram, so that a part has whole contexts; each distinct trigram then goes to
+   its last two words for the middle order's continuation counts.
 Workers memory-map the arrays and score whole batches with vectorised lookups.
 
 A text's tokens are its words (A-Z lower-cased) and one end; the first word's
 context is the beginning of a text. p(w|v) = (c - D(c)) / c(v) + g(v) p(w),
 p(w) = (n(w) - D'(n)) / B + g / (V + 1), with n the contexts that w follows, B
-all distinct bigrams, and discounts from the counts of counts.
+all distinct bigrams, and discounts from the counts of counts. That is ``score``.
+``score3`` is order three: p(w|u,v) = (c - D3(c)) / c(u,v) + g(u,v) p'(w|v), where
+p'(w|v) takes n(v,w), the distinct words before both, in place of the count, and
+p(w) is as above; a text begins with two beginnings.
 
 Defined cases. Null or empty text: the end alone. Unknown words get the uniform
 share g / (V + 1). Nothing to learn from: every token has probability 1 in V + 1
@@ -20,6 +26,7 @@ share g / (V + 1). Nothing to learn from: every token has probability 1 in V + 1
 
 from __future__ import annotations
 
+import gc
 import math
 from dataclasses import dataclass, field
 
@@ -50,19 +57,49 @@ class Model:
     discounts: tuple[float, float, float]
     uniform: float
     begin: tuple[float, float]  # count and weight of the beginning as a context
+    triple_sizes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    discounts3: tuple[float, float, float] = (0.5, 1.0, 1.5)
+    discounts2: tuple[float, float, float] = (0.5, 1.0, 1.5)  # of the middle order
+    begin3: tuple[int, ...] = (0, 0, 0)  # words after two beginnings: seen once, twice, more
+    begin2: tuple[int, ...] = (0, 0, 0, 0)  # of the middle order after a beginning: all, once, twice, more
     _parts: dict = field(default_factory=dict, repr=False)
 
     @property
     def size(self) -> int:
         return int(self.vocab_sizes.sum())
 
+    @property
+    def pairs(self) -> int:
+        """Distinct bigrams; as a place, two beginnings."""
+        return int(self.pair_sizes.sum())
+
+    @property
+    def word_bits(self) -> int:
+        return self.size.bit_length()
+
+    def triples(self) -> Triples:
+        if "triples" not in self._parts:
+            self._parts["triples"] = Triples(self)
+        return self._parts["triples"]
+
     def parts(self) -> tuple[Parts, Parts]:
-        if not self._parts:
+        if "pairs" not in self._parts:
             self._parts["vocab"] = Parts(f"{self.folder}/vocab", self.vocab_bits, self.vocab_sizes)
             self._parts["pairs"] = Parts(f"{self.folder}/pairs", self.pair_bits, self.pair_sizes)
         return self._parts["vocab"], self._parts["pairs"]
 
 
+class Triples(Parts):
+    """Trigrams by (place of the first two words, third word), in the part of the first two."""
+
+    def __init__(self, model: Model):
+        super().__init__(f"{model.folder}/triples", model.pair_bits, model.triple_sizes)
+        self.ends, self.word_bits = np.cumsum(model.pair_sizes), U64(model.word_bits)
+
+    def parts_of(self, keys: np.ndarray) -> np.ndarray:
+        return np.minimum(np.searchsorted(self.ends, (keys >> self.word_bits).astype(np.int64), side="right"), len(self.ends) - 1)
+
+
 def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, each document's end included, and the place of each document's first token."""
     words = Words(column, lower=True)
@@ -87,18 +124,25 @@ def _bits(rows: int) -> int:
     return min(max(0, math.ceil(math.log2(max(rows, 1) / PART_ROWS))), 24) if rows > PART_ROWS else 4
 
 
-def _counted(keys_of, bits: int, batches):
+def _by_part(part: np.ndarray, keys: np.ndarray, n: np.ndarray) -> list[tuple]:
+    """Rows (part, keys, counts); part is sorted."""
+    start, size = runs(part)
+    return [(int(part[s]), planes(keys[s : s + z]), planes(n[s : s + z])) for s, z in zip(start.tolist(), size.tolist())]
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["part", "keys", "counts"])
+
+
+def _counted(keys_of, parts_of, batches):
     """(part, keys, counts) of the keys of text batches, summed over FLUSH keys at a time; a row for each part and flush."""
     held, size = [], 0
 
     def flush():
         keys, n = np.unique(np.concatenate(held), return_counts=True)
-        part = part_of(mix64(keys), bits)
+        part = parts_of(keys)
         order = np.argsort(part, kind="stable")
-        keys, n = keys[order], n[order].astype(np.uint32)
-        start, size = runs(part[order])
-        rows = [(int(part[order[s]]), planes(keys[s : s + z]), planes(n[s : s + z])) for s, z in zip(start.tolist(), size.tolist())]
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["part", "keys", "counts"])
+        yield _batch(_by_part(part[order], keys[order], n[order].astype(np.uint32)))
 
     for batch in chunks(batches):
         keys = keys_of(batch.column("text"))
@@ -120,9 +164,13 @@ def from_planes(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def _summed(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
+def _mixed_parts(bits: int):
+    return lambda keys: part_of(mix64(keys), bits)
+
+
+def _summed(table: pa.Table, mix=mix64) -> tuple[int, np.ndarray, np.ndarray]:
     """A part's distinct mixed keys in order, and their counts."""
-    keys = mix64(np.concatenate([from_planes(x, U64) for x in table.column("keys").to_pylist()]))
+    keys = mix(np.concatenate([from_planes(x, U64) for x in table.column("keys").to_pylist()]))
     n = np.concatenate([from_planes(x, np.uint32) for x in table.column("counts").to_pylist()]).astype(np.int64)
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
@@ -139,7 +187,7 @@ _COUNTED = "part int, keys binary, counts binary"
 
 def _count_words(texts: DataFrame, folder: str, bits: int) -> tuple[np.ndarray, int]:
     def words(batches):
-        yield from _counted(lambda column: tokens_of(column)[0], bits, batches)
+        yield from _counted(lambda column: tokens_of(column)[0], _mixed_parts(bits), batches)
 
     def write(table: pa.Table) -> pa.Table:
         part, keys, n = _summed(table)
@@ -182,7 +230,7 @@ def fit(texts: DataFrame) -> Model:
         return _pairs_of(places[inverse], first, begin)[1]
 
     def pairs(batches):
-        yield from _counted(pair_keys, pair_bits, batches)
+        yield from _counted(pair_keys, _mixed_parts(pair_bits), batches)
 
     def write(table: pa.Table) -> pa.Table:
         part, keys, n = _summed(table)
@@ -199,7 +247,9 @@ def fit(texts: DataFrame) -> Model:
         columns = [np.concatenate([a, b, [c]]) for a, b, c in zip([ids, *sums, np.zeros(len(ids), np.int64)], [followed, zero, zero, zero, zero, times], [-1, *of_counts, len(keys)])]
         return pa.table({"part": pa.array(np.full(len(columns[0]), part, np.int32)), **{c: pa.array(x.astype(np.int64)) for c, x in zip(("id", "total", "once", "twice", "more", "contexts"), columns)}})
 
-    rows = frames.cut(texts.mapInArrow(pairs, _COUNTED).groupBy("part").applyInArrow(write, "part int, id bigint, total bigint, once bigint, twice bigint, more bigint, contexts bigint"))
+    stats = "part int, id bigint, total bigint, once bigint, twice bigint, more bigint, contexts bigint"
+    texts.mapInArrow(pairs, _COUNTED).groupBy("part").applyInArrow(write, stats).write.parquet(f"{folder}/stats")
+    rows = spark.read.schema(stats).parquet(f"{folder}/stats")
     seen = [0, 0, 0, 0]
     for r in rows.filter("id = -1").collect():  # a row for each part
         model.pair_sizes[r.part] = r.contexts
@@ -234,9 +284,123 @@ def fit(texts: DataFrame) -> Model:
 
     words.filter(F.col("id") < begin).withColumn("part", F.arrow_udf(part, "int")("id")).groupBy("part").applyInArrow(estimate, "part int").count()
     model._parts.clear()
+    del rows, words
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # lets Spark drop the bigrams' shuffle files; how much that saves is not measured
+    _fit_triples(texts, model)
     return model
 
 
+def _places(column: pa.Array, model: Model) -> tuple[np.ndarray, ...]:
+    """Each token's word (-1: unknown), the place of the bigram that it ends (-1: none) and of the one before it, and each document's first token."""
+    hashes, first = tokens_of(column)
+    vocab, pairs = model.parts()
+    found, inverse, _ = numbers_of(vocab, hashes)
+    numbers = found[inverse]
+    before, keys = _pairs_of(numbers, first, model.size)
+    return numbers, *_contexts(pairs, numbers, before, keys, first, model), first
+
+
+def _contexts(pairs: Parts, numbers: np.ndarray, before: np.ndarray, keys: np.ndarray, first: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    at = np.full(len(numbers), -1, np.int64)
+    both = np.flatnonzero((before >= 0) & (numbers >= 0))
+    if len(both):
+        distinct, where = np.unique(mix64(keys[both]), return_inverse=True)
+        at[both] = pairs.find(distinct)[where]
+    context = np.empty_like(at)
+    context[1:] = at[:-1]
+    context[first] = model.pairs if model.begin[0] else -1
+    return at, context
+
+
+def _triple_keys(context: np.ndarray, numbers: np.ndarray, model: Model) -> np.ndarray:
+    return (context.astype(U64) << U64(model.word_bits)) | numbers.astype(U64)
+
+
+def _told(*numbers) -> tuple[int, bytes, bytes]:
+    """A row of the part -1, for the driver."""
+    return -1, np.array(numbers, np.int64).tobytes(), b""
+
+
+def _of_counts(n: np.ndarray) -> list[int]:
+    return [int((n == c).sum()) for c in (1, 2, 3, 4)]
+
+
+def _fit_triples(texts: DataFrame, model: Model) -> None:
+    """Count the trigrams and what they add to the middle order; the driver gets a few numbers for each part."""
+    folder, begin, sizes = model.folder, model.size, model.pair_sizes
+    base, vocab_ends = np.cumsum(sizes) - sizes, np.cumsum(model.vocab_sizes)
+    if model.pairs.bit_length() + model.word_bits > 64:
+        raise ValueError("trigram keys don't fit 64 bits")
+
+    def keys_of(column: pa.Array) -> np.ndarray:
+        numbers, _, context, _ = _places(column, model)
+        return _triple_keys(context, numbers, model)
+
+    def count(batches):
+        yield from _counted(keys_of, model.triples().parts_of, batches)
+
+    def write(table: pa.Table) -> pa.Table:
+        p, keys, n = _summed(table, mix=lambda x: x)
+        save(f"{folder}/triples/keys-{p}.npy", keys)
+        save(f"{folder}/triples/counts-{p}.npy", _small(n))
+        start, followers = runs(keys >> U64(model.word_bits))
+        own = (keys[start] >> U64(model.word_bits)).astype(np.int64) - base[p]
+        inner = own < sizes[p]  # the others: two beginnings
+        split = [np.add.reduceat(x.astype(np.int64), start) for x in (n == 1, n == 2, n > 2)]
+        second = np.full(len(own), begin, U64)
+        if inner.any():
+            second[inner] = unmix64(model.parts()[1].part("keys", p)[own[inner]]) & U64(0xFFFFFFFF)
+            for name, x in zip(("once", "twice", "more"), split):
+                whole = np.zeros(sizes[p], np.int64)
+                whole[own[inner]] = x[inner]
+                save(f"{folder}/pairs/{name}-{p}.npy", _small(whole))
+        last, times = np.unique(mix64((np.repeat(second, followers) << U64(32)) | (keys & U64((1 << model.word_bits) - 1))), return_counts=True)
+        rows = _by_part(part_of(last, model.pair_bits), model.parts()[1].find(last).astype(U64), times.astype(np.uint32))
+        return pa.Table.from_batches([_batch([*rows, _told(3, p, len(keys), *_of_counts(n), *(int(x[~inner].sum()) for x in split))])])
+
+    def middle(table: pa.Table) -> pa.Table:
+        p = table.column("part")[0].as_py()
+        if p < 0:
+            return table
+        _, places, n = _summed(table, mix=lambda x: x)
+        whole = np.zeros(sizes[p], np.int64)
+        whole[places.astype(np.int64) - base[p]] = n
+        save(f"{folder}/pairs/behind-{p}.npy", _small(whole))
+        ids, inverse = np.unique(unmix64(model.parts()[1].part("keys", p)) >> U64(32), return_inverse=True)
+        sums = np.array([np.bincount(inverse, weights=w, minlength=len(ids)) for w in (whole, whole == 1, whole == 2, whole > 2)]).astype(np.uint32)
+        inner = ids < U64(begin)
+        told = _told(2, *_of_counts(whole), *(int(x[~inner].sum()) for x in sums))
+        ids, sums = ids[inner], sums[:, inner]
+        start, size = runs(np.searchsorted(vocab_ends, ids.astype(np.int64), side="right"))
+        rows = [(int(np.searchsorted(vocab_ends, int(ids[s]), side="right")), planes(ids[s : s + z]), planes(sums[:, s : s + z].ravel())) for s, z in zip(start.tolist(), size.tolist())]
+        return pa.Table.from_batches([_batch([*rows, told])])
+
+    def contexts(table: pa.Table) -> pa.Table:
+        p = table.column("part")[0].as_py()
+        if p < 0:
+            return table
+        whole = np.zeros((4, model.vocab_sizes[p]), np.int64)
+        for keys, n in zip(table.column("keys").to_pylist(), table.column("counts").to_pylist()):
+            whole[:, from_planes(keys, U64).astype(np.int64) - (vocab_ends[p] - model.vocab_sizes[p])] += from_planes(n, np.uint32).reshape(4, -1)
+        for name, x in zip(("total2", "once2", "twice2", "more2"), whole):
+            save(f"{folder}/vocab/{name}-{p}.npy", x)
+        return table.slice(0, 0)
+
+    rows = texts.mapInArrow(count, _COUNTED)
+    for step in (write, middle, contexts):
+        rows = rows.groupBy("part").applyInArrow(step, _COUNTED)
+    model.triple_sizes = np.zeros(len(sizes), np.int64)
+    told = [np.frombuffer(r["keys"], np.int64) for r in rows.collect()]  # two rows for each part
+    for x in told:
+        if x[0] == 3:
+            model.triple_sizes[x[1]] = x[2]
+    sums = lambda kind, lo, hi: tuple(sum(int(x[i]) for x in told if x[0] == kind) for i in range(lo, hi))
+    model.discounts3, model.begin3 = _discounts(list(sums(3, 3, 7))), sums(3, 7, 10)
+    model.discounts2, model.begin2 = _discounts(list(sums(2, 1, 5))), sums(2, 5, 9)
+    model._parts.clear()
+
+
 def _unshift(x: np.ndarray, by: int) -> np.ndarray:
     out = x
     for _ in range(64 // by):
@@ -252,7 +416,7 @@ def unmix64(x: np.ndarray) -> np.ndarray:
 
 
 def log_probabilities(column: pa.Array, model: Model) -> tuple[np.ndarray, ...]:
-    """For each text: tokens, known tokens, the add-half unigram score and the model's score (log10)."""
+    """For each text: tokens, known tokens, the add-half unigram score and the model's scores of order two and three (log10)."""
     hashes, first = tokens_of(column)
     vocab, pairs = model.parts()
     places, inverse, unique = numbers_of(vocab, hashes)
@@ -263,14 +427,8 @@ def log_probabilities(column: pa.Array, model: Model) -> tuple[np.ndarray, ...]:
     base = np.log10((count + 0.5) / (model.tokens + 0.5 * (model.size + 1)))[inverse]
     numbers = places[inverse]
     before, keys = _pairs_of(numbers, first, model.size)
-    both = np.flatnonzero((before >= 0) & (numbers >= 0))
-    seen = np.zeros(len(numbers))
-    if len(both):
-        distinct, where = np.unique(mix64(keys[both]), return_inverse=True)
-        at = pairs.find(distinct)
-        c = np.zeros(len(distinct))
-        c[at >= 0] = pairs.take("counts", at[at >= 0])
-        seen[both] = c[where]
+    at, two = _contexts(pairs, numbers, before, keys, first, model)
+    seen, behind = _taken(pairs, ("counts", "behind"), at)
     context = np.zeros(len(inverse), np.int64)
     context[1:] = inverse[:-1]
     own_total, own_weight = total[context], weight[context]
@@ -278,11 +436,42 @@ def log_probabilities(column: pa.Array, model: Model) -> tuple[np.ndarray, ...]:
     cut = np.array([0.0, *model.discounts])[np.minimum(seen, 3).astype(np.int64)]
     p = np.divide(np.maximum(seen - cut, 0), own_total, out=np.zeros(len(seen)), where=own_total > 0)
     p += np.where(own_total > 0, own_weight, 1.0) * lower[inverse]
+    # order three: the middle order, then the trigrams
+    own = np.zeros((4, len(unique)))
+    some = known & (total > 0)
+    for name, out in zip(("total2", "once2", "twice2", "more2"), own):
+        out[some] = vocab.take(name, places[some])
+    own = own[:, context]
+    own[:, first] = np.array(model.begin2, float)[:, None]
+    middle = _interpolated(behind, own[0], own[1:], model.discounts2, lower[inverse])
+    after = np.array(_taken(pairs, ("counts", "once", "twice", "more"), np.where(two < model.pairs, two, -1)))
+    after[:, two == model.pairs] = np.array([model.begin[0], *model.begin3], float)[:, None]
+    triple = np.full(len(numbers), -1, np.int64)
+    both = np.flatnonzero((two >= 0) & (numbers >= 0))
+    if len(both):
+        distinct, where = np.unique(_triple_keys(two[both], numbers[both], model), return_inverse=True)
+        triple[both] = model.triples().find(distinct)[where]
+    p3 = _interpolated(_taken(model.triples(), ("counts",), triple)[0], after[0], after[1:], model.discounts3, middle)
     sums = lambda x: np.add.reduceat(x, first)  # noqa: E731  every document has a token
-    return np.diff(np.append(first, len(hashes))), sums(known[inverse].astype(np.int64)), sums(base), sums(np.log10(p))
+    return np.diff(np.append(first, len(hashes))), sums(known[inverse].astype(np.int64)), sums(base), sums(np.log10(p)), sums(np.log10(p3))
+
+
+def _taken(parts: Parts, names: tuple[str, ...], at: np.ndarray) -> list[np.ndarray]:
+    """The arrays' values at places in any order; 0 at place -1."""
+    distinct, where = np.unique(at, return_inverse=True)
+    lead = int(len(distinct) and distinct[0] < 0)
+    return [np.concatenate([np.zeros(lead), parts.take(name, distinct[lead:])])[where] for name in names]
+
+
+def _interpolated(seen: np.ndarray, total: np.ndarray, split: np.ndarray, d: tuple[float, float, float], lower: np.ndarray) -> np.ndarray:
+    """Discounted share of the context's total, and the rest by the lower order; split: words after the context seen once, twice, more."""
+    some = total > 0
+    cut = np.array([0.0, *d])[np.minimum(seen, 3).astype(np.int64)]
+    p = np.divide(np.maximum(seen - cut, 0), total, out=np.zeros(len(seen)), where=some)
+    return p + np.divide(d[0] * split[0] + d[1] * split[1] + d[2] * split[2], total, out=np.ones(len(seen)), where=some) * lower
 
 
-_SCORES = "struct<n_tokens: bigint, n_known: bigint, base_score: double, score: double>"
+_SCORES = "struct<n_tokens: bigint, n_known: bigint, base_score: double, score: double, score3: double>"
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -290,9 +479,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(text: pa.Array) -> pa.Array:
         found = [log_probabilities(part, model) for part in sliced(text)]
-        whole = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0)] * 4
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(whole, kinds)], names=["n_tokens", "n_known", "base_score", "score"])
+        whole = [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0)] * 5
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+        return pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(whole, kinds)], names=["n_tokens", "n_known", "base_score", "score", "score3"])
 
     return docs.withColumn(frames.free_name(docs, "lm"), F.arrow_udf(run, _SCORES)(docs.text.cast("binary")))
 
@@ -301,4 +490,4 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = frames.table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = frames.unsigned_crc32(F.col("doc_id")) % 5 == 1
     model = fit(docs.filter(~held_out).select(F.col("text").cast("binary").alias("text")))
-    return score(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lm.n_tokens", "lm.n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "lm.base_score", "lm.score")
+    return score(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lm.n_tokens", "lm.n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "lm.base_score", "lm.score", "lm.score3")

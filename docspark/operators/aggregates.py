@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..registry import query
 from ..sources.tables import Tables
+from .windows import numbered
 
 
 def zero_filled(counts: DataFrame, key: str, values: list[str]) -> DataFrame:
@@ -138,11 +139,11 @@ def executive_summary(t: Tables, sample_seconds: int = 120) -> DataFrame:
 SELECT ROUND(first_avg,3) AS first_avg, ROUND(last_avg,3) AS last_avg, last_avg <= first_avg*1.2 AS stable FROM a""")
 def memory_stability(t: Tables) -> DataFrame:
     """Whether the last tenth of the time-ordered samples uses at most a fifth more than the first."""
-    span = t.system_metrics.agg(F.count("*").alias("total"))
-    first, last = (t.system_metrics.orderBy(*o) for o in (("timestamp", "seq"), (F.desc("timestamp"), F.desc("seq"))))
     n = t.system_metrics.count()
     big, small = -(-n // 10) if n % 10 else n // 10, n // 10
-    means = first.limit(big).agg(F.avg("rss_bytes").alias("first_avg")).crossJoin(last.limit(small).agg(F.avg("rss_bytes").alias("last_avg"))).crossJoin(span)
+    mean = lambda tile: F.avg(F.when(tile, F.col("rss_bytes")))
+    rows = numbered(t.system_metrics.select("timestamp", "seq", "rss_bytes"), "timestamp", "seq")
+    means = rows.agg(mean(F.col("place") < big).alias("first_avg"), mean(F.col("place") >= n - small).alias("last_avg"))
     return means.select(F.round("first_avg", 3).alias("first_avg"), F.round("last_avg", 3).alias("last_avg"), (F.col("last_avg") <= F.col("first_avg") * 1.2).alias("stable"))
 
 

@@ -16,6 +16,7 @@ from ..sinks import writers
 from ..sources import files
 from ..sources.tables import Tables
 from ..streaming.monitors import _latest, replayed, shared_folder, stateful
+from .windows import numbered
 
 
 def scratch(t: Tables, name: str) -> str:
@@ -120,6 +121,20 @@ def diff_context(t: Tables, n: int = 3) -> DataFrame:
     return t.activity_events.filter("user_id < 20").withColumn("near", F.bool_or(F.col("event_type") == "error").over(near)).filter("near").select("id")
 
 
+def near_hits(rows: DataFrame, hit: Column, *order: str, n: int = 3) -> DataFrame:
+    """Rows that meet the condition, with n rows around each in this order."""
+    placed = numbered(rows.withColumn("hit", F.coalesce(hit, F.lit(False))), *order)
+    near = placed.filter("hit").select(F.explode(F.sequence(F.col("place") - n, F.col("place") + n)).alias("place")).distinct()
+    return placed.join(near, "place", "left_semi").drop("place", "hit")
+
+
+@query("W11b_diff_context_all")
+def diff_context_all(t: Tables) -> DataFrame:
+    """W11 over all users; no oracle, since W11's SQL holds a group of users."""
+    events = t.activity_events.select("id", "timestamp", "event_type")
+    return near_hits(events, F.col("event_type") == "error", "timestamp", "id").select("id")
+
+
 @query("O06_fusion_order", "WITH r AS (SELECT id, file_size_bytes%97 AS score, MOD(id,2) = 0 AS in_kw FROM v_corpus) SELECT id, ROW_NUMBER() OVER (ORDER BY score DESC, in_kw DESC, id) AS place FROM r ORDER BY place LIMIT 40")
 def fusion_order(t: Tables) -> DataFrame:
     r = t.corpus.select("id", (F.col("file_size_bytes") % 97).alias("score"), (F.col("id") % 2 == 0).alias("in_kw"))

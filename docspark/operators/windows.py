@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..registry import query
 from ..sources.tables import Tables
+from ..streaming.monitors import shared_folder
+
+
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """df with its rows' numbers from 0 on in this order as ``place``: ranges dealt out and written, their counts summed, ranks within each."""
+    spark, folder = df.sparkSession, f"{shared_folder(df.sparkSession)}/numbered-{uuid.uuid4().hex}"
+    ranges = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("range", F.spark_partition_id())
+    ranges.write.parquet(folder)  # a range's bounds are sampled, so they may not be taken twice
+    rows = spark.read.schema(ranges.schema).parquet(folder)
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each range
+    starts = rows.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    rank = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    return rows.withColumn("rank", rank).join(F.broadcast(starts), "range").withColumn("place", F.col("start") + F.col("rank") - 1).drop("range", "rank", "start")
 
 
 @query("W01_rank_in_list", "SELECT id, ROW_NUMBER() OVER (PARTITION BY source_format ORDER BY file_size_bytes DESC, id)-1 AS rank FROM v_corpus")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -52,10 +53,22 @@ def quoted(df: DataFrame, name: str) -> Column:
     return df["`" + name.replace("`", "``") + "`"]
 
 
+def same_columns(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``like``, in its order; names may hold dots."""
+    return df.select(*(quoted(df, c) for c in like.columns))
+
+
+def with_length(df: DataFrame) -> DataFrame:
+    """n_chars, if there is such a column, set to the length of the text."""
+    return df.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in df.columns else df
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set, as in tests."""
+    """The folder that driver and executors share; a local one only where none is set and all runs in one process, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + os.path.join(tempfile.gettempdir(), "docspark-checkpoints")
         os.makedirs(path[7:], exist_ok=True)
     return path.rstrip("/")
@@ -70,7 +83,13 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def new_folder(spark: SparkSession, stem: str) -> str:
-    return f"{shared_dir(spark)}/{stem}-{uuid.uuid4().hex}"
+    """A new folder for a run's own files in the shared folder; it goes when the driver's JVM ends."""
+    uri = f"{shared_dir(spark)}/{stem}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    return uri
 
 
 def unsigned_crc32(doc_id: Column) -> Column:

@@ -153,5 +153,5 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Pipeline stage: texts without recurring lines; n_chars follows."""
     frames.ship(spark)
     name = frames.free_name(docs, "lines")
-    done = drop_recurring(docs).withColumn("text", F.col(f"{name}.text").cast("string")).drop(name)
-    return done.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else done.select(*docs.columns)
+    done = drop_recurring(docs).withColumn("text", F.col(f"{name}.text").cast("string"))
+    return frames.same_columns(frames.with_length(done), docs)

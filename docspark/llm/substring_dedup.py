@@ -1,27 +1,36 @@
 """Substring dedup (3): relative Lempel-Ziv factors against all earlier documents.
 
 Every document is parsed greedily into factors: stretches of words that also
-stand in an earlier reference document. A factor is kept as a duplicate span when
-it has ``span`` words or more; factors are found and checked at every window of
-that many words, also across the borders of neighbouring factors, so that a word
-is removed exactly if some window over it starts in a document with a smaller id.
-
-The reference index is built in Spark in two steps, since most windows occur
-once. Each window has an anchor: the smallest hash of its ``gram``-word grams.
-Equal windows have equal anchors, and neighbouring windows mostly share theirs, so
-a fifth as many rows settle which anchors occur in two documents at all. Only
-windows on such anchors are indexed: window hash -> first document. Anchors of
-very many documents go through a pre-aggregated index and a join that adaptive
-execution can split; the others through one shuffle. Exact copies of a whole text
-are found first and not indexed again.
-
-Windows are 64-bit hashes of word sequences; among 10**9 distinct windows two
-collide with probability 3 %, and then 13 words may go wrongly.
+stand in an earlier document, as (start, length, source document, place there).
+The reference is the collection itself, cut into blocks of ``block`` words: each
+distinct window of ``span`` words is indexed at its first place (smallest id, then
+first word). The parser goes from left to right; at a window that the index knows it
+compares the words with the source's blocks and takes the longest stretch that
+agrees. A factor of ``span`` words or more is a duplicate span. At its border the
+windows that reach over its end are checked as well, and the next factor starts at
+the first of them that has a source; so a word is removed exactly if some window
+over it starts in a document with a smaller id.
+
+Candidates come from two equi-joins in Spark, since most windows occur once. Each
+window has an anchor: the smallest hash of its ``gram``-word grams. Equal windows
+have equal anchors, and neighbouring windows mostly share theirs, so a fifth as many
+rows settle which anchors occur in two documents at all. Only windows on such
+anchors are indexed: window hash -> first place. Anchors of very many documents go
+through a pre-aggregated index and a join that adaptive execution can split; the
+others through one shuffle. Exact copies of a whole text (by SHA-256) are one factor
+each and not indexed again. The blocks that some factor may need are cut out of their
+documents and joined to the documents that ask for them.
+
+Windows are found by 64-bit hashes and verified word by word, so a collision never
+removes anything; among 10**9 distinct windows one is hidden behind another's hash
+with probability 3 %, and is then kept.
 
 Defined cases. Null or blank text: no words, nothing removed. Fewer words than
 ``span``: nothing removed. Rows without id: kept whole, no reference. Repeated rows
-of one id: none is earlier than the other, both stay. Ids with several texts: all
-of them are references. Other columns pass through the stage unchanged.
+of one id: none is earlier than the other, both stay. Ids with several texts: each
+text is parsed by itself and all of them are references (told apart by CRC-32, so two
+texts of one id are confused with probability 2**-32). Other columns pass through
+the stage unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +41,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -44,10 +53,16 @@ from .textops import U64, Words, chunks, roll, runs
 class Parsing:
     span: int = 13
     gram: int = 4
+    #: Words of a reference block; a power of two.
+    block: int = 64
     #: Documents from which on an anchor counts as hot; it changes the plan, not the result.
     hot: int = 3000
 
 
+#: A place is the CRC-32 of a text and a word's position in it, in one number.
+_POSITION_BITS = 31
+
+
 def _hashes(column: pa.Array, how: Parsing) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
     """The words, the hash and the anchor of the window that starts at each of them, and the end of each document's windows."""
     words = Words(column)
@@ -61,8 +76,17 @@ def _hashes(column: pa.Array, how: Parsing) -> tuple[Words, np.ndarray, np.ndarr
     return words, windows, anchors, ends
 
 
+def _rows(names: tuple[str, ...], *columns: np.ndarray):
+    for i in range(0, len(columns[0]), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 100_000]) for c in columns], names=list(names))
+
+
+def _numpy(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).to_numpy(zero_copy_only=False)
+
+
 def _anchor_rows(how: Parsing):
-    """Text batches to (anchor, doc_id): each document's anchors, a run of equal ones once."""
+    """Text batches to (anchor, doc_id, part): each document's anchors, a run of equal ones once."""
 
     def run(batches):
         for batch in chunks(batches):
@@ -73,89 +97,150 @@ def _anchor_rows(how: Parsing):
             key = anchors[at]
             new = np.ones(len(key), bool)
             new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            key, ids = key[new].view(np.int64), ids[doc[new]]
-            for i in range(0, len(key), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 100_000]), pa.array(ids[i : i + 100_000])], names=["anchor", "doc_id"])
+            yield from _rows(("anchor", "doc_id", "part"), key[new].view(np.int64), _numpy(batch, "doc_id")[doc[new]], _numpy(batch, "part")[doc[new]])
 
     return run
 
 
 def _window_rows(how: Parsing):
-    """(doc_id, text, anchors) batches to (win, doc_id): each document's distinct windows on those anchors."""
+    """(doc_id, part, text, anchors) batches to (win, doc_id, place): each document's distinct windows on those anchors, at their first places."""
 
     def run(batches):
         for batch in chunks(batches):
             words, windows, anchors, ends = _hashes(batch.column("text"), how)
             wanted = batch.column("anchors")
-            found, count = [], []
-            for d in range(words.n_docs):
+            found, place, count = [], [], []
+            for d, part in enumerate(_numpy(batch, "part").tolist()):
                 lo, hi = words.first[d], ends[d]
-                mask = np.isin(anchors[lo:hi], wanted[d].values.to_numpy(zero_copy_only=False).view(U64))
-                found.append(np.unique(windows[lo:hi][mask]))
-                count.append(len(found[-1]))
-            ids = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), count)
-            key = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-            for i in range(0, len(key), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 100_000]), pa.array(ids[i : i + 100_000])], names=["win", "doc_id"])
+                at = np.flatnonzero(np.isin(anchors[lo:hi], wanted[d].values.to_numpy(zero_copy_only=False).view(U64)))
+                first = np.sort(np.unique(windows[lo:hi][at], return_index=True)[1])
+                found.append(windows[lo:hi][at[first]])
+                place.append(at[first] + (part << _POSITION_BITS))
+                count.append(len(first))
+            if found:
+                yield from _rows(("win", "doc_id", "place"), np.concatenate(found).view(np.int64), np.repeat(_numpy(batch, "doc_id"), count), np.concatenate(place))
 
     return run
 
 
-_PARSED = "struct<n_words: bigint, n_removed: bigint, kept_sha256: string, text: binary, factors: array<struct<start: bigint, length: bigint, source: bigint>>>"
-_PARSED_ARROW = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.binary()), ("factors", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("source", pa.int64())])))])
+def _needed(how: Parsing):
+    """Arrow UDF of found windows (pos, source, at) to the distinct blocks (source, ref) that their words stand in."""
+
+    def run(found: pa.Array) -> pa.Array:
+        values = found.flatten()
+        source, at = (values.field(c).to_numpy(zero_copy_only=False) for c in ("source", "at"))
+        row = np.repeat(np.arange(len(found)), np.diff(found.offsets.to_numpy()))
+        ref = np.concatenate([at, at + how.span - 1]) & ~np.int64(how.block - 1)
+        row, source = np.tile(row, 2), np.tile(source, 2)
+        order = np.lexsort((ref, source, row))
+        row, source, ref = row[order], source[order], ref[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (source[1:] != source[:-1]) | (ref[1:] != ref[:-1])
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(row[new], minlength=len(found)))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(source[new]), pa.array(ref[new])], names=["source", "ref"]))
+
+    return F.arrow_udf(run, "array<struct<source: bigint, ref: bigint>>")
+
+
+_BLOCKS = pa.list_(pa.struct([("ref", pa.int64()), ("words", pa.binary())]))
+
+
+def _blocks(how: Parsing):
+    """Arrow UDF of texts and lists of refs to those blocks, words joined by one space."""
+
+    def run(text: pa.Array, refs: pa.Array) -> pa.Array:
+        out = []
+        for data, own in zip(text.to_pylist(), refs.to_pylist()):
+            words = (data or b"").split()
+            places = ((ref, ref & ((1 << _POSITION_BITS) - 1)) for ref in own)
+            out.append([{"ref": ref, "words": b" ".join(words[p : p + how.block])} for ref, p in places])
+        return pa.array(out, _BLOCKS)
+
+    return F.arrow_udf(run, "array<struct<ref: bigint, words: binary>>")
+
+
+def factors(words: list[bytes], starts: list[int], sources: list[tuple[int, int]], blocks: dict[tuple[int, int], list[bytes]], how: Parsing) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (first word, words, source document, place there) of one document.
+
+    starts: where its windows with a source begin, ascending; sources: (document, place)
+    of each; blocks: words by (document, place of the block's first word).
+    """
+    out: list[tuple[int, int, int, int]] = []
+    end, k = 0, 0
+    begins = np.asarray(starts, np.int64)
+    while k < len(starts):
+        s, (source, place) = starts[k], sources[k]
+        length = 0
+        while True:
+            ref = (place + length) & -how.block
+            block = blocks.get((source, ref))
+            if block is None:
+                break
+            theirs = block[place + length - ref :]
+            ours = words[s + length : s + length + len(theirs)]
+            same = len(ours) if ours == theirs else next((i for i, (a, b) in enumerate(zip(ours, theirs)) if a != b), min(len(ours), len(theirs)))
+            length += same
+            if same < len(theirs) or len(block) < how.block or not theirs:
+                break
+        k += 1
+        if length >= how.span:
+            out.append((s, length, source, place))
+            end = s + length
+            k = max(k, int(np.searchsorted(begins, end - how.span + 1)))  # windows over the border are still to be checked
+    return out
+
+
+_FACTORS = "array<struct<start: bigint, length: bigint, source: bigint, place: bigint>>"
+_PARSED = f"struct<n_words: bigint, n_removed: bigint, kept_sha256: string, text: binary, factors: {_FACTORS}>"
+_PARSED_ARROW = pa.struct([("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("text", pa.binary()), ("factors", pa.list_(pa.struct([(c, pa.int64()) for c in ("start", "length", "source", "place")])))])
 
 
 def _parse(how: Parsing, with_text: bool):
-    """Arrow UDF of (text, found windows with their sources, source of the whole text) to what is left and the factors."""
+    """Arrow UDF of (text, found windows with their sources, reference blocks, source of the whole text) to what is left and the factors."""
 
-    def run(text: pa.Array, found: pa.Array, copy_of: pa.Array) -> pa.Array:
+    def run(text: pa.Array, found: pa.Array, blocks: pa.Array, copy_of: pa.Array) -> pa.Array:
         out = []
         raw = text.to_pylist()
         whole = copy_of.to_pylist()
         some = np.flatnonzero(~np.asarray(found.is_null()))
-        spans: dict[int, list] = {}
+        known: dict[int, tuple] = {}
         for lo in range(0, len(some), 256):
             part = some[lo : lo + 256]
             words, windows, _, ends = _hashes(text.take(pa.array(part)), how)
             for d, row in enumerate(part.tolist()):
-                first, end = words.first[d], ends[d]
-                known = found[row].values
-                keys = known.field("win").to_numpy(zero_copy_only=False).view(U64)
-                source = known.field("source").to_numpy(zero_copy_only=False)
+                own = windows[words.first[d] : ends[d]]
+                hits = found[row].values
+                pos, source, at = (hits.field(c).to_numpy(zero_copy_only=False) for c in ("pos", "source", "at"))
+                keys = own[pos]
                 order = np.argsort(keys)
-                keys, source = keys[order], source[order]
-                own = windows[first:end]
+                keys = keys[order]
                 slot = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                spans[row] = _factors(np.flatnonzero(keys[slot] == own), source[slot], how.span)
+                starts = np.flatnonzero(keys[slot] == own)
+                hit = order[slot[starts]]
+                known[row] = starts.tolist(), list(zip(source[hit].tolist(), at[hit].tolist()))
         for row, data in enumerate(raw):
             words = (data or b"").split()
             n = len(words)
-            factors = [(0, n, whole[row])] if whole[row] is not None and n >= how.span else spans.get(row, [])
+            parsed = []
+            if whole[row] is not None and n >= how.span:
+                parsed = [(0, n, whole[row], 0)]
+            elif row in known and blocks[row].is_valid:
+                own = {(b["source"], b["ref"]): b["words"].split(b" ") for b in blocks[row].as_py()}
+                parsed = factors(words, *known[row], own, how)
             keep, cleaned = words, data
-            if factors:
+            if parsed:
                 mask = np.ones(n, bool)
-                for start, length, _ in factors:
+                for start, length, _, _ in parsed:
                     mask[start : start + length] = False
                 keep = list(compress(words, mask.tolist()))
                 if with_text:
                     cleaned = _without(text.slice(row, 1), mask)
-            out.append({"n_words": n, "n_removed": n - len(keep), "kept_sha256": None if with_text else hashlib.sha256(b" ".join(keep)).hexdigest(), "text": cleaned if with_text else None, "factors": [dict(zip(("start", "length", "source"), map(int, f))) for f in factors]})
+            out.append({"n_words": n, "n_removed": n - len(keep), "kept_sha256": None if with_text else hashlib.sha256(b" ".join(keep)).hexdigest(), "text": cleaned if with_text else None, "factors": [dict(zip(("start", "length", "source", "place"), f)) for f in parsed]})
         return pa.array(out, _PARSED_ARROW)
 
     return F.arrow_udf(run, _PARSED)
 
 
-def _factors(starts: np.ndarray, source: np.ndarray, span: int) -> list[tuple[int, int, int]]:
-    """Longest stretches of windows that follow each other in one reference document, as (first word, words, document)."""
-    if not len(starts):
-        return []
-    own = source[starts]
-    begin = np.flatnonzero(np.concatenate([[True], (np.diff(starts) != 1) | (own[1:] != own[:-1])]))
-    size = np.diff(np.append(begin, len(starts)))
-    return [(int(starts[b]), int(n + span - 1), int(own[b])) for b, n in zip(begin.tolist(), size.tolist())]
-
-
 def _without(text: pa.Array, keep: np.ndarray) -> bytes:
     """The text less its words outside ``keep``, each with the white space after it."""
     words = Words(text)
@@ -167,34 +252,52 @@ def _without(text: pa.Array, keep: np.ndarray) -> bytes:
     return b"".join(parts)
 
 
+def _found(texts: DataFrame, copies: DataFrame, how: Parsing) -> DataFrame:
+    """(doc_id, place, source, at): windows of texts (doc_id, part, text) and the first place of each in a document with a smaller id."""
+    anchors = texts.mapInArrow(_anchor_rows(how), "anchor bigint, doc_id bigint, part bigint")
+    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("anchor", (F.col("n") >= how.hot).alias("hot"))
+    wanted = anchors.join(shared, "anchor").groupBy("doc_id", "part", "hot").agg(F.collect_set("anchor").alias("anchors"))
+    wanted = frames.cut(wanted.join(copies.select("doc_id", "part"), ["doc_id", "part"], "left_anti"))
+    # from here on one job: all its joins with the texts read one shuffle of them
+    windows = lambda hot: texts.join(wanted.filter(F.col("hot") == hot).drop("hot"), ["doc_id", "part"]).mapInArrow(_window_rows(how), "win bigint, doc_id bigint, place bigint")
+    here = F.struct(F.col("doc_id").alias("source"), F.col("place").alias("at"))
+    cold = windows(False).withColumn("first", F.min(here).over(Window.partitionBy("win")))
+    many = windows(True)
+    index = many.groupBy("win").agg(F.min(here).alias("first"), F.max("doc_id").alias("hi")).filter("first.source < hi").drop("hi")
+    columns = ("doc_id", "place", "first.source", "first.at")
+    return cold.filter("first.source < doc_id").select(*columns).union(many.join(index, "win").filter("first.source < doc_id").select(*columns))
+
+
+def _part(text: Column) -> Column:
+    return F.coalesce(F.crc32(text), F.lit(0))
+
+
 def parse(docs: DataFrame, how: Parsing = Parsing(), with_text: bool = False) -> DataFrame:
     """docs with the struct column ``parsed``: n_words, n_removed, factors, and the hash of the kept words or, with_text, the text that is left."""
     name = frames.free_name(docs, "parsed")
-    t, f, c = (frames.free_name(docs, x) for x in ("bytes_", "found_", "copy_of_"))
-    keyed = docs.filter("doc_id is not null").withColumn(t, F.col("text").cast("binary"))
-    texts = keyed.select("doc_id", F.col(t).alias("text"))
+    t, p, f, b, c, k1, k2 = (frames.free_name(docs, x) for x in ("bytes_", "part_", "found_", "blocks_", "copy_of_", "id_", "its_part_"))
+    keyed = docs.filter("doc_id is not null").withColumn(t, F.col("text").cast("binary")).withColumn(p, _part(F.col(t)))
+    texts = keyed.select("doc_id", F.col(p).alias("part"), F.col(t).alias("text"))
     # exact copies of whole texts, of which only the first is indexed
-    prints = texts.select("doc_id", F.sha2("text", 256).alias("print"))
+    prints = texts.select("doc_id", "part", F.sha2("text", 256).alias("print"))
     first = frames.cut(prints.groupBy("print").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n")).filter("n > 1").drop("n"))
-    copies = frames.cut(prints.join(first, "print").filter("doc_id > copy_of").groupBy("doc_id").agg(F.min("copy_of").alias("copy_of")))
-    anchors = texts.mapInArrow(_anchor_rows(how), "anchor bigint, doc_id bigint")
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("anchor", (F.col("n") >= how.hot).alias("hot"))
-    wanted = anchors.join(shared, "anchor").groupBy("doc_id", "hot").agg(F.collect_set("anchor").alias("anchors"))
-    wanted = frames.cut(wanted.join(copies.select("doc_id"), "doc_id", "left_anti"))
-    # from here on one job: all its joins with the texts read one shuffle of them
-    columns = "win bigint, doc_id bigint"
-    windows = lambda hot: texts.join(wanted.filter(F.col("hot") == hot).drop("hot"), "doc_id").mapInArrow(_window_rows(how), columns)
-    earlier = F.min("doc_id").over(Window.partitionBy("win"))
-    cold = windows(False).withColumn("source", earlier).filter("source < doc_id")
-    many = windows(True)
-    index = many.groupBy("win").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("hi")).filter("source < hi").drop("hi")
-    hot = many.join(index, "win").filter("source < doc_id").select("win", "doc_id", "source")
-    found = cold.select("win", "doc_id", "source").union(hot)
-    by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("win", "source")).alias(f))
-    joined = keyed.join(by_doc, "doc_id", "left").join(copies.select("doc_id", F.col("copy_of").alias(c)), "doc_id", "left")
-    nameless = docs.filter("doc_id is null").withColumn(t, F.col("text").cast("binary")).withColumn(f, F.lit(None).cast("array<struct<win: bigint, source: bigint>>")).withColumn(c, F.lit(None).cast("bigint"))
-    every = joined.select(*docs.columns, t, f, c).union(nameless.select(*docs.columns, t, f, c))
-    return every.select(*docs.columns, _parse(how, with_text)(F.col(t), F.col(f), F.col(c)).alias(name))
+    copies = frames.cut(prints.join(first, "print").filter("doc_id > copy_of").groupBy("doc_id", "part").agg(F.min("copy_of").alias("copy_of")))
+    by_doc = _found(texts, copies, how).groupBy("doc_id", F.shiftright("place", _POSITION_BITS).alias("part"))
+    by_doc = by_doc.agg(F.collect_list(F.struct(F.col("place").bitwiseAND((1 << _POSITION_BITS) - 1).alias("pos"), "source", "at")).alias("found"))
+    asked = by_doc.select("doc_id", "part", F.explode(_needed(how)("found")).alias("x")).select("doc_id", "part", "x.source", "x.ref")
+    wanted = asked.select("source", "ref").distinct().groupBy(F.col("source").alias("doc_id"), F.shiftright("ref", _POSITION_BITS).alias("part")).agg(F.collect_list("ref").alias("refs"))
+    blocks = texts.join(wanted, ["doc_id", "part"]).select(F.col("doc_id").alias("source"), F.explode(_blocks(how)("text", "refs")).alias("x")).select("source", "x.ref", "x.words")
+    blocks = asked.join(blocks, ["source", "ref"]).groupBy("doc_id", "part").agg(F.collect_list(F.struct("source", "ref", "words")).alias("blocks"))
+    every = keyed
+    for side, column, to in ((by_doc, "found", f), (blocks, "blocks", b), (copies, "copy_of", c)):
+        side = side.select(F.col("doc_id").alias(k1), F.col("part").alias(k2), F.col(column).alias(to))
+        every = every.join(side, (F.col("doc_id") == F.col(k1)) & (F.col(p) == F.col(k2)), "left").drop(k1, k2)
+    nameless = docs.filter("doc_id is null").withColumn(t, F.col("text").cast("binary"))
+    for to in (f, b, c):
+        nameless = nameless.withColumn(to, F.lit(None).cast(every.schema[to].dataType))
+    columns = [*("`" + x.replace("`", "``") + "`" for x in docs.columns), t, f, b, c]
+    every = every.select(*columns).union(nameless.select(*columns))
+    return every.select(*columns[: len(docs.columns)], _parse(how, with_text)(F.col(t), F.col(f), F.col(b), F.col(c)).alias(name))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,6 +308,5 @@ def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Pipeline stage: repeated passages cut out of the texts; n_chars follows."""
     frames.ship(spark)
     name = frames.free_name(docs, "parsed")
-    rest = parse(docs, with_text=True)
-    changed = rest.withColumn("text", F.col(f"{name}.text").cast("string")).drop(name)
-    return changed.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else changed.select(*docs.columns)
+    changed = parse(docs, with_text=True).withColumn("text", F.col(f"{name}.text").cast("string"))
+    return frames.same_columns(frames.with_length(changed), docs)

@@ -190,7 +190,6 @@ def test_packing(spark, rows, folder):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(bpe.default_path())
-    t.encode_special_tokens = True
     ids = {r[0]: t.encode(r[1] or "", add_special_tokens=False).ids + [1] for r in rows}
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in got:
@@ -221,8 +220,7 @@ def test_ids_are_the_tokenizers(rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(bpe.default_path())
-    t.encode_special_tokens = True
-    texts = [r[1] for r in rows] + ["a  b", "　x  y", " \n \t z", "don't  we'll 12 345 ##"]
+    texts = [r[1] for r in rows] + ["a  b", "　x  y", " \n \t z", "don't  we'll 12 345 ##", "<|endoftext|>", "a<|endoftext|><|endoftext|> b", "x  <|endoftext|>", "<|endoftext|", "<|endof", "text|>"]
     ids, counts = bpe.encode(pa.array(texts), bpe.default_path())
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
@@ -273,7 +271,7 @@ def test_classifier(spark, rows, folder):
     fine = lambda: " ".join(rng.choice(["ab", "cd", "ef", "gh"]) for _ in range(50))
     texts = [f() for _ in range(150) for f in (junk, fine)]
     labels = np.array([0, 1] * 150)
-    model = quality_classifier.train(pa.array(texts[:200], pa.binary()) if False else pa.array(texts[:200]).cast(pa.binary()), labels[:200], quality_classifier.Training())
+    model = quality_classifier.train(pa.array(texts[:200]).cast(pa.binary()), labels[:200], quality_classifier.Training())
     held = quality_classifier.scores(pa.array(texts[200:]).cast(pa.binary()), model)
     assert ((held >= 0.3) == labels[200:]).mean() > 0.97
     one = quality_classifier.train(pa.array([b"a"]), np.array([1]), quality_classifier.Training())

@@ -157,4 +157,4 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = frames.table(spark, sf_dir, "labels").filter(~held_out)
     how = Training()
     model = fit(training_rows(docs, labels, how), how)
-    return score(docs, model, how.threshold).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    return score(docs, model, how.threshold).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")

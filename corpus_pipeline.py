@@ -24,7 +24,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the shared folder and read back."""
     docs = frames.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = frames.new_folder(spark, f"pipeline-{name}")
+        path = f"{frames.new_folder(spark, f'pipeline-{name}')}/docs"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

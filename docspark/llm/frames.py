@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -92,6 +93,18 @@ def new_folder(spark: SparkSession, stem: str) -> str:
     return uri
 
 
+def delete(spark: SparkSession, uri: str) -> None:
+    """Remove a run's own files that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of frames that are out of use: it does so once the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def unsigned_crc32(doc_id: Column) -> Column:
     """crc32 of the id written as text; null for null."""
     return F.crc32(doc_id.cast("string").cast("binary"))

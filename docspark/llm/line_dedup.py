@@ -17,7 +17,7 @@ tokens are digit fields nothing is masked, so tables of numbers aren't one templ
 
 At scale: equal lines of a chunk of texts are one row with the number of its
 documents. Leaves are grouped by a shuffle and worked off with vectorised counts. A
-leaf with more rows than both ``leaf_rows`` and a hundred-thousandth of all lines isn't
+leaf with more rows than both ``leaf_rows`` and a hundred-thousandth of all rows isn't
 gathered: its tokens are counted by (leaf, place, token) in Spark, with sums before the
 shuffle and joins that adaptive execution can split. Both ways give the same
 templates; the names of such leaves, 100 000 at most, go through the driver.
@@ -97,7 +97,7 @@ class Lines:
 
 
 def _key_rows(how: Templates):
-    """Text batches to (line, leaf, doc_id), each document's lines once."""
+    """Text batches to (line, leaf, doc_id), each document's lines once; leaf is 0 but at a line's first document in a chunk, as it has one row of tokens there."""
 
     def run(batches):
         for batch in chunks(batches):
@@ -108,6 +108,9 @@ def _key_rows(how: Templates):
             new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[doc[new]]
             key, leaf = key[new].view(np.int64), leaf[new].view(np.int64)
+            again = np.ones(len(key), bool)
+            again[np.unique(key, return_index=True)[1]] = False
+            leaf[again] = 0
             for i in range(0, len(key), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (key, leaf, ids)], names=["line", "leaf", "doc_id"])
 
@@ -219,7 +222,7 @@ def _templates_of_big_leaves(rows: DataFrame, how: Templates) -> DataFrame:
 
 
 def lines_of(docs: DataFrame, how: Templates = Templates()) -> tuple[DataFrame, DataFrame]:
-    """(line, leaf, doc_id) of all lines, and (line, template) of those that generalise."""
+    """(line, leaf or 0, doc_id) of all lines, and (line, template) of those that generalise."""
     texts = docs.filter("doc_id is not null and text is not null").select("doc_id", F.col("text").cast("binary").alias("text"))
     lines = frames.cut(texts.mapInArrow(_key_rows(how), "line bigint, leaf bigint, doc_id bigint"))
     leaves = lines.filter("leaf <> 0").groupBy("leaf").agg(F.count("*").alias("n"))
@@ -229,7 +232,9 @@ def lines_of(docs: DataFrame, how: Templates = Templates()) -> tuple[DataFrame,
     members = rows(False).repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_templates_of_leaves(how), "line bigint, template bigint")
     if len(big):
         members = members.union(_templates_of_big_leaves(rows(True), how))
-    return lines, frames.cut(members.distinct())
+    members = frames.cut(members.distinct())
+    frames.release(docs.sparkSession)  # the shuffle of the tokens is done with
+    return lines, members
 
 
 def recurring(docs: DataFrame, how: Templates = Templates()) -> tuple[DataFrame, DataFrame]:

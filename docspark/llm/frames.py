@@ -7,33 +7,26 @@ import os
 import re
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
+
 
-_shipped: set[str] = set()
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows of an Arrow batch: whole texts make it large, in the JVM and in each Python worker.
 ARROW_ROWS = 2000
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once an application; hold Arrow batches of texts to ARROW_ROWS."""
+    """Send this package to the Python workers, once an application; hold Arrow batches of texts to ARROW_ROWS.
+
+    The setting is the session's and stays, since frames are worked off after this call; a smaller one is left as it is.
+    """
     if int(spark.conf.get(_ROWS)) > ARROW_ROWS:
         spark.conf.set(_ROWS, ARROW_ROWS)
-    context = spark.sparkContext
-    if context.applicationId in _shipped:
-        return
-    root = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="docspark-")
-    with zipfile.ZipFile(f"{folder}/{root.name}.zip", "w") as z:
-        for path in sorted(root.rglob("*.py")):
-            z.write(path, path.relative_to(root.parent))
-    context.addPyFile(f"{folder}/{root.name}.zip")
-    _shipped.add(context.applicationId)
+    session.ship(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

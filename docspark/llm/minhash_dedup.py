@@ -194,7 +194,8 @@ def near_duplicates(docs: DataFrame, how: Sketching = Sketching()) -> DataFrame:
     # second round: classes around one smallest class that are still in different components
     root = labels.select(F.col("node").alias("b"), "root")
     around = pairs.join(root, "b", "left").select("a", "b", F.coalesce("root", "b").alias("root"))
-    mixed = around.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("lo < hi").select("a", "blocks")
+    # cut, so that the join back is a plain one, whose hot buckets adaptive execution can split
+    mixed = frames.cut(around.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("lo < hi").select("a", "blocks"))
     around = around.join(mixed, "a").withColumn("block", F.pmod(F.xxhash64("b"), "blocks").cast("int"))
     around = around.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("left", F.least("block", "with")).withColumn("right", F.greatest("block", "with"))
     around = around.drop("blocks", "with").join(texts.withColumnRenamed("id", "b"), "b")
@@ -218,4 +219,4 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Pipeline stage: the smallest document of each component of near duplicates (five-word shingles, 0.8)."""
     frames.ship(spark)
     dropped = near_duplicates(docs.select("doc_id", "text")).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return frames.same_columns(docs.join(dropped, "doc_id", "left_anti"), docs)

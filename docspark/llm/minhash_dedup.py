@@ -135,7 +135,7 @@ def compare(pairs: DataFrame, texts: DataFrame, how: Sketching) -> DataFrame:
 
 
 #: Classes that are compared with each other in one task.
-BLOCK = 500
+BLOCK = 250
 
 
 def _link_blocks(how: Sketching):
@@ -189,8 +189,10 @@ def near_duplicates(docs: DataFrame, how: Sketching = Sketching()) -> DataFrame:
     texts = spark.read.parquet(f"{folder}/texts")
     linked = F.col("shared") * 100 >= F.col("whole") * how.percent
     first = frames.cut(compare(pairs, texts, how))
-    labels = graph.components(first.filter(linked).select("a", "b"))
-    labels = frames.cut(labels)
+    # an id with several texts holds their classes together
+    several = members.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("z")).filter("a < z").select("doc_id", "a")
+    same_id = members.join(several, "doc_id").filter("class_id > a").select("a", F.col("class_id").alias("b"))
+    labels = frames.cut(graph.components(first.filter(linked).select("a", "b").union(same_id)))
     # second round: classes around one smallest class that are still in different components
     root = labels.select(F.col("node").alias("b"), "root")
     around = pairs.join(root, "b", "left").select("a", "b", F.coalesce("root", "b").alias("root"))

@@ -11,6 +11,11 @@ already there is skipped, and Spark's output committer puts the marker file last
 batch that failed half-way isn't seen and can be sent again. Sending a batch twice
 changes nothing.
 
+``compact`` sums all committed batches into a new base, whose table of batch names is
+written last and makes it valid; then their folders go. Names stay known, so a replay
+after a compaction still changes nothing, and a compaction that failed half-way is
+ignored and can be run again.
+
 Defined cases. Null or empty text: no tokens, one document. Null source or lang: a
 group of its own. Repeated rows: each is a change of its own. An op other than
 insert or delete raises an error. Groups whose documents and tokens come to 0 stay
@@ -65,8 +70,27 @@ class Ledger:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(uri)
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
 
+    def _folders(self, kind: str, marker: str) -> list[str]:
+        """Names of the committed folders of a kind; few, as compaction merges batches."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        store = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in store.listStatus(root)] if store.exists(root) else []
+        return sorted(n for n in names if n.startswith(f"{kind}=") and self._exists(f"{self.folder}/{n}/{marker}"))
+
+    def _base(self) -> str | None:
+        """The latest valid base: bases are numbered."""
+        bases = self._folders("base", "names/_SUCCESS")
+        return f"{self.folder}/{max(bases, key=lambda n: int(n[5:]))}" if bases else None
+
+    def _merged(self) -> DataFrame | None:
+        base = self._base()
+        return self.spark.read.parquet(f"{base}/names") if base else None
+
     def committed(self, batch: str) -> bool:
-        return self._exists(f"{self.folder}/batch={batch}/_SUCCESS")
+        if self._exists(f"{self.folder}/batch={batch}/_SUCCESS"):
+            return True
+        merged = self._merged()
+        return merged is not None and not merged.filter(F.col("batch") == batch).isEmpty()
 
     def apply(self, batch: str, changes: DataFrame) -> bool:
         """Commit a batch; False if it was committed before."""
@@ -81,17 +105,42 @@ class Ledger:
         return self.apply(batch, before.select(F.lit(DELETE).alias("op"), *columns).union(after.select(F.lit(INSERT).alias("op"), *columns)))
 
     def _batches(self) -> list[str]:
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        store = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        names = [s.getPath().getName() for s in store.listStatus(root)] if store.exists(root) else []
-        return sorted(n for n in names if n.startswith("batch=") and self._exists(f"{self.folder}/{n}/_SUCCESS"))
+        """Committed batches that no base holds."""
+        names = self._folders("batch", "_SUCCESS")
+        merged = self._merged()
+        if merged is None or not names:
+            return names
+        held = {r.batch for r in merged.filter(F.col("batch").isin([n[6:] for n in names])).collect()}  # of the folders listed
+        return [n for n in names if n[6:] not in held]
+
+    def _rows(self) -> DataFrame | None:
+        """Deltas of the base and of the batches after it."""
+        base = self._base()
+        parts = ([f"{base}/deltas"] if base else []) + [f"{self.folder}/{b}" for b in self._batches()]
+        return self.spark.read.parquet(*parts) if parts else None
+
+    def compact(self) -> bool:
+        """Sum all batches into a new base; False if there is none to sum."""
+        batches, merged = self._batches(), self._merged()
+        if not batches:
+            return False
+        numbers = [int(n[5:]) for n in self._folders("base", "names/_SUCCESS")]
+        base = f"{self.folder}/base={max(numbers, default=0) + 1}"
+        sums = self._rows().groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        sums.write.mode("overwrite").parquet(f"{base}/deltas")
+        names = self.spark.createDataFrame([(b[6:],) for b in batches], "batch string")
+        (names if merged is None else merged.unionByName(names)).write.mode("overwrite").parquet(f"{base}/names")
+        for b in batches:
+            frames.delete(self.spark, f"{self.folder}/{b}")
+        for n in numbers:
+            frames.delete(self.spark, f"{self.folder}/base={n}")
+        return True
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens) over all committed batches."""
-        batches = self._batches()
-        if not batches:
+        rows = self._rows()
+        if rows is None:
             return self.spark.createDataFrame([], "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint")
-        rows = self.spark.read.parquet(*(f"{self.folder}/{b}" for b in batches))
         summed = rows.groupBy(*KEYS).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
         return summed.filter("n_docs <> 0 or n_tokens <> 0")
 

@@ -6,6 +6,7 @@ import gc
 import os
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -93,9 +94,11 @@ def delete(spark: SparkSession, uri: str) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of frames that are out of use: it does so once the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark drop the shuffle files of frames that are out of use: it does so in the background, once the driver's garbage is collected."""
+    for _ in range(2):  # what Python lets go in the first round is garbage of the JVM's in the second
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def unsigned_crc32(doc_id: Column) -> Column:

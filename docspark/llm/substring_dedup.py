@@ -28,8 +28,8 @@ with probability 3 %, and is then kept.
 Defined cases. Null or blank text: no words, nothing removed. Fewer words than
 ``span``: nothing removed. Rows without id: kept whole, no reference. Repeated rows
 of one id: none is earlier than the other, both stay. Ids with several texts: each
-text is parsed by itself and all of them are references (told apart by CRC-32, so two
-texts of one id are confused with probability 2**-32). Other columns pass through
+text is parsed by itself and all of them are references (texts of such an id are told
+apart by CRC-32, so two of them are confused with probability 2**-32). Other columns pass through
 the stage unchanged, whatever their names.
 """
 
@@ -41,7 +41,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -52,14 +52,15 @@ from .textops import U64, Words, chunks, roll, runs
 @dataclass(frozen=True)
 class Parsing:
     span: int = 13
-    gram: int = 4
+    #: Longer grams are shared by chance less often, but make more anchors; changes the plan, not the result.
+    gram: int = 6
     #: Words of a reference block; a power of two.
     block: int = 64
     #: Documents from which on an anchor counts as hot; it changes the plan, not the result.
     hot: int = 3000
 
 
-#: A place is the CRC-32 of a text and a word's position in it, in one number.
+#: A place is a text's part (0, but its CRC-32 for ids with several texts) and a word's position, in one number.
 _POSITION_BITS = 31
 
 
@@ -252,14 +253,21 @@ def _without(text: pa.Array, keep: np.ndarray) -> bytes:
     return b"".join(parts)
 
 
-def _found(texts: DataFrame, copies: DataFrame, how: Parsing) -> DataFrame:
-    """(doc_id, place, source, at): windows of texts (doc_id, part, text) and the first place of each in a document with a smaller id."""
-    anchors = texts.mapInArrow(_anchor_rows(how), "anchor bigint, doc_id bigint, part bigint")
+def _wanted(texts: DataFrame, copies: DataFrame, how: Parsing) -> DataFrame:
+    """(doc_id, part, hot, anchors): the anchors of each text that other documents have, copies left out."""
+    t, p = texts.columns[1:]
+    anchors = texts.withColumnsRenamed({t: "text", p: "part"}).mapInArrow(_anchor_rows(how), "anchor bigint, doc_id bigint, part bigint")
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("anchor", (F.col("n") >= how.hot).alias("hot"))
     wanted = anchors.join(shared, "anchor").groupBy("doc_id", "part", "hot").agg(F.collect_set("anchor").alias("anchors"))
-    wanted = frames.cut(wanted.join(copies.select("doc_id", "part"), ["doc_id", "part"], "left_anti"))
+    return frames.cut(wanted.join(copies.select("doc_id", "part"), ["doc_id", "part"], "left_anti"))
+
+
+def _found(texts: DataFrame, copies: DataFrame, how: Parsing) -> DataFrame:
+    """(doc_id, place, source, at): windows of texts (doc_id, text, part) and the first place of each in a document with a smaller id."""
+    wanted = _wanted(texts, copies, how)
+    frames.release(texts.sparkSession)  # the shuffles of the anchors are done with
     # from here on one job: all its joins with the texts read one shuffle of them
-    windows = lambda hot: texts.join(wanted.filter(F.col("hot") == hot).drop("hot"), ["doc_id", "part"]).mapInArrow(_window_rows(how), "win bigint, doc_id bigint, place bigint")
+    windows = lambda hot: _joined(texts, wanted.filter(F.col("hot") == hot).drop("hot")).mapInArrow(_window_rows(how), "win bigint, doc_id bigint, place bigint")
     here = F.struct(F.col("doc_id").alias("source"), F.col("place").alias("at"))
     cold = windows(False).withColumn("first", F.min(here).over(Window.partitionBy("win")))
     many = windows(True)
@@ -268,25 +276,39 @@ def _found(texts: DataFrame, copies: DataFrame, how: Parsing) -> DataFrame:
     return cold.filter("first.source < doc_id").select(*columns).union(many.join(index, "win").filter("first.source < doc_id").select(*columns))
 
 
-def _part(text: Column) -> Column:
-    return F.coalesce(F.crc32(text), F.lit(0))
+def _joined(texts: DataFrame, side: DataFrame) -> DataFrame:
+    """(doc_id, text, part, ...) of the texts that side (doc_id, part, ...) names; renamed after the shuffle, so that all joins share it."""
+    t, p = texts.columns[1:]
+    return texts.join(side.withColumnRenamed("part", p), ["doc_id", p]).withColumnsRenamed({t: "text", p: "part"})
+
+
+def _with_part(keyed: DataFrame, t: str, p: str) -> DataFrame:
+    """keyed with the column p: 0, but the CRC-32 of the text for ids that have several texts."""
+    nothing = F.coalesce(F.length(t) * 0, F.lit(0)).cast("long")  # not a literal, which joins would plan away
+    print_ = F.crc32(t)
+    several = frames.cut(keyed.select("doc_id", print_.alias("x")).groupBy("doc_id").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).filter("lo < hi").select("doc_id"))
+    if several.isEmpty():
+        return keyed.withColumn(p, nothing)
+    flag, key = frames.free_name(keyed, "several_"), frames.free_name(keyed, "its_id_")
+    marked = keyed.join(several.select(F.col("doc_id").alias(key), F.lit(True).alias(flag)), F.col("doc_id") == F.col(key), "left")
+    return marked.withColumn(p, F.when(F.col(flag), F.coalesce(print_, F.lit(0))).otherwise(nothing)).drop(flag, key)
 
 
 def parse(docs: DataFrame, how: Parsing = Parsing(), with_text: bool = False) -> DataFrame:
     """docs with the struct column ``parsed``: n_words, n_removed, factors, and the hash of the kept words or, with_text, the text that is left."""
     name = frames.free_name(docs, "parsed")
     t, p, f, b, c, k1, k2 = (frames.free_name(docs, x) for x in ("bytes_", "part_", "found_", "blocks_", "copy_of_", "id_", "its_part_"))
-    keyed = docs.filter("doc_id is not null").withColumn(t, F.col("text").cast("binary")).withColumn(p, _part(F.col(t)))
-    texts = keyed.select("doc_id", F.col(p).alias("part"), F.col(t).alias("text"))
+    keyed = _with_part(docs.filter("doc_id is not null").withColumn(t, F.col("text").cast("binary")), t, p)
+    texts = keyed.select("doc_id", t, p)  # names and order of keyed, so that both share a shuffle
     # exact copies of whole texts, of which only the first is indexed
-    prints = texts.select("doc_id", "part", F.sha2("text", 256).alias("print"))
+    prints = texts.select("doc_id", F.col(p).alias("part"), F.sha2(t, 256).alias("print"))
     first = frames.cut(prints.groupBy("print").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     copies = frames.cut(prints.join(first, "print").filter("doc_id > copy_of").groupBy("doc_id", "part").agg(F.min("copy_of").alias("copy_of")))
     by_doc = _found(texts, copies, how).groupBy("doc_id", F.shiftright("place", _POSITION_BITS).alias("part"))
     by_doc = by_doc.agg(F.collect_list(F.struct(F.col("place").bitwiseAND((1 << _POSITION_BITS) - 1).alias("pos"), "source", "at")).alias("found"))
     asked = by_doc.select("doc_id", "part", F.explode(_needed(how)("found")).alias("x")).select("doc_id", "part", "x.source", "x.ref")
     wanted = asked.select("source", "ref").distinct().groupBy(F.col("source").alias("doc_id"), F.shiftright("ref", _POSITION_BITS).alias("part")).agg(F.collect_list("ref").alias("refs"))
-    blocks = texts.join(wanted, ["doc_id", "part"]).select(F.col("doc_id").alias("source"), F.explode(_blocks(how)("text", "refs")).alias("x")).select("source", "x.ref", "x.words")
+    blocks = _joined(texts, wanted).select(F.col("doc_id").alias("source"), F.explode(_blocks(how)("text", "refs")).alias("x")).select("source", "x.ref", "x.words")
     blocks = asked.join(blocks, ["source", "ref"]).groupBy("doc_id", "part").agg(F.collect_list(F.struct("source", "ref", "words")).alias("blocks"))
     every = keyed
     for side, column, to in ((by_doc, "found", f), (blocks, "blocks", b), (copies, "copy_of", c)):

@@ -251,7 +251,7 @@ def test_lm(spark, rows, folder):
         base = sum(math.log10((count[w] + 0.5) / (total + 0.5 * (size + 1))) for w in own)
         score = sum(math.log10(p(v, w)) for v, w in zip(["<begin>", *own[:-1]], own))
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(w in count for w in own), total)
-        assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score)
+        assert r.base_score == pytest.approx(base) and r.score2 == pytest.approx(score)
         assert r.held_out == (i is not None and zlib.crc32(str(i).encode()) % 5 == 1)
     vocabulary = [*count, "<unknown>"]
     for v in ("<begin>", tokens[1][0], "<unknown>"):
@@ -341,6 +341,24 @@ def test_embeddings(spark, put):
     assert got[2005].n_links == 1 and all(got[i].n_links == 0 and got[i].kept for i in (2000, 2001, 2002, 2003, 2004, 2007))
     small = embedding_dedup.near_vectors(spark.read.parquet(f"{folder}/embeddings.parquet"), embedding_dedup.Forest(leaf_rows=60, block_rows=30))
     assert sum(r.n_links for r in small.collect()) >= 0.97 * sum(map(len, links.values()))
+    # levels beyond the first round, fitted by node in Spark
+    deep = embedding_dedup.near_vectors(spark.read.parquet(f"{folder}/embeddings.parquet"), embedding_dedup.Forest(leaf_rows=20, fitted_levels=2, node_rows=100))
+    deep = {r.vec_id: r for r in deep.collect()}
+    assert sum(r.n_links for r in deep.values()) >= 0.97 * sum(map(len, links.values())) and all(r.n_links <= len(links[i]) for i, r in deep.items())
+    assert embedding_dedup.Forest().trees_for(6) == 14 < embedding_dedup.Forest().trees_for(12) < embedding_dedup.Forest().trees_for(12, 0.7)
+
+
+def test_embeddings_of_two_lengths(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(300):
+        width = 8 if i % 3 else 12
+        v = np.repeat([1.0, 2.0, -1.0, 0.5], width // 4) * (1 if i % 2 else -1) + rng.standard_normal(width) * 0.2
+        rows.append((i, [float(x) for x in v], 1))
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), embedding_dedup.Forest(leaf_rows=40)).collect()}
+    unit = [np.float32(v).astype(float) / np.linalg.norm(np.float32(v).astype(float)) for _, v, _ in rows]
+    want = {i: sum(len(u) == len(w) and i != j and u @ w >= 0.93 for j, w in enumerate(unit)) for i, u in enumerate(unit)}
+    assert sum(want.values()) > 1000 and sum(got.values()) >= 0.97 * sum(want.values()) and all(got[i] <= want[i] for i in got)
 
 
 def test_lines(spark, rows, folder):
@@ -391,6 +409,14 @@ def test_token_ledger(spark, rows, tmp_path):
     with pytest.raises(Exception, match="unknown op"):
         ledger.apply("four", tag(docs, "merge"))
     assert have() == want(live.values())
+    # a compaction changes no total and forgets no name, twice over; one that broke off is ignored
+    assert ledger.compact() and not ledger.compact()
+    assert have() == want(live.values()) and ledger.committed("one") and not ledger.apply("two", tag(gone, "delete"))
+    ledger.apply("five", tag(docs.filter("doc_id = 1").withColumn("text", F.lit("new text here")), "delete"))
+    spark.createDataFrame([("x", "y", "z", 1, 1)], "source string, lang string, tokenizer string, docs bigint, tokens bigint").write.parquet(f"{ledger.folder}/base=9/deltas")
+    live.pop(1)
+    assert have() == want(live.values())
+    assert ledger.compact() and have() == want(live.values()) and ledger.committed("five") and ledger.committed("three") and not ledger.committed("six")
 
 
 def test_oracles_name_queries():

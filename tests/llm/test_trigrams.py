@@ -10,8 +10,10 @@ from test_ops import SCHEMA, corpus
 from docspark.llm import lm_scoring
 
 
-def test_order_three(spark, put):
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_order_three(spark, put, monkeypatch, least):
     rows = corpus()
+    monkeypatch.setattr(lm_scoring, "LEAST_TRIPLE", least)
     got = {r.doc_id: r for r in lm_scoring.op8_lm_scoring(spark, put(rows, SCHEMA)).collect()}
     tokens = {r[0]: [w.lower() for w in (r[1] or "").encode().split()] + [None] for r in rows}
     learn = [i for i in tokens if i is not None and zlib.crc32(str(i).encode()) % 5 != 1]
@@ -27,6 +29,8 @@ def test_order_three(spark, put):
         after2[v].append(n)
     d3, d2, d1 = (lm_scoring._discounts([sum(n == k for n in x.values()) for k in (1, 2, 3, 4)]) for x in (triples, behind, before))
 
+    d3 = tuple(k if k < least else d for k, d in zip((1, 2, 3), d3))
+
     def mixed(n, after, d, lower):
         return ((max(n - d[min(n, 3) - 1], 0) if n else 0) + sum(d[min(x, 3) - 1] for x in after) * lower) / sum(after) if after else lower
 
@@ -36,7 +40,7 @@ def test_order_three(spark, put):
         return mixed(triples[u, v, w], after3.get((u, v)), d3, mixed(behind[v, w], after2.get(v), d2, lower))
 
     for i, own in tokens.items():
-        assert got[i].score3 == pytest.approx(sum(math.log10(p(*x)) for x in three(own)), rel=1e-12)
+        assert got[i].score == pytest.approx(sum(math.log10(p(*x)) for x in three(own)), rel=1e-12)
     for u, v in (("<b>", "<b>"), ("<b>", tokens[1][0]), tuple(tokens[1][:2]), ("<unknown>", tokens[1][0])):
         assert sum(p(u, v, w) for w in [*vocabulary, "<unknown>"]) == pytest.approx(1)
-    assert got[1].score3 != got[1].score
+    assert got[1].score != got[1].score2

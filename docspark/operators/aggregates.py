@@ -107,18 +107,19 @@ for _name, _seconds in RESOLUTIONS.items():
         query(f"A09_downsample_{_name}", _downsample_sql(_seconds))(lambda t, s=_seconds: downsample(t.system_metrics, s))
 
 
-def index_percentile(values: Column, share: float) -> Column:
-    """The element at int(n * share) of the sorted values, the definition that the roll-ups use."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.element_at(ordered, (F.floor(F.count(values) * share) + 1).cast("int"))
+def index_percentile(rows: DataFrame, key: str, value: str, share: float, name: str) -> DataFrame:
+    """(key, name): for each key the element at int(n * share) of its sorted values, the definition that the roll-ups use. Rows are numbered in ranges, so no key is gathered."""
+    placed = numbered(rows.select(key, value).filter(F.col(value).isNotNull()), key, value)
+    wanted = placed.groupBy(key).agg((F.min("place") + F.floor(F.count("*") * share)).alias("place"))
+    return placed.join(wanted, [key, "place"]).select(key, F.col(value).alias(name))
 
 
 @query("A10_hourly_rollup", """SELECT DATE_TRUNC('hour',timestamp) AS hour_bucket, ROUND(AVG(cpu),6) AS cpu_avg, MAX(cpu) AS cpu_max, LIST_SORT(LIST(cpu))[CAST(FLOOR(COUNT(*)*0.95) AS BIGINT)+1] AS cpu_p95,
 SUM(bulk_active) AS busy, COUNT(*) AS samples FROM v_system_metrics GROUP BY 1""")
 def hourly_rollup(t: Tables) -> DataFrame:
-    return t.system_metrics.groupBy(F.date_trunc("hour", "timestamp").cast("timestamp_ntz").alias("hour_bucket")).agg(
-        F.round(F.avg("cpu"), 6).alias("cpu_avg"), F.max("cpu").alias("cpu_max"), index_percentile(F.col("cpu"), 0.95).alias("cpu_p95"), F.sum("bulk_active").alias("busy"), F.count("*").alias("samples")
-    )
+    m = t.system_metrics.withColumn("hour_bucket", F.date_trunc("hour", "timestamp").cast("timestamp_ntz"))
+    sums = m.groupBy("hour_bucket").agg(F.round(F.avg("cpu"), 6).alias("cpu_avg"), F.max("cpu").alias("cpu_max"), F.sum("bulk_active").alias("busy"), F.count("*").alias("samples"))
+    return sums.join(index_percentile(m, "hour_bucket", "cpu", 0.95, "cpu_p95"), "hour_bucket").select("hour_bucket", "cpu_avg", "cpu_max", "cpu_p95", "busy", "samples")
 
 
 @query("A11_hour_of_week_profile", """SELECT CAST(ISODOW(timestamp)-1 AS INT) AS day_of_week, CAST(HOUR(timestamp) AS INT) AS hour, ROUND(AVG(cpu),6) AS cpu_avg, COUNT(*) AS samples FROM v_system_metrics GROUP BY 1,2""")
@@ -129,10 +130,12 @@ def hour_of_week(t: Tables) -> DataFrame:
 @query("A12_executive_summary", """SELECT COUNT(*)*120/3600.0::DOUBLE AS uptime_hours, ROUND(AVG(cpu),6) AS cpu_avg, MAX(cpu) AS cpu_peak, LIST_SORT(LIST(cpu))[CAST(FLOOR(COUNT(*)*0.95) AS BIGINT)+1] AS cpu_p95,
 ROUND(AVG(cpu) FILTER (bulk_active = 0),6) AS idle_baseline, MAX(rss_bytes) AS rss_max FROM v_system_metrics""")
 def executive_summary(t: Tables, sample_seconds: int = 120) -> DataFrame:
-    return t.system_metrics.agg(
-        (F.count("*") * sample_seconds / 3600.0).alias("uptime_hours"), F.round(F.avg("cpu"), 6).alias("cpu_avg"), F.max("cpu").alias("cpu_peak"), index_percentile(F.col("cpu"), 0.95).alias("cpu_p95"),
+    m = t.system_metrics.withColumn("all", F.lit(1))
+    sums = m.groupBy("all").agg(
+        (F.count("*") * sample_seconds / 3600.0).alias("uptime_hours"), F.round(F.avg("cpu"), 6).alias("cpu_avg"), F.max("cpu").alias("cpu_peak"),
         F.round(F.avg(F.when(F.col("bulk_active") == 0, F.col("cpu"))), 6).alias("idle_baseline"), F.max("rss_bytes").alias("rss_max"),
     )
+    return sums.join(index_percentile(m, "all", "cpu", 0.95, "cpu_p95"), "all").select("uptime_hours", "cpu_avg", "cpu_peak", "cpu_p95", "idle_baseline", "rss_max")
 
 
 @query("A12b_memory_stability", """WITH r AS (SELECT rss_bytes, NTILE(10) OVER (ORDER BY timestamp, seq) AS tile FROM v_system_metrics), a AS (SELECT AVG(rss_bytes) FILTER (tile = 1) AS first_avg, AVG(rss_bytes) FILTER (tile = 10) AS last_avg FROM r)
@@ -226,7 +229,7 @@ def with_rates(rows: DataFrame, rates: DataFrame) -> DataFrame:
     """rows with input_rate and output_rate: those of (provider, model), else of (provider, '*'), else null. The rate table has a row for each priced model."""
     exact = rates.filter("model <> '*'")
     wild = rates.filter("model = '*'").select("provider_id", F.col("input_rate").alias("any_in"), F.col("output_rate").alias("any_out"))
-    found = rows.join(F.broadcast(exact), ["provider_id", "model"], "left").join(F.broadcast(wild), "provider_id", "left")
+    found = rows.join(exact, ["provider_id", "model"], "left").join(wild, "provider_id", "left")
     return found.withColumn("input_rate", F.coalesce("input_rate", "any_in")).withColumn("output_rate", F.coalesce("output_rate", "any_out")).drop("any_in", "any_out")
 
 
@@ -247,21 +250,28 @@ def batch_cost(t: Tables) -> DataFrame:
     return filled.groupBy("batch_id").agg(F.count("*").alias("files"), F.count_if(F.col("tokens_used").isNull()).alias("guessed"), F.round(F.sum("tokens"), 3).alias("tokens"), F.round(F.sum(blended_cost(F.col("tokens"))), 4).alias("cost"))
 
 
-@query("A21_billing_cycle_cost", f"""WITH {_PRICED} SELECT provider_id, model, COUNT(*) AS calls, SUM(tokens_used) AS tokens, ROUND(SUM(tokens_used/1e6*(input_rate+output_rate)/2),6) AS cost, ROUND(SUM(tokens_used/1e6*(input_rate+output_rate)/2)/20*31,6) AS projected
+#: Cost of a group's tokens, which are whole numbers and so summed exactly before they are priced.
+_COST = "SUM(tokens_used)/1e6*(MAX(input_rate)+MAX(output_rate))/2"
+
+
+def group_cost() -> Column:
+    return F.sum("tokens_used") / 1e6 * (F.max("input_rate") + F.max("output_rate")) / 2
+
+
+@query("A21_billing_cycle_cost", f"""WITH {_PRICED} SELECT provider_id, model, COUNT(*) AS calls, SUM(tokens_used) AS tokens, ROUND({_COST},6) AS cost, ROUND({_COST}/20*31,6) AS projected
 FROM priced WHERE enqueued_at >= TIMESTAMP '2024-01-01' AND enqueued_at < TIMESTAMP '2024-01-21' AND tokens_used IS NOT NULL GROUP BY 1,2""")
 def billing_cycle_cost(t: Tables, start: str = "2024-01-01", days_into: int = 20, days_total: int = 31) -> DataFrame:
     begin = F.lit(start).cast("timestamp_ntz")
     rows = t.analysis_queue.filter((F.col("enqueued_at") >= begin) & (F.col("enqueued_at") < begin + F.make_interval(days=F.lit(days_into))) & F.col("tokens_used").isNotNull())
-    cost = F.sum(blended_cost(F.col("tokens_used")))
-    return with_rates(rows, t.rates).groupBy("provider_id", "model").agg(F.count("*").alias("calls"), F.sum("tokens_used").alias("tokens"), F.round(cost, 6).alias("cost"), F.round(cost / days_into * days_total, 6).alias("projected"))
+    return with_rates(rows, t.rates).groupBy("provider_id", "model").agg(F.count("*").alias("calls"), F.sum("tokens_used").alias("tokens"), F.round(group_cost(), 6).alias("cost"), F.round(group_cost() / days_into * days_total, 6).alias("projected"))
 
 
-@query("A22_daily_cost", f"""WITH {_PRICED} SELECT CAST(enqueued_at AS DATE) AS day, provider_id, model, SUM(tokens_used) AS tokens, ROUND(SUM(tokens_used/1e6*(input_rate+output_rate)/2),6) AS cost FROM priced
+@query("A22_daily_cost", f"""WITH {_PRICED} SELECT CAST(enqueued_at AS DATE) AS day, provider_id, model, SUM(tokens_used) AS tokens, ROUND({_COST},6) AS cost FROM priced
 WHERE enqueued_at > (SELECT MAX(enqueued_at) FROM v_analysis_queue) - INTERVAL 14 DAYS AND tokens_used IS NOT NULL GROUP BY 1,2,3""")
 def daily_cost(t: Tables, days: int = 14) -> DataFrame:
     now = t.analysis_queue.agg(F.max("enqueued_at").alias("now"))
     rows = t.analysis_queue.filter("tokens_used is not null").join(F.broadcast(now), F.col("enqueued_at") > F.col("now") - F.make_interval(days=F.lit(days)))
-    return with_rates(rows, t.rates).groupBy(F.to_date("enqueued_at").alias("day"), "provider_id", "model").agg(F.sum("tokens_used").alias("tokens"), F.round(F.sum(blended_cost(F.col("tokens_used"))), 6).alias("cost"))
+    return with_rates(rows, t.rates).groupBy(F.to_date("enqueued_at").alias("day"), "provider_id", "model").agg(F.sum("tokens_used").alias("tokens"), F.round(group_cost(), 6).alias("cost"))
 
 
 @query("A23_cross_ref_stats", "SELECT COUNT(DISTINCT project_id) AS projects, COUNT(*) AS refs, COUNT(DISTINCT media_path) AS media FROM v_media_refs")
@@ -338,10 +348,11 @@ def collisions(t: Tables) -> DataFrame:
     return t.source_files.groupBy("content_hash").agg(F.count("*").alias("n"), F.min("source_path").alias("first_path")).filter("n > 1")
 
 
-@query("A34b_case_collisions", "SELECT LOWER(SUBSTR(text,1,4)) AS folded, COUNT(DISTINCT SUBSTR(text,1,4)) AS spellings FROM documents WHERE lang = 'en' GROUP BY 1 HAVING COUNT(DISTINCT SUBSTR(text,1,4)) > 1")
+@query("A34b_case_collisions", "SELECT LOWER(w) AS folded, COUNT(DISTINCT w) AS spellings FROM (SELECT REGEXP_EXTRACT(text,'[^ \\n\\t]+') AS w FROM documents) GROUP BY 1 HAVING COUNT(DISTINCT w) > 1")
 def case_collisions(t: Tables) -> DataFrame:
-    head = F.substring("text", 1, 4)
-    return t.raw("documents").filter("lang = 'en'").groupBy(F.lower(head).alias("folded")).agg(F.countDistinct(head).alias("spellings")).filter("spellings > 1")
+    """Names (here first words) that differ in nothing but case."""
+    name = F.regexp_extract("text", r"[^ \n\t]+", 0)
+    return t.raw("documents").groupBy(F.lower(name).alias("folded")).agg(F.countDistinct(name).alias("spellings")).filter("spellings > 1")
 
 
 @query("A35_index_stats", "SELECT 'documents' AS index_name, COUNT(*) AS n FROM v_corpus UNION ALL SELECT 'transcripts', COUNT(DISTINCT history_id) FROM v_transcript_segments UNION ALL SELECT 'pages', COUNT(*) FROM pages")

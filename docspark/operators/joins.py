@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import difflib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -157,6 +160,43 @@ def similar_titles(t: Tables, least: float = 0.9) -> DataFrame:
     return d.withColumnRenamed("id", "a").join(b, ["block", "source_format"]).filter(F.col("a") < F.col("b")).filter(ratio >= least).select("a", "b")
 
 
+def best_matches(elements: list[str], stored: list[str], least: float) -> list[tuple[int, int, float]]:
+    """(element, stored entry, ratio): for each element the entry with the highest matching-block ratio of at least ``least``, the first of equal ones."""
+    out = []
+    for i, text in enumerate(elements):
+        matcher = difflib.SequenceMatcher(None, b=text)  # statistics are kept for the second text
+        best = (0.0, -1)
+        for j, other in enumerate(stored):
+            matcher.set_seq1(other)
+            bar = max(least, best[0])
+            if text and matcher.real_quick_ratio() >= bar and matcher.quick_ratio() >= bar and (ratio := difflib.SequenceMatcher(None, text, other).ratio()) >= least and ratio > best[0]:
+                best = (ratio, j)
+        if best[1] >= 0:
+            out.append((i, best[1], best[0]))
+    return out
+
+
+@query("J20_fuzzy_elements")
+def fuzzy_elements(t: Tables, least: float = 0.9) -> DataFrame:
+    """Elements of a document that have no exact entry among its stored ones, with the best fuzzy match there; an equi-join by document.
+
+    The stored entries are a document's lines; the elements are its lines with every
+    other one edited. Exact matches, by normalized text, need no comparison.
+    """
+    plain = lambda x: F.lower(F.trim(F.regexp_replace(x, r"\s+", " ")))
+    lines = F.filter(F.split("content", "\n"), lambda x: F.trim(x) != "")
+    edited = F.transform(lines, lambda x, i: F.when(i % 2 == 0, F.regexp_replace(x, "(?i)the", "teh")).otherwise(x))
+    docs = t.corpus.select("id", F.transform(lines, plain).alias("stored"), F.transform(edited, plain).alias("elements"))
+    docs = docs.select("id", "stored", F.array_except("elements", "stored").alias("elements")).filter(F.size("elements") > 0)
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(i, elements[a], stored[b], round(r, 6)) for i, stored, elements in zip(pdf.id, pdf.stored, pdf.elements) for a, b, r in best_matches(list(elements), list(stored), least)]
+            yield pd.DataFrame(rows, columns=["id", "element", "entry", "ratio"])
+
+    return docs.mapInPandas(run, "id bigint, element string, entry string, ratio double")
+
+
 @query("J21_occurrence_match", """WITH p AS (SELECT id, content_hash, ROW_NUMBER() OVER (PARTITION BY content_hash ORDER BY source_path)-1 AS n FROM v_source_files), s AS (SELECT content_hash, file_key, ROW_NUMBER() OVER (PARTITION BY content_hash ORDER BY source_path)-1 AS n FROM v_snapshot),
 l AS (SELECT content_hash, ARG_MAX(file_key,n) AS last_key FROM s GROUP BY 1) SELECT p.id, COALESCE(s.file_key, l.last_key) AS entry FROM p LEFT JOIN s ON s.content_hash = p.content_hash AND s.n = p.n LEFT JOIN l ON l.content_hash = p.content_hash""")
 def occurrence_match(t: Tables) -> DataFrame:

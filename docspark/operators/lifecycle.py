@@ -115,12 +115,23 @@ def flag_lifecycle(t: Tables) -> DataFrame:
     return t.file_flags.select("id", F.when(expired, "expired").otherwise(F.col("status")).alias("new_status"))
 
 
-@query("L12_auto_convert_decision", """SELECT CAST(ISODOW(timestamp)-1 AS INT) AS day_of_week, CAST(HOUR(timestamp) AS INT) AS hour, CASE WHEN ISODOW(timestamp) <= 5 AND HOUR(timestamp) BETWEEN 9 AND 17 THEN 'defer' WHEN AVG(cpu) > 60 THEN 'small_batch' ELSE 'full_batch' END AS decision FROM v_system_metrics GROUP BY 1,2, ISODOW(timestamp), HOUR(timestamp)""")
+@query("L12_auto_convert_decision", """WITH m AS (SELECT DATE_TRUNC('hour',m.timestamp) AS h, AVG(cpu) AS cpu, COUNT(*) FILTER (event_type = 'view') AS discovered, COUNT(*) AS requests FROM v_system_metrics m JOIN v_activity_events a ON a.id = m.seq GROUP BY 1),
+u AS (SELECT *, ROUND(AVG(cpu) OVER w,6) AS usual, AVG(requests) OVER w AS usual_requests, ISODOW(h) <= 5 AND HOUR(h) BETWEEN 6 AND 17 AS business FROM m WINDOW w AS (PARTITION BY ISODOW(h), HOUR(h)))
+SELECT h AS hour_bucket, discovered, discovered > 0 AS should_convert, CASE WHEN discovered = 0 THEN 0 ELSE CAST(LEAST(GREATEST(1,FLOOR((100-GREATEST(ROUND(cpu,6),usual))*(CASE WHEN business THEN 0.7::DOUBLE*0.7::DOUBLE ELSE 0.7::DOUBLE END)/15)),8) AS INT) END AS workers,
+CASE WHEN discovered = 0 THEN 0 ELSE CAST(LEAST(GREATEST(1,FLOOR(LEAST(CASE WHEN HOUR(h) < 5 AND usual_requests < 10 THEN 500 WHEN NOT business THEN 250 WHEN usual_requests < 10 THEN 100 ELSE 50 END,discovered)*0.7::DOUBLE)),discovered) AS INT) END AS batch_size FROM u""")
 def auto_convert(t: Tables) -> DataFrame:
-    """What a scheduler would start in each hour of the week, from its usual load."""
-    profile = t.system_metrics.groupBy(F.weekday("timestamp").alias("day_of_week"), F.hour("timestamp").alias("hour")).agg(F.avg("cpu").alias("cpu"))
-    office = (F.col("day_of_week") < 5) & F.col("hour").between(9, 17)
-    return profile.select("day_of_week", "hour", F.when(office, "defer").when(F.col("cpu") > 60, "small_batch").otherwise("full_batch").alias("decision"))
+    """For each hour: files found, whether to convert them, with how many workers and in what batch, from the load now and usually."""
+    from .scalars import batch_size, workers
+
+    kinds = t.activity_events.select(F.col("id").alias("seq"), "event_type")
+    m = t.system_metrics.join(kinds, "seq").groupBy(F.date_trunc("hour", "timestamp").cast("timestamp_ntz").alias("hour_bucket"))
+    m = m.agg(F.avg("cpu").alias("cpu"), F.count_if(F.col("event_type") == "view").alias("discovered"), F.count("*").alias("requests"))
+    m = m.withColumn("day_of_week", F.weekday("hour_bucket")).withColumn("hour", F.hour("hour_bucket"))
+    usual = m.groupBy("day_of_week", "hour").agg(F.round(F.avg("cpu"), 6).alias("usual"), F.avg("requests").alias("usual_requests"))
+    found, day, hour = F.col("discovered"), F.col("day_of_week"), F.col("hour")
+    some = lambda x: F.when(found == 0, 0).otherwise(x)
+    started = workers(F.round("cpu", 6), F.col("usual"), day, hour)
+    return m.join(F.broadcast(usual), ["day_of_week", "hour"]).select("hour_bucket", "discovered", (found > 0).alias("should_convert"), some(started).alias("workers"), some(batch_size(found, F.col("usual_requests"), day, hour)).alias("batch_size"))
 
 
 @query("L13_trash_listing", "SELECT id, file_size_bytes FROM v_source_files WHERE lifecycle_status = 'in_trash' ORDER BY source_mtime DESC, id LIMIT 100")

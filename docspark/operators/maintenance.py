@@ -114,11 +114,11 @@ def vector_upsert(t: Tables) -> DataFrame:
     return t.vectors.filter("doc_id not in (2, 3)").unionByName(fresh).select("vec_id", "source_format")
 
 
-@query("W11_diff_context", "WITH f AS (SELECT id, timestamp, event_type = 'error' AS hit FROM v_activity_events WHERE user_id < 20) SELECT id FROM f QUALIFY BOOL_OR(hit) OVER (ORDER BY timestamp, id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)")
-def diff_context(t: Tables, n: int = 3) -> DataFrame:
-    """Changed rows with n rows around each, as in a hunk; of a bounded group of users."""
-    near = Window.orderBy("timestamp", "id").rowsBetween(-n, n)
-    return t.activity_events.filter("user_id < 20").withColumn("near", F.bool_or(F.col("event_type") == "error").over(near)).filter("near").select("id")
+@query("W11_diff_context", "WITH f AS (SELECT id, timestamp, event_type = 'error' AS hit FROM v_activity_events) SELECT id FROM f QUALIFY BOOL_OR(hit) OVER (ORDER BY timestamp, id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)")
+def diff_context(t: Tables) -> DataFrame:
+    """Changed rows with three rows around each, as in a hunk."""
+    events = t.activity_events.select("id", "timestamp", "event_type")
+    return near_hits(events, F.col("event_type") == "error", "timestamp", "id").select("id")
 
 
 def near_hits(rows: DataFrame, hit: Column, *order: str, n: int = 3) -> DataFrame:
@@ -128,11 +128,10 @@ def near_hits(rows: DataFrame, hit: Column, *order: str, n: int = 3) -> DataFram
     return placed.join(near, "place", "left_semi").drop("place", "hit")
 
 
-@query("W11b_diff_context_all")
+@query("W11b_diff_context_all", "WITH f AS (SELECT id, timestamp, event_type = 'error' AS hit FROM v_activity_events) SELECT id FROM f QUALIFY BOOL_OR(hit) OVER (ORDER BY timestamp, id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)")
 def diff_context_all(t: Tables) -> DataFrame:
-    """W11 over all users; no oracle, since W11's SQL holds a group of users."""
-    events = t.activity_events.select("id", "timestamp", "event_type")
-    return near_hits(events, F.col("event_type") == "error", "timestamp", "id").select("id")
+    """W11 under the name that it had while W11 itself held to some users."""
+    return diff_context(t)
 
 
 @query("O06_fusion_order", "WITH r AS (SELECT id, file_size_bytes%97 AS score, MOD(id,2) = 0 AS in_kw FROM v_corpus) SELECT id, ROW_NUMBER() OVER (ORDER BY score DESC, in_kw DESC, id) AS place FROM r ORDER BY place LIMIT 40")
@@ -142,10 +141,21 @@ def fusion_order(t: Tables) -> DataFrame:
     return r.orderBy(*order).limit(40).select("id", F.row_number().over(Window.orderBy(*order)).cast("long").alias("place"))
 
 
-@query("F18_heading_line", "SELECT id, LENGTH(title) <= 80 AND NOT REGEXP_MATCHES(title,'[.!?]\\z') AND REGEXP_MATCHES(title,'^[A-Z]') AS heading FROM v_corpus WHERE lang = 'en'")
+@query("F18_heading_line")
 def heading_line(t: Tables) -> DataFrame:
-    x = F.col("title")
-    return t.corpus.filter("lang = 'en'").select("id", ((F.length(x) <= 80) & ~x.rlike(r"[.!?]\z") & x.rlike("^[A-Z]")).alias("heading"))
+    """Whether a title reads as a heading: a line or two, short, no closing mark, in capitals or in title case."""
+    looks = F.pandas_udf(_reads_as_heading, "boolean")
+    return t.corpus.select("id", looks("title").alias("heading"))
+
+
+def _reads_as_heading(titles: pd.Series) -> pd.Series:
+    def heading(title) -> bool:
+        lines = (title or "").strip().split("\n")
+        first = lines[0].strip()
+        short = bool(first) and len(lines) <= 2 and len(first) < 80 and first[-1] not in ".,;:!"
+        return short and (first.isupper() and len(first) > 2 or first.istitle() and len(first) < 60)
+
+    return pd.Series([heading(x) for x in titles], dtype=bool)
 
 
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -155,9 +165,10 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 @query("F27_similarity")
 def similarity(t: Tables) -> DataFrame:
     """Matching-block ratio of each title with that of the next document of its source."""
-    following = F.lead("title").over(Window.partitionBy("source_format").orderBy("id"))
+    placed = numbered(t.corpus.select("id", "source_format", "title"), "source_format", "id")
+    following = placed.select((F.col("place") - 1).alias("place"), "source_format", F.col("title").alias("other"))
     ratio = F.pandas_udf(_ratio, "double")
-    return t.corpus.withColumn("other", following).filter("other is not null").select("id", F.round(ratio("title", "other"), 6).alias("ratio"))
+    return placed.join(following, ["place", "source_format"]).select("id", F.round(ratio("title", "other"), 6).alias("ratio"))
 
 
 def _shape(values: pd.Series) -> pd.DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -21,9 +21,9 @@ def doc_id(t: Tables) -> DataFrame:
     return t.source_files.select("id", X.short_hash(F.col("source_path")).alias("doc_key"))
 
 
-@query("F03_content_hash", "SELECT id, SUBSTR(SHA256(LOWER(TRIM(REGEXP_REPLACE(content,'[ \\t\\n\\r\\f\\v]+',' ','g')))),1,16) AS content_hash FROM v_corpus WHERE lang = 'en'")
+@query("F03_content_hash", "SELECT id, SUBSTR(SHA256(LOWER(TRIM(REGEXP_REPLACE(content,'[ \\t\\n\\r\\f\\v]+',' ','g')))),1,16) AS content_hash FROM v_corpus")
 def content_hash(t: Tables) -> DataFrame:
-    return t.corpus.filter("lang = 'en'").select("id", X.content_hash(F.col("content")).alias("content_hash"))
+    return t.corpus.select("id", X.content_hash(F.col("content")).alias("content_hash"))
 
 
 @query("F04_file_hash", "SELECT id, SHA256(content) AS file_hash FROM v_corpus")
@@ -54,9 +54,9 @@ def frontmatter(t: Tables) -> DataFrame:
     return t.corpus.select("id", X.without_frontmatter(text).alias("body"), X.frontmatter_value(text, "kind").alias("kind"))
 
 
-@query("F09_title_fallback", "SELECT id, COALESCE(NULLIF(TRIM(SUBSTR(title,1,10)),''),source_format) AS title FROM v_corpus")
+@query("F09_title_fallback", "SELECT id, COALESCE(NULLIF(TRIM(title),''),source_format) AS title FROM v_corpus")
 def title_fallback(t: Tables) -> DataFrame:
-    return t.corpus.select("id", F.coalesce(F.nullif(F.trim(F.substring("title", 1, 10)), F.lit("")), F.col("source_format")).alias("title"))
+    return t.corpus.select("id", F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.col("source_format")).alias("title"))
 
 
 @query("F10_visual_lines", "SELECT id, ARRAY_TO_STRING(LIST_FILTER(STRING_SPLIT('*Visual: '||title||CHR(10)||content,CHR(10)), LAMBDA x: STARTS_WITH(x,'*Visual:')),'|') AS frames FROM v_corpus")
@@ -70,17 +70,45 @@ def highlight(t: Tables) -> DataFrame:
     return t.corpus.select("id", X.highlighted(F.substring("content", 1, 300), "the").alias("highlighted"), F.substring("content", 1, 500).alias("preview"))
 
 
-@query("F12_query_preprocess", "SELECT item_id, TRIM(REGEXP_REPLACE(REGEXP_REPLACE('what are the '||SUBSTR(text,1,30),'(?i)^(?:(?:what|where|when|who|how|why)(?:[ ]+(?:is|are|was|were|do|does|can|should|to))?(?:[ ]+i)?(?:[ ]+the)?|(?:find|show|give|get|tell)[ ]+me(?:[ ]+about)?(?:[ ]+the)?|search[ ]+for(?:[ ]+the)?|look[ ]+up(?:[ ]+the)?|i[ ]+(?:need|want)(?:[ ]+to)?(?:[ ]+know)?(?:[ ]+about)?(?:[ ]+the)?|can[ ]+you[ ]+(?:find|show|tell)(?:[ ]+me)?(?:[ ]+about)?(?:[ ]+the)?)\\b[ ]*',''),'[ \\n\\t]+',' ','g')) AS normalized FROM benchmark")
+_OPENING_SQL = f"'(?i)^{X.either(X.OPENINGS)}'"
+_TEMPORAL_SQL = f"'(?i){X.either(X.TEMPORAL)}'"
+#: Queries of every kind: questions, quoted ones, single tokens, plain texts.
+_QUERIES_SQL = "q AS (SELECT item_id, text, CASE MOD(item_id,5) WHEN 0 THEN 'what are the '||text WHEN 1 THEN 'Where does the latest '||text WHEN 2 THEN '\"'||text||'\"' WHEN 3 THEN REGEXP_EXTRACT(text,'[^ \\n\\t]+') ELSE text END AS query FROM benchmark)"
+
+
+def queries_of(t: Tables) -> DataFrame:
+    """(item_id, text, query)"""
+    text, kind = F.col("text"), F.col("item_id") % 5
+    asked = F.when(kind == 0, F.concat(F.lit("what are the "), text)).when(kind == 1, F.concat(F.lit("Where does the latest "), text))
+    asked = asked.when(kind == 2, F.concat(F.lit('"'), text, F.lit('"'))).when(kind == 3, F.regexp_extract(text, r"[^ \n\t]+", 0)).otherwise(text)
+    return t.raw("benchmark").select("item_id", "text", asked.alias("query"))
+
+
+@query("F12_query_preprocess", f"WITH {_QUERIES_SQL} SELECT item_id, TRIM(REGEXP_REPLACE(REGEXP_REPLACE(REGEXP_REPLACE(query,'^\\s+',''),{_OPENING_SQL},''),'\\s+',' ','g')) AS normalized, REGEXP_MATCHES(query,{_TEMPORAL_SQL}) AS temporal FROM q")
 def query_preprocess(t: Tables) -> DataFrame:
-    return t.raw("benchmark").select("item_id", X.preprocessed_query(F.concat(F.lit("what are the "), F.substring("text", 1, 30))).alias("normalized"))
+    q = F.col("query")
+    return queries_of(t).select("item_id", X.preprocessed_query(q).alias("normalized"), X.asks_for_recent(q).alias("temporal"))
+
+
+_KEYWORD_HITS_SQL = r"""h AS (SELECT item_id, query, COUNT(DISTINCT c.id) AS n_hits FROM q LEFT JOIN (SELECT DISTINCT id, UNNEST(REGEXP_SPLIT_TO_ARRAY(LOWER(content),'[^a-z0-9]+')) AS token FROM v_corpus) c ON c.token = REGEXP_EXTRACT(LOWER(query),'[a-z0-9]+') AND c.token <> '' GROUP BY 1,2)"""
+_CONFIDENT_SQL = "n_hits > 0 AND ((STARTS_WITH(query,'\"') AND SUFFIX(query,'\"') AND LENGTH(query) > 2) OR (REGEXP_MATCHES(query,'^\\s*[^\\s]+\\s*$') AND n_hits >= 5))"
+
 
+def keyword_hits(t: Tables) -> DataFrame:
+    """(item_id, query, n_hits): documents with each query's first token. The corpus tokens are met by an equi-join before they are counted."""
+    asked = queries_of(t).select("item_id", "query", F.regexp_extract(F.lower("query"), "[a-z0-9]+", 0).alias("token"))
+    tokens = t.corpus.select("id", F.explode(F.array_distinct(F.split(F.lower("content"), "[^a-z0-9]+"))).alias("token")).filter("token <> ''")
+    counts = tokens.join(asked.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count_distinct("id").alias("n"))
+    return asked.join(counts, "token", "left").select("item_id", "query", F.coalesce("n", F.lit(0)).alias("n_hits"))
 
-@query("F13_keyword_confidence", "SELECT item_id, CASE WHEN LEN(STRING_SPLIT(text,' ')) = 1 THEN 'keyword' ELSE 'unsure' END AS confidence FROM benchmark")
+
+@query("F13_keyword_confidence", f"WITH {_QUERIES_SQL}, {_KEYWORD_HITS_SQL} SELECT item_id, n_hits, {_CONFIDENT_SQL} AS confident FROM h")
 def keyword_confidence(t: Tables) -> DataFrame:
-    return t.raw("benchmark").select("item_id", F.when(F.size(F.split("text", " ")) == 1, "keyword").otherwise("unsure").alias("confidence"))
+    return keyword_hits(t).select("item_id", "n_hits", X.keyword_is_confident(F.col("query"), F.col("n_hits")).alias("confident"))
 
 
-@query("F14_truncate_at_break", """SELECT id, CASE WHEN LENGTH(content) <= 400 THEN content WHEN LENGTH(head) = POSITION(CHR(10) IN REVERSE(head))-1 OR POSITION(CHR(10) IN REVERSE(head)) = 0 OR 400-POSITION(CHR(10) IN REVERSE(head)) <= 200 THEN head ELSE SUBSTR(head,1,400-POSITION(CHR(10) IN REVERSE(head))) END AS clipped FROM (SELECT *, SUBSTR(content,1,400) AS head FROM v_corpus)""")
+@query("F14_truncate_at_break", r"""WITH h AS (SELECT id, content, SUBSTR(content,1,400) AS head FROM v_corpus), p AS (SELECT *, CASE WHEN CONTAINS(head,CHR(10)||CHR(10)) THEN 399-INSTR(REVERSE(head),CHR(10)||CHR(10)) ELSE -1 END AS para, CASE WHEN CONTAINS(head,CHR(10)) THEN 400-INSTR(REVERSE(head),CHR(10)) ELSE -1 END AS line FROM h)
+SELECT id, CASE WHEN LENGTH(content) <= 400 THEN content ELSE REGEXP_REPLACE(CASE WHEN para > 200 THEN SUBSTR(head,1,para) WHEN line > 200 THEN SUBSTR(head,1,line) ELSE head END,'\s+\z','') END AS clipped FROM p""")
 def truncate_at_break(t: Tables) -> DataFrame:
     return t.corpus.select("id", X.truncated(F.col("content"), 400).alias("clipped"))
 
@@ -90,16 +118,21 @@ def token_estimate(t: Tables) -> DataFrame:
     return t.corpus.select("id", F.expr("length(content) div 4").alias("tokens"))
 
 
-@query("F16_text_quality", "SELECT id, ROUND(LENGTH(REGEXP_REPLACE(content,'[^\\x{0250}-\\x{FFFF}]','','g'))/GREATEST(LENGTH(REGEXP_REPLACE(content,'[^\\pL]','','g')),1)::DOUBLE,6) AS odd_share FROM v_corpus")
+@query("F16_text_quality", "SELECT id, letters >= 10 AND odd::DOUBLE/GREATEST(letters,1) > 0.3 AS suspect FROM (SELECT id, LENGTH(REGEXP_REPLACE(content,'[^\\pL]','','g')) AS letters, LENGTH(REGEXP_REPLACE(content,'[^\\pL]|[\\x00-\\x{24F}]','','g')) AS odd FROM v_corpus)")
 def text_quality(t: Tables) -> DataFrame:
-    odd, letters = F.length(F.regexp_replace("content", r"[^\x{0250}-\x{FFFF}]", "")), F.length(F.regexp_replace("content", r"[^\p{L}]", ""))
-    return t.corpus.select("id", F.round(odd / F.greatest(letters, F.lit(1)), 6).alias("odd_share"))
+    """Whether over 30 % of at least ten letters lie beyond the Latin blocks."""
+    letters, odd = F.length(F.regexp_replace("content", r"[^\p{L}]", "")), F.length(F.regexp_replace("content", r"[^\p{L}]|[\x00-\x{24F}]", ""))
+    return t.corpus.select("id", ((letters >= 10) & (odd / F.greatest(letters, F.lit(1)) > 0.3)).alias("suspect"))
 
 
-@query("F17_glyph_garbage", "SELECT id, LENGTH(REPLACE(SUBSTR(content,1,50),SUBSTR(content,1,1),'')) = 0 AS garbage FROM v_corpus")
+@query("F17_glyph_garbage", "SELECT l_orderkey, AVG(CASE WHEN x0 = 0 AND top = 0 THEN 1.0 ELSE 0.0 END) > 0.8 OR (COUNT(DISTINCT x0) = 1 AND COUNT(DISTINCT top) = 1) AS garbage FROM (SELECT l_orderkey, CASE WHEN MOD(l_orderkey,3) = 0 THEN 0 ELSE l_linenumber END AS x0, MOD(l_orderkey,2)*MOD(l_partkey,3) AS top FROM lineitem) GROUP BY 1")
 def glyph_garbage(t: Tables) -> DataFrame:
-    head = F.substring("content", 1, 50)
-    return t.corpus.select("id", (F.length(F.replace(head, F.substring("content", 1, 1), F.lit(""))) == 0).alias("garbage"))
+    """Text layers whose glyphs stand at the origin (over 80 %) or all at one place; lines stand in for glyphs."""
+    key = F.col("l_orderkey")
+    glyphs = t.raw("lineitem").select("l_orderkey", F.when(key % 3 == 0, 0).otherwise(F.col("l_linenumber")).alias("x0"), (key % 2 * (F.col("l_partkey") % 3)).alias("top"))
+    stacked = F.avg(F.when((F.col("x0") == 0) & (F.col("top") == 0), 1.0).otherwise(0.0)) > 0.8
+    one = (F.min("x0") == F.max("x0")) & (F.min("top") == F.max("top"))
+    return glyphs.groupBy("l_orderkey").agg((stacked | one).alias("garbage"))
 
 
 @query("F19_redact_secrets", "SELECT id, CASE WHEN REGEXP_MATCHES(event_type,'(?i)(error|signup)') THEN '[REDACTED, '||LENGTH(metadata)||' chars]' ELSE metadata END AS shown FROM v_activity_events")
@@ -148,9 +181,9 @@ def output_path(t: Tables) -> DataFrame:
     return t.source_files.select("id", F.concat(F.lit("/out"), F.regexp_replace("source_path", r"\.[^./]+$", ".md")).alias("output_path"), (F.length("source_path") <= 240).alias("fits"))
 
 
-@query("F29_slug", "SELECT id, TRIM(REGEXP_REPLACE(LOWER(REPLACE(title,' ','-')),'[^a-z0-9-]','','g'),'-') AS slug FROM v_corpus WHERE lang = 'en'")
+@query("F29_slug", "SELECT id, TRIM(REGEXP_REPLACE(LOWER(REPLACE(title,' ','-')),'[^a-z0-9-]','','g'),'-') AS slug FROM v_corpus")
 def slug(t: Tables) -> DataFrame:
-    return t.corpus.filter("lang = 'en'").select("id", X.slug(F.col("title")).alias("slug"))
+    return t.corpus.select("id", X.slug(F.col("title")).alias("slug"))
 
 
 @query("F31_billing_cycle", "SELECT id, CAST(CASE WHEN DAY(timestamp) >= 15 THEN DATE_TRUNC('month',timestamp)+INTERVAL 14 DAYS ELSE DATE_TRUNC('month',timestamp)-INTERVAL 1 MONTH+INTERVAL 14 DAYS END AS DATE) AS cycle_start FROM v_activity_events")
@@ -164,9 +197,31 @@ def business_hours(t: Tables) -> DataFrame:
     return t.activity_events.select("id", ((F.weekday(at) < 5) & F.hour(at).between(6, 17)).alias("busy"))
 
 
-@query("F33_worker_decision", "SELECT seq, CASE WHEN cpu > 80 THEN 1 ELSE GREATEST(1,LEAST(8,CAST(FLOOR((100-cpu)/12.5) AS INT))) END AS workers FROM v_system_metrics")
+@query("F33_worker_decision", """SELECT seq, CAST(LEAST(GREATEST(1,FLOOR((100-GREATEST(cpu,usual))*(CASE WHEN ISODOW(timestamp) <= 5 AND HOUR(timestamp) BETWEEN 6 AND 17 THEN 0.7::DOUBLE*0.7::DOUBLE ELSE 0.7::DOUBLE END)/15)),8) AS INT) AS workers
+FROM (SELECT *, ROUND(AVG(cpu) OVER (PARTITION BY ISODOW(timestamp), HOUR(timestamp)),6) AS usual FROM v_system_metrics)""")
 def worker_decision(t: Tables) -> DataFrame:
-    return t.system_metrics.select("seq", F.when(F.col("cpu") > 80, 1).otherwise(F.greatest(F.lit(1), F.least(F.lit(8), F.floor((100 - F.col("cpu")) / 12.5).cast("int")))).alias("workers"))
+    return with_usual_load(t).select("seq", workers(F.col("cpu"), F.col("usual"), F.col("day_of_week"), F.col("hour")).alias("workers"))
+
+
+def with_usual_load(t: Tables) -> DataFrame:
+    """Metrics with the mean load of their hour of the week; 168 rows join back."""
+    m = t.system_metrics.withColumn("day_of_week", F.weekday("timestamp")).withColumn("hour", F.hour("timestamp"))
+    usual = m.groupBy("day_of_week", "hour").agg(F.round(F.avg("cpu"), 6).alias("usual"))
+    return m.join(F.broadcast(usual), ["day_of_week", "hour"])
+
+
+def workers(cpu: Column, usual: Column, day_of_week: Column, hour: Column, caution: float = 0.7, most: int = 8) -> Column:
+    """Workers to start: one for each 15 % of the load that is free now and usually, held back by ``caution`` once, in business hours twice."""
+    business = (day_of_week < 5) & hour.between(6, 17)
+    free = (100 - F.greatest(cpu, usual)) * F.when(business, caution * caution).otherwise(caution)
+    return F.least(F.greatest(F.lit(1), F.floor(free / 15)), F.lit(most)).cast("int")
+
+
+def batch_size(discovered: Column, requests: Column, day_of_week: Column, hour: Column, caution: float = 0.7) -> Column:
+    """Files to convert now: more at night and out of business hours, fewer where users are active."""
+    business, quiet = (day_of_week < 5) & hour.between(6, 17), requests < 10
+    base = F.when((hour < 5) & quiet, 500).when(~business, 250).when(quiet, 100).otherwise(50)
+    return F.least(F.greatest(F.lit(1), F.floor(F.least(base, discovered) * caution)), discovered).cast("int")
 
 
 @query("F34_blended_rate", "SELECT provider_id, model, ROUND((input_rate+output_rate)/2,6) AS blended FROM v_rates")

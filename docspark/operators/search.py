@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as X
 from ..registry import query
 from ..sources.tables import Tables
+from .scalars import _CONFIDENT_SQL, _KEYWORD_HITS_SQL, _QUERIES_SQL, _TEMPORAL_SQL, keyword_hits
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -27,9 +29,9 @@ TERMS = ("the", "thing")
 
 
 def hits(t: Tables, terms=TERMS) -> DataFrame:
-    """(id, words, tf): how many of the terms a document has and how often. Only the terms' tokens are aggregated."""
-    tokens = F.explode(F.split(F.lower("content"), "[^a-z0-9]+")).alias("token")
-    found = t.corpus.select("id", tokens).filter(F.col("token").isin(*terms))
+    """(id, words, tf): how many of the terms a document has and how often. Only the terms' tokens become rows."""
+    wanted = F.filter(F.split(F.lower("content"), "[^a-z0-9]+"), lambda x: x.isin(*terms))
+    found = t.corpus.select("id", F.explode(wanted).alias("token"))
     return found.groupBy("id").agg(F.countDistinct("token").alias("words"), F.count("*").alias("tf"))
 
 
@@ -78,11 +80,12 @@ def hybrid_fusion(t: Tables, k: int = 60, n: int = 30) -> DataFrame:
     return kw.join(vec, "id", "full_outer").select("id", F.round(part("kr") + part("vr"), 9).alias("score"), F.col("kr").isNull().alias("vector_only"))
 
 
-@query("Q06_hybrid_gate", "SELECT item_id, CASE WHEN STARTS_WITH(text,'\"') THEN 'keyword' WHEN LEN(STRING_SPLIT(text,' ')) = 1 THEN 'keyword' ELSE 'hybrid' END AS mode, REGEXP_MATCHES(text,'(?i)\\b(latest|recent|newest|today|yesterday|last)\\b') AS temporal FROM benchmark")
+@query("Q06_hybrid_gate", f"WITH {_QUERIES_SQL}, {_KEYWORD_HITS_SQL} SELECT item_id, CASE WHEN {_CONFIDENT_SQL} THEN 'keyword' ELSE 'hybrid' END AS mode, CASE WHEN NOT ({_CONFIDENT_SQL}) AND REGEXP_MATCHES(query,{_TEMPORAL_SQL}) THEN 'date' ELSE 'relevance' END AS sort FROM h")
 def hybrid_gate(t: Tables) -> DataFrame:
-    q = F.col("text")
-    mode = F.when(q.startswith('"') | (F.size(F.split(q, " ")) == 1), "keyword").otherwise("hybrid")
-    return t.raw("benchmark").select("item_id", mode.alias("mode"), q.rlike(r"(?i)\b(latest|recent|newest|today|yesterday|last)\b").alias("temporal"))
+    """Keyword search alone where it is sure of itself; else hybrid search, by date where the query asks for recent documents."""
+    q = F.col("query")
+    rows = keyword_hits(t).withColumn("sure", X.keyword_is_confident(q, F.col("n_hits")))
+    return rows.select("item_id", F.when(F.col("sure"), "keyword").otherwise("hybrid").alias("mode"), F.when(~F.col("sure") & X.asks_for_recent(q), "date").otherwise("relevance").alias("sort"))
 
 
 @query("Q07_autocomplete", "SELECT title FROM (SELECT title, ROW_NUMBER() OVER (PARTITION BY LOWER(title) ORDER BY id) AS rn FROM v_corpus WHERE STARTS_WITH(LOWER(title),'th')) WHERE rn = 1 ORDER BY title LIMIT 10")

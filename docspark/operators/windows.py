@@ -25,9 +25,28 @@ def numbered(df: DataFrame, *order: str) -> DataFrame:
     return rows.withColumn("rank", rank).join(F.broadcast(starts), "range").withColumn("place", F.col("start") + F.col("rank") - 1).drop("range", "rank", "start")
 
 
+def numbered_within(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """df with its rows' numbers from 0 on within each key as ``place``; no key is sorted in one task."""
+    placed = numbered(df, key, *order)
+    starts = placed.groupBy(key).agg(F.min("place").alias("first"))
+    return placed.join(starts, key).withColumn("place", F.col("place") - F.col("first")).drop("first")
+
+
+#: Rows that a rolling window is worked off in.
+BLOCK_ROWS = 20_000
+
+
+def in_blocks(placed: DataFrame, last: int) -> DataFrame:
+    """Numbered rows dealt to blocks (``block``); the last rows of a block come again at the head of the next, marked not ``own``."""
+    block = F.floor(F.col("place") / BLOCK_ROWS)
+    ahead = F.floor((F.col("place") + last - 1) / BLOCK_ROWS)
+    return placed.withColumn("block", F.explode(F.sequence(block, ahead))).withColumn("own", F.col("block") == block)
+
+
 @query("W01_rank_in_list", "SELECT id, ROW_NUMBER() OVER (PARTITION BY source_format ORDER BY file_size_bytes DESC, id)-1 AS rank FROM v_corpus")
 def rank_in_list(t: Tables) -> DataFrame:
-    return t.corpus.select("id", (F.row_number().over(Window.partitionBy("source_format").orderBy(F.desc("file_size_bytes"), "id")) - 1).cast("long").alias("rank"))
+    rows = t.corpus.select("id", "source_format", (-F.col("file_size_bytes")).alias("smaller"))
+    return numbered_within(rows, "source_format", "smaller", "id").select("id", F.col("place").cast("long").alias("rank"))
 
 
 @query("W02_best_chunk_per_doc", "WITH s AS (SELECT doc_id, vec_id, ROUND(embedding[1],6) AS score FROM v_vectors) SELECT doc_id, ARG_MAX(vec_id,(score,-vec_id)) AS vec_id, MAX(score) AS score, MIN(vec_id) AS first_seen FROM s GROUP BY 1")
@@ -67,42 +86,56 @@ def heading_path(t: Tables) -> DataFrame:
 @query("W07_rolling_rate", """SELECT id, CASE WHEN COUNT(*) OVER w >= 3 AND MAX(timestamp) OVER w > MIN(timestamp) OVER w THEN ROUND((COUNT(*) OVER w-1)/(EPOCH_US(MAX(timestamp) OVER w)-EPOCH_US(MIN(timestamp) OVER w))*1e6,9) END AS per_second FROM v_activity_events
 WINDOW w AS (PARTITION BY event_type ORDER BY timestamp, id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)""")
 def rolling_rate(t: Tables, last: int = 100, least: int = 3) -> DataFrame:
-    w = Window.partitionBy("event_type").orderBy("timestamp", "id").rowsBetween(1 - last, 0)
+    rows = in_blocks(numbered_within(t.activity_events.select("id", "event_type", "timestamp"), "event_type", "timestamp", "id"), last)
+    w = Window.partitionBy("event_type", "block").orderBy("place").rowsBetween(1 - last, 0)
     at = F.unix_micros(F.col("timestamp").cast("timestamp"))
-    span, n = F.max(at).over(w) - F.min(at).over(w), F.count("*").over(w)
-    return t.activity_events.select("id", F.when((n >= least) & (span > 0), F.round((n - 1) / span * 1e6, 9)).alias("per_second"))
+    rows = rows.withColumn("span", F.max(at).over(w) - F.min(at).over(w)).withColumn("n", F.count("*").over(w)).filter("own")
+    return rows.select("id", F.when((F.col("n") >= least) & (F.col("span") > 0), F.round((F.col("n") - 1) / F.col("span") * 1e6, 9)).alias("per_second"))
+
+
+@query("W08_ewma", """WITH s AS (SELECT event_type, duration_seconds AS x, ROW_NUMBER() OVER w AS rn, COUNT(*) OVER (PARTITION BY event_type) AS n FROM v_activity_events WINDOW w AS (PARTITION BY event_type ORDER BY timestamp, id))
+SELECT event_type, ROUND(SUM(CASE WHEN rn = 1 THEN POW(0.7,n-1)*x ELSE 0.3*POW(0.7,n-rn)*x END),6) AS ewma FROM s GROUP BY 1""")
+def ewma(t: Tables, alpha: float = 0.3) -> DataFrame:
+    """Exponential moving average over all observations of each operation, seeded with the first.
+
+    A stretch of rows acts on the average as one decay and one weighted sum, so
+    blocks of rows are summed by themselves and then folded in their order.
+    """
+    rows = numbered_within(t.activity_events.select("event_type", "timestamp", "id", F.col("duration_seconds").alias("x")), "event_type", "timestamp", "id")
+    counts = rows.groupBy("event_type").agg(F.count("*").alias("all"))
+    rows = rows.join(counts, "event_type").withColumn("block", F.floor(F.col("place") / BLOCK_ROWS))
+    after = F.least((F.col("block") + 1) * BLOCK_ROWS, F.col("all")) - 1 - F.col("place")  # rows of the block that follow
+    decay = F.pow(F.lit(1 - alpha), after)
+    sums = rows.groupBy("event_type", "block").agg(F.sum(alpha * decay * F.col("x")).alias("s"), F.count("*").alias("n"), F.min_by("x", "place").alias("first"))
+    return _folded(sums.withColumn("part", F.struct("block", "n", "s", "first")), alpha)
 
 
-@query("W08_ewma", """WITH RECURSIVE s AS (SELECT event_type, id, duration_seconds AS x, ROW_NUMBER() OVER (PARTITION BY event_type ORDER BY timestamp, id) AS rn FROM v_activity_events QUALIFY rn <= 60), e AS (SELECT event_type, rn, x AS ewma FROM s WHERE rn = 1 UNION ALL SELECT s.event_type, s.rn, 0.3*s.x+0.7*e.ewma FROM e JOIN s ON s.event_type = e.event_type AND s.rn = e.rn+1)
-SELECT event_type, ROUND(ARG_MAX(ewma,rn),6) AS ewma FROM e GROUP BY 1""")
-def ewma(t: Tables, alpha: float = 0.3, first: int = 60) -> DataFrame:
-    """Exponential moving average of each operation's first observations, seeded with the first."""
-    w = Window.partitionBy("event_type").orderBy("timestamp", "id")
-    kept = t.activity_events.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= first)
-    xs = F.transform(F.array_sort(F.collect_list(F.struct("rn", "duration_seconds"))), lambda s: s.duration_seconds)
-    fold = F.aggregate(F.slice("xs", 2, first), F.col("xs")[0], lambda a, x: a * (1 - alpha) + x * alpha)
-    return kept.groupBy("event_type").agg(xs.alias("xs")).select("event_type", F.round(fold, 6).alias("ewma"))
+def _folded(sums: DataFrame, alpha: float) -> DataFrame:
+    """(event_type, ewma) of sums by block; an operation's blocks, one for each BLOCK_ROWS rows, meet in one list."""
+    parts = F.array_sort(F.collect_list("part"))
+    folded = F.aggregate("parts", F.col("parts")[0]["first"], lambda e, p: e * F.pow(F.lit(1 - alpha), p["n"]) + p["s"])
+    return sums.groupBy("event_type").agg(parts.alias("parts")).select("event_type", F.round(folded, 6).alias("ewma"))
 
 
 @query("W09_error_latch", """WITH s AS (SELECT id, user_id, timestamp, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS bad FROM v_activity_events), r AS (SELECT *, COUNT(*) OVER w AS n, AVG(bad) OVER w AS rate FROM s WINDOW w AS (PARTITION BY user_id%10 ORDER BY timestamp,id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW))
 SELECT id, MAX(CASE WHEN n >= 20 AND rate >= 0.25 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id%10 ORDER BY timestamp,id ROWS UNBOUNDED PRECEDING) AS latched FROM r""")
 def error_latch(t: Tables, last: int = 100, least: int = 20, rate: float = 0.25) -> DataFrame:
     """1 from the first row on at which the rolling error rate reached its limit."""
-    key = (F.col("user_id") % 10).alias("shard")
-    s = t.activity_events.select("id", key, "timestamp", (F.col("event_type") == "error").cast("int").alias("bad"))
-    w = Window.partitionBy("shard").orderBy("timestamp", "id")
-    rolling = w.rowsBetween(1 - last, 0)
-    s = s.withColumn("hit", F.when((F.count("*").over(rolling) >= least) & (F.avg("bad").over(rolling) >= rate), 1).otherwise(0))
-    return s.select("id", F.max("hit").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("latched"))
+    s = t.activity_events.select("id", (F.col("user_id") % 10).alias("shard"), "timestamp", (F.col("event_type") == "error").cast("int").alias("bad"))
+    placed = numbered_within(s, "shard", "timestamp", "id")
+    rolling = Window.partitionBy("shard", "block").orderBy("place").rowsBetween(1 - last, 0)
+    hit = (F.count("*").over(rolling) >= least) & (F.avg("bad").over(rolling) >= rate)
+    first = in_blocks(placed, last).withColumn("hit", hit).filter("own and hit").groupBy("shard").agg(F.min("place").alias("first"))
+    return placed.join(first, "shard", "left").select("id", F.coalesce((F.col("place") >= F.col("first")).cast("int"), F.lit(0)).alias("latched"))
 
 
 @query("W09b_consecutive_errors", """WITH s AS (SELECT id, user_id%10 AS shard, timestamp, event_type = 'error' AS bad FROM v_activity_events), i AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY shard ORDER BY timestamp,id)-ROW_NUMBER() OVER (PARTITION BY shard,bad ORDER BY timestamp,id) AS island FROM s)
 SELECT shard, MAX(n) AS longest FROM (SELECT shard, island, COUNT(*) AS n FROM i WHERE bad GROUP BY 1,2) GROUP BY 1""")
 def consecutive_errors(t: Tables) -> DataFrame:
-    """Longest run of errors, by gaps and islands."""
+    """Longest run of errors, by gaps and islands: in a run an error's number among all rows and among errors go up together."""
     s = t.activity_events.select("id", (F.col("user_id") % 10).alias("shard"), "timestamp", (F.col("event_type") == "error").alias("bad"))
-    nth = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("timestamp", "id"))
-    islands = s.withColumn("island", nth("shard") - nth("shard", "bad")).filter("bad")
+    bad = numbered_within(s, "shard", "timestamp", "id").filter("bad").select("shard", F.col("place").alias("among_all"))
+    islands = numbered_within(bad, "shard", "among_all").withColumn("island", F.col("among_all") - F.col("place"))
     return islands.groupBy("shard", "island").agg(F.count("*").alias("n")).groupBy("shard").agg(F.max("n").alias("longest"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import io
 import zipfile
 from xml.sax.saxutils import escape
@@ -57,4 +58,11 @@ def rtf(lines: list[str]) -> bytes:
     return ("{\\rtf1\\ansi " + "\\par ".join("".join(map(coded, x)) for x in lines) + "}").encode("ascii")
 
 
-WRITERS = {"docx": docx, "xlsx": xlsx, "pptx": pptx, "odt": odt, "epub": epub, "zip": archive, "rtf": rtf}
+def prproj(lines: list[str]) -> bytes:
+    """An editing project of one sequence, named by the first line, and its media."""
+    name, *media = lines
+    clips = "".join(f"<Media><FilePath>{escape(x)}</FilePath></Media>" for x in media)
+    return gzip.compress(f'<PremiereData Version="3"><Sequence><Name>{escape(name)}</Name></Sequence>{clips}</PremiereData>'.encode(), mtime=0)
+
+
+WRITERS = {"prproj": prproj, "docx": docx, "xlsx": xlsx, "pptx": pptx, "odt": odt, "epub": epub, "zip": archive, "rtf": rtf}

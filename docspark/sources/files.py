@@ -67,7 +67,10 @@ def contacts(df: DataFrame, column: str) -> DataFrame:
 def mail(df: DataFrame, column: str) -> DataFrame:
     """(subject, sender, body) of message text: headers up to the first empty line."""
     header = lambda name: F.trim(F.regexp_extract(F.regexp_extract(column, r"(?s)^(.*?)\r?\n\r?\n", 1), rf"(?mi)^{name}:(.*)$", 1))
-    return df.select(*(c for c in df.columns if c != column), header("Subject").alias("subject"), header("From").alias("sender"), F.regexp_extract(column, r"(?s)\r?\n\r?\n(.*)$", 1).alias("body"))
+    coded = r"(?is)^=\?utf-8\?b\?([^?]*)\?=$"  # a header that isn't plain ASCII, or holds line breaks, is one encoded word
+    subject = header("Subject")
+    subject = F.when(subject.rlike(coded), F.decode(F.unbase64(F.regexp_extract(subject, coded, 1)), "UTF-8")).otherwise(subject)
+    return df.select(*(c for c in df.columns if c != column), subject.alias("subject"), header("From").alias("sender"), F.regexp_extract(column, r"(?s)\r?\n\r?\n(.*)$", 1).alias("body"))
 
 
 @query("S01_table_scan", "SELECT id, source_path FROM v_source_files")
@@ -113,11 +116,13 @@ def contact_rows(t: Tables) -> DataFrame:
     return contacts(t.raw("customer").select("c_custkey", card.alias("vcf")), "vcf").select("c_custkey", "name", F.get("emails", 0).alias("email"))
 
 
-@query("S21_mail", "SELECT id, title AS subject, source_format AS sender, content AS body FROM v_corpus WHERE NOT CONTAINS(title,CHR(10)) AND TRIM(title) = title")
+@query("S21_mail", "SELECT id, title AS subject, source_format AS sender, content AS body FROM v_corpus")
 def mail_rows(t: Tables) -> DataFrame:
-    clean = t.corpus.filter(~F.col("title").contains("\n") & (F.trim("title") == F.col("title")))
-    text = F.concat(F.lit("From: "), F.col("source_format"), F.lit("\nSubject: "), F.col("title"), F.lit("\n\n"), F.col("content"))
-    return mail(clean.select("id", text.alias("eml")), "eml")
+    title = F.col("title")
+    plain = ~title.contains("\n") & (F.trim(title) == title) & title.rlike(r"^[\x20-\x7E]*$")
+    subject = F.when(plain, title).otherwise(F.concat(F.lit("=?utf-8?B?"), F.regexp_replace(F.base64(F.encode(title, "UTF-8")), r"\s", ""), F.lit("?=")))
+    text = F.concat(F.lit("From: "), F.col("source_format"), F.lit("\nSubject: "), subject, F.lit("\n\n"), F.col("content"))
+    return mail(t.corpus.select("id", text.alias("eml")), "eml")
 
 
 @query("S37_rate_table", "SELECT provider_id, model, input_rate FROM v_rates WHERE input_rate >= 0 AND output_rate >= 0")

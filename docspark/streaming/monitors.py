@@ -8,6 +8,7 @@ writes to the shared folder and gives the rows back.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,14 +23,17 @@ from ..sources.tables import Tables
 
 
 def shared_folder(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "docspark-streams")).rstrip("/")
+    """The folder that driver and executors share; a local one only where none is set and all runs in one process."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (path or "file://" + os.path.join(tempfile.gettempdir(), "docspark-streams")).rstrip("/")
 
 
 def events_stream(spark: SparkSession, path: str) -> DataFrame:
     """The events table as a stream of files."""
     schema = spark.read.parquet(path).schema
-    folder = path if not path.endswith(".parquet") else path
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(folder)
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(path)
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

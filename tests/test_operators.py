@@ -131,3 +131,20 @@ def test_empty_tables(spark):
 def test_cycle(spark):
     days = [dt.datetime(2024, 3, 20), dt.datetime(2024, 3, 10), dt.datetime(2024, 1, 1)]
     assert values(spark, X.cycle_start(F.col("x"), 15), days, "x timestamp") == [dt.date(2024, 3, 15), dt.date(2024, 2, 15), dt.date(2023, 12, 15)]
+
+
+def test_ewma_is_the_fold_over_all_rows(spark, tmp_path, monkeypatch):
+    import random
+
+    from docspark.operators import windows
+    from docspark.sources.tables import Tables
+
+    monkeypatch.setattr(windows, "BLOCK_ROWS", 7)
+    rng = random.Random(3)
+    rows = [(i, rng.choice("ab"), rng.random() * 10) for i in range(200)]
+    df = spark.createDataFrame(rows, "event_id long, event_type string, value double").selectExpr("event_id", "event_type", "value", "timestamp_ntz '2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0,event_id div 3) as ts", "1L as user_id", "'{}' as props")
+    df.write.parquet(f"{tmp_path}/events.parquet")
+    want = {}
+    for i, kind, x in sorted(rows, key=lambda r: (r[0] // 3, r[0])):
+        want[kind] = 0.3 * x + 0.7 * want[kind] if kind in want else x
+    assert {r.event_type: r.ewma for r in windows.ewma(Tables(spark, str(tmp_path))).collect()} == {k: round(v, 6) for k, v in want.items()}

@@ -100,20 +100,24 @@ def train(texts: pa.Array, labels: np.ndarray, how: Training) -> Model:
             step += 1
             if docs[d] is None:
                 continue
-            buckets, share = docs[d]
-            mean = (vectors[buckets] * share).sum(0)
-            logits = mean @ weights + bias
-            p = np.exp(logits - logits.max())
-            p /= p.sum()
-            p[labels[d]] -= 1
-            back = weights @ p
-            weights -= rate * np.outer(mean, p)
-            bias -= 0.1 * rate * p
-            # a mean's gradient is shared out among its features; the gain makes up for their number, the bound keeps steps stable
-            vectors[buckets] -= rate * np.minimum(share * 20, 0.3) * back
+            descend(vectors, weights, bias, *docs[d], labels[d], rate)
     return Model((vectors @ (weights[:, 1] - weights[:, 0])).astype(np.float32), float(bias[1] - bias[0]), how.grams)
 
 
+def descend(vectors: np.ndarray, weights: np.ndarray, bias: np.ndarray, buckets: np.ndarray, share: np.ndarray, label: int, rate: float) -> None:
+    """One step of gradient descent on the softmax loss of a document, in place; share is each bucket's part of the features."""
+    mean = (vectors[buckets] * share).sum(0)
+    logits = mean @ weights + bias
+    p = np.exp(logits - logits.max())
+    p /= p.sum()
+    p[label] -= 1
+    back = weights @ p
+    weights -= rate * np.outer(mean, p)
+    bias -= 0.1 * rate * p
+    # a mean's gradient is shared out among its features; the gain makes up for their number, the bound keeps steps stable
+    vectors[buckets] -= rate * np.minimum(share * 20, 0.3) * back
+
+
 def scores(column: pa.Array, model: Model) -> np.ndarray:
     """Probability of label 1 for each text."""
     out = []

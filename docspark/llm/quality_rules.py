@@ -8,8 +8,8 @@ document is kept if it passes the base rules and both Jensen-Shannon distances
 
 Defined cases. Null or empty text: no words, base_failed. Null lang: compared to
 the reference over documents without a language. Repeated rows: judged alike,
-each contributes to the reference. Under ``min_chars`` bytes the character test
-and under ``min_words`` words the word test is not applied. An empty table gives
+each contributes to the reference. Under ``min_chars`` code points in words the
+character test and under ``min_words`` words the word test is not applied. An empty table gives
 an empty result. Other columns pass through unchanged, whatever their names.
 """
 
@@ -51,7 +51,7 @@ class Rules:
     word_distance: float = 0.15
     word_noise: float = 1.4
     min_chars: int = 200
-    min_words: int = 50
+    min_words: int = 100
 
 
 def _class_table() -> np.ndarray:

@@ -265,7 +265,6 @@ def _wanted(texts: DataFrame, copies: DataFrame, how: Parsing) -> DataFrame:
 def _found(texts: DataFrame, copies: DataFrame, how: Parsing) -> DataFrame:
     """(doc_id, place, source, at): windows of texts (doc_id, text, part) and the first place of each in a document with a smaller id."""
     wanted = _wanted(texts, copies, how)
-    frames.release(texts.sparkSession)  # the shuffles of the anchors are done with
     # from here on one job: all its joins with the texts read one shuffle of them
     windows = lambda hot: _joined(texts, wanted.filter(F.col("hot") == hot).drop("hot")).mapInArrow(_window_rows(how), "win bigint, doc_id bigint, place bigint")
     here = F.struct(F.col("doc_id").alias("source"), F.col("place").alias("at"))
@@ -319,6 +318,7 @@ def parse(docs: DataFrame, how: Parsing = Parsing(), with_text: bool = False) ->
         nameless = nameless.withColumn(to, F.lit(None).cast(every.schema[to].dataType))
     columns = [*("`" + x.replace("`", "``") + "`" for x in docs.columns), t, f, b, c]
     every = every.select(*columns).union(nameless.select(*columns))
+    frames.release(docs.sparkSession)  # the shuffles of the anchors are done with
     return every.select(*columns[: len(docs.columns)], _parse(how, with_text)(F.col(t), F.col(f), F.col(b), F.col(c)).alias(name))
 
 

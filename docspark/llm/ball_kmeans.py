@@ -17,8 +17,8 @@ is deleted once the next one is written. Rounds end early if no centroid moves:
 later ones would be equal.
 
 Vectors: exactly ``dimensions`` components, none null or not finite, each turned into
-floor(scale * x). Beyond 2^27 a squared distance might not fit into 64 bits; such a
-component raises an error.
+floor(scale * x). Beyond ``largest`` (2^26.5 with 64 components) four times a squared
+distance might not fit into 64 bits; such a component raises an error.
 
 Defined cases. Null vectors and those of another length or with null or non-finite
 components: left out. Null id: clustered, but no starting centroid. Repeated rows: vectors
@@ -29,6 +29,7 @@ result. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,7 +39,6 @@ from pyspark.sql import functions as F
 
 from . import frames
 
-LARGEST = 1 << 27
 _ROWS = "kind int, vec_id bigint, cluster int, distance bigint, v binary, n bigint, sums array<bigint>, radius bigint, inertia decimal(38,0)"
 
 
@@ -58,10 +58,16 @@ def kept_vectors(embeddings: DataFrame, how: Clustering) -> DataFrame:
     return embeddings.filter((F.size(x) == how.dimensions) & whole).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("embedding"))
 
 
+def largest(width: int) -> int:
+    """The largest component, so that 4 times the squared distance of two vectors stays under 2^63."""
+    return math.isqrt(((1 << 63) - 1) // (16 * width))
+
+
 def to_integers(values: np.ndarray, scale: float) -> np.ndarray:
+    """Rows of vectors as integers."""
     whole = np.floor(values * scale)
-    if len(whole) and max(-whole.min(), whole.max()) > LARGEST:
-        raise ValueError("a component is beyond 2^27: squared distances might not fit into 64 bits")
+    if whole.size and max(-whole.min(), whole.max()) > largest(values.shape[1]):
+        raise ValueError("a component is too large: squared distances might not fit into 64 bits")
     return whole.astype(np.int64)
 
 

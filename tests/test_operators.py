@@ -55,11 +55,12 @@ def test_chunks():
 
 @settings(max_examples=60, deadline=None)
 @given(st.text("ab. \n", max_size=9000))
-def test_pieces_cover_the_text(body):
-    parts = documents.pieces(body)
-    assert all(0 < len(p) <= documents.LARGE for p in parts)
-    assert set("".join(parts).split()) <= set(" ".join([body, *parts]).split())
-    assert sum(len(p) for p in parts) >= len(body.strip()) - body.count(" ") - body.count("\n")
+def test_windows_cover_the_text(body):
+    spans = documents.windows(body)
+    assert spans[0][0] == 0 and spans[-1][1] == len(body)
+    assert all(0 <= stop - start <= documents.LARGE for start, stop in spans)
+    for before, after in zip(spans, spans[1:]):  # in order, overlapping, with no gap
+        assert before[0] < after[0] <= before[1] < after[1] and before[1] - after[0] <= documents.OVERLAP
 
 
 def test_html():
@@ -106,8 +107,10 @@ def test_refusals(spark):
 
 
 def test_index_percentile(spark):
-    df = spark.range(100).select(F.col("id").cast("double").alias("x"))
-    assert df.agg(aggregates.index_percentile(F.col("x"), 0.95)).first()[0] == 95
+    rows = [("a", float(i)) for i in range(100)] + [("b", 0.0)] * 50 + [("b", float(i)) for i in range(1, 51)] + [("c", None), ("d", 7.0)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(4)
+    for share, want in ((0.95, {"a": 95.0, "b": 46.0, "d": 7.0}), (0.25, {"a": 25.0, "b": 0.0, "d": 7.0}), (0.5, {"a": 50.0, "b": 1.0, "d": 7.0})):
+        assert {r.k: r.p for r in aggregates.index_percentile(df, "k", "x", share, "p").collect()} == want
 
 
 def test_cosine_of_zero_is_null(spark):

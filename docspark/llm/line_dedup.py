@@ -221,6 +221,15 @@ def _templates_of_big_leaves(rows: DataFrame, how: Templates) -> DataFrame:
     return found.join(enough, "template").select("line", "template")
 
 
+def _counted_again(docs: DataFrame, lines: DataFrame) -> DataFrame | None:
+    """(line, over): how often rows of one id hold a line beyond the first of them; None if no id has two rows."""
+    ids = frames.cut(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    if ids.isEmpty():
+        return None
+    each = lines.join(ids, "doc_id", "left_semi").groupBy("line", "doc_id").agg((F.count("*") - 1).alias("over"))
+    return frames.cut(each.groupBy("line").agg(F.sum("over").alias("over")).filter("over > 0"))
+
+
 def lines_of(docs: DataFrame, how: Templates = Templates()) -> tuple[DataFrame, DataFrame]:
     """(line, leaf or 0, doc_id) of all lines, and (line, template) of those that generalise."""
     texts = docs.filter("doc_id is not null and text is not null").select("doc_id", F.col("text").cast("binary").alias("text"))
@@ -228,7 +237,15 @@ def lines_of(docs: DataFrame, how: Templates = Templates()) -> tuple[DataFrame,
     leaves = lines.filter("leaf <> 0").groupBy("leaf").agg(F.count("*").alias("n"))
     limit = max(how.leaf_rows, (leaves.agg(F.sum("n")).first()[0] or 0) // 100_000)
     big = np.array([r.leaf for r in leaves.filter(F.col("n") > limit).select("leaf").collect()], np.int64).view(U64)  # 100 000 at most
-    rows = lambda of_big: texts.mapInArrow(_token_rows(how, big, of_big), _TOKENS)
+    over = _counted_again(docs, lines)
+
+    def rows(of_big: bool) -> DataFrame:
+        found = texts.mapInArrow(_token_rows(how, big, of_big), _TOKENS)
+        if over is None:
+            return found
+        less = found.join(over, "line").groupBy("leaf", "line").agg((-F.first("over")).alias("docs"), F.first("tokens").alias("tokens"))
+        return found.unionByName(less)
+
     members = rows(False).repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_templates_of_leaves(how), "line bigint, template bigint")
     if len(big):
         members = members.union(_templates_of_big_leaves(rows(True), how))

@@ -10,7 +10,7 @@ one number for each bucket, so workers get one float table and score whole
 texts with vectorised lookups.
 
 Defined cases. Null or empty text: scored by the bias alone. Null or other
-labels: not learned from. Repeated label rows count as often as they occur. With
+labels: not learned from. Repeated label rows and repeated rows of an id count as often as they occur, within the bound. With
 no label of a class the score is the share of label 1 (0.5 without any labels).
 """
 
@@ -27,6 +27,8 @@ from . import frames
 from .textops import U64, Words, buffer_of, mix64, sliced
 
 BUCKET_BITS = 18
+#: The rate of the vectors, times that of the softmax weights: a bucket is a small part of its documents' means.
+VECTOR_RATE = 10.0
 
 
 @dataclass(frozen=True)
@@ -93,6 +95,7 @@ def train(texts: pa.Array, labels: np.ndarray, how: Training) -> Model:
     for part in sliced(texts):
         docs += [np.unique(b, return_counts=True) for b in document_buckets(part, how.grams)]
     docs = [(b, (c / c.sum())[:, None]) if len(b) else None for b, c in docs]
+    seen = np.zeros((size, 1))
     total, step = how.epochs * len(docs), 0
     for _ in range(how.epochs):
         for d in rng.permutation(len(docs)):
@@ -100,22 +103,27 @@ def train(texts: pa.Array, labels: np.ndarray, how: Training) -> Model:
             step += 1
             if docs[d] is None:
                 continue
-            descend(vectors, weights, bias, *docs[d], labels[d], rate)
+            descend(vectors, weights, bias, seen, *docs[d], labels[d], rate)
     return Model((vectors @ (weights[:, 1] - weights[:, 0])).astype(np.float32), float(bias[1] - bias[0]), how.grams)
 
 
-def descend(vectors: np.ndarray, weights: np.ndarray, bias: np.ndarray, buckets: np.ndarray, share: np.ndarray, label: int, rate: float) -> None:
-    """One step of gradient descent on the softmax loss of a document, in place; share is each bucket's part of the features."""
+def descend(vectors: np.ndarray, weights: np.ndarray, bias: np.ndarray, seen: np.ndarray, buckets: np.ndarray, share: np.ndarray, label: int, rate: float) -> None:
+    """One step of gradient descent on the softmax loss of a document, in place; share is each bucket's part of the features.
+
+    A bucket's gradient is the mean's, times its part of the mean. Its rate is its own:
+    divided by the root of the squared gradients that it has ``seen``, since buckets
+    differ in how often they occur by orders of magnitude.
+    """
     mean = (vectors[buckets] * share).sum(0)
     logits = mean @ weights + bias
     p = np.exp(logits - logits.max())
     p /= p.sum()
     p[label] -= 1
-    back = weights @ p
+    gradient = share * (weights @ p)
     weights -= rate * np.outer(mean, p)
     bias -= 0.1 * rate * p
-    # a mean's gradient is shared out among its features; the gain makes up for their number, the bound keeps steps stable
-    vectors[buckets] -= rate * np.minimum(share * 20, 0.3) * back
+    seen[buckets] += (gradient * gradient).mean(1, keepdims=True)
+    vectors[buckets] -= VECTOR_RATE * rate * gradient / np.sqrt(seen[buckets] + 1e-12)
 
 
 def scores(column: pa.Array, model: Model) -> np.ndarray:
@@ -140,7 +148,8 @@ def fit(labelled: DataFrame, how: Training = Training()) -> Model:
 def training_rows(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> DataFrame:
     """The labelled documents with the smallest hashes of their ids, how.most_rows at most; the ids are chosen before texts are read."""
     chosen = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(how.most_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", F.xxhash64("text"))
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return met.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", F.xxhash64("text"), "text").limit(how.most_rows)  # an id may have several rows
 
 
 def score(docs: DataFrame, model: Model, threshold: float = Training.threshold) -> DataFrame:

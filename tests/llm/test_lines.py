@@ -92,3 +92,21 @@ def test_against_brute_force_and_in_both_ways(spark):
     assert {i: n for i, (_, n) in got.items()} == want and sum(want.values()) > 300
     assert drops(spark, rows, Templates(short_docs=60, leaf_rows=5)) == got
     assert got[1000] == ("", 0) and got[1001] == (" \n\n ", 0) and got[1002] == (None, 0)
+
+
+def test_repeated_rows_count_once(spark):
+    names = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven"]
+    line = "alpha beta gamma delta {} epsilon zeta eta"
+    rows = [(i, line.format(x)) for i, x in enumerate(names)] + [(5, line.format("five"))] * 12
+    rows += [(40 + i, f"only {x} words here of nine again in it") for i, x in enumerate(names[:9])] + [(40, f"only {x} words here of nine again in it") for x in names]
+    want = brute(rows, Templates())
+    for how in (Templates(), Templates(leaf_rows=5)):
+        got = line_dedup.drop_recurring(spark.createDataFrame(rows, SCHEMA).repartition(3), how).collect()
+        assert sorted((r.doc_id, r.lines.n_dropped) for r in got) == sorted((i, want[i]) for i, _ in rows)
+    assert want[5] == 1 and want[0] == 0 and want[41] == 0  # nine documents aren't ten
+
+
+def test_a_long_text(spark):
+    rows = [(i, "\n".join(f"entry {i} {k} of the same long list of lines" for k in range(60_000 if i == 3 else 2))) for i in range(12)]
+    got = drops(spark, rows)
+    assert len(rows[3][1]) > 2 << 20 and got[3][1] == 60_000 and got[0][1] == 0 and all(got[i][1] == 2 for i in range(1, 12) if i != 3)

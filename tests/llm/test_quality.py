@@ -110,9 +110,21 @@ def test_a_step_is_the_gradient():
 
     by_mean, by_weights, by_bias = numeric(lambda m: loss(m, weights, bias), mean), numeric(lambda w: loss(mean, w, bias), weights), numeric(lambda b: loss(mean, weights, b), bias)
     v, w, b = vectors.copy(), weights.copy(), bias.copy()
-    quality_classifier.descend(v, w, b, buckets, share, label, rate)
+    seen = np.full((6, 1), 0.5)
+    quality_classifier.descend(v, w, b, seen, buckets, share, label, rate)
     assert np.allclose(w, weights - rate * by_weights, atol=1e-6) and np.allclose(b, bias - 0.1 * rate * by_bias, atol=1e-6)
-    assert np.allclose(v[buckets], vectors[buckets] - rate * np.minimum(share * 20, 0.3) * by_mean, atol=1e-6) and (v[[0, 2, 3]] == vectors[[0, 2, 3]]).all()
+    by_vector = numeric(lambda x: loss((x * share).sum(0), weights, bias), vectors[buckets])
+    assert np.allclose(by_vector, share * by_mean, atol=1e-6)
+    assert np.allclose(seen[buckets], 0.5 + (by_vector**2).mean(1, keepdims=True), atol=1e-6) and (seen[[0, 2, 3]] == 0.5).all()
+    assert np.allclose(v[buckets], vectors[buckets] - quality_classifier.VECTOR_RATE * rate * by_vector / np.sqrt(seen[buckets]), atol=1e-6) and (v[[0, 2, 3]] == vectors[[0, 2, 3]]).all()
+
+
+def test_training_rows_are_bounded(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(50)] + [(i, "other") for i in range(2, 9)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 9)] + [(1, 1)] * 5, "doc_id long, quality int")
+    for most in (2, 4, 100):
+        rows = quality_classifier.training_rows(docs, labels, quality_classifier.Training(most_rows=most)).collect()
+        assert len(rows) <= most and rows
 
 
 def test_held_out_is_never_null(spark, put):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +11,8 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 from ..registry import query
 from ..sources.tables import Tables
+from ..streaming.monitors import shared_folder
+from .postings_index import Index, index_of
 from .scalars import _CONFIDENT_SQL, _KEYWORD_HITS_SQL, _QUERIES_SQL, _TEMPORAL_SQL, keyword_hits
 
 
@@ -17,36 +21,40 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def postings(docs: DataFrame, id_: str, content: str) -> DataFrame:
-    """(token, id, tf): the inverted index of a text column, lower-cased runs of letters and digits."""
-    tokens = F.explode(F.split(F.lower(content), "[^a-z0-9]+")).alias("token")
-    return docs.select(id_, tokens).filter("token <> ''").groupBy("token", id_).agg(F.count("*").alias("tf"))
-
-
 _TOKENS = "tok AS (SELECT id, UNNEST(REGEXP_SPLIT_TO_ARRAY(LOWER(content),'[^a-z0-9]+')) AS token FROM v_corpus), post AS (SELECT token, id, COUNT(*) AS tf FROM tok WHERE token <> '' GROUP BY 1,2)"
 _HITS = f"{_TOKENS}, hits AS (SELECT id, COUNT(*) AS words, SUM(tf) AS tf FROM post WHERE token IN ('the','thing') GROUP BY 1)"
 TERMS = ("the", "thing")
 
 
-def hits(t: Tables, terms=TERMS) -> DataFrame:
-    """(id, words, tf): how many of the terms a document has and how often. Only the terms' tokens become rows."""
-    wanted = F.filter(F.split(F.lower("content"), "[^a-z0-9]+"), lambda x: x.isin(*terms))
-    found = t.corpus.select("id", F.explode(wanted).alias("token"))
-    return found.groupBy("id").agg(F.countDistinct("token").alias("words"), F.count("*").alias("tf"))
+def corpus_index(t: Tables) -> Index:
+    """The stored index of the corpus."""
+    return index_of(t.spark, f"{t.sf_dir}/documents.parquet", t.corpus)
 
 
 @query("Q01_keyword_search", f"WITH {_HITS} SELECT h.id, words, tf, title FROM hits h JOIN v_corpus c ON c.id = h.id WHERE NOT is_flagged ORDER BY words DESC, tf DESC, h.id LIMIT 20")
-def keyword_search(t: Tables) -> DataFrame:
-    shown = t.corpus.filter("not is_flagged").select("id", "title")
-    return hits(t).join(shown, "id").orderBy(F.desc("words"), F.desc("tf"), "id").limit(20).select("id", "words", "tf", "title")
+def keyword_search(t: Tables, terms=TERMS, k: int = 20, where: str = "not is_flagged") -> DataFrame:
+    """The best documents by terms held and occurrences, out of the buckets and blocks that can hold them."""
+    return corpus_index(t).top(list(terms), k, F.expr(where)).select("id", "words", "tf", "title")
+
+
+_RULES = """WITH d AS (SELECT id, LIST_FILTER(REGEXP_SPLIT_TO_ARRAY(LOWER(title),'[^a-z0-9]+'), LAMBDA x: x <> '') AS a, LIST_FILTER(REGEXP_SPLIT_TO_ARRAY(LOWER(content),'[^a-z0-9]+'), LAMBDA x: x <> '') AS b FROM v_corpus),
+w AS (SELECT id, UNNEST(a) AS token, UNNEST(RANGE(LEN(a))) AS pos FROM d UNION ALL SELECT id, UNNEST(b), UNNEST(RANGE(LEN(b))) + 1099511627776 FROM d),
+q AS (SELECT place, term, token, LEVENSHTEIN(term, token) AS typos FROM (SELECT DISTINCT token FROM w), (VALUES (0,'the'),(1,'thing')) t(place, term) WHERE LEVENSHTEIN(term, token) <= CASE WHEN LEN(term) >= 9 THEN 2 WHEN LEN(term) >= 5 THEN 1 ELSE 0 END),
+m AS (SELECT id, place, typos, pos FROM w JOIN q USING (token)),
+e AS (SELECT id, place, MIN(typos) AS typos, MIN(pos) AS first FROM m GROUP BY 1, 2),
+s AS (SELECT id, pos - LEAST(MAX(CASE WHEN place = 0 THEN pos END) OVER o, MAX(CASE WHEN place = 1 THEN pos END) OVER o) AS span, MAX(CASE WHEN place = 0 THEN pos END) OVER o IS NOT NULL AND MAX(CASE WHEN place = 1 THEN pos END) OVER o IS NOT NULL AS whole FROM m WINDOW o AS (PARTITION BY id ORDER BY pos, place ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT id, MIN(span) AS span FROM s WHERE whole GROUP BY 1),
+r AS (SELECT e.id, COUNT(*) AS words, SUM(typos) AS typos, CASE WHEN COUNT(*) = 2 THEN LEAST(GREATEST(ANY_VALUE(span) - 1, 0), 8) ELSE 0 END AS proximity, COUNT_IF(first >= 1099511627776) AS attribute, COUNT_IF(typos = 0) AS exactness FROM e LEFT JOIN p ON p.id = e.id GROUP BY 1)
+SELECT id, words, typos::BIGINT AS typos, proximity::BIGINT AS proximity, attribute, exactness, ROW_NUMBER() OVER (ORDER BY words DESC, typos, proximity, attribute, exactness DESC, id) - 1 AS rank FROM r ORDER BY rank LIMIT 50"""
 
 
-@query("Q02_ranking_rules", f"WITH {_HITS} SELECT h.id, ROW_NUMBER() OVER (ORDER BY words DESC, CASE WHEN CONTAINS(LOWER(title),'the') THEN 0 ELSE 1 END, tf DESC, h.id)-1 AS rank FROM hits h JOIN v_corpus c ON c.id = h.id ORDER BY rank LIMIT 50")
-def ranking_rules(t: Tables) -> DataFrame:
-    """Lexicographic: terms matched, title before body, occurrences, id."""
-    order = [F.desc("words"), F.when(F.lower("title").contains("the"), 0).otherwise(1), F.desc("tf"), F.col("id")]
-    top = hits(t).join(t.corpus.select("id", "title"), "id").orderBy(*order).limit(50)
-    return top.select("id", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long").alias("rank"))
+@query("Q02_ranking_rules", _RULES)
+def ranking_rules(t: Tables, terms=TERMS, k: int = 50) -> DataFrame:
+    """The rules in their order: words, typos, proximity, attribute, exactness, id."""
+    rules = ("words", "typos", "proximity", "attribute", "exactness")
+    best = [F.desc("words"), "typos", "proximity", "attribute", F.desc("exactness"), "id"]
+    top = corpus_index(t).ranked(list(terms), k)
+    return top.select("id", *rules, (F.row_number().over(Window.orderBy(*best)) - 1).cast("long").alias("rank"))
 
 
 @query("Q03_unified_search", "SELECT 'documents' AS source_index, COUNT(*) AS total FROM v_corpus WHERE CONTAINS(LOWER(content),'thing') UNION ALL SELECT 'transcripts', COUNT(*) FROM v_transcript_segments WHERE CONTAINS(LOWER(text),'thing') UNION ALL SELECT 'pages', COUNT(*) FROM pages WHERE CONTAINS(LOWER(html),'thing')")
@@ -72,7 +80,7 @@ def hybrid_fusion(t: Tables, k: int = 60, n: int = 30) -> DataFrame:
         top = df.orderBy(*order).limit(n)
         return top.select("id", (F.row_number().over(Window.orderBy(*order)) - 1).alias(name))
 
-    kw = ranked(hits(t), [F.desc("words"), F.desc("tf"), F.col("id")], "kr")
+    kw = ranked(corpus_index(t).top(list(TERMS), n), [F.desc("words"), F.desc("tf"), F.col("id")], "kr")
     one = t.vectors.filter("vec_id = 1").select(F.col("embedding").alias("q"))
     best = t.vectors.join(F.broadcast(one)).groupBy(F.col("doc_id").alias("id")).agg(F.round(F.max(cosine(F.col("embedding"), F.col("q"))), 9).alias("s"))
     vec = ranked(best, [F.desc("s"), F.col("id")], "vr")
@@ -132,5 +140,22 @@ def browse(t: Tables) -> DataFrame:
 
 @query("K19_postings", f"WITH {_TOKENS} SELECT token, COUNT(*) AS docs, SUM(tf) AS tf FROM post GROUP BY 1")
 def postings_table(t: Tables) -> DataFrame:
-    """The inverted index, summed by token."""
-    return postings(t.corpus, "id", "content").groupBy("token").agg(F.count("*").alias("docs"), F.sum("tf").alias("tf"))
+    """The vocabulary of the stored index."""
+    return corpus_index(t).vocabulary().select("token", "docs", "tf")
+
+
+_CHANGED = """gone AS (SELECT doc_id AS id FROM labels WHERE toxic = 1 UNION SELECT item_id FROM benchmark), now AS (SELECT id, content FROM v_corpus WHERE id NOT IN (SELECT id FROM gone) UNION ALL SELECT item_id, ANY_VALUE(text) FROM benchmark GROUP BY 1),
+tok AS (SELECT id, UNNEST(REGEXP_SPLIT_TO_ARRAY(LOWER(content),'[^a-z0-9]+')) AS token FROM now)"""
+
+
+@query("K19b_index_changes", f"WITH {_CHANGED} SELECT token, COUNT(DISTINCT id) AS docs, COUNT(*) AS tf FROM tok WHERE token <> '' GROUP BY 1")
+def index_changes(t: Tables) -> DataFrame:
+    """The vocabulary after a change set: documents labelled toxic are deleted, those with the id of a benchmark item take its text. Only the changes are written."""
+    folder = f"{shared_folder(t.spark)}/changed-postings-{uuid.uuid4().hex}"
+    index = Index(t.spark, folder)
+    index.build(t.corpus)
+    fresh = t.raw("benchmark").groupBy(F.col("item_id").cast("long").alias("id")).agg(F.min("text").alias("content")).filter("id is not null")
+    fresh = fresh.select(F.lit("upsert").alias("op"), "id", F.substring("content", 1, 60).alias("title"), "content")
+    toxic = t.raw("labels").filter("toxic = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("id")).distinct().join(fresh.select("id"), "id", "left_anti")
+    index.apply(fresh.unionByName(toxic.select(F.lit("delete").alias("op"), "id"), allowMissingColumns=True))
+    return index.vocabulary().select("token", "docs", "tf")

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 from ..registry import query
 from ..sources.tables import Tables
 from .aggregates import with_rates
+from .similarity import similar
 
 
 @query("J01_pending_with_job", "SELECT b.id, b.job_id, j.status AS job_status FROM v_bulk_files b LEFT JOIN v_bulk_jobs j ON j.id = b.job_id WHERE b.status = 'pending'")
@@ -151,13 +152,15 @@ def projects_of_media(t: Tables) -> DataFrame:
     return t.media_refs.groupBy("media_path").agg(F.countDistinct("project_id").alias("projects"), F.min("project_id").alias("first_project"))
 
 
-@query("J20_similar_titles", """WITH d AS (SELECT id, title, source_format, SUBSTR(title,1,12) AS block FROM v_corpus) SELECT a.id AS a, b.id AS b FROM d a JOIN d b ON a.block = b.block AND a.source_format = b.source_format AND a.id < b.id WHERE 1-LEVENSHTEIN(a.title,b.title)/GREATEST(LENGTH(a.title),LENGTH(b.title))::DOUBLE >= 0.9""")
-def similar_titles(t: Tables, least: float = 0.9) -> DataFrame:
-    """Titles of one format that begin alike and have an edit similarity of 0.9 or more; the blocking key keeps it an equi-join."""
-    d = t.corpus.select("id", "title", "source_format", F.substring("title", 1, 12).alias("block"))
-    b = d.select(F.col("id").alias("b"), F.col("title").alias("title_b"), "source_format", "block")
-    ratio = 1 - F.levenshtein("title", "title_b") / F.greatest(F.length("title"), F.length("title_b"))
-    return d.withColumnRenamed("id", "a").join(b, ["block", "source_format"]).filter(F.col("a") < F.col("b")).filter(ratio >= least).select("a", "b")
+@query("J20_similar_titles", """WITH c AS (SELECT text, MIN(id) AS class_id, COUNT(DISTINCT id) AS n FROM (SELECT id, LOWER(TRIM(REGEXP_REPLACE(title,'[\\x20\\x09-\\x0D]+',' ','g'))) AS text FROM v_corpus) GROUP BY 1 HAVING text IS NOT NULL),
+g AS (SELECT class_id, n, CASE WHEN text = '' THEN [] ELSE LIST_DISTINCT(LIST_TRANSFORM(RANGE(1, GREATEST(LENGTH(text)-1, 2)), LAMBDA i: SUBSTR(text, i::INT, 3))) END AS g FROM c),
+p AS (SELECT a.class_id AS a, b.class_id AS b, b.n AS m, LEN(LIST_INTERSECT(a.g, b.g)) AS shared, LEN(a.g)+LEN(b.g) AS total FROM g a JOIN g b ON a.class_id <> b.class_id AND 100*LEAST(LEN(a.g),LEN(b.g)) >= 80*GREATEST(LEN(a.g),LEN(b.g)) AND LEN(a.g) > 0),
+l AS (SELECT a AS class_id, SUM(m) AS linked, ARG_MAX(b, (shared/(total-shared)::DOUBLE, -b)) AS best_id, MAX(shared/(total-shared)::DOUBLE) AS s FROM p WHERE 100*shared >= 80*(total-shared) GROUP BY 1),
+i AS (SELECT DISTINCT id, LOWER(TRIM(REGEXP_REPLACE(title,'[\\x20\\x09-\\x0D]+',' ','g'))) AS text FROM v_corpus)
+SELECT id, COALESCE(c.class_id, id) AS class_id, COALESCE(n-1+COALESCE(linked,0),0)::BIGINT AS n_links, best_id, ROUND(s,6) AS similarity FROM i LEFT JOIN c ON c.text = i.text LEFT JOIN l ON l.class_id = c.class_id""")
+def similar_titles(t: Tables, percent: int = 80) -> DataFrame:
+    """Every title with its class of equal ones, the number of similar ones in the whole corpus and the best of them."""
+    return similar(t.corpus.select("id", F.col("title").alias("text")), percent)
 
 
 def best_matches(elements: list[str], stored: list[str], least: float) -> list[tuple[int, int, float]]:

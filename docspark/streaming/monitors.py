@@ -30,6 +30,14 @@ def shared_folder(spark: SparkSession) -> str:
     return (path or "file://" + os.path.join(tempfile.gettempdir(), "docspark-streams")).rstrip("/")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint in the shared folder: ends the lineage, survives the loss of executors."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
 def events_stream(spark: SparkSession, path: str) -> DataFrame:
     """The events table as a stream of files."""
     schema = spark.read.parquet(path).schema

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import bisect
-import difflib
 import itertools
 import re
 from html.parser import HTMLParser
@@ -16,6 +15,7 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 from ..registry import query
 from ..sources.tables import Tables
+from . import line_diff
 
 
 @query("S18_text_elements", """WITH p AS (SELECT id, CAST(UNNEST(RANGE(LEN(STRING_SPLIT(content,CHR(10))))) AS INT) AS pos, UNNEST(STRING_SPLIT(content,CHR(10))) AS body FROM v_corpus)
@@ -303,24 +303,26 @@ def chunk_corpus(t: Tables) -> DataFrame:
     return docs.mapInPandas(run, "id bigint, chunk_index int, heading_path string, text string")
 
 
-def changes(old: str, new: str) -> tuple[int, int, str]:
-    """Lines added, lines removed, and a unified diff of at most 1 MiB."""
-    lines = list(difflib.unified_diff((old or "").splitlines(), (new or "").splitlines(), lineterm="", n=3))
-    added = sum(x[0] == "+" for x in lines[2:])
-    removed = sum(x[0] == "-" for x in lines[2:])
-    return added, removed, "\n".join(lines)[: 1 << 20]
+def versions(t: Tables) -> DataFrame:
+    """(id, old, new): each document and its text without the lines that name a number."""
+    return t.corpus.select("id", F.col("content").alias("old"), F.array_join(F.filter(line_diff.lines_of(F.col("content")), lambda x: ~x.rlike("[0-9]")), "").alias("new"))
 
 
 @query("D02_diffs")
 def diffs(t: Tables) -> DataFrame:
-    """Each document against its text without lines that name a number."""
-    pairs = t.corpus.select("id", F.col("content").alias("old"), F.array_join(F.filter(F.split("content", "\n"), lambda x: ~x.rlike("[0-9]")), "\n").alias("new"))
-
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame([(i, *changes(a, b)) for i, a, b in zip(pdf.id, pdf.old, pdf.new)], columns=["id", "added", "removed", "patch"])
-
-    return pairs.mapInPandas(run, "id bigint, added int, removed int, patch string")
+    """Lines added and removed, unified patch, flag of too large ones and summary of each document's two versions."""
+    return line_diff.diff(versions(t))
+
+
+@query("W11c_diff_hunks", """WITH l AS (SELECT id, UNNEST(STRING_SPLIT(content,CHR(10))) AS line, UNNEST(RANGE(LEN(STRING_SPLIT(content,CHR(10))))) AS no, LEN(STRING_SPLIT(content,CHR(10))) AS n FROM v_corpus),
+r AS (SELECT id, no, REGEXP_MATCHES(line,'[0-9]') AS gone FROM l WHERE NOT (no = n-1 AND line = '')),
+k AS (SELECT *, BOOL_OR(gone) OVER (PARTITION BY id ORDER BY no ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near, COALESCE(COUNT_IF(NOT gone) OVER (PARTITION BY id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r),
+o AS (SELECT *, no - ROW_NUMBER() OVER (PARTITION BY id ORDER BY no) AS island FROM k WHERE near),
+h AS (SELECT id, island, MIN(no)+1 AS old_start, COUNT(*) AS old_lines, MIN(before) AS before, COUNT_IF(NOT gone) AS new_lines FROM o GROUP BY 1, 2)
+SELECT id, ROW_NUMBER() OVER (PARTITION BY id ORDER BY island) AS hunk, old_start, old_lines, before + CASE WHEN new_lines > 0 THEN 1 ELSE 0 END AS new_start, new_lines, 0::BIGINT AS added, old_lines - new_lines AS removed FROM h""")
+def diff_hunks(t: Tables) -> DataFrame:
+    """The hunks of each document's two versions, three lines of context around a change."""
+    return line_diff.hunks(line_diff.in_hunks(line_diff.edits(versions(t)))).drop("body")
 
 
 @query("D04_search_documents", "SELECT c.id, SUBSTR(SHA256(CAST(c.id AS VARCHAR)),1,16) AS doc_key, title, SUBSTR(content,1,500) AS preview, is_flagged, COALESCE(n,0) AS segments FROM v_corpus c LEFT JOIN (SELECT history_id, COUNT(*) AS n FROM v_transcript_segments GROUP BY 1) s ON s.history_id = c.id")

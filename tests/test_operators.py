@@ -74,12 +74,6 @@ def test_markdown():
     assert [r[0] for r in rows] == ["heading", "paragraph", "list_item", "blockquote", "hr", "code_block", "table_row"]
 
 
-def test_diff():
-    added, removed, patch = documents.changes("a\nb\n", "a\nc\nd\n")
-    assert (added, removed) == (2, 1) and "+c" in patch
-    assert documents.changes(None, None) == (0, 0, "")
-
-
 def test_batch_cost_goldens(spark):
     rates = spark.createDataFrame([("p", "m", 15.0, 75.0), ("q", "*", 1.0, 3.0)], "provider_id string, model string, input_rate double, output_rate double")
     rows = spark.createDataFrame([("p", "m", 300_000), ("q", "any", 1_000_000), ("z", "m", 5)], "provider_id string, model string, tokens long")

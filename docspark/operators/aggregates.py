@@ -107,11 +107,22 @@ for _name, _seconds in RESOLUTIONS.items():
         query(f"A09_downsample_{_name}", _downsample_sql(_seconds))(lambda t, s=_seconds: downsample(t.system_metrics, s))
 
 
-def index_percentile(rows: DataFrame, key: str, value: str, share: float, name: str) -> DataFrame:
-    """(key, name): for each key the element at int(n * share) of its sorted values, the definition that the roll-ups use. Rows are numbered in ranges, so no key is gathered."""
-    placed = numbered(rows.select(key, value).filter(F.col(value).isNotNull()), key, value)
-    wanted = placed.groupBy(key).agg((F.min("place") + F.floor(F.count("*") * share)).alias("place"))
-    return placed.join(wanted, [key, "place"]).select(key, F.col(value).alias(name))
+def index_percentile(rows: DataFrame, key: str, value: str, share: float, name: str, accuracy: int = 10_000) -> DataFrame:
+    """(key, name): for each key the element at int(n * share) of its sorted values, the definition that the roll-ups use, exactly.
+
+    A mergeable sketch, whose rank error is at most n / accuracy, brackets the element; values
+    below the bracket are counted, and only those in it are put in order, equal ones as one row.
+    """
+    some = rows.select(key, value).filter(F.col(value).isNotNull())
+    edge = lambda s: F.percentile_approx(value, F.lit(min(max(s, 0.0), 1.0)), F.lit(accuracy))
+    marks = some.groupBy(key).agg(F.count("*").alias("n"), edge(share - 2 / accuracy).alias("lo"), edge(share + 2 / accuracy).alias("hi"), F.min(value).alias("least"), F.max(value).alias("most"))
+    lo = F.when(F.lit(share <= 2 / accuracy), F.col("least")).otherwise(F.col("lo"))
+    hi = F.when(F.lit(share >= 1 - 2 / accuracy), F.col("most")).otherwise(F.col("hi"))
+    marks = marks.select(F.col(key).alias("key_"), F.floor(F.col("n") * share).alias("wanted"), lo.alias("lo"), hi.alias("hi"))
+    near = some.join(marks, F.col(key).eqNullSafe(F.col("key_"))).filter(F.col(value) <= F.col("hi"))
+    counted = near.groupBy(key, F.when(F.col(value) >= F.col("lo"), F.col(value)).alias("x"), "wanted").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(key).orderBy(F.asc_nulls_first("x")).rowsBetween(Window.unboundedPreceding, 0))
+    return counted.withColumn("upto", upto).filter("x is not null and upto > wanted").groupBy(key).agg(F.min("x").alias(name))
 
 
 @query("A10_hourly_rollup", """SELECT DATE_TRUNC('hour',timestamp) AS hour_bucket, ROUND(AVG(cpu),6) AS cpu_avg, MAX(cpu) AS cpu_max, LIST_SORT(LIST(cpu))[CAST(FLOOR(COUNT(*)*0.95) AS BIGINT)+1] AS cpu_p95,

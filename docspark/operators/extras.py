@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..registry import query
 from ..sources.tables import Tables
+from .windows import BLOCK_ROWS, numbered_within
 
 
 @query("X01_even_sample", """WITH s AS (SELECT history_id, segment_index, ROW_NUMBER() OVER (PARTITION BY history_id ORDER BY segment_index)-1 AS i, COUNT(*) OVER (PARTITION BY history_id) AS n FROM v_transcript_segments)
@@ -30,14 +33,48 @@ UNION ALL SELECT o.dir_id, o.rn, CASE WHEN g.total+o.b > 300000 OR g.n >= 4 THEN
 SELECT dir_id, MAX(batch) AS batches FROM g GROUP BY 1""")
 def greedy_batches(t: Tables, most_bytes: int = 300_000, most_files: int = 4) -> DataFrame:
     """Next-fit batches of a folder's files in order of path, bounded by bytes and count."""
-    sizes = F.transform(F.array_sort(F.collect_list(F.struct("source_path", "file_size_bytes"))), lambda s: s.file_size_bytes)
-    start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).alias("n"), F.lit(0).alias("batch"))
-
-    def step(a, b):
-        fresh = (a.batch == 0) | (a.total + b > most_bytes) | (a.n >= most_files)
-        return F.struct(F.when(fresh, b).otherwise(a.total + b).alias("total"), F.when(fresh, 1).otherwise(a.n + 1).alias("n"), F.when(fresh, a.batch + 1).otherwise(a.batch).alias("batch"))
-
-    return t.source_files.groupBy("dir_id").agg(sizes.alias("sizes")).select("dir_id", F.aggregate("sizes", start, step).batch.alias("batches"))
+    return next_fit(t.source_files, "dir_id", "source_path", "file_size_bytes", most_bytes, most_files)
+
+
+def next_fit(files: DataFrame, key: str, order: str, size: str, most_bytes: int, most_files: int, block: int | None = None) -> DataFrame:
+    """(key, batches): a batch takes the files of a key in order as long as their bytes stay within most_bytes and their number within most_files; a larger file is a batch of its own.
+
+    A block of files acts on what comes before it by the place at which a batch starts in it:
+    for each of the most_files places it can be, the block knows how many batches start in it
+    and where the first one starts after it. A key's blocks are put together from that,
+    so no key's files meet in one task.
+    """
+    block = max(block or BLOCK_ROWS, most_files)
+    placed = numbered_within(files.select(key, order, F.col(size).cast("long").alias("bytes")), key, order)
+    # a block reads on for the files that its last batch may still take
+    last = F.floor(F.col("place") / block)
+    dealt = placed.select(key, "place", "bytes", F.explode(F.sequence(F.greatest(F.floor((F.col("place") - most_files) / block), F.lit(0)), last)).alias("block"))
+
+    def steps(table: pa.Table) -> pa.Table:
+        table = table.sort_by("place")
+        sizes, at = table.column("bytes").fill_null(0).to_pylist(), table.column("block")[0].as_py()
+        n = min(len(sizes), block)
+        sums = np.concatenate([[0], np.cumsum(np.array(sizes, dtype=object))])
+        following = []
+        for i in range(n):  # where the batch that starts at i ends
+            j = i + 1
+            while j < len(sizes) and j - i < most_files and sums[j + 1] - sums[i] <= most_bytes:
+                j += 1
+            following.append(j)
+        out, starts = [], [0] * (len(sizes) + 1)
+        leaves = list(range(len(sizes) + 1))
+        for i in reversed(range(n)):
+            j = following[i]
+            starts[i], leaves[i] = (starts[j] + 1, leaves[j]) if j < n else (1, j)
+        for i in range(most_files):
+            out.append({"batches": starts[i] if i < n else 0, "next": max(leaves[i] - n, 0) if i < n else i - n})
+        return pa.table({key: table.column(key).slice(0, 1), "block": pa.array([at], pa.int64()), "ways": pa.array([out], pa.list_(pa.struct([("batches", pa.int64()), ("next", pa.int64())])))})
+
+    kind = dict(files.dtypes)[key]
+    ways = dealt.groupBy(key, "block").applyInArrow(steps, f"`{key}` {kind}, block bigint, ways array<struct<batches: bigint, next: bigint>>")
+    start = F.struct(F.lit(0).cast("long").alias("batches"), F.lit(0).cast("long").alias("next"))
+    along = lambda a, w: F.struct((a["batches"] + F.get(w["ways"], a["next"].cast("int"))["batches"]).alias("batches"), F.get(w["ways"], a["next"].cast("int"))["next"].alias("next"))
+    return ways.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("block", "ways"))).alias("all")).select(key, F.aggregate("all", start, along)["batches"].alias("batches"))
 
 
 @query("X04_low_confidence_runs", """WITH s AS (SELECT user_id, created_at, id, duration_ms, file_size_bytes, COALESCE(ocr_confidence < 50,FALSE) AS low FROM v_conversion_history), i AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY created_at,id,duration_ms,file_size_bytes)-ROW_NUMBER() OVER (PARTITION BY user_id,low ORDER BY created_at,id,duration_ms,file_size_bytes) AS island FROM s)

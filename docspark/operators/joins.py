@@ -142,9 +142,23 @@ def scene_of_segment(t: Tables) -> DataFrame:
 
 @query("J18_excluded_by_prefix", "SELECT id FROM v_source_files WHERE NOT EXISTS (SELECT 1 FROM (VALUES ('/src/1'),('/src/25')) p(prefix) WHERE STARTS_WITH(source_path, prefix))")
 def not_excluded(t: Tables) -> DataFrame:
-    """Files outside all excluded prefixes. The list is an operator's setting of a few rows, so it is broadcast."""
+    """Files outside all excluded prefixes, however many there are."""
     prefixes = t.spark.createDataFrame([("/src/1",), ("/src/25",)], "prefix string")
-    return t.source_files.join(F.broadcast(prefixes), F.col("source_path").startswith(F.col("prefix")), "left_anti").select("id")
+    met = longest_prefix(t.source_files, "source_path", prefixes)
+    return t.source_files.join(met, "source_path", "left_anti").select("id")
+
+
+def longest_prefix(paths: DataFrame, path: str, prefixes: DataFrame) -> DataFrame:
+    """(path, prefix): the longest of the prefixes that each distinct path begins with; paths without one are left out.
+
+    The beginnings of a path, as long as some prefix is, are joined by equality. Null prefixes fit nothing, an empty one fits all.
+    """
+    known = prefixes.filter("prefix is not null").select("prefix").distinct()
+    sizes = sorted(r.n for r in known.select(F.length("prefix").alias("n")).distinct().collect())  # at most as many as a path has characters
+    own = paths.filter(F.col(path).isNotNull()).select(path).distinct()
+    size = F.explode(F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: n <= F.length(path)))
+    begins = own.select(path, size.alias("size")).select(path, F.col(path).substr(F.lit(1), F.col("size")).alias("prefix"))
+    return begins.join(known, "prefix").groupBy(path).agg(F.max_by("prefix", F.length("prefix")).alias("prefix"))
 
 
 @query("J19_projects_of_media", "SELECT media_path, COUNT(DISTINCT project_id) AS projects, MIN(project_id) AS first_project FROM v_media_refs GROUP BY 1")

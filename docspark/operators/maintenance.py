@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import difflib
 import json
-import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,12 +14,13 @@ from ..registry import query
 from ..sinks import writers
 from ..sources import files
 from ..sources.tables import Tables
-from ..streaming.monitors import _latest, replayed, shared_folder, stateful
+from ..streaming.monitors import _latest, own_folder, replayed, stateful
 from .windows import numbered
 
 
 def scratch(t: Tables, name: str) -> str:
-    return f"{shared_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
+    """A path that nothing is at yet, in a folder of the run's own."""
+    return f"{own_folder(t.spark, name)}/data"
 
 
 def updated(df: DataFrame, where: Column, **values: Column) -> DataFrame:

@@ -20,7 +20,6 @@ blocks stay right after deletes, as they only fall.
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from ..streaming.monitors import shared_folder
+from ..streaming.monitors import own_folder
 
 #: Attributes that are searched, best first.
 ATTRIBUTES = ("title", "content")
@@ -328,10 +327,7 @@ def index_of(spark: SparkSession, path: str, docs: DataFrame) -> Index:
     files = tuple(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in (store.listStatus(where) if store.exists(where) else [])))
     key = (spark.sparkContext.applicationId, path, files)
     if key not in _built:
-        folder = f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}"
-        index = Index(spark, folder)
+        index = Index(spark, own_folder(spark, "postings"))
         index.build(docs)
-        path_, store = index._path(folder)
-        store.deleteOnExit(path_)
         _built[key] = index
     return _built[key]

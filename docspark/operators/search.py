@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 from ..registry import query
 from ..sources.tables import Tables
-from ..streaming.monitors import shared_folder
+from ..streaming.monitors import own_folder
 from .postings_index import Index, index_of
 from .scalars import _CONFIDENT_SQL, _KEYWORD_HITS_SQL, _QUERIES_SQL, _TEMPORAL_SQL, keyword_hits
 
@@ -151,8 +149,7 @@ tok AS (SELECT id, UNNEST(REGEXP_SPLIT_TO_ARRAY(LOWER(content),'[^a-z0-9]+')) AS
 @query("K19b_index_changes", f"WITH {_CHANGED} SELECT token, COUNT(DISTINCT id) AS docs, COUNT(*) AS tf FROM tok WHERE token <> '' GROUP BY 1")
 def index_changes(t: Tables) -> DataFrame:
     """The vocabulary after a change set: documents labelled toxic are deleted, those with the id of a benchmark item take its text. Only the changes are written."""
-    folder = f"{shared_folder(t.spark)}/changed-postings-{uuid.uuid4().hex}"
-    index = Index(t.spark, folder)
+    index = Index(t.spark, own_folder(t.spark, "changed-postings"))
     index.build(t.corpus)
     fresh = t.raw("benchmark").groupBy(F.col("item_id").cast("long").alias("id")).agg(F.min("text").alias("content")).filter("id is not null")
     fresh = fresh.select(F.lit("upsert").alias("op"), "id", F.substring("content", 1, 60).alias("title"), "content")

@@ -2,34 +2,30 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..registry import query
 from ..sources.tables import Tables
-from ..streaming.monitors import shared_folder
+from ..streaming.monitors import cut
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """df with its rows' numbers from 0 on in this order as ``place``: ranges dealt out and written, their counts summed, ranks within each."""
-    spark, folder = df.sparkSession, f"{shared_folder(df.sparkSession)}/numbered-{uuid.uuid4().hex}"
-    ranges = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("range", F.spark_partition_id())
-    ranges.write.parquet(folder)  # a range's bounds are sampled, so they may not be taken twice
-    rows = spark.read.schema(ranges.schema).parquet(folder)
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each range
-    starts = rows.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    rank = F.row_number().over(Window.partitionBy("range").orderBy(*order))
-    return rows.withColumn("rank", rank).join(F.broadcast(starts), "range").withColumn("place", F.col("start") + F.col("rank") - 1).drop("range", "rank", "start")
+    """df with its rows' numbers from 0 on in this order as ``place``: sorted once in ranges and cut there, then counted by range."""
+    # the cut holds the ranges, whose bounds are sampled, and the order of the rows in them
+    rows = cut(df.sort(*order)).withColumn("at", F.monotonically_increasing_id())
+    within, part = F.col("at").bitwiseAND((1 << 33) - 1), F.shiftright("at", 33)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each range
+    starts = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return rows.withColumn("part", part).join(F.broadcast(starts), "part").withColumn("place", F.col("start") + within).drop("part", "at", "start")
 
 
 def numbered_within(df: DataFrame, key: str, *order: str) -> DataFrame:
     """df with its rows' numbers from 0 on within each key as ``place``; no key is sorted in one task."""
     placed = numbered(df, key, *order)
-    starts = placed.groupBy(key).agg(F.min("place").alias("first"))
-    return placed.join(starts, key).withColumn("place", F.col("place") - F.col("first")).drop("first")
+    starts = placed.groupBy(F.col(key).alias("key_")).agg(F.min("place").alias("first"))
+    return placed.join(starts, F.col(key).eqNullSafe(F.col("key_"))).withColumn("place", F.col("place") - F.col("first")).drop("key_", "first")
 
 
 #: Rows that a rolling window is worked off in.
@@ -107,14 +103,24 @@ def ewma(t: Tables, alpha: float = 0.3) -> DataFrame:
     after = F.least((F.col("block") + 1) * BLOCK_ROWS, F.col("all")) - 1 - F.col("place")  # rows of the block that follow
     decay = F.pow(F.lit(1 - alpha), after)
     sums = rows.groupBy("event_type", "block").agg(F.sum(alpha * decay * F.col("x")).alias("s"), F.count("*").alias("n"), F.min_by("x", "place").alias("first"))
-    return _folded(sums.withColumn("part", F.struct("block", "n", "s", "first")), alpha)
+    return folded(sums, "event_type", alpha).select("event_type", F.round("ewma", 6).alias("ewma"))
+
+
+#: Summaries that are folded as one list.
+FOLD = 1000
 
 
-def _folded(sums: DataFrame, alpha: float) -> DataFrame:
-    """(event_type, ewma) of sums by block; an operation's blocks, one for each BLOCK_ROWS rows, meet in one list."""
-    parts = F.array_sort(F.collect_list("part"))
-    folded = F.aggregate("parts", F.col("parts")[0]["first"], lambda e, p: e * F.pow(F.lit(1 - alpha), p["n"]) + p["s"])
-    return sums.groupBy("event_type").agg(parts.alias("parts")).select("event_type", F.round(folded, 6).alias("ewma"))
+def folded(sums: DataFrame, key: str, alpha: float, fold: int | None = None) -> DataFrame:
+    """(key, ewma) of (key, block, n, s, first): averages of blocks in their order. Two blocks act as one with their rows together, so lists of FOLD blocks are folded first, and then the lists."""
+    fold = fold or FOLD
+    kept = lambda n: F.pow(F.lit(1 - alpha), n)
+    rows = lambda: F.array_sort(F.collect_list(F.struct("block", "n", "s", "first")))
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("s"))
+    joined = F.aggregate("rows", none, lambda a, b: F.struct((a["n"] + b["n"]).alias("n"), (a["s"] * kept(b["n"]) + b["s"]).alias("s")))
+    lists = sums.groupBy(key, F.floor(F.col("block") / fold).alias("list")).agg(rows().alias("rows"))
+    lists = lists.select(key, F.col("list").alias("block"), joined.alias("j"), F.col("rows")[0]["first"].alias("first")).select(key, "block", "j.n", "j.s", "first")
+    whole = lists.groupBy(key).agg(rows().alias("rows"))
+    return whole.select(key, F.aggregate("rows", F.col("rows")[0]["first"], lambda e, b: e * kept(b["n"]) + b["s"]).alias("ewma"))
 
 
 @query("W09_error_latch", """WITH s AS (SELECT id, user_id, timestamp, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS bad FROM v_activity_events), r AS (SELECT *, COUNT(*) OVER w AS n, AVG(bad) OVER w AS rate FROM s WINDOW w AS (PARTITION BY user_id%10 ORDER BY timestamp,id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW))
@@ -132,11 +138,18 @@ def error_latch(t: Tables, last: int = 100, least: int = 20, rate: float = 0.25)
 @query("W09b_consecutive_errors", """WITH s AS (SELECT id, user_id%10 AS shard, timestamp, event_type = 'error' AS bad FROM v_activity_events), i AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY shard ORDER BY timestamp,id)-ROW_NUMBER() OVER (PARTITION BY shard,bad ORDER BY timestamp,id) AS island FROM s)
 SELECT shard, MAX(n) AS longest FROM (SELECT shard, island, COUNT(*) AS n FROM i WHERE bad GROUP BY 1,2) GROUP BY 1""")
 def consecutive_errors(t: Tables) -> DataFrame:
-    """Longest run of errors, by gaps and islands: in a run an error's number among all rows and among errors go up together."""
+    """Longest run of errors. Runs are found in blocks of rows; those that touch a block's edge are joined up, a few for each block."""
     s = t.activity_events.select("id", (F.col("user_id") % 10).alias("shard"), "timestamp", (F.col("event_type") == "error").alias("bad"))
-    bad = numbered_within(s, "shard", "timestamp", "id").filter("bad").select("shard", F.col("place").alias("among_all"))
-    islands = numbered_within(bad, "shard", "among_all").withColumn("island", F.col("among_all") - F.col("place"))
-    return islands.groupBy("shard", "island").agg(F.count("*").alias("n")).groupBy("shard").agg(F.max("n").alias("longest"))
+    placed = numbered_within(s, "shard", "timestamp", "id").select("shard", "place", "bad").withColumn("block", F.floor(F.col("place") / BLOCK_ROWS))
+    nth = F.row_number().over(Window.partitionBy("shard", "block").orderBy("place"))
+    runs = placed.filter("bad").withColumn("island", F.col("place") - nth).groupBy("shard", "block", "island").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    edge = (F.col("first") % BLOCK_ROWS == 0) | (F.col("last") % BLOCK_ROWS == BLOCK_ROWS - 1)
+    runs = runs.select("shard", "first", "last", edge.alias("edge"))
+    own = Window.partitionBy("shard").orderBy("first")
+    opens = F.coalesce(F.lag("last").over(own) != F.col("first") - 1, F.lit(True))
+    joined = runs.filter("edge").withColumn("opens", opens.cast("int")).withColumn("run", F.sum("opens").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = joined.groupBy("shard", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return joined.select("shard", "first", "last").union(runs.filter("not edge").select("shard", "first", "last")).groupBy("shard").agg(F.max(F.col("last") - F.col("first") + 1).alias("longest"))
 
 
 @query("W10_rolling_median", """SELECT id, ROUND(MEDIAN(duration_seconds) OVER (PARTITION BY user_id ORDER BY timestamp,id ROWS BETWEEN 99 PRECEDING AND CURRENT ROW),6) AS med FROM v_activity_events""")

@@ -30,6 +30,16 @@ def shared_folder(spark: SparkSession) -> str:
     return (path or "file://" + os.path.join(tempfile.gettempdir(), "docspark-streams")).rstrip("/")
 
 
+def own_folder(spark: SparkSession, stem: str) -> str:
+    """A new folder in the shared one; it goes when the driver's JVM ends."""
+    uri = f"{shared_folder(spark)}/{stem}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    return uri
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint in the shared folder: ends the lineage, survives the loss of executors."""
     context = df.sparkSession.sparkContext
@@ -47,7 +57,7 @@ def events_stream(spark: SparkSession, path: str) -> DataFrame:
 
 def replayed(t: Tables, monitor: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
     """The monitor's output over all events, as a table."""
-    out = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    out = own_folder(t.spark, "stream")
     staged = f"{out}/in"
     t.raw("events").write.parquet(staged)
     stream = monitor(events_stream(t.spark, staged))

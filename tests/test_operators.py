@@ -137,6 +137,7 @@ def test_ewma_is_the_fold_over_all_rows(spark, tmp_path, monkeypatch):
     from docspark.sources.tables import Tables
 
     monkeypatch.setattr(windows, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(windows, "FOLD", 3)
     rng = random.Random(3)
     rows = [(i, rng.choice("ab"), rng.random() * 10) for i in range(200)]
     df = spark.createDataFrame(rows, "event_id long, event_type string, value double").selectExpr("event_id", "event_type", "value", "timestamp_ntz '2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0,event_id div 3) as ts", "1L as user_id", "'{}' as props")

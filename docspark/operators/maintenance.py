@@ -194,20 +194,6 @@ def index_rebuild(t: Tables) -> DataFrame:
     return t.spark.read.parquet(folder).agg(F.count("*").alias("indexed"), F.count_if("is_flagged").alias("flagged"))
 
 
-@query("T03_rolling_eta_stream")
-def rolling_eta_stream(t: Tables, last: int = 100, left: int = 1000) -> DataFrame:
-    """Seconds to go for ``left`` more events at the rate of the last ones, by kind."""
-
-    def step(state: tuple, rows: pd.DataFrame) -> tuple:
-        n, times, _ = state
-        held = ([float(x) for x in times.split(",") if x] + (rows["ts"].astype("int64") / 1e9).tolist())[-last:]
-        rate = (len(held) - 1) / (held[-1] - held[0]) if len(held) >= 3 and held[-1] > held[0] else 0.0
-        return n + len(rows), ",".join(f"{x:.3f}" for x in held), left / rate if rate else -1.0
-
-    monitor = stateful(step, (0, "", -1.0), "n bigint, times string, eta double", "event_type", ["event_type", "n", "times", "eta"])
-    return _latest(replayed(t, monitor, "update"), "event_type", "n").drop("times")
-
-
 # Congestion ratios that shed two or one threads, the one that restores one, and the pause between changes in seconds.
 SEVERE, MILD, RECOVERED, PAUSE = 3.0, 2.0, 1.5, 5.0
 

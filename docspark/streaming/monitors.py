@@ -55,18 +55,34 @@ def events_stream(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def replayed(t: Tables, monitor: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
-    """The monitor's output over all events, as a table."""
-    out = own_folder(t.spark, "stream")
-    staged = f"{out}/in"
-    t.raw("events").write.parquet(staged)
-    stream = monitor(events_stream(t.spark, staged))
+#: The state store that timers and lists need.
+STATE_STORE, ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_once(stream: DataFrame, folder: str, mode: str = "append", stored: bool = False) -> None:
+    """Work off what is there, from where the folder's checkpoint stands, and write each batch's rows. stored: with the state store for lists and timers."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")  # a batch that runs again overwrites itself
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")  # a batch that runs again overwrites itself
 
-    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.option("recursiveFileLookup", True).parquet(f"{out}/rows")
+    conf = stream.sparkSession.conf
+    before = conf.get(STATE_STORE, None)
+    if stored:
+        conf.set(STATE_STORE, ROCKS)
+    try:
+        stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        if stored:
+            conf.unset(STATE_STORE) if before is None else conf.set(STATE_STORE, before)
+
+
+def replayed(t: Tables, monitor: Callable[[DataFrame], DataFrame], mode: str = "append", stored: bool = False) -> DataFrame:
+    """The monitor's output over all events, as a table."""
+    out = own_folder(t.spark, "stream")
+    t.raw("events").write.parquet(f"{out}/in")
+    stream = monitor(events_stream(t.spark, f"{out}/in"))
+    run_once(stream, out, mode, stored)
+    return t.spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{out}/rows")
 
 
 def hourly(stream: DataFrame) -> DataFrame:
@@ -115,37 +131,6 @@ def _latest(rows: DataFrame, key: str, by: str) -> DataFrame:
     return rows.groupBy(key).agg(*(F.max_by(c, by).alias(c) for c in rows.columns if c != key))
 
 
-@query("T04_ewma_stream")
-def ewma_stream(t: Tables, alpha: float = 0.3) -> DataFrame:
-    def step(state: tuple, rows: pd.DataFrame) -> tuple:
-        n, mean = state
-        for x in rows["value"]:
-            mean = float(x) if n == 0 else mean * (1 - alpha) + x * alpha
-            n += 1
-        return n, mean
-
-    monitor = stateful(step, (0, 0.0), "n bigint, ewma double", "event_type", ["event_type", "n", "ewma"])
-    return _latest(replayed(t, monitor, "update"), "event_type", "n")
-
-
-@query("T05_error_latch_stream")
-def error_latch_stream(t: Tables, last: int = 20, rate: float = 0.3) -> DataFrame:
-    """Per shard of users: whether the error rate of the last events ever reached its limit."""
-
-    def step(state: tuple, rows: pd.DataFrame) -> tuple:
-        n, latched, recent = state
-        bits = list(recent)
-        for kind in rows["event_type"]:
-            bits = (bits + ["1" if kind == "error" else "0"])[-last:]
-            n += 1
-            if len(bits) == last and bits.count("1") >= rate * last:
-                latched = 1
-        return n, latched, "".join(bits)
-
-    monitor = stateful(step, (0, 0, ""), "n bigint, latched int, recent string", "shard", ["shard", "n", "latched", "recent"])
-    return _latest(replayed(t, lambda s: monitor(s.withColumn("shard", F.col("user_id") % 10)), "update"), "shard", "n")
-
-
 # Failures that open the breaker, and how long it stays open, in seconds.
 OPEN_AFTER, FIRST_WAIT, LONGEST_WAIT = 5, 60.0, 900.0
 
@@ -177,17 +162,6 @@ def circuit_breaker_stream(t: Tables) -> DataFrame:
     return _latest(replayed(t, lambda s: monitor(s.withColumn("shard", F.col("user_id") % 10)), "update"), "shard", "n").drop("until")
 
 
-@query("T08_active_users_stream")
-def active_users_stream(t: Tables) -> DataFrame:
-    """Users seen in sliding windows of an hour."""
-
-    def monitor(s: DataFrame) -> DataFrame:
-        rows = s.withWatermark("ts", "5 minutes").groupBy(F.window("ts", "1 hour", "30 minutes")).agg(F.approx_count_distinct("user_id", 0.01).alias("users"))
-        return rows.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "users")
-
-    return replayed(t, monitor)
-
-
 @query("T08b_active_users", "SELECT DATE_TRUNC('hour',ts) AS start, COUNT(DISTINCT user_id) AS users FROM events GROUP BY 1")
 def active_users(t: Tables) -> DataFrame:
     return t.raw("events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("start")).agg(F.countDistinct("user_id").alias("users"))

@@ -15,9 +15,10 @@ Candidates come from two equi-joins in Spark, since most windows occur once. Eac
 window has an anchor: the smallest hash of its ``gram``-word grams. Equal windows
 have equal anchors, and neighbouring windows mostly share theirs, so a fifth as many
 rows settle which anchors occur in two documents at all. Only windows on such
-anchors are indexed: window hash -> first place. Anchors of very many documents go
-through a pre-aggregated index and a join that adaptive execution can split; the
-others through one shuffle. Exact copies of a whole text (by SHA-256) are one factor
+anchors are indexed: window hash -> first place. On anchors of very many documents,
+neighbouring windows go as one row, a run: equal runs are pre-aggregated, the index is
+made of the distinct ones, and each run is joined with what its windows have, which
+adaptive execution can split; all other windows go through one shuffle. Exact copies of a whole text (by SHA-256) are one factor
 each and not indexed again. The blocks that some factor may need are cut out of their
 documents and joined to the documents that ask for them.
 
@@ -46,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import frames
-from .textops import U64, Words, chunks, roll, runs
+from .textops import U64, Words, chunks, gather, mix64, roll, runs
 
 
 @dataclass(frozen=True)
@@ -124,6 +125,44 @@ def _window_rows(how: Parsing):
     return run
 
 
+#: Windows of a run.
+_LONGEST_RUN = 64
+
+
+def _run_rows(how: Parsing):
+    """(doc_id, part, text, anchors) batches to (run, doc_id, place, wins): neighbouring windows on one of those anchors as one row, each document's distinct runs at their first places."""
+
+    def run(batches):
+        for batch in chunks(batches):
+            words, windows, anchors, ends = _hashes(batch.column("text"), how)
+            wanted = batch.column("anchors")
+            rows: list[list[np.ndarray]] = [[], [], [], [], []]
+            for d, (doc_id, part) in enumerate(zip(_numpy(batch, "doc_id").tolist(), _numpy(batch, "part").tolist())):
+                lo, hi = words.first[d], ends[d]
+                at = np.flatnonzero(np.isin(anchors[lo:hi], wanted[d].values.to_numpy(zero_copy_only=False).view(U64)))
+                if not len(at):
+                    continue
+                key, own = anchors[lo:hi][at], windows[lo:hi][at]
+                begin = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (key[1:] != key[:-1])]))
+                place = (np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))) % _LONGEST_RUN
+                begin = np.flatnonzero(place == 0)
+                size = np.diff(np.append(begin, len(at)))
+                name = mix64(np.add.reduceat(mix64(own + place.astype(U64)), begin) + size.astype(U64))
+                first = np.sort(np.unique(name, return_index=True)[1])
+                own = gather(own, begin[first], size[first])
+                for held, x in zip(rows, (name[first], np.full(len(first), doc_id), at[begin[first]] + (part << _POSITION_BITS), size[first], own)):
+                    held.append(x)
+            if rows[0]:
+                name, ids, places, size, own = (np.concatenate(x) for x in rows)
+                edge = np.concatenate([[0], np.cumsum(size)])
+                for i in range(0, len(name), 20_000):
+                    j = min(i + 20_000, len(name))
+                    wins = pa.ListArray.from_arrays(pa.array((edge[i : j + 1] - edge[i]).astype(np.int32)), pa.array(own[edge[i] : edge[j]].view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(name[i:j].view(np.int64)), pa.array(ids[i:j]), pa.array(places[i:j]), wins], names=["run", "doc_id", "place", "wins"])
+
+    return run
+
+
 def _needed(how: Parsing):
     """Arrow UDF of found windows (pos, source, at) to the distinct blocks (source, ref) that their words stand in."""
 
@@ -262,17 +301,28 @@ def _wanted(texts: DataFrame, copies: DataFrame, how: Parsing) -> DataFrame:
     return frames.cut(wanted.join(copies.select("doc_id", "part"), ["doc_id", "part"], "left_anti"))
 
 
+_HITS = "array<struct<pos: bigint, source: bigint, at: bigint>>"
+
+
 def _found(texts: DataFrame, copies: DataFrame, how: Parsing) -> DataFrame:
-    """(doc_id, place, source, at): windows of texts (doc_id, text, part) and the first place of each in a document with a smaller id."""
+    """(doc_id, part, found): windows of texts (doc_id, text, part) at pos, and the first place of each in a document with a smaller id; several rows a text."""
     wanted = _wanted(texts, copies, how)
     # from here on one job: all its joins with the texts read one shuffle of them
-    windows = lambda hot: _joined(texts, wanted.filter(F.col("hot") == hot).drop("hot")).mapInArrow(_window_rows(how), "win bigint, doc_id bigint, place bigint")
+    of = lambda hot: _joined(texts, wanted.filter(F.col("hot") == hot).drop("hot"))
     here = F.struct(F.col("doc_id").alias("source"), F.col("place").alias("at"))
-    cold = windows(False).withColumn("first", F.min(here).over(Window.partitionBy("win")))
-    many = windows(True)
-    index = many.groupBy("win").agg(F.min(here).alias("first"), F.max("doc_id").alias("hi")).filter("first.source < hi").drop("hi")
-    columns = ("doc_id", "place", "first.source", "first.at")
-    return cold.filter("first.source < doc_id").select(*columns).union(many.join(index, "win").filter("first.source < doc_id").select(*columns))
+    mine, part = F.col("place").bitwiseAND((1 << _POSITION_BITS) - 1), F.shiftright("place", _POSITION_BITS).alias("part")
+    cold = of(False).mapInArrow(_window_rows(how), "win bigint, doc_id bigint, place bigint").withColumn("first", F.min(here).over(Window.partitionBy("win"))).filter("first.source < doc_id")
+    cold = cold.groupBy("doc_id", part).agg(F.collect_list(F.struct(mine.alias("pos"), "first.source", "first.at")).alias("found"))
+    # windows on hot anchors travel as runs: passages that many documents share are few distinct ones
+    many = of(True).mapInArrow(_run_rows(how), "run bigint, doc_id bigint, place bigint, wins array<bigint>")
+    runs_ = many.groupBy("run").agg(F.min(here).alias("first"), F.max("doc_id").alias("hi"), F.first("wins").alias("wins"))
+    each = runs_.select("run", "hi", "first", F.posexplode("wins").alias("off", "win")).select("run", "hi", "off", "win", F.struct(F.col("first.source"), (F.col("first.at") + F.col("off")).alias("at")).alias("first"))
+    index = each.groupBy("win").agg(F.min("first").alias("first"), F.max("hi").alias("hi")).filter("first.source < hi").drop("hi")
+    known = each.select("run", "off", "win").join(index, "win").groupBy("run").agg(F.collect_list(F.struct("off", "first")).alias("known"))
+    earlier = F.filter("known", lambda k: k["first"]["source"] < F.col("doc_id"))
+    found = F.transform(earlier, lambda k: F.struct((mine + k["off"]).alias("pos"), k["first"]["source"].alias("source"), k["first"]["at"].alias("at"))).cast(_HITS)
+    hot = many.select("run", "doc_id", "place").join(known, "run").select("doc_id", part, found.alias("found")).filter("size(found) > 0")
+    return cold.select("doc_id", "part", F.col("found").cast(_HITS)).union(hot)
 
 
 def _joined(texts: DataFrame, side: DataFrame) -> DataFrame:
@@ -303,8 +353,7 @@ def parse(docs: DataFrame, how: Parsing = Parsing(), with_text: bool = False) ->
     prints = texts.select("doc_id", F.col(p).alias("part"), F.sha2(t, 256).alias("print"))
     first = frames.cut(prints.groupBy("print").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     copies = frames.cut(prints.join(first, "print").filter("doc_id > copy_of").groupBy("doc_id", "part").agg(F.min("copy_of").alias("copy_of")))
-    by_doc = _found(texts, copies, how).groupBy("doc_id", F.shiftright("place", _POSITION_BITS).alias("part"))
-    by_doc = by_doc.agg(F.collect_list(F.struct(F.col("place").bitwiseAND((1 << _POSITION_BITS) - 1).alias("pos"), "source", "at")).alias("found"))
+    by_doc = _found(texts, copies, how).groupBy("doc_id", "part").agg(F.flatten(F.collect_list("found")).alias("found"))
     asked = by_doc.select("doc_id", "part", F.explode(_needed(how)("found")).alias("x")).select("doc_id", "part", "x.source", "x.ref")
     wanted = asked.select("source", "ref").distinct().groupBy(F.col("source").alias("doc_id"), F.shiftright("ref", _POSITION_BITS).alias("part")).agg(F.collect_list("ref").alias("refs"))
     blocks = _joined(texts, wanted).select(F.col("doc_id").alias("source"), F.explode(_blocks(how)("text", "refs")).alias("x")).select("source", "x.ref", "x.words")

@@ -320,12 +320,17 @@ def _smallest_span(placed: Column, words: Column, n: int) -> Column:
 _built: dict[tuple, Index] = {}
 
 
-def index_of(spark: SparkSession, path: str, docs: DataFrame) -> Index:
-    """The stored index of a table's documents, built when an application first asks for it, and anew when the table's files change."""
+def files_key(spark: SparkSession, path: str) -> tuple:
+    """What tells a table of an application from another, and from itself with other files."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     store = where.getFileSystem(spark._jsc.hadoopConfiguration())
     files = tuple(sorted((s.getPath().toString(), s.getLen(), s.getModificationTime()) for s in (store.listStatus(where) if store.exists(where) else [])))
-    key = (spark.sparkContext.applicationId, path, files)
+    return spark.sparkContext.applicationId, path, files
+
+
+def index_of(spark: SparkSession, path: str, docs: DataFrame) -> Index:
+    """The stored index of a table's documents, built when an application first asks for it, and anew when the table's files change."""
+    key = files_key(spark, path)
     if key not in _built:
         index = Index(spark, own_folder(spark, "postings"))
         index.build(docs)

@@ -46,11 +46,9 @@ def last_matches(t: Tables) -> DataFrame:
 
 @query("O07_vector_top_k", "WITH q AS (SELECT embedding AS e FROM v_vectors WHERE vec_id = 0) SELECT vec_id, ROUND(LIST_COSINE_SIMILARITY(embedding,(SELECT e FROM q)),6) AS score FROM v_vectors ORDER BY LIST_COSINE_SIMILARITY(embedding,(SELECT e FROM q)) DESC, vec_id LIMIT 10")
 def vector_top_k(t: Tables, k: int = 10) -> DataFrame:
-    from .search import cosine
+    from .search import stored_vectors, vector
 
-    one = t.vectors.filter("vec_id = 0").select(F.col("embedding").alias("q"))
-    score = cosine(F.col("embedding"), F.col("q"))
-    return t.vectors.join(F.broadcast(one)).withColumn("s", score).orderBy(F.desc("s"), "vec_id").limit(k).select("vec_id", F.round("s", 6).alias("score"))
+    return stored_vectors(t).exact(vector(t, 0), k).select("vec_id", F.round("score", 6).alias("score"))
 
 
 @query("O08_search_sort", "SELECT id FROM v_corpus WHERE CONTAINS(LOWER(content),'and') ORDER BY file_size_bytes DESC, id LIMIT 20")

@@ -305,7 +305,7 @@ _HITS = "array<struct<pos: bigint, source: bigint, at: bigint>>"
 
 
 def _found(texts: DataFrame, copies: DataFrame, how: Parsing) -> DataFrame:
-    """(doc_id, part, found): windows of texts (doc_id, text, part) at pos, and the first place of each in a document with a smaller id; several rows a text."""
+    """(doc_id, part, found): windows of texts (doc_id, text, part) at pos, and the first place of each in a document with a smaller id."""
     wanted = _wanted(texts, copies, how)
     # from here on one job: all its joins with the texts read one shuffle of them
     of = lambda hot: _joined(texts, wanted.filter(F.col("hot") == hot).drop("hot"))
@@ -322,7 +322,10 @@ def _found(texts: DataFrame, copies: DataFrame, how: Parsing) -> DataFrame:
     earlier = F.filter("known", lambda k: k["first"]["source"] < F.col("doc_id"))
     found = F.transform(earlier, lambda k: F.struct((mine + k["off"]).alias("pos"), k["first"]["source"].alias("source"), k["first"]["at"].alias("at"))).cast(_HITS)
     hot = many.select("run", "doc_id", "place").join(known, "run").select("doc_id", part, found.alias("found")).filter("size(found) > 0")
-    return cold.select("doc_id", "part", F.col("found").cast(_HITS)).union(hot)
+    hot = hot.groupBy("doc_id", "part").agg(F.flatten(F.collect_list("found")).alias("more"))
+    none = F.array().cast(_HITS)
+    both = F.concat(F.coalesce(F.col("found").cast(_HITS), none), F.coalesce("more", none))
+    return cold.join(hot, ["doc_id", "part"], "full_outer").select("doc_id", "part", both.alias("found"))  # both lie by these keys already
 
 
 def _joined(texts: DataFrame, side: DataFrame) -> DataFrame:
@@ -353,7 +356,7 @@ def parse(docs: DataFrame, how: Parsing = Parsing(), with_text: bool = False) ->
     prints = texts.select("doc_id", F.col(p).alias("part"), F.sha2(t, 256).alias("print"))
     first = frames.cut(prints.groupBy("print").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     copies = frames.cut(prints.join(first, "print").filter("doc_id > copy_of").groupBy("doc_id", "part").agg(F.min("copy_of").alias("copy_of")))
-    by_doc = _found(texts, copies, how).groupBy("doc_id", "part").agg(F.flatten(F.collect_list("found")).alias("found"))
+    by_doc = _found(texts, copies, how)
     asked = by_doc.select("doc_id", "part", F.explode(_needed(how)("found")).alias("x")).select("doc_id", "part", "x.source", "x.ref")
     wanted = asked.select("source", "ref").distinct().groupBy(F.col("source").alias("doc_id"), F.shiftright("ref", _POSITION_BITS).alias("part")).agg(F.collect_list("ref").alias("refs"))
     blocks = _joined(texts, wanted).select(F.col("doc_id").alias("source"), F.explode(_blocks(how)("text", "refs")).alias("x")).select("source", "x.ref", "x.words")

@@ -337,6 +337,25 @@ def transcript_documents(t: Tables) -> DataFrame:
     return t.transcript_segments.groupBy("history_id").agg(F.array_join(parts, "\n").alias("content"), F.max("end_seconds").alias("duration"), F.countDistinct("speaker").alias("speakers"))
 
 
+def structures(elements: DataFrame, key: str) -> DataFrame:
+    """(key, structure): a hash of each document's shape from its elements (pos, kind, level, body): headings with levels, images, list items with depths, cells. The same for the same shape in any format."""
+    all_ = F.array_sort(F.collect_list(F.struct("pos", "kind", "level", "body")))
+    of = lambda kind: F.filter("e", lambda e: e["kind"] == kind)
+    rows = F.flatten(F.transform(of("table_row"), lambda e: F.transform(F.split(e["body"], r"\|"), lambda c: F.trim(c))))
+    cells = F.concat(F.transform(of("cell"), lambda e: e["body"]), F.filter(rows, lambda c: c != ""))
+    shape = F.struct(
+        F.size(of("heading")).alias("heading_count"), F.transform(of("heading"), lambda e: e["level"]).alias("heading_levels"), F.transform(of("heading"), lambda e: e["body"]).alias("heading_texts"),
+        F.size(of("image")).alias("image_count"), F.size(of("list_item")).alias("list_count"), F.transform(of("list_item"), lambda e: e["level"]).alias("list_depths"), cells.alias("table_cells"),
+    )
+    return elements.groupBy(key).agg(all_.alias("e")).select(key, F.sha2(F.to_json(shape), 256).alias("structure"))
+
+
+@query("A37b_page_structure")
+def page_structures(t: Tables) -> DataFrame:
+    """The structural hash of every page; headings, images, list items and cells count, prose doesn't."""
+    return structures(_exploded(t.raw("pages"), "page_id", "html", html_elements), "page_id")
+
+
 @query("D07_element_counts")
 def element_counts(t: Tables) -> DataFrame:
     return _exploded(t.raw("pages"), "page_id", "html", html_elements).groupBy("page_id", "kind").agg(F.count("*").alias("n"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import difflib
 import json
+import uuid
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -190,10 +191,41 @@ def json_shape(t: Tables) -> DataFrame:
 def index_rebuild(t: Tables) -> DataFrame:
     """The whole index written anew, then counted."""
     folder = scratch(t, "index")
-    t.corpus.select("id", "title", "is_flagged").write.parquet(folder)
+    rebuild(t.corpus.select("id", "title", "is_flagged"), F.col("id").isNull(), folder)
     return t.spark.read.parquet(folder).agg(F.count("*").alias("indexed"), F.count_if("is_flagged").alias("flagged"))
 
 
+class RebuildStopped(RuntimeError):
+    """Too many rows of a rebuild failed; the index is as it was."""
+
+
+def rebuild(rows: DataFrame, bad: Column, folder: str, most: float = 0.5, least_rows: int = 10) -> tuple[int, int]:
+    """Write the good rows as the new index in folder; (rows written, rows left out). From least_rows on, a share of bad ones of most or more stops it.
+
+    The rows are written beside the old index and counted by the same job; the folders
+    change places only after the count, so readers see the old index or the new one.
+    """
+    spark, staged = rows.sparkSession, f"{folder}.next-{uuid.uuid4().hex}"
+    failed = F.coalesce(bad, F.lit(True))
+    seen = Observation()
+    try:
+        rows.observe(seen, F.count(F.lit(1)).alias("n"), F.count_if(failed).alias("bad")).filter(~failed).write.parquet(staged)
+        n, out = seen.get["n"], seen.get["bad"]
+        if n >= least_rows and out >= most * n:
+            raise RebuildStopped(f"{out} of {n} rows failed")
+        path = lambda uri: spark._jvm.org.apache.hadoop.fs.Path(uri)
+        store = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        old = f"{folder}.old-{uuid.uuid4().hex}"
+        if store.exists(path(folder)):
+            store.rename(path(folder), path(old))
+        store.rename(path(staged), path(folder))
+        store.delete(path(old), True)
+        return n - out, out
+    finally:
+        where = spark._jvm.org.apache.hadoop.fs.Path(staged)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 # Congestion ratios that shed two or one threads, the one that restores one, and the pause between changes in seconds.
 SEVERE, MILD, RECOVERED, PAUSE = 3.0, 2.0, 1.5, 5.0
 

@@ -232,6 +232,38 @@ class Index:
         rows = self._latest(self._table("postings")).filter("tf > 0")
         return rows.groupBy("token").agg(F.count("*").alias("docs"), F.sum("tf").alias("tf"))
 
+    def _vocabulary_of(self, words: list[str]) -> DataFrame:
+        """(token, docs) of some words."""
+        return self.vocabulary().filter(F.col("token").isin(words)).select("token", "docs")
+
+    def _norms(self) -> DataFrame:
+        """(id, norm): the length of each document's vector of weights, written once for the segments that count."""
+        numbers = self.segments()
+        path = f"{self.folder}/norms-{'-'.join(map(str, numbers))}"
+        where, store = self._path(f"{path}/_SUCCESS")
+        if not store.exists(where):
+            rows = self._latest(self._table("postings")).filter("tf > 0").select("id", "token", "tf")
+            weights = rows.join(self.vocabulary().select("token", "docs"), "token").withColumn("w", _weight(self.docs().count()))
+            weights.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def derived_query(self, text: str, terms: int = 10) -> list[tuple[str, float]]:
+        """The words that tell a text from the others, with their weights: occurrences times the logarithm of 1 + documents over documents that hold it."""
+        own = self.spark.createDataFrame([(text,)], "text string").select(F.explode(tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("tf"))
+        known = own.join(self._vocabulary_of(sorted({r.token for r in own.select("token").collect()})), "token")  # the words of one text
+        best = known.select("token", _weight(self.docs().count()).alias("w")).orderBy(F.desc(F.round("w", 9)), "token").limit(terms).collect()
+        return [(r.token, r.w) for r in best]
+
+    def related(self, text: str, k: int, without: int | None = None, terms: int = 10, where: Column | None = None) -> DataFrame:
+        """(id, score): the documents nearest to a text by the weights of its derived query, over the length of their own vectors."""
+        query = self.derived_query(text, terms)
+        asked = self.spark.createDataFrame(query, "token string, q double")
+        rows = self.postings_of([w for w, _ in query]).filter("tf > 0").join(asked, "token").join(self._vocabulary_of([w for w, _ in query]), "token")
+        shown = (self.docs() if where is None else self.docs().filter(where)).select("id")
+        found = rows.filter(F.lit(True) if without is None else F.col("id") != without).withColumn("w", _weight(self.docs().count()))
+        scored = found.groupBy("id").agg(F.sum(F.col("w") * F.col("q")).alias("dot")).join(self._norms(), "id").join(shown, "id")
+        return scored.select("id", (F.col("dot") / F.col("norm")).alias("score")).orderBy(F.desc(F.round("score", 9)), "id").limit(k)
+
     def bounds(self, terms: list[str]) -> DataFrame:
         """(block, words, tf): at most what a document of each block can have."""
         each = self._of("blocks", "token", terms).filter("top > 0").groupBy("block", "token").agg(F.max("top").alias("top"))
@@ -298,6 +330,10 @@ class Index:
         return docs.join(shown, "id").orderBy(*order).limit(k)
 
 
+def _weight(n: int) -> Column:
+    return F.col("tf") * F.log(1 + F.lit(float(n)) / F.col("docs"))
+
+
 def _counted(rows: DataFrame) -> DataFrame:
     return rows.filter("tf > 0").groupBy("id").agg(F.count_distinct("token").alias("words"), F.sum("tf").alias("tf"))
 

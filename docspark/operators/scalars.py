@@ -59,6 +59,17 @@ def title_fallback(t: Tables) -> DataFrame:
     return t.corpus.select("id", F.coalesce(F.nullif(F.trim("title"), F.lit("")), F.col("source_format")).alias("title"))
 
 
+@query("F09b_title_of_document", """WITH d AS (SELECT id, source_format AS stem, CASE lang WHEN 'en' THEN '---'||CHR(10)||'title: '||REPLACE(title,CHR(10),' ')||CHR(10)||'---'||CHR(10)||'# other' WHEN 'de' THEN 'text'||CHR(10)||'##  '||REPLACE(title,CHR(10),' ')||CHR(10)||'# later' ELSE title END AS md FROM v_corpus)
+SELECT id, COALESCE(NULLIF(TRIM(REGEXP_EXTRACT(md,'^---\\n(?:[^\\n]*\\n)*?title:[ ]*([^\\n]*)\\n(?:[^\\n]*\\n)*?---',1)),''), NULLIF(TRIM(REGEXP_EXTRACT(md,'(?:^|\\n)#{1,3}[ \\t]+([^\\n]+)',1)),''), stem) AS title FROM d""")
+def title_of_document(t: Tables) -> DataFrame:
+    """The title that the front matter gives, else the first heading, else the file's name; the three kinds by language."""
+    flat = F.replace(F.col("title"), F.lit("\n"), F.lit(" "))
+    given = F.concat(F.lit("---\ntitle: "), flat, F.lit("\n---\n# other"))
+    headed = F.concat(F.lit("text\n##  "), flat, F.lit("\n# later"))
+    markdown = F.when(F.col("lang") == "en", given).when(F.col("lang") == "de", headed).otherwise(F.col("title"))
+    return t.corpus.select("id", X.document_title(markdown, F.col("source_format")).alias("title"))
+
+
 @query("F10_visual_lines", "SELECT id, ARRAY_TO_STRING(LIST_FILTER(STRING_SPLIT('*Visual: '||title||CHR(10)||content,CHR(10)), LAMBDA x: STARTS_WITH(x,'*Visual:')),'|') AS frames FROM v_corpus")
 def visual_lines(t: Tables) -> DataFrame:
     lines = F.split(F.concat(F.lit("*Visual: "), F.col("title"), F.lit("\n"), F.col("content")), "\n")

@@ -122,6 +122,22 @@ def related_documents(t: Tables) -> DataFrame:
     return best.orderBy(F.desc(F.round("s", 9)), "doc_id").limit(10).select("doc_id", F.round("s", 6).alias("score"))
 
 
+@query("Q08b_related_by_terms", f"""WITH {_TOKENS}, df AS (SELECT token, COUNT(*) AS df FROM post GROUP BY 1), n AS (SELECT COUNT(*) AS n FROM v_corpus), w AS (SELECT id, post.token, tf*LN(1+n/df::DOUBLE) AS w FROM post JOIN df ON df.token = post.token, n),
+q AS (SELECT token, w FROM w WHERE id = 1 ORDER BY ROUND(w,9) DESC, token LIMIT 10), nr AS (SELECT id, SQRT(SUM(w*w)) AS norm FROM w GROUP BY 1)
+SELECT w.id, ROUND(SUM(w.w*q.w)/norm,6) AS score FROM w JOIN q ON q.token = w.token JOIN nr ON nr.id = w.id WHERE w.id <> 1 GROUP BY w.id, norm ORDER BY ROUND(SUM(w.w*q.w)/norm,9) DESC, w.id LIMIT 10""")
+def related_by_terms(t: Tables, doc: int = 1, k: int = 10) -> DataFrame:
+    """Documents related to one by a query that is derived from its text."""
+    text = t.corpus.filter(F.col("id") == doc).first().content
+    return corpus_index(t).related(text, k, doc).select("id", F.round("score", 6).alias("score"))
+
+
+@query("Q03b_facets", "SELECT source_format, lang, COUNT(*) AS n FROM v_corpus WHERE CONTAINS(REGEXP_REPLACE(' '||LOWER(content)||' ','[^a-z0-9]+',' ','g'),' thing ') GROUP BY 1, 2")
+def facets(t: Tables, terms=("thing",), by=("source_format", "lang")) -> DataFrame:
+    """Counts of all hits by facet, out of the postings of the terms."""
+    index = corpus_index(t)
+    return index.hits(list(terms)).select("id").join(index.docs(), "id").groupBy(*by).agg(F.count("*").alias("n"))
+
+
 @query("Q09_budgeted_context", "WITH h AS (SELECT id, file_size_bytes//4 AS tokens FROM v_corpus WHERE CONTAINS(LOWER(content),'thing')), c AS (SELECT id, tokens, SUM(LEAST(tokens,500)) OVER (ORDER BY id ROWS UNBOUNDED PRECEDING) AS running FROM (SELECT * FROM h ORDER BY id LIMIT 100)) SELECT id, CAST(running AS BIGINT) AS running FROM c WHERE running <= 8000")
 def budgeted_context(t: Tables, per_doc: int = 500, budget: int = 8000) -> DataFrame:
     """Hits in order while their clipped token estimates fit a budget; a top-100 list is ranked, not the corpus."""

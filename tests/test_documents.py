@@ -131,3 +131,18 @@ def test_pptx_epub_and_project():
 def test_yaml_outline():
     pytest.importorskip("yaml")
     assert containers.yaml_outline(b"a: 1\nb:\n- x\n- {c: true}\n---\nd: 2024-01-02\n") == [("$.a", "1"), ("$.b[0]", '"x"'), ("$.b[1].c", "true"), ("$.d", '"2024-01-02"')]
+
+
+def test_structures_of_two_formats(spark):
+    from pyspark.sql import functions as F
+
+    from docspark.operators import documents
+
+    html = ["<h1>A</h1><p>one</p><ul><li>x</li><li>y</li></ul><table><tr><td>p</td><td>q</td></tr></table><h2>B</h2>", "<h1>A</h1><h3>B</h3>", "<p>no shape</p>"]
+    markdown = ["# A\n\nother prose\n\n- x\n- y\n\n| p | q |\n\n## B", "# A\n\n## B", "prose\n\nprose"]
+    rows = spark.createDataFrame([(i, h, m) for i, (h, m) in enumerate(zip(html, markdown))], "id long, html string, markdown string")
+    of = lambda column, parse: {r.id: r.structure for r in documents.structures(documents._exploded(rows, "id", column, parse), "id").collect()}
+    a, b = of("html", documents.html_elements), of("markdown", documents.markdown_elements)
+    assert a[0] == b[0] and a[2] == b[2] and a[1] != b[1] and len(set(a.values())) == 3
+    title = lambda x: spark.createDataFrame([(x,)], "x string").select(documents.X.document_title(F.col("x"), F.lit("stem"))).first()[0]
+    assert [title(x) for x in ("---\ntitle: T\nb: c\n---\n# H", "---\na: 1\n---\n## H \ntext", "text\n### Deep", "#no", "", "#### four", "---\ntitle:\n---\n# H")] == ["T", "H", "Deep", "stem", "stem", "stem", "H"]

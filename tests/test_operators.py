@@ -146,3 +146,21 @@ def test_ewma_is_the_fold_over_all_rows(spark, tmp_path, monkeypatch):
     for i, kind, x in sorted(rows, key=lambda r: (r[0] // 3, r[0])):
         want[kind] = 0.3 * x + 0.7 * want[kind] if kind in want else x
     assert {r.event_type: r.ewma for r in windows.ewma(Tables(spark, str(tmp_path))).collect()} == {k: round(v, 6) for k, v in want.items()}
+
+
+def test_a_rebuild_stops_on_errors(spark, tmp_path):
+    from docspark.operators import maintenance
+
+    folder = f"file://{tmp_path}/index"
+    rows = lambda n, bad: spark.createDataFrame([(i, None if i < bad else "t") for i in range(n)], "id int, title string")
+    run = lambda n, bad: maintenance.rebuild(rows(n, bad), F.col("title").isNull(), folder)
+    now = lambda: sorted(r.id for r in spark.read.parquet(folder).collect())
+    assert run(20, 3) == (17, 3) and now() == list(range(3, 20))
+    with pytest.raises(maintenance.RebuildStopped, match="30 of 60"):
+        run(60, 30)
+    assert now() == list(range(3, 20))  # the old index is as it was
+    with pytest.raises(Exception):
+        maintenance.rebuild(rows(20, 0).withColumn("x", F.raise_error(F.lit("broken"))), F.col("title").isNull(), folder)
+    assert now() == list(range(3, 20))
+    assert run(9, 8) == (1, 8) and now() == [8]  # too few rows to judge
+    assert [p.name for p in tmp_path.iterdir()] == ["index"]

@@ -160,3 +160,25 @@ def test_an_index_of_nothing(spark, folder):
     assert index.top(["a"], 3).count() == 0 and index.ranked(["a"], 3).count() == 0 and index.vocabulary().count() == 0
     index.apply(spark.createDataFrame([("upsert", 1, "T", "a b a", False)], "op string, " + SCHEMA))
     assert [tuple(r)[:3] for r in index.top(["a"], 3).select("id", "words", "tf").collect()] == [(1, 1, 2)]
+
+
+def test_derived_queries_against_brute_force(spark, folder):
+    import math
+
+    rows = [r for r in corpus(90, seed=5) if r[0] is not None]
+    index = Index(spark, folder, Layout(buckets=4, block_ids=16))
+    index.build(spark.createDataFrame(rows, SCHEMA))
+    index.apply(spark.createDataFrame([("upsert", 3, "t", "river river stony x1 budget", False), ("delete", 4, None, None, None)], "op string, " + SCHEMA))
+    now = {r[0]: r[2] for r in rows if r[0] != 4} | {3: "river river stony x1 budget"}
+    df = {}
+    for text in now.values():
+        for w in set(words_of(text)):
+            df[w] = df.get(w, 0) + 1
+    weights = {i: {w: words_of(x).count(w) * math.log(1 + len(now) / df[w]) for w in set(words_of(x))} for i, x in now.items()}
+    for doc in (3, 10, 11, 10_001):
+        best = sorted(weights[doc].items(), key=lambda p: (-round(p[1], 9), p[0]))[:4]
+        got = index.derived_query(now[doc], 4)
+        assert [w for w, _ in got] == [w for w, _ in best] and [x for _, x in got] == pytest.approx([x for _, x in best])
+        score = {i: sum(q * v[w] for w, q in best if w in v) / math.sqrt(sum(x * x for x in v.values())) for i, v in weights.items() if i != doc and any(w in v for w, _ in best)}
+        want = sorted(score, key=lambda i: (-round(score[i], 9), i))[:5]
+        assert [r.id for r in index.related(now[doc] or "", 5, doc, 4).collect()] == want

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..registry import query
 from ..sources.tables import Tables
+from ..streaming.monitors import own_folder
 from .windows import numbered
 
 
@@ -107,6 +108,29 @@ for _name, _seconds in RESOLUTIONS.items():
         query(f"A09_downsample_{_name}", _downsample_sql(_seconds))(lambda t, s=_seconds: downsample(t.system_metrics, s))
 
 
+def rolled_up(metrics: DataFrame, seconds: int, k: int = 400) -> DataFrame:
+    """A roll-up that can be rolled up again: sums, numbers, peaks and a mergeable quantile sketch of cpu by time bucket. k sets the sketch's rank error, about 1.3 / k ** 0.9."""
+    bucket = F.window(F.col("timestamp").cast("timestamp"), f"{seconds} seconds").start.cast("timestamp_ntz")
+    cpu = F.col("cpu").cast("double")
+    return metrics.groupBy(bucket.alias("bucket")).agg(F.sum("cpu").alias("cpu_sum"), F.count("cpu").alias("cpu_n"), F.max("cpu").alias("cpu_max"), F.max("rss_bytes").alias("rss_max"), F.count("*").alias("samples"), F.kll_sketch_agg_double(cpu, k).alias("cpu_sketch"))
+
+
+def coarser(rollup: DataFrame, seconds: int) -> DataFrame:
+    """A roll-up of a finer one, whose buckets must fit into these; the raw samples aren't read."""
+    bucket = F.window(F.col("bucket").cast("timestamp"), f"{seconds} seconds").start.cast("timestamp_ntz")
+    return rollup.groupBy(bucket.alias("bucket")).agg(F.sum("cpu_sum").alias("cpu_sum"), F.sum("cpu_n").alias("cpu_n"), F.max("cpu_max").alias("cpu_max"), F.max("rss_max").alias("rss_max"), F.sum("samples").alias("samples"), F.kll_merge_agg_double("cpu_sketch").alias("cpu_sketch"))
+
+
+@query("A09b_rollup_chain", "SELECT TIME_BUCKET(INTERVAL 6 HOURS, timestamp, TIMESTAMP '1970-01-01') AS bucket, ROUND(SUM(cpu),4) AS cpu_sum, COUNT(cpu) AS cpu_n, MAX(cpu) AS cpu_max, MAX(rss_bytes) AS rss_max, COUNT(*) AS samples FROM v_system_metrics GROUP BY 1")
+def rollup_chain(t: Tables) -> DataFrame:
+    """Six-hour buckets out of stored one-hour ones out of stored one-minute ones."""
+    folder, rows = own_folder(t.spark, "rollups"), rolled_up(t.system_metrics, RESOLUTIONS["1m"])
+    for name in ("1m", "1h"):
+        rows.write.parquet(f"{folder}/{name}")
+        rows = coarser(t.spark.read.parquet(f"{folder}/{name}"), RESOLUTIONS["1h" if name == "1m" else "6h"])
+    return rows.select("bucket", F.round("cpu_sum", 4).alias("cpu_sum"), "cpu_n", "cpu_max", "rss_max", "samples")
+
+
 def index_percentile(rows: DataFrame, key: str, value: str, share: float, name: str, accuracy: int = 10_000) -> DataFrame:
     """(key, name): for each key the element at int(n * share) of its sorted values, the definition that the roll-ups use, exactly.
 

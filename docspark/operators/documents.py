@@ -30,6 +30,20 @@ def text_elements(t: Tables) -> DataFrame:
 _BLOCKS = {"h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading", "p": "paragraph", "li": "list_item", "pre": "code_block", "blockquote": "blockquote", "td": "cell", "th": "cell", "title": "title"}
 
 
+@query("S18b_setext_headings", """WITH l AS (SELECT id, UNNEST(RANGE(LEN(w))) AS pos, UNNEST(w) AS body FROM (SELECT id, STRING_SPLIT(REPLACE(title,CHR(10),' ')||CHR(10)||'====='||CHR(10)||content||CHR(10)||lang||CHR(10)||'-----',CHR(10)) AS w FROM v_corpus)),
+n AS (SELECT *, LEAD(body) OVER (PARTITION BY id ORDER BY pos) AS below FROM l) SELECT id, pos::INT AS pos, CASE WHEN REGEXP_MATCHES(below,'^=+[ ]*$') THEN 1 ELSE 2 END AS level, TRIM(body) AS heading FROM n WHERE TRIM(body) <> '' AND REGEXP_MATCHES(below,'^(=+|-{2,})[ ]*$') AND NOT REGEXP_MATCHES(body,'^(=+|-{2,})[ ]*$')""")
+def setext_headings(t: Tables) -> DataFrame:
+    """Lines that a line of equals signs (first level) or hyphens (second) underlines."""
+    flat = F.replace(F.col("title"), F.lit("\n"), F.lit(" "))
+    text = F.concat(flat, F.lit("\n=====\n"), F.col("content"), F.lit("\n"), F.col("lang"), F.lit("\n-----"))
+    lines = F.split(text, "\n")
+    pairs = F.transform(lines, lambda x, i: F.struct(i.alias("pos"), x.alias("body"), F.get(lines, i + 1).alias("below")))
+    under = r"^(=+|-{2,})[ ]*$"
+    found = F.filter(pairs, lambda p: (F.trim(p["body"]) != "") & F.coalesce(p["below"].rlike(under), F.lit(False)) & ~p["body"].rlike(under))
+    rows = t.corpus.select("id", F.explode(found).alias("p"))
+    return rows.select("id", "p.pos", F.when(F.col("p.below").startswith("="), 1).otherwise(2).alias("level"), F.trim("p.body").alias("heading"))
+
+
 class _Elements(HTMLParser):
     """Text of block elements in order; text outside any block is a paragraph."""
 
@@ -176,6 +190,23 @@ def transcript_markdown(t: Tables) -> DataFrame:
     return t.transcript_segments.groupBy("history_id").agg(F.array_join(parts, "\n\n").alias("markdown"))
 
 
+def captions(segments: DataFrame, mark: str, numbered: bool, head: str) -> DataFrame:
+    """(history_id, captions): segments in order as blocks of their times and text, with what stands between seconds and milliseconds, numbers and a first line of a caption format."""
+    times = F.concat(X.caption_time(F.col("start_seconds"), mark), F.lit(" --> "), X.caption_time(F.col("end_seconds"), mark), F.lit("\n"), F.col("text"))
+    blocks = F.transform(F.array_sort(F.collect_list(F.struct("segment_index", times.alias("block")))), lambda s, i: F.concat((i + 1).cast("string"), F.lit("\n"), s["block"]) if numbered else s["block"])
+    return segments.groupBy("history_id").agg(F.concat(F.lit(head), F.array_join(blocks, "\n\n"), F.lit("\n")).alias("captions"))
+
+
+@query("K14b_transcript_srt", """SELECT history_id, STRING_AGG(rn||CHR(10)||LPAD((start_seconds::BIGINT//3600)::INT::VARCHAR,2,'0')||':'||LPAD(((start_seconds::BIGINT%3600)//60)::INT::VARCHAR,2,'0')||':'||LPAD((start_seconds::BIGINT%60)::INT::VARCHAR,2,'0')||',000'||' --> '||LPAD((end_seconds::BIGINT//3600)::INT::VARCHAR,2,'0')||':'||LPAD(((end_seconds::BIGINT%3600)//60)::INT::VARCHAR,2,'0')||':'||LPAD((end_seconds::BIGINT%60)::INT::VARCHAR,2,'0')||',000'||CHR(10)||text, CHR(10)||CHR(10) ORDER BY segment_index)||CHR(10) AS captions FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY history_id ORDER BY segment_index) AS rn FROM v_transcript_segments) GROUP BY 1""")
+def transcript_srt(t: Tables) -> DataFrame:
+    return captions(t.transcript_segments, ",", True, "")
+
+
+@query("K14c_transcript_vtt", """SELECT history_id, 'WEBVTT'||CHR(10)||CHR(10)||STRING_AGG(LPAD((start_seconds::BIGINT//3600)::INT::VARCHAR,2,'0')||':'||LPAD(((start_seconds::BIGINT%3600)//60)::INT::VARCHAR,2,'0')||':'||LPAD((start_seconds::BIGINT%60)::INT::VARCHAR,2,'0')||'.000'||' --> '||LPAD((end_seconds::BIGINT//3600)::INT::VARCHAR,2,'0')||':'||LPAD(((end_seconds::BIGINT%3600)//60)::INT::VARCHAR,2,'0')||':'||LPAD((end_seconds::BIGINT%60)::INT::VARCHAR,2,'0')||'.000'||CHR(10)||text, CHR(10)||CHR(10) ORDER BY segment_index)||CHR(10) AS captions FROM v_transcript_segments GROUP BY 1""")
+def transcript_vtt(t: Tables) -> DataFrame:
+    return captions(t.transcript_segments, ".", False, "WEBVTT\n\n")
+
+
 def rendered(kind: Column, level: Column, body: Column) -> Column:
     """An element as Markdown."""
     return F.when(kind == "heading", F.concat(F.repeat(F.lit("#"), F.greatest(level, F.lit(1))), F.lit(" "), body)).when(kind == "list_item", F.concat(F.lit("- "), body)).when(kind == "blockquote", F.concat(F.lit("> "), body)).when(kind == "code_block", F.concat(F.lit("```\n"), body, F.lit("\n```"))).when(kind == "hr", F.lit("---")).otherwise(body)

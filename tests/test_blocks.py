@@ -72,3 +72,21 @@ def test_longest_runs_across_blocks(spark, tmp_path, monkeypatch, rows):
         if any(own):
             want[shard] = max(len(list(run)) for bad, run in groupby(own) if bad)
     assert {r.shard: r.longest for r in windows.consecutive_errors(Tables(spark, str(tmp_path))).collect()} == want
+
+
+def test_rollups_of_rollups(spark):
+    rng = random.Random(4)
+    rows = [(60 * i // 7, rng.choice([None, rng.gauss(50, 20), 10.0, 10.0])) for i in range(9000)]
+    metrics = spark.createDataFrame([(s, x, s * 3) for s, x in rows], "s long, cpu double, rss_bytes long").withColumn("timestamp", F.timestamp_seconds("s").cast("timestamp_ntz"))
+    fine = aggregates.rolled_up(metrics, 60)
+    far = aggregates.coarser(aggregates.coarser(fine, 3600), 21600)
+    whole = {r.bucket: r for r in aggregates.downsample(metrics, 21600).collect()}
+    shares = [0.05, 0.5, 0.95]
+    for r in far.withColumn("q", F.array(*(F.kll_sketch_get_quantile_double("cpu_sketch", F.lit(x)) for x in shares))).collect():
+        w = whole[r.bucket]
+        assert (round(r.cpu_sum / r.cpu_n, 6), r.cpu_max, r.rss_max, r.samples) == (w.cpu_avg, w.cpu_max, w.rss_max, w.samples)
+        own = sorted(x for s, x in rows if x is not None and s // 21600 * 21600 == int((r.bucket - __import__("datetime").datetime(1970, 1, 1)).total_seconds()))
+        for share, q in zip(shares, r.q):  # the element's ranks reach into the error bound
+            lo, hi = sum(x < q for x in own) / len(own), sum(x <= q for x in own) / len(own)
+            assert lo - 0.02 <= share <= hi + 0.02
+    assert len(whole) > 3

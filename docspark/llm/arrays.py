@@ -67,13 +67,10 @@ class Parts:
             self._open[name, p] = load(f"{self.folder}/{name}-{p}.npy")
         return self._open[name, p]
 
-    def parts_of(self, keys: np.ndarray) -> np.ndarray:
-        return part_of(keys, self.bits)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The place of each key in the whole array, or -1; keys are sorted."""
+    def find(self, keys: np.ndarray, part: np.ndarray | None = None) -> np.ndarray:
+        """The place of each key in the whole array, or -1; keys are sorted, by part first where parts are given."""
         found = np.full(len(keys), -1, np.int64)
-        for p, lo, hi in self._slices(self.parts_of(keys)):
+        for p, lo, hi in self._slices(part_of(keys, self.bits) if part is None else part):
             if self.sizes[p]:
                 own = self.part("keys", p)
                 slot = np.minimum(np.searchsorted(own, keys[lo:hi]), len(own) - 1)

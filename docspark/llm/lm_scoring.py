@@ -6,8 +6,8 @@ Four Spark jobs build the model in the shared folder:
    arrays; the same pass returns what each part adds to the statistics of
    contexts (followers seen once, twice, more) and to the continuation counts;
 3. for each word its continuation probability and its weight as a context;
-4. trigram counts, keyed by (place of the bigram before, word) and dealt by that
-   bigram, so that a part has whole contexts; each distinct trigram then goes to
+4. trigram counts, keyed by (place of the bigram before in its part, word) and dealt by
+   that part, so that a part has whole contexts and a key fits 64 bits at any size; each distinct trigram then goes to
    its last two words for the middle order's continuation counts.
 Workers memory-map the arrays and score whole batches with vectorised lookups.
 
@@ -82,9 +82,10 @@ class Model:
     def word_bits(self) -> int:
         return self.size.bit_length()
 
-    def triples(self) -> Triples:
+    def triples(self) -> Parts:
+        """Trigrams by (place of the first two words in their part, third word), in the part of the first two."""
         if "triples" not in self._parts:
-            self._parts["triples"] = Triples(self)
+            self._parts["triples"] = Parts(f"{self.folder}/triples", self.pair_bits, self.triple_sizes)
         return self._parts["triples"]
 
     def parts(self) -> tuple[Parts, Parts]:
@@ -94,17 +95,6 @@ class Model:
         return self._parts["vocab"], self._parts["pairs"]
 
 
-class Triples(Parts):
-    """Trigrams by (place of the first two words, third word), in the part of the first two."""
-
-    def __init__(self, model: Model):
-        super().__init__(f"{model.folder}/triples", model.pair_bits, model.triple_sizes)
-        self.ends, self.word_bits = np.cumsum(model.pair_sizes), U64(model.word_bits)
-
-    def parts_of(self, keys: np.ndarray) -> np.ndarray:
-        return np.minimum(np.searchsorted(self.ends, (keys >> self.word_bits).astype(np.int64), side="right"), len(self.ends) - 1)
-
-
 def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, each document's end included, and the place of each document's first token."""
     words = Words(column, lower=True)
@@ -139,25 +129,45 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["part", "keys", "counts"])
 
 
-def _counted(keys_of, parts_of, batches):
+def _counted(keys_of, grouped, batches):
     """(part, keys, counts) of the keys of text batches, summed over FLUSH keys at a time; a row for each part and flush."""
     held, size = [], 0
-
-    def flush():
-        keys, n = np.unique(np.concatenate(held), return_counts=True)
-        part = parts_of(keys)
-        order = np.argsort(part, kind="stable")
-        yield _batch(_by_part(part[order], keys[order], n[order].astype(np.uint32)))
-
     for batch in chunks(batches):
-        keys = keys_of(batch.column("text"))
-        held.append(keys)
-        size += len(keys)
+        held.append(keys_of(batch.column("text")))
+        size += len(held[-1][0])
         if size >= FLUSH:
-            yield from flush()
+            yield _batch(_by_part(*grouped(*map(np.concatenate, zip(*held)))))
             held, size = [], 0
     if size:
-        yield from flush()
+        yield _batch(_by_part(*grouped(*map(np.concatenate, zip(*held)))))
+
+
+def _by_hash(bits: int):
+    """Keys whose part is in their mixed bits: (part, distinct keys, counts) by part."""
+
+    def grouped(keys: np.ndarray) -> tuple[np.ndarray, ...]:
+        keys, n = np.unique(keys, return_counts=True)
+        part = part_of(mix64(keys), bits)
+        order = np.argsort(part, kind="stable")
+        return part[order], keys[order], n[order].astype(np.uint32)
+
+    return grouped
+
+
+def _distinct(part: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows in order of (part, key), where each distinct one begins there, and which of these each row is."""
+    order = np.lexsort((keys, part))
+    new = np.ones(len(order), bool)
+    new[1:] = (part[order][1:] != part[order][:-1]) | (keys[order][1:] != keys[order][:-1])
+    inverse = np.empty(len(order), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return order, np.flatnonzero(new), inverse
+
+
+def _in_parts(part: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(part, distinct keys, counts) of keys that say their part beside them."""
+    order, start, _ = _distinct(part, keys)
+    return part[order][start], keys[order][start], np.diff(np.append(start, len(order))).astype(np.uint32)
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -169,10 +179,6 @@ def from_planes(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def _mixed_parts(bits: int):
-    return lambda keys: part_of(mix64(keys), bits)
-
-
 def _summed(table: pa.Table, mix=mix64) -> tuple[int, np.ndarray, np.ndarray]:
     """A part's distinct mixed keys in order, and their counts."""
     keys = mix(np.concatenate([from_planes(x, U64) for x in table.column("keys").to_pylist()]))
@@ -192,7 +198,7 @@ _COUNTED = "part int, keys binary, counts binary"
 
 def _count_words(texts: DataFrame, folder: str, bits: int) -> tuple[np.ndarray, int]:
     def words(batches):
-        yield from _counted(lambda column: tokens_of(column)[0], _mixed_parts(bits), batches)
+        yield from _counted(lambda column: (tokens_of(column)[0],), _by_hash(bits), batches)
 
     def write(table: pa.Table) -> pa.Table:
         part, keys, n = _summed(table)
@@ -231,13 +237,16 @@ def fit(texts: DataFrame, least_triple: int = 1) -> Model:
     model = Model(folder, vocab_bits, vocab_sizes, pair_bits, np.zeros(1 << pair_bits, np.int64), tokens, (0.5, 1.0, 1.5), 1.0, (0.0, 1.0))
     begin = model.size
 
-    def pair_keys(column: pa.Array) -> np.ndarray:
+    if begin >= 1 << 32:
+        raise ValueError("a vocabulary beyond 2^32 words")
+
+    def pair_keys(column: pa.Array) -> tuple[np.ndarray]:
         hashes, first = tokens_of(column)
         places, inverse, _ = numbers_of(model.parts()[0], hashes)
-        return _pairs_of(places[inverse], first, begin)[1]
+        return (_pairs_of(places[inverse], first, begin)[1],)
 
     def pairs(batches):
-        yield from _counted(pair_keys, _mixed_parts(pair_bits), batches)
+        yield from _counted(pair_keys, _by_hash(pair_bits), batches)
 
     def write(table: pa.Table) -> pa.Table:
         part, keys, n = _summed(table)
@@ -320,8 +329,12 @@ def _contexts(pairs: Parts, numbers: np.ndarray, before: np.ndarray, keys: np.nd
     return at, context
 
 
-def _triple_keys(context: np.ndarray, numbers: np.ndarray, model: Model) -> np.ndarray:
-    return (context.astype(U64) << U64(model.word_bits)) | numbers.astype(U64)
+def _triple_keys(context: np.ndarray, numbers: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """The part of each context, and the key there; two beginnings come after the last part's bigrams."""
+    ends = np.cumsum(model.pair_sizes)
+    part = np.minimum(np.searchsorted(ends, context, side="right"), len(ends) - 1)
+    own = context - (ends - model.pair_sizes)[part]
+    return part, (own.astype(U64) << U64(model.word_bits)) | numbers.astype(U64)
 
 
 def _told(*numbers) -> tuple[int, bytes, bytes]:
@@ -337,15 +350,13 @@ def _fit_triples(texts: DataFrame, model: Model, least: int) -> None:
     """Count the trigrams and what they add to the middle order; the driver gets a few numbers for each part."""
     folder, begin, sizes = model.folder, model.size, model.pair_sizes
     base, vocab_ends = np.cumsum(sizes) - sizes, np.cumsum(model.vocab_sizes)
-    if model.pairs.bit_length() + model.word_bits > 64:
-        raise ValueError("trigram keys don't fit 64 bits")
 
-    def keys_of(column: pa.Array) -> np.ndarray:
+    def keys_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         numbers, _, context, _ = _places(column, model)
         return _triple_keys(context, numbers, model)
 
     def count(batches):
-        yield from _counted(keys_of, model.triples().parts_of, batches)
+        yield from _counted(keys_of, _in_parts, batches)
 
     def write(table: pa.Table) -> pa.Table:
         p, keys, n = _summed(table, mix=lambda x: x)
@@ -353,7 +364,7 @@ def _fit_triples(texts: DataFrame, model: Model, least: int) -> None:
         save(f"{folder}/triples/keys-{p}.npy", keys[kept])
         save(f"{folder}/triples/counts-{p}.npy", _small(n[kept]))
         start, followers = runs(keys >> U64(model.word_bits))
-        own = (keys[start] >> U64(model.word_bits)).astype(np.int64) - base[p]
+        own = (keys[start] >> U64(model.word_bits)).astype(np.int64)
         inner = own < sizes[p]  # the others: two beginnings
         split = [np.add.reduceat(x.astype(np.int64), start) for x in (n == 1, n == 2, n > 2)]
         second = np.full(len(own), begin, U64)
@@ -462,8 +473,9 @@ def log_probabilities(column: pa.Array, model: Model) -> tuple[np.ndarray, ...]:
     triple = np.full(len(numbers), -1, np.int64)
     both = np.flatnonzero((two >= 0) & (numbers >= 0))
     if len(both):
-        distinct, where = np.unique(_triple_keys(two[both], numbers[both], model), return_inverse=True)
-        triple[both] = model.triples().find(distinct)[where]
+        part, keys = _triple_keys(two[both], numbers[both], model)
+        order, start, where = _distinct(part, keys)
+        triple[both] = model.triples().find(keys[order][start], part[order][start])[where]
     p3 = _interpolated(_taken(model.triples(), ("counts",), triple)[0], after[0], after[1:], model.discounts3, middle)
     sums = lambda x: np.add.reduceat(x, first)  # noqa: E731  every document has a token
     return np.diff(np.append(first, len(hashes))), sums(known[inverse].astype(np.int64)), sums(base), sums(np.log10(p3)), sums(np.log10(p))

@@ -56,6 +56,7 @@ def nothing(put):
     f = put([], SCHEMA)
     put([], "doc_id long, quality int, toxic int", "labels", f)
     put([], "vec_id long, embedding array<float>, label int", "embeddings", f)
+    put([], "page_id long, url string, html string", "pages", f)
     return f
 
 

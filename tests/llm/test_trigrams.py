@@ -44,3 +44,17 @@ def test_order_three(spark, put, monkeypatch, least):
     for u, v in (("<b>", "<b>"), ("<b>", tokens[1][0]), tuple(tokens[1][:2]), ("<unknown>", tokens[1][0])):
         assert sum(p(u, v, w) for w in [*vocabulary, "<unknown>"]) == pytest.approx(1)
     assert got[1].score != got[1].score2
+
+
+def test_keys_stay_small_at_any_size():
+    import numpy as np
+
+    sizes = np.full(1 << 10, 1 << 27, np.int64)  # 2 ** 37 bigrams, and 2 ** 30 words: 67 bits as one number
+    model = lm_scoring.Model("", 4, np.array([(1 << 30) - 1]), 10, sizes, 1, (0.5, 1.0, 1.5), 1.0, (1.0, 1.0))
+    assert model.pairs.bit_length() + model.word_bits > 64
+    context = np.array([0, (1 << 27) - 1, 1 << 27, (1 << 37) - 1, 1 << 37])
+    part, keys = lm_scoring._triple_keys(context, np.array([5, 0, (1 << 30) - 2, 1, 7]), model)
+    assert part.tolist() == [0, 0, 1, 1023, 1023]
+    assert [int(k) >> 30 for k in keys] == [0, (1 << 27) - 1, 0, (1 << 27) - 1, 1 << 27] and [int(k) & ((1 << 30) - 1) for k in keys] == [5, 0, (1 << 30) - 2, 1, 7]
+    order, start, inverse = lm_scoring._distinct(np.array([1, 0, 1, 0]), np.array([3, 9, 3, 2], np.uint64))
+    assert order[start].tolist() == [3, 1, 0] and inverse.tolist() == [2, 1, 2, 0]

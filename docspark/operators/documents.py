@@ -10,12 +10,12 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as X
 from ..registry import query
 from ..sources.tables import Tables
 from . import line_diff
+from .windows import numbered_within
 
 
 @query("S18_text_elements", """WITH p AS (SELECT id, CAST(UNNEST(RANGE(LEN(STRING_SPLIT(content,CHR(10))))) AS INT) AS pos, UNNEST(STRING_SPLIT(content,CHR(10))) AS body FROM v_corpus)
@@ -407,7 +407,7 @@ SELECT id, CASE WHEN LENGTH(out) > 240 THEN NULL WHEN rn = 1 THEN out ELSE REGEX
 def path_safety(t: Tables, longest: int = 240) -> DataFrame:
     """Output paths with clashes in any case of letters numbered, too long ones skipped."""
     p = t.source_files.select("id", "source_path", F.concat(F.lit("/o/"), F.col("dir_id").cast("string"), F.col("file_ext")).alias("out"))
-    p = p.withColumn("rn", F.row_number().over(Window.partitionBy(F.lower("out")).orderBy("source_path")))
+    p = numbered_within(p.withColumn("same", F.lower("out")), "same", "source_path").withColumn("rn", F.col("place") + 1)
     long = F.length("out") > longest
     renamed = F.concat(F.regexp_replace("out", r"\.[^.]+$", ""), F.lit("_"), F.col("rn").cast("string"), F.regexp_extract("out", r"\.[^.]+$", 0))
     return p.select("id", F.when(long, None).when(F.col("rn") == 1, F.col("out")).otherwise(renamed).alias("resolved"), F.when(long, "skip").when(F.col("rn") == 1, "ok").otherwise("rename").alias("action"))

@@ -13,6 +13,7 @@ from ..registry import query
 from ..sources.tables import Tables
 from .aggregates import with_rates
 from .similarity import similar
+from .windows import numbered_within
 
 
 @query("J01_pending_with_job", "SELECT b.id, b.job_id, j.status AS job_status FROM v_bulk_files b LEFT JOIN v_bulk_jobs j ON j.id = b.job_id WHERE b.status = 'pending'")
@@ -218,16 +219,16 @@ def fuzzy_elements(t: Tables, least: float = 0.9) -> DataFrame:
 l AS (SELECT content_hash, ARG_MAX(file_key,n) AS last_key FROM s GROUP BY 1) SELECT p.id, COALESCE(s.file_key, l.last_key) AS entry FROM p LEFT JOIN s ON s.content_hash = p.content_hash AND s.n = p.n LEFT JOIN l ON l.content_hash = p.content_hash""")
 def occurrence_match(t: Tables) -> DataFrame:
     """The n-th element of a hash takes the n-th stored entry of that hash, or the last stored one."""
-    nth = F.row_number().over(Window.partitionBy("content_hash").orderBy("source_path")) - 1
-    have = t.source_files.withColumn("n", nth).select("id", "content_hash", "n")
-    stored = t.snapshot.withColumn("n", nth).select("content_hash", "file_key", "n")
+    nth = lambda rows, c: numbered_within(rows.select(c, "content_hash", "source_path"), "content_hash", "source_path").select(c, "content_hash", F.col("place").alias("n"))
+    have, stored = nth(t.source_files, "id"), nth(t.snapshot, "file_key")
     last = stored.groupBy("content_hash").agg(F.max_by("file_key", "n").alias("last_key"))
     return have.join(stored, ["content_hash", "n"], "left").join(last, "content_hash", "left").select("id", F.coalesce("file_key", "last_key").alias("entry"))
 
 
 @query("J22_path_collisions", "SELECT id, COUNT(*) OVER (PARTITION BY dir_id, file_ext) AS twins FROM v_source_files QUALIFY twins > 1")
 def path_collisions(t: Tables) -> DataFrame:
-    return t.source_files.withColumn("twins", F.count("*").over(Window.partitionBy("dir_id", "file_ext"))).filter("twins > 1").select("id", "twins")
+    twins = t.source_files.groupBy("dir_id", "file_ext").agg(F.count("*").alias("twins")).filter("twins > 1")
+    return t.source_files.join(twins, ["dir_id", "file_ext"]).select("id", "twins")
 
 
 @query("J23_drift_check", """WITH a AS (SELECT job_id, COUNT(*) AS op_total FROM v_bulk_files GROUP BY 1), b AS (SELECT job_id, COUNT(DISTINCT source_path) AS db_total FROM v_bulk_files GROUP BY 1) SELECT a.job_id, op_total, db_total FROM a JOIN b ON a.job_id = b.job_id WHERE ABS(op_total-db_total) > 10""")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..registry import query
 from ..sources.tables import Tables
+from .windows import numbered_within
 
 
 def classify(registry: DataFrame, snapshot: DataFrame) -> DataFrame:
@@ -178,8 +178,8 @@ def manifest_json(t: Tables) -> DataFrame:
 
 @query("K16_style_sidecar", "SELECT content_hash||':'||(ROW_NUMBER() OVER (PARTITION BY content_hash ORDER BY source_path)-1) AS entry, source_path FROM v_source_files")
 def style_sidecar(t: Tables) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy("content_hash").orderBy("source_path")) - 1
-    return t.source_files.select(F.concat_ws(":", "content_hash", n.cast("string")).alias("entry"), "source_path")
+    placed = numbered_within(t.source_files.select("content_hash", "source_path"), "content_hash", "source_path")
+    return placed.select(F.concat_ws(":", "content_hash", F.col("place").cast("string")).alias("entry"), "source_path")
 
 
 @query("K22_retention", "SELECT COUNT(*) AS kept, MIN(timestamp) AS oldest FROM v_system_metrics WHERE timestamp >= (SELECT MAX(timestamp) FROM v_system_metrics) - INTERVAL 10 DAYS")

@@ -59,7 +59,7 @@ def latest_per_key(t: Tables) -> DataFrame:
 
 @query("W04_occurrence_number", "SELECT id, ROW_NUMBER() OVER (PARTITION BY content_hash ORDER BY source_path)-1 AS n FROM v_source_files")
 def occurrence_number(t: Tables) -> DataFrame:
-    return t.source_files.select("id", (F.row_number().over(Window.partitionBy("content_hash").orderBy("source_path")) - 1).cast("long").alias("n"))
+    return numbered_within(t.source_files.select("id", "content_hash", "source_path"), "content_hash", "source_path").select("id", F.col("place").cast("long").alias("n"))
 
 
 @query("W05_chunk_index", "SELECT id, CAST(UNNEST(RANGE(LEN(STRING_SPLIT(content,CHR(10))))) AS INT) AS chunk_index, UNNEST(STRING_SPLIT(content,CHR(10))) AS chunk FROM v_corpus")

@@ -179,3 +179,18 @@ def slot_collisions(t: Tables) -> DataFrame:
 def event_fields(t: Tables) -> DataFrame:
     """A field of JSON text; text that isn't JSON gives null."""
     return t.activity_events.select("id", F.try_variant_get(F.try_parse_json("metadata"), "$.k", "bigint").alias("k"))
+
+
+@query("C23b_key_integrity", " UNION ALL ".join(f"SELECT '{n}' AS table_name, COUNT(*) AS n, COUNT(*) - COUNT(id) AS without_key, COUNT(id) - COUNT(DISTINCT id) AS repeated FROM v_{n}" for n in ("source_files", "bulk_jobs", "analysis_queue", "conversion_history", "activity_events")))
+def key_integrity(t: Tables) -> DataFrame:
+    """Of each table: rows, rows without a key, and rows beyond the first of a key."""
+
+    def told(name: str) -> DataFrame:
+        per_key = getattr(t, name).groupBy("id").agg(F.count("*").alias("n"))
+        key = F.col("id").isNotNull()
+        return per_key.agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(~key, F.col("n"))), F.lit(0)).alias("without_key"), F.coalesce(F.sum(F.when(key, F.col("n") - 1)), F.lit(0)).alias("repeated")).select(F.lit(name).alias("table_name"), "n", "without_key", "repeated")
+
+    whole = None
+    for name in ("source_files", "bulk_jobs", "analysis_queue", "conversion_history", "activity_events"):
+        whole = told(name) if whole is None else whole.unionByName(told(name))
+    return whole

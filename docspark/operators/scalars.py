@@ -293,3 +293,24 @@ def magic_bytes(t: Tables) -> DataFrame:
 @query("F43_archive_safety", "SELECT job_id, COUNT(*) > 700 AS too_many, SUM(file_size_bytes) > 20000000 AS too_large FROM v_bulk_files GROUP BY 1")
 def archive_safety(t: Tables, entries: int = 700, size: int = 20_000_000) -> DataFrame:
     return t.bulk_files.groupBy("job_id").agg((F.count("*") > entries).alias("too_many"), (F.sum("file_size_bytes") > size).alias("too_large"))
+
+
+# Folders in each other, members, bytes taken out, and bytes out for each byte in, that an archive may have.
+MOST_DEPTH, MOST_MEMBERS, MOST_BYTES, MOST_RATIO = 20, 100_000, 50 << 30, 200
+
+
+def archive_verdict(depth: Column, members: Column, unpacked: Column, packed: Column, limits: tuple = (MOST_DEPTH, MOST_MEMBERS, MOST_BYTES, MOST_RATIO)) -> Column:
+    """The first rule that an archive breaks: depth, members, size or ratio; ok without one. Nothing packed has no ratio."""
+    return F.when(depth > limits[0], "depth").when(members > limits[1], "members").when(unpacked > limits[2], "size").when(unpacked > limits[3] * F.greatest(packed, F.lit(0)), F.when(packed > 0, "ratio").otherwise("ok")).otherwise("ok")
+
+
+@query("F43b_archive_verdict", """WITH m AS (SELECT source_file_id AS id, MAX(LENGTH(source_path)-LENGTH(REPLACE(source_path,'/','')))-1 AS depth, COUNT(*) AS members, SUM(file_size_bytes) AS unpacked FROM v_bulk_files GROUP BY 1)
+SELECT m.id, depth, members, CASE WHEN depth > 2 THEN 'depth' WHEN members > 6 THEN 'members' WHEN unpacked > 300000 THEN 'size' WHEN f.file_size_bytes > 0 AND unpacked > f.file_size_bytes*1.5 THEN 'ratio' ELSE 'ok' END AS verdict FROM m JOIN v_source_files f ON f.id = m.id""")
+def archives(t: Tables) -> DataFrame:
+    """Files as archives of what was made of them, under limits that some of them break."""
+    path = F.col("source_path")
+    members = t.bulk_files.groupBy(F.col("source_file_id").alias("id")).agg(
+        (F.max(F.length(path) - F.length(F.replace(path, F.lit("/")))) - 1).alias("depth"), F.count("*").alias("members"), F.sum("file_size_bytes").alias("unpacked")
+    )
+    both = members.join(t.source_files.select("id", F.col("file_size_bytes").alias("packed")), "id")
+    return both.select("id", "depth", "members", archive_verdict(F.col("depth"), F.col("members"), F.col("unpacked"), F.col("packed"), (2, 6, 300_000, 1.5)).alias("verdict"))

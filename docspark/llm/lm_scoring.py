@@ -154,20 +154,28 @@ def _by_hash(bits: int):
     return grouped
 
 
-def _distinct(part: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows in order of (part, key), where each distinct one begins there, and which of these each row is."""
+def _distinct(part: np.ndarray, keys: np.ndarray, inverse: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (part, key) in order, and which of them each row is, or how often each occurs."""
+    bits = max(int(keys.max()).bit_length(), 1)
+    if bits + int(part.max()).bit_length() <= 64:  # one number holds both: a single sort
+        both, told = np.unique((part.astype(U64) << U64(bits % 64)) | keys, return_inverse=inverse, return_counts=not inverse)
+        mask = U64((1 << bits) - 1)
+        return (both >> U64(bits)).astype(np.int64) if bits < 64 else np.zeros(len(both), np.int64), both & mask, told
     order = np.lexsort((keys, part))
     new = np.ones(len(order), bool)
     new[1:] = (part[order][1:] != part[order][:-1]) | (keys[order][1:] != keys[order][:-1])
-    inverse = np.empty(len(order), np.int64)
-    inverse[order] = np.cumsum(new) - 1
-    return order, np.flatnonzero(new), inverse
+    start = np.flatnonzero(new)
+    told = np.diff(np.append(start, len(order)))
+    if inverse:
+        told = np.empty(len(order), np.int64)
+        told[order] = np.cumsum(new) - 1
+    return part[order][start], keys[order][start], told
 
 
 def _in_parts(part: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, ...]:
     """(part, distinct keys, counts) of keys that say their part beside them."""
-    order, start, _ = _distinct(part, keys)
-    return part[order][start], keys[order][start], np.diff(np.append(start, len(order))).astype(np.uint32)
+    part, keys, n = _distinct(part, keys, inverse=False)
+    return part, keys, n.astype(np.uint32)
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -474,8 +482,8 @@ def log_probabilities(column: pa.Array, model: Model) -> tuple[np.ndarray, ...]:
     both = np.flatnonzero((two >= 0) & (numbers >= 0))
     if len(both):
         part, keys = _triple_keys(two[both], numbers[both], model)
-        order, start, where = _distinct(part, keys)
-        triple[both] = model.triples().find(keys[order][start], part[order][start])[where]
+        part, keys, where = _distinct(part, keys, inverse=True)
+        triple[both] = model.triples().find(keys, part)[where]
     p3 = _interpolated(_taken(model.triples(), ("counts",), triple)[0], after[0], after[1:], model.discounts3, middle)
     sums = lambda x: np.add.reduceat(x, first)  # noqa: E731  every document has a token
     return np.diff(np.append(first, len(hashes))), sums(known[inverse].astype(np.int64)), sums(base), sums(np.log10(p3)), sums(np.log10(p))

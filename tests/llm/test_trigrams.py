@@ -56,5 +56,10 @@ def test_keys_stay_small_at_any_size():
     part, keys = lm_scoring._triple_keys(context, np.array([5, 0, (1 << 30) - 2, 1, 7]), model)
     assert part.tolist() == [0, 0, 1, 1023, 1023]
     assert [int(k) >> 30 for k in keys] == [0, (1 << 27) - 1, 0, (1 << 27) - 1, 1 << 27] and [int(k) & ((1 << 30) - 1) for k in keys] == [5, 0, (1 << 30) - 2, 1, 7]
-    order, start, inverse = lm_scoring._distinct(np.array([1, 0, 1, 0]), np.array([3, 9, 3, 2], np.uint64))
-    assert order[start].tolist() == [3, 1, 0] and inverse.tolist() == [2, 1, 2, 0]
+    for top in (9, (1 << 63) + 9, (1 << 64) - 1):  # in one number, or not
+        parts, own = np.array([1, 0, 1, 0]), np.array([3, top, 3, 2], np.uint64)
+        part, keys, inverse = lm_scoring._distinct(parts, own, inverse=True)
+        assert list(zip(part.tolist(), keys.tolist())) == [(0, 2), (0, top), (1, 3)] and inverse.tolist() == [2, 1, 2, 0]
+        assert lm_scoring._distinct(parts, own, inverse=False)[2].tolist() == [1, 1, 2]
+        part, keys, n = lm_scoring._distinct(np.zeros(3, np.int64), np.array([top, 0, top], np.uint64), inverse=False)
+        assert (part.tolist(), keys.tolist(), n.tolist()) == ([0, 0], [0, top], [1, 2])

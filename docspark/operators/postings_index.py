@@ -4,7 +4,8 @@ A segment is a folder of tables. ``postings`` (token, block, id, tf, places) lie
 query opens the buckets of its terms and, in them, the row groups that hold them. ``blocks``
 (token, block, top) has the largest number of occurrences of a token in a document of a
 block of ids: the bound by which whole blocks are skipped. ``words`` (token, docs, tf) is the
-vocabulary, with its deletion neighbourhood in ``near`` (variant, token, cut).
+vocabulary, with its deletion neighbourhood in ``near`` (variant, token), which the first
+query with typos writes.
 ``docs`` holds what is shown and filtered of each document.
 
 A change set (upserts and deletes by id) is written as a segment of its own with the
@@ -124,6 +125,7 @@ class Index:
 
     def __init__(self, spark: SparkSession, folder: str, layout: Layout = Layout()):
         self.spark, self.folder, self.layout = spark, folder.rstrip("/"), layout
+        self._frames: dict[tuple[str, str], DataFrame] = {}
         ship(spark)
 
     def _path(self, uri: str):
@@ -146,8 +148,11 @@ class Index:
         return 1 + max((int(n.split("=")[1]) for n in names if "=" in n), default=0)
 
     def _read(self, folder: str, name: str) -> DataFrame:
-        reader = self.spark.read.schema(_PARTED[name]) if name in _PARTED else self.spark.read
-        return reader.parquet(f"{folder}/{name}")
+        """A table of a segment; its files are listed once, as they never change."""
+        if (folder, name) not in self._frames:
+            reader = self.spark.read.schema(_PARTED[name]) if name in _PARTED else self.spark.read
+            self._frames[folder, name] = reader.parquet(f"{folder}/{name}")
+        return self._frames[folder, name]
 
     def _table(self, name: str) -> DataFrame | None:
         """A table of all segments that count, with the number of its ``segment``."""
@@ -167,12 +172,18 @@ class Index:
         blocks.repartition("bucket").sortWithinPartitions("bucket", "token", "block").write.partitionBy("bucket").parquet(f"{folder}/blocks")
         words = self._read(folder, "blocks").groupBy("token").agg(F.sum("docs").alias("docs"), F.sum("tf").alias("tf"))
         words.sort("token").write.parquet(f"{folder}/words")
-        vocabulary = self.spark.read.parquet(f"{folder}/words").select("token")
-        near = neighbourhood(vocabulary).withColumn("bucket", F.pmod(F.xxhash64("variant"), F.lit(lay.buckets)).cast("int"))
-        near.repartition("bucket").sortWithinPartitions("bucket", "variant").write.partitionBy("bucket").parquet(f"{folder}/near")
         docs.write.parquet(f"{folder}/docs")
         changed.select("id").distinct().write.parquet(f"{folder}/changed")  # last: the segment counts from here on
 
+    def _write_near(self) -> None:
+        """The deletion neighbourhoods of the segments that have none yet: the first query with typos writes them."""
+        for n in self.segments():
+            folder = f"{self.folder}/{self._kinds[n]}={n}"
+            path, store = self._path(f"{folder}/near/_SUCCESS")
+            if not store.exists(path):
+                near = neighbourhood(self._read(folder, "words").select("token")).withColumn("bucket", F.pmod(F.xxhash64("variant"), F.lit(self.layout.buckets)).cast("int"))
+                near.repartition("bucket").sortWithinPartitions("bucket", "variant").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/near")
+
     def _shown(self, docs: DataFrame) -> DataFrame:
         return docs.filter("id is not null").select(F.col("id").cast("long").alias("id"), *(c for c in SHOWN if c in docs.columns))
 
@@ -292,6 +303,7 @@ class Index:
 
     def corrections(self, terms: list[str]) -> DataFrame:
         """(term, place, token, typos): the words of the vocabulary that may stand for each term, itself included."""
+        self._write_near()
         asked = self.spark.createDataFrame([(t, i) for i, t in enumerate(terms)], "term string, place int")
         variants = with_deletions(asked.withColumn("allowed", typos_allowed(F.col("term"))), "term", F.col("allowed"))
         wanted = [r.variant for r in variants.select("variant").distinct().collect()]  # a few hundred a term

@@ -7,11 +7,11 @@ import itertools
 import re
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.pieces import pieces
 from ..registry import query
 from ..sources.tables import Tables
 from . import line_diff
@@ -92,8 +92,8 @@ def _exploded(df: DataFrame, id_: str, column: str, parse) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            rows = [(i, pos, *e) for i, body in zip(pdf[id_], pdf[column]) for pos, e in enumerate(parse(body))]
-            yield pd.DataFrame(rows, columns=[id_, "pos", "kind", "level", "body"])
+            rows = ((i, pos, *e) for i, body in zip(pdf[id_], pdf[column]) for pos, e in enumerate(parse(body)))
+            yield from pieces(rows, [id_, "pos", "kind", "level", "body"])
 
     return df.select(id_, column).mapInPandas(run, f"{id_} bigint, pos int, kind string, level int, body string")
 
@@ -352,8 +352,8 @@ def chunk_corpus(t: Tables) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            rows = [(i, n, path, body) for i, title, md in zip(pdf.id, pdf.title, pdf.markdown) for n, (path, body) in enumerate(chunks(md, title))]
-            yield pd.DataFrame(rows, columns=["id", "chunk_index", "heading_path", "text"])
+            rows = ((i, n, path, body) for i, title, md in zip(pdf.id, pdf.title, pdf.markdown) for n, (path, body) in enumerate(chunks(md, title)))
+            yield from pieces(rows, ["id", "chunk_index", "heading_path", "text"])
 
     return docs.mapInPandas(run, "id bigint, chunk_index int, heading_path string, text string")
 

@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Rows and bytes of an Arrow batch: whole texts make it large, in the JVM and in each Python worker.
+ARROW_ROWS, ARROW_BYTES = 2000, 4 << 20
 
 
 def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -32,3 +34,13 @@ def ship(spark: SparkSession) -> None:
             z.write(path, path.relative_to(root.parent))
     context.addPyFile(f"{folder}/{root.name}.zip")
     _shipped.add(context.applicationId)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Hold what a Python worker gets at once to ARROW_ROWS and ARROW_BYTES.
+
+    The settings are the session's and stay, since frames are worked off after this call; smaller ones are left as they are.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        if not 0 < int(str(spark.conf.get(key)).rstrip("bB")) <= most:
+            spark.conf.set(key, most)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import bound_batches, ship
 from ..streaming.monitors import own_folder
 
 #: Attributes that are searched, best first.
@@ -61,13 +61,27 @@ def bucket_of(token: Column, layout: Layout) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(layout.buckets)).cast("int")
 
 
+#: Words whose postings are made at once.
+WORDS = 1 << 17
 #: A place is a word's number in its attribute, plus this for each better attribute.
 ATTRIBUTE = 1 << 40
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], most: int = WORDS) -> Iterator[pa.RecordBatch]:
+    """The batches' documents in slices of at most so many words; a longer document is a slice of its own."""
+    for batch in batches:
+        ends = np.cumsum(batch.column("words").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, words of all attributes, their number in each) to a row for each distinct word of a document, with its places."""
-    for batch in batches:
+    for batch in _sliced(batches):
         words = batch.column("words").flatten().dictionary_encode()
         if not len(words):
             continue
@@ -127,6 +141,7 @@ class Index:
         self.spark, self.folder, self.layout = spark, folder.rstrip("/"), layout
         self._frames: dict[tuple[str, str], DataFrame] = {}
         ship(spark)
+        bound_batches(spark)
 
     def _path(self, uri: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(uri)

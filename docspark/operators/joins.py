@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import difflib
+import bisect
+from collections import Counter
+from functools import cached_property
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.pieces import pieces
 from ..registry import query
 from ..sources.tables import Tables
 from .aggregates import with_rates
@@ -178,16 +180,71 @@ def similar_titles(t: Tables, percent: int = 80) -> DataFrame:
     return similar(t.corpus.select("id", F.col("title").alias("text")), percent)
 
 
+def _alike(a: str, i: int, b: str, j: int, most: int, back: bool = False) -> int:
+    """Letters that a from i on and b from j on have in common at their beginning, or those before i and j at their end; most at most."""
+    low = 0
+    while low < most:
+        middle = (low + most + 1) // 2
+        same = a[i - middle : i - low] == b[j - middle : j - low] if back else a[i + low : i + middle] == b[j + low : j + middle]
+        low, most = (middle, most) if same else (low, middle - 1)
+    return low
+
+
+class _Entry:
+    """A stored text: its letters' counts, and the places of those that a match may start from, as difflib has them."""
+
+    def __init__(self, text: str):
+        self.text = text
+
+    @cached_property
+    def counts(self) -> Counter:
+        return Counter(self.text)
+
+    @cached_property
+    def places(self) -> dict[str, list[int]]:
+        n = len(self.text)
+        found: dict[str, list[int]] = {c: [] for c, k in self.counts.items() if n < 200 or k <= n // 100 + 1}  # frequent ones in a long text only extend a match
+        for j, c in enumerate(self.text):
+            if c in found:
+                found[c].append(j)
+        return found
+
+    def ratio(self, a: str) -> float:
+        """difflib.SequenceMatcher(None, a, self.text).ratio(), looking only at the letters of ``a`` that a match may start from."""
+        b = self.text
+        starts = [i for i, c in enumerate(a) if c in self.places]
+        matches, todo = 0, [(0, len(a), 0, len(b))]
+        while todo:
+            alo, ahi, blo, bhi = todo.pop()
+            besti, bestj, size, last, runs = alo, blo, 0, -2, {}
+            for i in starts[bisect.bisect_left(starts, alo) : bisect.bisect_left(starts, ahi)]:
+                before, runs = runs if i == last + 1 else {}, {}
+                last, where = i, self.places[a[i]]
+                for j in where[bisect.bisect_left(where, blo) : bisect.bisect_left(where, bhi)]:
+                    k = runs[j] = before.get(j - 1, 0) + 1
+                    if k > size:
+                        besti, bestj, size = i - k + 1, j - k + 1, k
+            more = _alike(a, besti, b, bestj, min(besti - alo, bestj - blo), back=True)
+            besti, bestj, size = besti - more, bestj - more, size + more
+            size += _alike(a, besti + size, b, bestj + size, min(ahi - besti, bhi - bestj) - size)
+            if size:
+                matches += size
+                todo += [x for x in ((alo, besti, blo, bestj), (besti + size, ahi, bestj + size, bhi)) if x[0] < x[1] and x[2] < x[3]]
+        return 2.0 * matches / (len(a) + len(b)) if a or b else 1.0
+
+
 def best_matches(elements: list[str], stored: list[str], least: float) -> list[tuple[int, int, float]]:
     """(element, stored entry, ratio): for each element the entry with the highest matching-block ratio of at least ``least``, the first of equal ones."""
+    entries = [_Entry(x) for x in stored]
     out = []
     for i, text in enumerate(elements):
-        matcher = difflib.SequenceMatcher(None, b=text)  # statistics are kept for the second text
-        best = (0.0, -1)
-        for j, other in enumerate(stored):
-            matcher.set_seq1(other)
-            bar = max(least, best[0])
-            if text and matcher.real_quick_ratio() >= bar and matcher.quick_ratio() >= bar and (ratio := difflib.SequenceMatcher(None, text, other).ratio()) >= least and ratio > best[0]:
+        counts, best = Counter(text), (0.0, -1)
+        for j, other in enumerate(entries if text else ()):
+            bar, n = max(least, best[0]), len(text) + len(other.text)
+            # bounds of the ratio: by lengths, then by letters in common
+            if 2.0 * min(len(text), len(other.text)) / n < bar or 2.0 * sum(min(k, other.counts[c]) for c, k in counts.items() if c in other.counts) / n < bar:
+                continue
+            if (ratio := other.ratio(text)) >= least and ratio > best[0]:
                 best = (ratio, j)
         if best[1] >= 0:
             out.append((i, best[1], best[0]))
@@ -209,8 +266,8 @@ def fuzzy_elements(t: Tables, least: float = 0.9) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            rows = [(i, elements[a], stored[b], round(r, 6)) for i, stored, elements in zip(pdf.id, pdf.stored, pdf.elements) for a, b, r in best_matches(list(elements), list(stored), least)]
-            yield pd.DataFrame(rows, columns=["id", "element", "entry", "ratio"])
+            rows = ((i, elements[a], stored[b], round(r, 6)) for i, stored, elements in zip(pdf.id, pdf.stored, pdf.elements) for a, b, r in best_matches(list(elements), list(stored), least))
+            yield from pieces(rows, ["id", "element", "entry", "ratio"])
 
     return docs.mapInPandas(run, "id bigint, element string, entry string, ratio double")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import itertools
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 from pyspark.sql import Column, DataFrame
@@ -103,53 +104,64 @@ def pages_as_elements(t: Tables) -> DataFrame:
     return _exploded(t.raw("pages"), "page_id", "html", html_elements)
 
 
-def markdown_elements(markdown: str) -> list[tuple[str, int, str]]:
-    """Blocks of Markdown: headings, fences, quotes, list items, table rows, rules, paragraphs."""
-    rows: list[tuple[str, int, str]] = []
+def lines(text: str) -> Iterator[str]:
+    """What split gives, one by one."""
+    start = 0
+    while (stop := text.find("\n", start)) >= 0:
+        yield text[start:stop]
+        start = stop + 1
+    yield text[start:]
+
+
+def markdown_blocks(markdown: str) -> Iterator[tuple[str, int, str]]:
+    """Blocks of Markdown as they end: headings, fences, quotes, list items, table rows, rules, paragraphs."""
     held: list[str] = []
     fence = None
 
     def flush():
         if held:
-            rows.append(("paragraph", 0, " ".join(held)))
+            yield "paragraph", 0, " ".join(held)
             held.clear()
 
     code: list[str] = []
-    for line in (markdown or "").split("\n"):
+    for line in lines(markdown or ""):
         bare = line.strip()
         if fence:
             if bare.startswith(fence):
-                rows.append(("code_block", 0, "\n".join(code)))
+                yield "code_block", 0, "\n".join(code)
                 fence = None
             else:
                 code.append(line)
         elif bare[:3] in ("```", "~~~"):
-            flush()
+            yield from flush()
             fence, code = bare[:3], []
         elif not bare:
-            flush()
+            yield from flush()
         elif m := re.match(r"(#{1,6})\s+(.*)", bare):
-            flush()
-            rows.append(("heading", len(m[1]), m[2].rstrip("# ")))
+            yield from flush()
+            yield "heading", len(m[1]), m[2].rstrip("# ")
         elif re.fullmatch(r"([-*_])(\s*\1){2,}", bare):
-            flush()
-            rows.append(("hr", 0, ""))
+            yield from flush()
+            yield "hr", 0, ""
         elif m := re.match(r"(?:[-*+]|\d+[.)])\s+(.*)", bare):
-            flush()
-            rows.append(("list_item", (len(line) - len(line.lstrip())) // 2, m[1]))
+            yield from flush()
+            yield "list_item", (len(line) - len(line.lstrip())) // 2, m[1]
         elif bare[0] == ">":
-            flush()
-            rows.append(("blockquote", 0, bare.lstrip("> ")))
+            yield from flush()
+            yield "blockquote", 0, bare.lstrip("> ")
         elif bare[0] == "|":
-            flush()
+            yield from flush()
             if not re.fullmatch(r"[|:\- ]+", bare):
-                rows.append(("table_row", 0, bare.strip("|")))
+                yield "table_row", 0, bare.strip("|")
         else:
             held.append(bare)
-    flush()
+    yield from flush()
     if fence:
-        rows.append(("code_block", 0, "\n".join(code)))
-    return rows
+        yield "code_block", 0, "\n".join(code)
+
+
+def markdown_elements(markdown: str) -> list[tuple[str, int, str]]:
+    return list(markdown_blocks(markdown))
 
 
 def _markdown(t: Tables) -> DataFrame:
@@ -158,7 +170,7 @@ def _markdown(t: Tables) -> DataFrame:
 
 @query("S17_markdown_elements")
 def corpus_as_elements(t: Tables) -> DataFrame:
-    return _exploded(_markdown(t), "id", "markdown", markdown_elements)
+    return _exploded(_markdown(t), "id", "markdown", markdown_blocks)
 
 
 def captions_of(segments: DataFrame) -> DataFrame:
@@ -224,7 +236,7 @@ def render_markdown(t: Tables) -> DataFrame:
 def document_round_trip(t: Tables) -> DataFrame:
     """Pages parsed, rendered as Markdown and parsed again: elements of the first and of the second reading by kind."""
     first = _exploded(t.raw("pages"), "page_id", "html", html_elements)
-    again = _exploded(render_markdown(t), "page_id", "markdown", markdown_elements)
+    again = _exploded(render_markdown(t), "page_id", "markdown", markdown_blocks)
     counts = lambda df, name: df.groupBy("page_id", "kind").agg(F.count("*").alias(name))
     return counts(first, "parsed").join(counts(again, "reparsed"), ["page_id", "kind"], "full_outer").fillna(0, ["parsed", "reparsed"])
 

@@ -90,3 +90,23 @@ def test_batches_are_held(spark):
         assert sum(r.n for r in short) == 9000 and max(r.n for r in short) <= 2000
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def most_held(text, parse):
+    """(elements, bytes held at most) while one long text is parsed, beside the text."""
+    import tracemalloc
+
+    import pandas as pd
+
+    frame = pd.DataFrame({"id": [1], "body": [text]})
+    tracemalloc.start()
+    try:
+        return sum(map(len, documents._exploded(Now([frame]), "id", "body", parse))), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_long_markdown_is_parsed_bit_by_bit():
+    """A text's elements leave as they end; before, all of them and all lines were held at once."""
+    n, most = most_held("a b\n\n- c\n\n" * 50_000, documents.markdown_blocks)
+    assert n == 100_000 and most < 4 << 20

@@ -110,3 +110,42 @@ def test_long_markdown_is_parsed_bit_by_bit():
     """A text's elements leave as they end; before, all of them and all lines were held at once."""
     n, most = most_held("a b\n\n- c\n\n" * 50_000, documents.markdown_blocks)
     assert n == 100_000 and most < 4 << 20
+
+
+def test_round_trip_counts(spark):
+    """D03 against a plain count."""
+    from collections import Counter
+
+    from docspark import catalog
+
+    def line(kind, level, body):
+        marks = {"heading": "#" * max(level, 1) + " " + body, "list_item": "- " + body, "blockquote": "> " + body, "code_block": f"```\n{body}\n```", "hr": "---"}
+        return marks.get(kind, body)
+
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html").collect()
+    first, again = Counter(), Counter()
+    for p in pages:
+        rows = documents.html_elements(p.html)
+        first.update((p.page_id, kind) for kind, _, _ in rows)
+        again.update((p.page_id, kind) for kind, _, _ in documents.markdown_elements("\n\n".join(line(*r) for r in rows)))
+    got = catalog.QUERIES["D03_document_round_trip"](spark, "/root/testdata/sf0.001").collect()
+    assert {(r.page_id, r.kind): (r.parsed, r.reparsed) for r in got} == {k: (first[k], again[k]) for k in first | again} and len(got) == len(first | again)
+
+
+def test_long_second_reading_is_parsed_bit_by_bit(monkeypatch):
+    """D03 reads its Markdown so that the elements of a long page leave as they end."""
+    parsers = {}
+
+    class Frame(Now):
+        def __getattr__(self, name):
+            return lambda *a, **k: self
+
+    frame = Frame([])
+    frame.raw = lambda name: frame
+    monkeypatch.setattr(documents, "render_markdown", lambda t: frame)
+    monkeypatch.setattr(documents, "_exploded", lambda df, id_, column, parse: parsers.update({column: parse}) or frame)
+    monkeypatch.setattr(documents.F, "count", lambda x: frame)
+    documents.document_round_trip(frame)
+    monkeypatch.undo()
+    n, most = most_held("# a\n\nb\n\n> c\n\n" * 50_000, parsers["markdown"])
+    assert n == 150_000 and most < 4 << 20

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -36,11 +37,17 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def number(setting: str) -> int:
+    """A setting as a number, of bytes if it has a unit (16m, 64MB)."""
+    digits, unit = re.fullmatch(r"(-?\d+)([bkmgtp]?)b?", setting.strip().lower()).groups()
+    return int(digits) << 10 * "bkmgtp".index(unit or "b")
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Hold what a Python worker gets at once to ARROW_ROWS and ARROW_BYTES.
 
     The settings are the session's and stay, since frames are worked off after this call; smaller ones are left as they are.
     """
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
-        if not 0 < int(str(spark.conf.get(key)).rstrip("bB")) <= most:
+        if not 0 < number(spark.conf.get(key)) <= most:
             spark.conf.set(key, most)

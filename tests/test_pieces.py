@@ -92,6 +92,21 @@ def test_batches_are_held(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
 
 
+@pytest.mark.parametrize("given, held", [("16m", "4194304"), ("64MB", "4194304"), ("1g", "4194304"), ("4194304", "4194304"), ("2m", "2m"), ("100k", "100k"), ("100b", "100b")])
+def test_limits_with_units_are_held(spark, given, held):
+    """Sizes may be set with a unit, as 16m; any query on the corpus tables failed then."""
+    from docspark.session import bound_batches
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    old = spark.conf.get(key)
+    try:
+        spark.conf.set(key, given)
+        bound_batches(spark)
+        assert spark.conf.get(key) == held
+    finally:
+        spark.conf.set(key, old)
+
+
 def most_held(text, parse):
     """(elements, bytes held at most) while one long text is parsed, beside the text."""
     import tracemalloc

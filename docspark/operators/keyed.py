@@ -18,7 +18,7 @@ def exported(df: DataFrame, t: Tables, name: str, schema: str) -> DataFrame:
     """df written as delimited files with a header and read back."""
     folder = scratch(t, f"{name}-{uuid.uuid4().hex[:6]}")
     writers.export_csv(df, folder)
-    return t.spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema(schema).csv(folder)
+    return writers.exported_csv(t.spark, folder, schema)
 
 
 @query("K05_upsert_preferences", "SELECT user_id AS key, ARG_MAX(event_type,(timestamp,id)) AS value, COUNT(*) AS writes FROM v_activity_events GROUP BY 1 UNION ALL SELECT -1, 'default', 0")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -11,6 +13,12 @@ def export_csv(df: DataFrame, folder: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
 
 
+def exported_csv(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """What export_csv wrote. A missing value is nothing between two separators and an empty text a pair of quotes; Spark takes
+    both for null, unless null goes by a mark that no value has."""
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("nullValue", uuid.uuid4().hex).schema(schema).csv(folder)
+
+
 def export_json(df: DataFrame, folder: str) -> None:
     df.write.mode("overwrite").json(folder)
 

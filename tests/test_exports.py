@@ -5,6 +5,8 @@ import pytest
 from oracle import difference
 
 from docspark import catalog
+from docspark.sinks.exporters import rtf
+from docspark.sources import containers
 
 TEXTS = [None, "", " ", "\n \n", "a", "a,b\nc", '"', '""', 'say "x"', '"x\ny"\r\nz', "a\rb", "\\", '\\"', "#c", "null", "\\N", "\t", " lead", "trail  ", "é\ufeff\x00z", "x" * 59 + '"', "x" * 59 + "\r\n", "😀" * 70]
 
@@ -19,9 +21,13 @@ def corpus(spark, folder, texts):
     return con
 
 
-@pytest.mark.parametrize("query", ["K10_csv_export"])
+SPACES = ["\u00a0", "a\n\u3000\nb", "\u2007 x", "\u2028", "{\\info x}", "{\\*\\fonttbl {a}}", "\\par x\\'41"]
+KINDS = ["S22_archive", "S24_docx", "S26_pptx", "S27_xlsx", "S28_odt", "S29_rtf"]
+
+
+@pytest.mark.parametrize("query", ["K10_csv_export", *(f"{kind}_round_trip" for kind in KINDS)])
 def test_odd_texts(spark, tmp_path, query):
-    con = corpus(spark, str(tmp_path), TEXTS)
+    con = corpus(spark, str(tmp_path), TEXTS + SPACES)
     assert difference(catalog.QUERIES[query](spark, str(tmp_path)), con, catalog.ORACLE_SQL[query]) == ""
 
 
@@ -32,3 +38,14 @@ def test_empty_and_missing_are_told_apart(spark, tmp_path):
     writers.export_csv(spark.createDataFrame(rows, "id long, title string"), str(tmp_path / "csv"))
     found = writers.exported_csv(spark, str(tmp_path / "csv"), "id long, title string").collect()
     assert sorted(map(tuple, found), key=repr) == sorted(rows, key=repr)
+
+
+@pytest.mark.parametrize("lines", [[], [""], ["a", ""], ["", "", "a"], [" a ", "\t", "{}", "\\"], ["é?", "{\\info x}"]])
+def test_rich_text_has_the_lines_written(lines):
+    assert [body for _, body in containers.rtf(rtf(lines))] == lines
+
+
+def test_rich_text_of_others():
+    read = lambda data: [body for _, body in containers.rtf(data)]
+    assert read(b"{\\rtf1\\ansi{\\fonttbl{\\f0 Arial;}}{\\info{\\title a\\}b}}\\f0 one\\par two}") == ["one", "two"]
+    assert read(b"{\\rtf1\\ansi one\\par two\\par}") == ["one", "two"]

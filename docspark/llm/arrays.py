@@ -1,11 +1,13 @@
 """Sorted key arrays in the shared folder, written by Spark tasks and memory-mapped by workers.
 
 Keys are spread over parts by their top bits, and each part is sorted, so the
-parts in order are one sorted array. A part is a set of .npy files.
+parts in order are one sorted array. A part is a set of .npy files. Parts grow in
+number with the input; before they are looked up, neighbours are joined to a few files.
 """
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -13,6 +15,9 @@ from urllib.parse import urlparse
 
 import numpy as np
 
+#: An array lies in at most 2 ** FILE_BITS files: a worker maps all of them, each takes a descriptor, and those are limited.
+FILE_BITS = 5
+
 
 def local_path(uri: str) -> str | None:
     """The path under which every machine sees the folder, if it is mounted; None for another store."""
@@ -20,14 +25,15 @@ def local_path(uri: str) -> str | None:
     return parsed.path if parsed.scheme in ("", "file") else None
 
 
-def save(uri: str, values: np.ndarray) -> None:
-    """Write under a name of its own, then rename: a task that runs twice leaves one whole file."""
+@contextlib.contextmanager
+def _written(uri: str):
+    """A file to write, under a name of its own that is then changed: a task that runs twice leaves one whole file."""
     path = local_path(uri)
     if path is not None:
         os.makedirs(os.path.dirname(path), exist_ok=True)
         own = f"{path}.{uuid.uuid4().hex}"
         with open(own, "wb") as f:
-            np.save(f, values)
+            yield f
         os.replace(own, path)
         return
     from pyarrow import fs
@@ -35,6 +41,11 @@ def save(uri: str, values: np.ndarray) -> None:
     store, path = fs.FileSystem.from_uri(uri)
     store.create_dir(os.path.dirname(path), recursive=True)
     with store.open_output_stream(path) as f:
+        yield f
+
+
+def save(uri: str, values: np.ndarray) -> None:
+    with _written(uri) as f:
         np.save(f, values)
 
 
@@ -54,6 +65,29 @@ def load(uri: str) -> np.ndarray:
         return np.load(copy.name, mmap_mode="r")
 
 
+def in_files(sizes: np.ndarray, bits: int = FILE_BITS) -> np.ndarray:
+    """Sizes of the files that parts of these sizes are joined to."""
+    return sizes.reshape(1 << bits, -1).sum(axis=1) if len(sizes) > 1 << bits else sizes
+
+
+def join(uris: list[str], sizes: list[int], uri: str, gaps: bool = False, add: list[int] | None = None) -> None:
+    """One file of the values of all, in order, of which one is held at a time; each number of ``add`` goes to the values of one. With gaps, a file that isn't there is zeros."""
+
+    def values(u: str, n: int) -> np.ndarray:
+        try:
+            return load(u)
+        except FileNotFoundError:
+            if not gaps:
+                raise
+            return np.zeros(n, np.uint8)
+
+    kind = np.result_type(*{values(u, n).dtype for u, n in zip(uris, sizes)})
+    with _written(uri) as f:
+        np.lib.format.write_array_header_1_0(f, {"descr": np.lib.format.dtype_to_descr(kind), "fortran_order": False, "shape": (sum(sizes),)})
+        for u, n, more in zip(uris, sizes, add or [0] * len(uris)):
+            f.write((values(u, n).astype(kind) + kind.type(more)).tobytes())
+
+
 class Parts:
     """The parts of one sorted array; files open when first used."""
 

@@ -9,7 +9,8 @@ Four Spark jobs build the model in the shared folder:
 4. trigram counts, keyed by (place of the bigram before in its part, word) and dealt by
    that part, so that a part has whole contexts and a key fits 64 bits at any size; each distinct trigram then goes to
    its last two words for the middle order's continuation counts.
-Workers memory-map the arrays and score whole batches with vectorised lookups.
+Parts are as many as the input asks for, since a task holds one; once written, neighbours are joined, so that an array
+lies in a few files at any size. Workers memory-map these and score whole batches with vectorised lookups.
 
 A text's tokens are its words (A-Z lower-cased) and one end; the first word's
 context is the beginning of a text. p(w|v) = (c - D(c)) / c(v) + g(v) p(w),
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import frames
-from .arrays import Parts, part_of, save
+from .arrays import FILE_BITS, Parts, in_files, join, part_of, save
 from .textops import U64, Words, chunks, mix64, runs, sliced
 
 END = mix64(np.array([0x656E64], U64))[0]
@@ -82,16 +83,24 @@ class Model:
     def word_bits(self) -> int:
         return self.size.bit_length()
 
+    @property
+    def file_bits(self) -> int:
+        """Files of bigrams: few, but so many that the place of a bigram in its file and a word fit 64 bits."""
+        bits = FILE_BITS
+        while bits < self.pair_bits and int(in_files(self.pair_sizes, bits).max()).bit_length() + self.word_bits > 64:
+            bits += 1
+        return bits
+
     def triples(self) -> Parts:
-        """Trigrams by (place of the first two words in their part, third word), in the part of the first two."""
+        """Trigrams by (place of the first two words in their file, third word), in the file of the first two."""
         if "triples" not in self._parts:
-            self._parts["triples"] = Parts(f"{self.folder}/triples", self.pair_bits, self.triple_sizes)
+            self._parts["triples"] = Parts(f"{self.folder}/triples", min(self.pair_bits, self.file_bits), in_files(self.triple_sizes, self.file_bits))
         return self._parts["triples"]
 
     def parts(self) -> tuple[Parts, Parts]:
         if "pairs" not in self._parts:
-            self._parts["vocab"] = Parts(f"{self.folder}/vocab", self.vocab_bits, self.vocab_sizes)
-            self._parts["pairs"] = Parts(f"{self.folder}/pairs", self.pair_bits, self.pair_sizes)
+            self._parts["vocab"] = Parts(f"{self.folder}/vocab", min(self.vocab_bits, FILE_BITS), in_files(self.vocab_sizes))
+            self._parts["pairs"] = Parts(f"{self.folder}/pairs", min(self.pair_bits, self.file_bits), in_files(self.pair_sizes, self.file_bits))
         return self._parts["vocab"], self._parts["pairs"]
 
 
@@ -204,20 +213,44 @@ def _small(n: np.ndarray) -> np.ndarray:
 _COUNTED = "part int, keys binary, counts binary"
 
 
+def _home(folder: str, bits: int) -> str:
+    """Where parts are written: a folder of their own if they are joined, else they are the files."""
+    return f"{folder}/parts" if bits > FILE_BITS else folder
+
+
+def _join(spark: SparkSession, folder: str, stem: str, names: tuple[str, ...], sizes: np.ndarray, bits: int = FILE_BITS, gaps: tuple[str, ...] = (), add: np.ndarray | None = None) -> None:
+    """Join the parts of arrays to files, a task for each; ``add`` is for the first array."""
+    if len(sizes) <= 1 << FILE_BITS:
+        return
+    each, home = len(sizes) >> bits, f"{folder}/parts/{stem}"
+
+    def run(batches):
+        for batch in batches:
+            for q in batch.column("id").to_pylist():
+                own = [p for p in range(q * each, (q + 1) * each) if sizes[p]]
+                for name in names if own else ():
+                    join([f"{home}/{name}-{p}.npy" for p in own], [int(sizes[p]) for p in own], f"{folder}/{stem}/{name}-{q}.npy", name in gaps, [int(add[p]) for p in own] if add is not None and name == names[0] else None)
+        yield from ()
+
+    spark.range(0, 1 << bits, 1, 1 << bits).mapInArrow(run, "id bigint").collect()  # no rows
+    frames.delete(spark, home)
+
+
 def _count_words(texts: DataFrame, folder: str, bits: int) -> tuple[np.ndarray, int]:
     def words(batches):
         yield from _counted(lambda column: (tokens_of(column)[0],), _by_hash(bits), batches)
 
     def write(table: pa.Table) -> pa.Table:
         part, keys, n = _summed(table)
-        save(f"{folder}/vocab/keys-{part}.npy", keys)
-        save(f"{folder}/vocab/counts-{part}.npy", _small(n))
+        save(f"{_home(folder, bits)}/vocab/keys-{part}.npy", keys)
+        save(f"{_home(folder, bits)}/vocab/counts-{part}.npy", _small(n))
         return pa.table({"part": pa.array([part], pa.int32()), "size": pa.array([len(keys)], pa.int64()), "tokens": pa.array([int(n.sum())], pa.int64())})
 
     rows = texts.mapInArrow(words, _COUNTED).groupBy("part").applyInArrow(write, "part int, size bigint, tokens bigint").collect()  # a row for each part
     sizes = np.zeros(1 << bits, np.int64)
     for r in rows:
         sizes[r.part] = r["size"]
+    _join(texts.sparkSession, folder, "vocab", ("keys", "counts"), sizes)
     return sizes, sum(r.tokens for r in rows)
 
 
@@ -258,8 +291,8 @@ def fit(texts: DataFrame, least_triple: int = 1) -> Model:
 
     def write(table: pa.Table) -> pa.Table:
         part, keys, n = _summed(table)
-        save(f"{folder}/pairs/keys-{part}.npy", keys)
-        save(f"{folder}/pairs/counts-{part}.npy", _small(n))
+        save(f"{_home(folder, pair_bits)}/pairs/keys-{part}.npy", keys)
+        save(f"{_home(folder, pair_bits)}/pairs/counts-{part}.npy", _small(n))
         raw = unmix64(keys)
         context, word = (raw >> U64(32)).astype(np.int64), (raw & U64(0xFFFFFFFF)).astype(np.int64)
         ids, inverse = np.unique(context, return_inverse=True)
@@ -278,6 +311,7 @@ def fit(texts: DataFrame, least_triple: int = 1) -> Model:
     for r in rows.filter("id = -1").collect():  # a row for each part
         model.pair_sizes[r.part] = r.contexts
         seen = [a + b for a, b in zip(seen, (r.total, r.once, r.twice, r.more))]
+    _join(spark, folder, "pairs", ("keys", "counts"), model.pair_sizes, model.file_bits)
     model.discounts = d = _discounts(seen)
     words = frames.cut(rows.filter("id >= 0").groupBy("id").agg(*(F.sum(c).alias(c) for c in ("total", "once", "twice", "more", "contexts"))))
     n = words.filter("contexts > 0").agg(*(F.sum((F.col("contexts") == i).cast("long")) for i in (1, 2, 3, 4)), F.sum((F.col("contexts") > 2).cast("long"))).first()
@@ -303,10 +337,11 @@ def fit(texts: DataFrame, least_triple: int = 1) -> Model:
         totals[own] = total
         lower[own] += np.maximum(contexts - np.array([0, *low])[np.minimum(contexts, 3).astype(int)], 0) / bigrams
         for name, values in (("weight", weight), ("total", totals), ("lower", lower)):
-            save(f"{folder}/vocab/{name}-{p}.npy", values)
+            save(f"{_home(folder, vocab_bits)}/vocab/{name}-{p}.npy", values)
         return pa.table({"part": pa.array([p], pa.int32())})
 
     words.filter(F.col("id") < begin).withColumn("part", F.arrow_udf(part, "int")("id")).groupBy("part").applyInArrow(estimate, "part int").count()
+    _join(spark, folder, "vocab", ("weight", "total", "lower"), vocab_sizes)
     model._parts.clear()
     del rows, words
     frames.delete(spark, f"{folder}/stats")
@@ -337,11 +372,12 @@ def _contexts(pairs: Parts, numbers: np.ndarray, before: np.ndarray, keys: np.nd
     return at, context
 
 
-def _triple_keys(context: np.ndarray, numbers: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """The part of each context, and the key there; two beginnings come after the last part's bigrams."""
-    ends = np.cumsum(model.pair_sizes)
+def _triple_keys(context: np.ndarray, numbers: np.ndarray, model: Model, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The part of each context, or the file if those are the sizes, and the key there; two beginnings come after the last one's bigrams."""
+    sizes = model.pair_sizes if sizes is None else sizes
+    ends = np.cumsum(sizes)
     part = np.minimum(np.searchsorted(ends, context, side="right"), len(ends) - 1)
-    own = context - (ends - model.pair_sizes)[part]
+    own = context - (ends - sizes)[part]
     return part, (own.astype(U64) << U64(model.word_bits)) | numbers.astype(U64)
 
 
@@ -357,7 +393,7 @@ def _of_counts(n: np.ndarray) -> list[int]:
 def _fit_triples(texts: DataFrame, model: Model, least: int) -> None:
     """Count the trigrams and what they add to the middle order; the driver gets a few numbers for each part."""
     folder, begin, sizes = model.folder, model.size, model.pair_sizes
-    base, vocab_ends = np.cumsum(sizes) - sizes, np.cumsum(model.vocab_sizes)
+    base, vocab_ends, home = np.cumsum(sizes) - sizes, np.cumsum(model.vocab_sizes), _home(folder, model.pair_bits)
 
     def keys_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         numbers, _, context, _ = _places(column, model)
@@ -369,19 +405,19 @@ def _fit_triples(texts: DataFrame, model: Model, least: int) -> None:
     def write(table: pa.Table) -> pa.Table:
         p, keys, n = _summed(table, mix=lambda x: x)
         kept = n >= least
-        save(f"{folder}/triples/keys-{p}.npy", keys[kept])
-        save(f"{folder}/triples/counts-{p}.npy", _small(n[kept]))
+        save(f"{home}/triples/keys-{p}.npy", keys[kept])
+        save(f"{home}/triples/counts-{p}.npy", _small(n[kept]))
         start, followers = runs(keys >> U64(model.word_bits))
         own = (keys[start] >> U64(model.word_bits)).astype(np.int64)
         inner = own < sizes[p]  # the others: two beginnings
         split = [np.add.reduceat(x.astype(np.int64), start) for x in (n == 1, n == 2, n > 2)]
         second = np.full(len(own), begin, U64)
         if inner.any():
-            second[inner] = unmix64(model.parts()[1].part("keys", p)[own[inner]]) & U64(0xFFFFFFFF)
+            second[inner] = unmix64(model.parts()[1].take("keys", base[p] + own[inner])) & U64(0xFFFFFFFF)
             for name, x in zip(("once", "twice", "more"), split):
                 whole = np.zeros(sizes[p], np.int64)
                 whole[own[inner]] = x[inner]
-                save(f"{folder}/pairs/{name}-{p}.npy", _small(whole))
+                save(f"{home}/pairs/{name}-{p}.npy", _small(whole))
         last, times = np.unique(mix64((np.repeat(second, followers) << U64(32)) | (keys & U64((1 << model.word_bits) - 1))), return_counts=True)
         rows = _by_part(part_of(last, model.pair_bits), model.parts()[1].find(last).astype(U64), times.astype(np.uint32))
         return pa.Table.from_batches([_batch([*rows, _told(3, p, int(kept.sum()), *_of_counts(n), *(int(x[~inner].sum()) for x in split))])])
@@ -393,8 +429,8 @@ def _fit_triples(texts: DataFrame, model: Model, least: int) -> None:
         _, places, n = _summed(table, mix=lambda x: x)
         whole = np.zeros(sizes[p], np.int64)
         whole[places.astype(np.int64) - base[p]] = n
-        save(f"{folder}/pairs/behind-{p}.npy", _small(whole))
-        ids, inverse = np.unique(unmix64(model.parts()[1].part("keys", p)) >> U64(32), return_inverse=True)
+        save(f"{home}/pairs/behind-{p}.npy", _small(whole))
+        ids, inverse = np.unique(unmix64(model.parts()[1].take("keys", base[p] + np.arange(sizes[p]))) >> U64(32), return_inverse=True)
         sums = np.array([np.bincount(inverse, weights=w, minlength=len(ids)) for w in (whole, whole == 1, whole == 2, whole > 2)]).astype(np.uint32)
         inner = ids < U64(begin)
         told = _told(2, *_of_counts(whole), *(int(x[~inner].sum()) for x in sums))
@@ -411,7 +447,7 @@ def _fit_triples(texts: DataFrame, model: Model, least: int) -> None:
         for keys, n in zip(table.column("keys").to_pylist(), table.column("counts").to_pylist()):
             whole[:, from_planes(keys, U64).astype(np.int64) - (vocab_ends[p] - model.vocab_sizes[p])] += from_planes(n, np.uint32).reshape(4, -1)
         for name, x in zip(("total2", "once2", "twice2", "more2"), whole):
-            save(f"{folder}/vocab/{name}-{p}.npy", _small(x))
+            save(f"{_home(folder, model.vocab_bits)}/vocab/{name}-{p}.npy", _small(x))
         return table.slice(0, 0)
 
     spark = texts.sparkSession
@@ -426,6 +462,13 @@ def _fit_triples(texts: DataFrame, model: Model, least: int) -> None:
     for x in told:
         if x[0] == 3:
             model.triple_sizes[x[1]] = x[2]
+    bits = model.file_bits
+    split, split2 = ("once", "twice", "more"), ("total2", "once2", "twice2", "more2")
+    _join(spark, folder, "pairs", (*split, "behind"), sizes, bits, gaps=split)  # of a part whose bigrams end texts there is no file
+    _join(spark, folder, "vocab", split2, model.vocab_sizes, gaps=split2)
+    files = in_files(sizes, bits)
+    inside = base - np.repeat(np.cumsum(files) - files, len(sizes) // len(files))  # a part's first place in its file
+    _join(spark, folder, "triples", ("keys", "counts"), model.triple_sizes, bits, add=inside << model.word_bits)
     sums = lambda kind, lo, hi: tuple(sum(int(x[i]) for x in told if x[0] == kind) for i in range(lo, hi))
     d = _discounts(list(sums(3, 3, 7)))
     model.discounts3, model.begin3 = tuple(float(k) if k < least else d[k - 1] for k in (1, 2, 3)), sums(3, 7, 10)
@@ -481,7 +524,7 @@ def log_probabilities(column: pa.Array, model: Model) -> tuple[np.ndarray, ...]:
     triple = np.full(len(numbers), -1, np.int64)
     both = np.flatnonzero((two >= 0) & (numbers >= 0))
     if len(both):
-        part, keys = _triple_keys(two[both], numbers[both], model)
+        part, keys = _triple_keys(two[both], numbers[both], model, pairs.sizes)
         part, keys, where = _distinct(part, keys, inverse=True)
         triple[both] = model.triples().find(keys, part)[where]
     p3 = _interpolated(_taken(model.triples(), ("counts",), triple)[0], after[0], after[1:], model.discounts3, middle)

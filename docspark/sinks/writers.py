@@ -15,8 +15,10 @@ def export_csv(df: DataFrame, folder: str) -> None:
 
 def exported_csv(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """What export_csv wrote. A missing value is nothing between two separators and an empty text a pair of quotes; Spark takes
-    both for null, unless null goes by a mark that no value has."""
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("nullValue", uuid.uuid4().hex).schema(schema).csv(folder)
+    both for null, unless null goes by a mark that no value has. The escape of the escape is NUL unless it is set, which takes NULs
+    out of quoted texts."""
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("charToEscapeQuoteEscaping", '"')
+    return rows.option("nullValue", uuid.uuid4().hex).schema(schema).csv(folder)
 
 
 def export_json(df: DataFrame, folder: str) -> None:

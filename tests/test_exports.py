@@ -8,7 +8,7 @@ from docspark import catalog
 from docspark.sinks.exporters import rtf
 from docspark.sources import containers
 
-TEXTS = [None, "", " ", "\n \n", "a", "a,b\nc", '"', '""', 'say "x"', '"x\ny"\r\nz', "a\rb", "\\", '\\"', "#c", "null", "\\N", "\t", " lead", "trail  ", "é\ufeff\x00z", "x" * 59 + '"', "x" * 59 + "\r\n", "😀" * 70]
+TEXTS = [None, "", " ", "\n \n", "a", "a,b\nc", '"', '""', 'say "x"', '"x\ny"\r\nz', "a\rb", "\\", '\\"', "#c", "null", "\\N", "\t", " lead", "trail  ", "é\ufeff\x00z", "\x00\na", 'a\x00"b', "\x00,\x00", "x" * 59 + '"', "x" * 59 + "\r\n", "😀" * 70]
 
 
 def corpus(spark, folder, texts):
